@@ -27,6 +27,8 @@ from leafmark.llm.components import connected_components
 from leafmark.llm.wordhash import mix, normalise, shingle_set
 
 T = 128
+#: above: the size of the node's parent, 0 if unknown.
+NODE = "node long, rep long, above long"
 _SEEDS = mix(np.arange(1, T + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _ADDS = mix(_SEEDS + np.uint64(7))
 _POSITION = mix(np.arange(1, T + 1, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
@@ -98,7 +100,7 @@ def _first_levels(runs: int, levels: int, threshold: float, seed: int):
                     at = at[row]
                 out.append((at, path))
             at, path = (np.concatenate([x[i] for x in out]) for i in (0, 1))
-            yield pd.DataFrame({"node": path.view(np.int64), "rep": rep[at]}).drop_duplicates()
+            yield pd.DataFrame({"node": path.view(np.int64), "rep": rep[at], "above": 0}).drop_duplicates()
 
     return run
 
@@ -107,7 +109,7 @@ def _next_level(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             row, path = _children(f["node"].to_numpy(np.int64).view(np.uint64), _matrix(f["sketch"]), threshold)
-            yield pd.DataFrame({"node": path.view(np.int64), "rep": f["rep"].to_numpy(np.int64)[row]}).drop_duplicates()
+            yield pd.DataFrame({"node": path.view(np.int64), "rep": f["rep"].to_numpy(np.int64)[row], "above": f["size"].to_numpy(np.int64)[row]}).drop_duplicates()
 
     return run
 
@@ -206,7 +208,7 @@ def _exact(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, levels: int = 3, depth: int = 6, leaf: int = 64, block: int = 2048, seed: int = 1) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, levels: int = 3, depth: int = 6, leaf: int = 64, dense: float = 0.7, block: int = 2048, seed: int = 1) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every document with an id: its class of near duplicates on 5-word shingles.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least `threshold`; classes are the
@@ -217,8 +219,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     Rows with a null doc_id are left out. Empty tables give no rows; extra columns are ignored.
 
     Documents with equal sets are one set with a count, whatever their number. The first `levels` of the trees need no
-    exchange and are always split; nodes of more than `leaf` sets split on to `depth`. What is still large then holds
-    sets alike in `depth` sampled tokens: it is dealt in pairs of blocks, as is a large component, so a task holds at
+    exchange and are always split; nodes of more than `leaf` sets split on to `depth`, but not if they kept `dense` of
+    their parent's sets, which a sampled token can't tell apart. What is still large then is dealt in pairs of blocks, as is a large component, so a task holds at
     most two blocks of `block` sets. A pair is a candidate if its 4-bit sketches put it above threshold - 0.14 (four
     standard deviations); pairs are met with probability `recall` at the threshold at least, more above it and in
     shallower leaves, and all pairs of a component are verified on whole sets.
@@ -234,7 +236,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     )
 
     runs = runs_needed(recall, depth)
-    nodes = sets.select("rep", "sketch").mapInPandas(_first_levels(runs, levels, threshold, seed), "node long, rep long")
+    nodes = sets.select("rep", "sketch").mapInPandas(_first_levels(runs, levels, threshold, seed), NODE)
     leaves: list[DataFrame] = []
     for level in range(levels, depth + 1):
         counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -242,11 +244,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         if level == depth:
             leaves.append(held)
             break
-        leaves.append(held.where(F.col("size") <= leaf))
-        wide = held.where(F.col("size") > leaf).select("node", "rep")
+        ends = (F.col("size") <= leaf) | (F.col("size") >= dense * F.col("above")) & (F.col("above") > 0)
+        leaves.append(held.where(ends))
+        wide = held.where(~ends).select("node", "rep", "size")
         if wide.isEmpty():
             break
-        nodes = wide.join(sets.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInPandas(_next_level(threshold), "node long, rep long")
+        nodes = wide.join(sets.select("rep", "sketch"), "rep").select("node", "rep", "size", "sketch").mapInPandas(_next_level(threshold), NODE)
     met = leaves[0]
     for more in leaves[1:]:
         met = met.unionByName(more)
