@@ -29,7 +29,7 @@ _GAPS = """, gaps AS (SELECT *, y + h / 2.0::DOUBLE AS mid, lag(col) OVER o AS p
 pit AS (SELECT doc_id, page, list(pmid - mid) FILTER (pcol = col AND pmid - mid > 0.0005::DOUBLE) AS g FROM gaps GROUP BY ALL),
 pitch AS (SELECT doc_id, page, coalesce(list_sort(g)[len(g) // 2 + 1], 0.012::DOUBLE) AS pitch FROM pit)"""
 _MD = """m AS (SELECT conv_id AS doc_id, turn::INT AS page, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY ALL)"""
-_AUDIT = r"""list_transform(regexp_extract_all(translate(text, 'ʼ’‘“”–', ''''''''""-'), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), lambda t: lower(t))"""
+_AUDIT = r"""list_transform(regexp_extract_all(translate(text, 'ʼ’‘“”–', '''''''""-'), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), lambda t: lower(t))"""
 
 
 def query(sql: str | None = None):
