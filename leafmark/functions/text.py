@@ -53,3 +53,12 @@ def is_unstructured(c: Column) -> Column:
 def strip_label(c: Column) -> Column:
     """A block's text without heading marks and review, float and quote labels."""
     return F.regexp_replace(c, r"^(?:#{1,6} |> \[review: [^\]]*\] |> \[floats\] |> )", "")
+
+
+def valid_record() -> Column:
+    """An audit record: a positive page, text that isn't blank, and all or none of a finite box of no negative size."""
+    box = [F.col(c) for c in ("x", "y", "w", "h")]
+    given = sum((c.isNotNull().cast("int") for c in box), F.lit(0))
+    finite = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in box]
+    whole = finite[0] & finite[1] & finite[2] & finite[3] & (F.col("w") >= 0) & (F.col("h") >= 0)
+    return F.coalesce((F.col("page") > 0) & F.col("text").rlike(r"\S") & ((given == 0) | whole), F.lit(False))

@@ -66,3 +66,42 @@ def render_markdown(blocks: DataFrame) -> DataFrame:
 def render_text(blocks: DataFrame) -> DataFrame:
     parts = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", strip_label(F.col("text")).alias("t")))).alias("p"))
     return parts.select("doc_id", F.concat(F.trim(F.array_join(F.transform("p", lambda x: x["t"]), "\n\n")), F.lit("\n")).alias("text"))
+
+
+def ocr_heading_levels(sizes: DataFrame, scale: float = 2.0, step: float = 0.8) -> DataFrame:
+    """(doc_id, size, body_height), sizes distinct -> doc_id, size, level of sizes over `scale` body heights.
+
+    From the largest down, a size below `step` of its level's largest opens the next level: 4, 5, then 6 for all. A
+    document has as many sizes as height buckets, so they are folded as one array.
+    """
+    tall = sizes.where(F.col("size") > F.col("body_height") * scale).groupBy("doc_id").agg(F.sort_array(F.collect_set("size"), asc=False).alias("s"))
+    kind = "array<struct<size:double,level:int,top:double>>"
+
+    def put(done, size):
+        last = F.element_at(done, -1)
+        fresh = (F.size(done) == 0) | (size < last["top"] * step)
+        level = F.when(F.size(done) == 0, 4).when(fresh, F.least(F.lit(6), last["level"] + 1)).otherwise(last["level"])
+        return F.concat(done, F.array(F.struct(size.alias("size"), level.alias("level"), F.when(fresh, size).otherwise(last["top"]).alias("top"))).cast(kind))
+
+    folded = tall.select("doc_id", F.explode(F.aggregate("s", F.array().cast(kind), lambda done, x: F.when(F.size(done) == 0, F.array(F.struct(x.alias("size"), F.lit(4).alias("level"), x.alias("top"))).cast(kind)).otherwise(put(done, x)))).alias("f"))
+    return folded.select("doc_id", "f.size", "f.level")
+
+
+def join_hyphens(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Adds joined to (head, tail): a final hyphen after a letter or digit closes if the dictionary (word) has the closed
+    form, and stays, without a space, if not; other heads are joined by a space. The look-up is an equi-join."""
+    head, tail = F.col("head"), F.col("tail")
+    last = F.regexp_extract(head, r"([^ ]*[A-Za-z0-9])-$", 1)
+    begin = F.split(F.regexp_replace(F.element_at(F.split(tail, " "), 1), "[^A-Za-z-]", ""), "-")[0]
+    keyed = pairs.withColumn("word_", F.when(last != "", F.lower(F.concat(last, begin))))
+    known = dictionary.select(F.col("word").alias("known_")).distinct()
+    found = keyed.join(known, F.col("word_") == F.col("known_"), "left")
+    joined = F.when(F.col("word_").isNull(), F.concat_ws(" ", head, tail)).when(F.col("known_").isNull(), F.concat(head, tail)).otherwise(F.concat(F.regexp_replace(head, "-$", ""), tail))
+    return found.withColumn("joined", joined).drop("word_", "known_")
+
+
+def match_occurrences(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(doc_id, i, token) twice -> doc_id, token, k, source_at, output_at: the k-th occurrence takes the k-th."""
+    order = F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("i"))
+    left = source.select("doc_id", "token", F.col("i").alias("source_at"), order.alias("k"))
+    return left.join(output.select("doc_id", "token", F.col("i").alias("output_at"), order.alias("k")), ["doc_id", "token", "k"])

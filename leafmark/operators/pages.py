@@ -26,11 +26,11 @@ def with_median_height(words: DataFrame) -> DataFrame:
 
 
 def two_columns(words: DataFrame) -> DataFrame:
-    """doc_id, page, two_column: enough body words clear of the middle on both sides, and few across it."""
+    """doc_id, page, two_column: enough body words centred clear of the middle on both sides, and few across it."""
     body = words.join(with_median_height(words), list(PAGE)).where(F.col("h") < TALL * F.col("median_h"))
-    left = F.col("x") + F.col("w") <= SPLIT - GUTTER
-    right = F.col("x") >= SPLIT + GUTTER
-    across = (F.col("x") < SPLIT - GUTTER) & (F.col("x") + F.col("w") > SPLIT + GUTTER)
+    mid = F.col("x") + F.col("w") / 2.0
+    left, right = mid < SPLIT - GUTTER, mid > SPLIT + GUTTER
+    across = (F.col("x") < SPLIT) & (F.col("x") + F.col("w") > SPLIT)
     count = lambda c: F.count_if(c)
     n = body.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), count(left).alias("l"), count(right).alias("r"), count(across).alias("a"))
     wide = (F.col("l") >= MIN_WORDS) & (F.col("r") >= MIN_WORDS) & (F.col("l") / F.col("n") >= MIN_SHARE) & (F.col("r") / F.col("n") >= MIN_SHARE) & (F.col("a") / F.col("n") <= GUTTER_INK)
@@ -93,3 +93,25 @@ def prose_share(docs: DataFrame) -> DataFrame:
     words = word_list(F.col("text"))
     n = docs.select("doc_id", F.size(words).cast("long").alias("n"), F.size(F.filter(words, lambda w: w.rlike(WORDLIKE))).cast("long").alias("prose"))
     return n.withColumn("retry", F.when(F.col("n") > 0, F.col("prose") / F.col("n") < 0.6).otherwise(False))
+
+
+def touching_fragments(words: DataFrame) -> DataFrame:
+    """doc_id, page, idx, first, second: following words on a baseline with hardly a gap."""
+    order = Window.partitionBy(*PAGE).orderBy("idx")
+    lead = lambda c: F.lead(c).over(order)
+    tall = F.greatest("h", lead("h"))
+    near = (tall > 0) & (F.abs(F.col("y") - lead("y")) <= tall * 0.25) & (F.abs(lead("x") - (F.col("x") + F.col("w"))) <= tall * 0.15)
+    return words.select(*PAGE, "idx", F.col("text").alias("first"), lead("text").alias("second"), near.alias("near")).where("second is not null and near").drop("near")
+
+
+def in_range(words: DataFrame, counts: DataFrame, first: int, last: int) -> DataFrame:
+    """Words of the pages from `first` to `last`, both clamped to the document's pages (counts: doc_id, n_pages)."""
+    begin = F.least(F.greatest(F.lit(1), F.lit(first)), F.greatest(F.lit(1), F.col("n_pages")))
+    return words.join(counts, "doc_id").where(F.col("page").between(begin, F.least(F.greatest(begin, F.lit(last)), F.col("n_pages")))).drop("n_pages")
+
+
+def every_page(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id, page, n_words, warn for all pages of a document, those without words included."""
+    pages = counts.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page"))
+    n = words.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))
+    return pages.join(n, list(PAGE), "left").select(*PAGE, F.coalesce("n", F.lit(0)).alias("n_words"), F.col("n").isNull().alias("warn"))

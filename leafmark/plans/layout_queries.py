@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import text as tx
 from leafmark.operators import documents as dc
 from leafmark.operators import pages as pg
+from leafmark.operators import rows as rw
 from leafmark.sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,18 +89,21 @@ def tall_body_split(spark, sf_dir):
     return words.join(pg.with_median_height(words), ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count_if(tall).alias("tall"), F.count_if(~tall).alias("body"))
 
 
-@query(f"""WITH {_WORDS}{_MEDIAN}, b AS (SELECT words.* FROM words JOIN med USING (doc_id, page) WHERE h < 2.0::DOUBLE * median_h),
-  n AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (x + w <= 0.5::DOUBLE - 0.02::DOUBLE) AS l, count(*) FILTER (x >= 0.5::DOUBLE + 0.02::DOUBLE) AS r, count(*) FILTER (x < 0.5::DOUBLE - 0.02::DOUBLE AND x + w > 0.5::DOUBLE + 0.02::DOUBLE) AS a FROM b GROUP BY ALL)
-  SELECT doc_id, page, coalesce(l >= 10 AND r >= 10 AND l / n >= 0.2::DOUBLE AND r / n >= 0.2::DOUBLE AND a / n <= 0.03::DOUBLE, false) AS two_column FROM (SELECT DISTINCT doc_id, page FROM words) LEFT JOIN n USING (doc_id, page)""")
+_TWO = f"""{_MEDIAN}, b AS (SELECT words.* FROM words JOIN med USING (doc_id, page) WHERE h < 2.0::DOUBLE * median_h),
+  n AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (x + w / 2 < 0.48::DOUBLE) AS l, count(*) FILTER (x + w / 2 > 0.52::DOUBLE) AS r, count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) AS a FROM b GROUP BY ALL),
+  two AS (SELECT doc_id, page, coalesce(l >= 10 AND r >= 10 AND l / n >= 0.2::DOUBLE AND r / n >= 0.2::DOUBLE AND a / n <= 0.03::DOUBLE, false) AS two_column FROM (SELECT DISTINCT doc_id, page FROM words) LEFT JOIN n USING (doc_id, page))"""
+
+
+@query(f"WITH {_WORDS}{_TWO} SELECT * FROM two")
 def two_column_pages(spark, sf_dir):
     return pg.two_columns(_words(spark, sf_dir))
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, page, count(*) FILTER (x + w < 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x > 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x <= 0.5::DOUBLE AND x + w >= 0.5::DOUBLE) / count(*) < 0.15::DOUBLE AS two_column FROM words GROUP BY ALL")
+@query(f"WITH {_WORDS} SELECT doc_id, page, count(*) FILTER (x + w < 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x > 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) / count(*) < 0.15::DOUBLE AS two_column FROM words GROUP BY ALL")
 def text_two_column_pages(spark, sf_dir):
     right = F.col("x") + F.col("w")
     share = lambda c: F.count_if(c) / F.count(F.lit(1))
-    two = (share(right < 0.5) > 0.25) & (share(F.col("x") > 0.5) > 0.25) & (share((F.col("x") <= 0.5) & (right >= 0.5)) < 0.15)
+    two = (share(right < 0.5) > 0.25) & (share(F.col("x") > 0.5) > 0.25) & (share((F.col("x") < 0.5) & (right > 0.5)) < 0.15)
     return _words(spark, sf_dir).groupBy("doc_id", "page").agg(two.alias("two_column"))
 
 
@@ -261,3 +265,72 @@ def markdown_render(spark, sf_dir):
 @query(f"WITH {_BLOCK_ROWS} SELECT doc_id, trim(string_agg(bare, chr(10) || chr(10) ORDER BY ix)) || chr(10) AS text FROM b GROUP BY ALL")
 def text_render(spark, sf_dir):
     return dc.render_text(_blocks(spark, sf_dir))
+
+
+@query(f"""WITH {_WORDS}{_TWO}, g AS (SELECT words.*, h >= 2.0::DOUBLE * median_h AS tall, CASE WHEN two_column AND h < 2.0::DOUBLE * median_h AND x + w / 2 >= 0.5::DOUBLE THEN 1 ELSE 0 END AS band FROM words JOIN med USING (doc_id, page) JOIN two USING (doc_id, page))
+  SELECT doc_id, page, string_agg(text, ' ' ORDER BY x) AS text, arg_max(h, length(text) * 1000000000 - idx) AS h, count(*)::BIGINT AS n_words FROM g GROUP BY doc_id, page, tall, band, row""")
+def ocr_rows(spark, sf_dir):
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "text", "h", "n_words")
+
+
+@query(f"""WITH {_WORDS}, t2 AS (SELECT doc_id, page, count(*) FILTER (x + w < 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x > 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) / count(*) < 0.15::DOUBLE AS two FROM words GROUP BY ALL),
+  g AS (SELECT words.*, (two AND x > 0.5::DOUBLE)::INT AS c FROM words JOIN t2 USING (doc_id, page)), s AS (SELECT doc_id, page, c AS col, row, string_agg(text, ' ' ORDER BY x) AS text, count(*)::BIGINT AS n_words FROM g GROUP BY ALL)
+  SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY col, row) - 1)::INT AS ix, col, translate(text, 'ʼ’‘“”–', '''''''""-') AS text, n_words FROM s""")
+def text_rows(spark, sf_dir):
+    points = [(F.col("x") * 612).alias("x"), ((1 - F.col("y")) * 792).alias("y"), (F.col("w") * 612).alias("w"), (F.col("h") * 792).alias("h"), F.lit(612.0).alias("page_width")]
+    return rw.text_lines(_words(spark, sf_dir).select("doc_id", "page", "idx", "text", *points)).select("doc_id", "page", "ix", "col", "text", "n_words")
+
+
+_SIZES = "z AS (SELECT DISTINCT doc_id, (10 + idx % 60)::DOUBLE / 500::DOUBLE AS size FROM words)"
+
+
+@query(f"""WITH RECURSIVE {_WORDS}, {_SIZES}, s AS (SELECT * FROM z WHERE size > 0.02::DOUBLE * 2.0::DOUBLE),
+  r AS (SELECT doc_id, max(size) AS rep, 4 AS level FROM s GROUP BY doc_id UNION ALL SELECT r.doc_id, max(s.size), any_value(least(6, r.level + 1)) FROM r JOIN s ON s.doc_id = r.doc_id AND s.size < r.rep * 0.8::DOUBLE GROUP BY r.doc_id)
+  SELECT doc_id, size, max(level)::INT AS level FROM s JOIN r USING (doc_id) WHERE rep >= size GROUP BY doc_id, size""")
+def heading_levels_ocr(spark, sf_dir):
+    sizes = _words(spark, sf_dir).select("doc_id", ((10 + F.col("idx") % 60).cast("double") / F.lit(500.0)).alias("size")).distinct()
+    return dc.ocr_heading_levels(sizes.withColumn("body_height", F.lit(0.02)))
+
+
+_HEADS = "w8 AS (SELECT * FROM words WHERE regexp_full_match(text, '[A-Za-z]{8,}')), d AS (SELECT DISTINCT lower(text) AS word FROM w8 WHERE idx % 2 = 0), c AS (SELECT doc_id, idx, 'see ' || substr(text, 1, 4) || '-' AS head, substr(text, 5) || ', and' AS tail, lower(text) AS word FROM w8 WHERE idx % 3 = 0)"
+
+
+@query(f"WITH {_WORDS}, {_HEADS} SELECT doc_id, idx, CASE WHEN d.word IS NULL THEN head || tail ELSE substr(head, 1, length(head) - 1) || tail END AS joined FROM c LEFT JOIN d USING (word)")
+def hyphen_joins(spark, sf_dir):
+    long_words = _words(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]{8,}$"))
+    known = long_words.where("idx % 2 = 0").select(F.lower("text").alias("word")).distinct()
+    pairs = long_words.where("idx % 3 = 0").select("doc_id", "idx", F.concat(F.lit("see "), F.substring("text", 1, 4), F.lit("-")).alias("head"), F.concat(F.expr("substring(text, 5)"), F.lit(", and")).alias("tail"))
+    return dc.join_hyphens(pairs, known).select("doc_id", "idx", "joined")
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest({_AUDIT}) AS token, unnest(range(len({_AUDIT}))) AS i FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM s),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM s WHERE i % 17 <> 16) SELECT doc_id, token, k::INT AS k, k.i::INT AS source_at, o.i::INT AS output_at FROM k JOIN o USING (doc_id, token, k)""")
+def occurrence_matches(spark, sf_dir):
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("i", "token"))
+    return dc.match_occurrences(each, each.where("i % 17 <> 16"))
+
+
+@query(f"""WITH {_WORDS}, v AS (SELECT *, CASE WHEN idx % 5 = 0 THEN 0.0615::DOUBLE ELSE w END AS w2 FROM words), n AS (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(h) OVER o AS nh, lead(text) OVER o AS second FROM v WINDOW o AS (PARTITION BY doc_id, page ORDER BY idx))
+  SELECT doc_id, page, idx, text AS "first", second FROM n WHERE second IS NOT NULL AND greatest(h, nh) > 0 AND abs(y - ny) <= greatest(h, nh) * 0.25::DOUBLE AND abs(nx - (x + w2)) <= greatest(h, nh) * 0.15::DOUBLE""")
+def touching_fragments(spark, sf_dir):
+    return pg.touching_fragments(_words(spark, sf_dir).withColumn("w", F.when(F.col("idx") % 5 == 0, F.lit(0.0615)).otherwise(F.col("w"))))
+
+
+@query(f"WITH {_WORDS}, n AS (SELECT doc_id, max(page) AS n FROM words GROUP BY ALL), b AS (SELECT *, least(2, n) AS a FROM n) SELECT doc_id, page, idx, text FROM words JOIN b USING (doc_id) WHERE page BETWEEN a AND least(greatest(a, 3), n)")
+def page_range(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return pg.in_range(words, words.groupBy("doc_id").agg(F.max("page").alias("n_pages")), 2, 3).select("doc_id", "page", "idx", "text")
+
+
+@query(f"WITH {_WORDS}, n AS (SELECT doc_id, unnest(range(1, max(page) + 1))::INT AS page FROM words GROUP BY doc_id), c AS (SELECT doc_id, page, count(*) AS n FROM words WHERE page % 2 = 1 GROUP BY ALL) SELECT doc_id, page, coalesce(c.n, 0)::BIGINT AS n_words, c.n IS NULL AS warn FROM n LEFT JOIN c USING (doc_id, page)")
+def pages_without_words(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return pg.every_page(words.where("page % 2 = 1"), words.groupBy("doc_id").agg(F.max("page").alias("n_pages")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 9 END AS page, NOT (doc_id % 7 = 0 OR doc_id % 9 = 0 OR regexp_full_match(text, '\\s*') OR doc_id % 5 = 0) AS valid FROM documents")
+def audit_records(spark, sf_dir):
+    page = F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.col("doc_id") % 9)
+    box = [F.lit(0.1).alias("x"), F.when(F.col("doc_id") % 5 != 0, F.lit(0.1)).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h")]
+    records = _t(spark, sf_dir, "documents").select("doc_id", page.alias("page"), "text", *box)
+    return records.select("doc_id", "page", tx.valid_record().alias("valid"))
