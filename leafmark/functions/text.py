@@ -50,11 +50,6 @@ def is_unstructured(c: Column) -> Column:
     return F.when(F.size(words) > 0, like / F.size(words) < REVIEW_SHARE).otherwise(False)
 
 
-def strip_label(c: Column) -> Column:
-    """A block's text without heading marks and review, float and quote labels."""
-    return F.regexp_replace(c, r"^(?:#{1,6} |> \[review: [^\]]*\] |> \[floats\] |> )", "")
-
-
 def valid_record() -> Column:
     """An audit record: a positive page, text that isn't blank, and all or none of a finite box of no negative size."""
     box = [F.col(c) for c in ("x", "y", "w", "h")]

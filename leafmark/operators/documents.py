@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.functions.text import half_up, strip_label, tokens
+from leafmark.functions.text import half_up, tokens
 
-TERMINAL = ".!?:;\"'”’)]…"
+#: How a line of prose may end: punctuation, a closing mark, or a digit.
+TERMINAL = r"[.!?:;\"'”’)\]…0-9]$"
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
     """Counts of each page body: headings, junk headings, floats, paragraphs, reviews, and lines that end without punctuation."""
     body = F.col("body")
     lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*[#>|*-]"))
-    dangling = F.filter(lines, lambda x: ~F.rtrim(x).rlike(r"[.!?:;\"'”’)\]…]$"))
+    dangling = F.filter(lines, lambda x: ~F.rtrim(x).rlike(TERMINAL))
     count = lambda p: F.regexp_count(body, F.lit(p)).cast("long")
     return pages.select(
         "doc_id", "page", F.char_length("body").cast("long").alias("chars"), count(r"(?m)^#{1,6}\s*(.+)$").alias("headings"),
@@ -55,19 +56,6 @@ def deficits(source: DataFrame, output: DataFrame) -> DataFrame:
     return both.select("doc_id", "token", (F.col("s") - F.coalesce("o", F.lit(0))).alias("missing")).where("missing > 0")
 
 
-def render_markdown(blocks: DataFrame) -> DataFrame:
-    """(doc_id, ix, type, level, text, tight) -> doc_id, markdown: headings with marks, blank lines but before tight blocks."""
-    block = F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    lead = F.when(F.col("ix") == 0, "").when(F.col("tight"), "\n").otherwise("\n\n")
-    parts = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", F.concat(lead, block).alias("t")))).alias("p"))
-    return parts.select("doc_id", F.concat(F.trim(F.array_join(F.transform("p", lambda x: x["t"]), "")), F.lit("\n")).alias("markdown"))
-
-
-def render_text(blocks: DataFrame) -> DataFrame:
-    parts = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", strip_label(F.col("text")).alias("t")))).alias("p"))
-    return parts.select("doc_id", F.concat(F.trim(F.array_join(F.transform("p", lambda x: x["t"]), "\n\n")), F.lit("\n")).alias("text"))
-
-
 def ocr_heading_levels(sizes: DataFrame, scale: float = 2.0, step: float = 0.8) -> DataFrame:
     """(doc_id, size, body_height), sizes distinct -> doc_id, size, level of sizes over `scale` body heights.
 

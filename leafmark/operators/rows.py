@@ -17,11 +17,16 @@ COLUMN_WIDTH, COLUMN_ROW_HEIGHT = (0.2, 0.55), 1.6
 FLOAT_WORDS, FLOAT_WIDTH, FLOAT_MARGIN, ISOLATION, RESCUE_OVERLAP = 3, 0.15, 0.008, 2.2, 0.5
 RUN_MIN_TOL, RUN_TOL_SHARE, RUN_SPACE = 2.0, 0.5, 0.12
 
-OCR_LINE = "doc_id long, page int, ix int, col int, text string, x double, width double, mid_y double, h double, n_words long, is_float boolean, pitch double"
-TEXT_LINE = "doc_id long, page int, ix int, col int, text string, x double, y double, h double, n_words long"
+OCR_LINE = "doc_id long, page int, ix int, col int, text string, x double, width double, mid_y double, h double, n_words long, is_float boolean, pitch double, words array<int>"
+TEXT_LINE = "doc_id long, page int, ix int, col int, text string, x double, y double, h double, n_words long, words array<int>"
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
+def _typed(schema: str, given: DataFrame) -> str:
+    """The schema with doc_id as the input has it."""
+    return schema.replace("doc_id long", f"doc_id {given.schema['doc_id'].dataType.simpleString()}")
+
+
 def row_numbers(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, band: np.ndarray) -> np.ndarray:
     """The row of every word, numbered as rows open from the top.
 
@@ -108,10 +113,11 @@ def page_layout(words: pd.DataFrame) -> pd.DataFrame:
     for part in (tall, ~tall):
         words.loc[part, "row"] = row_numbers(x[part], y[part], w[part], h[part], words["band"].to_numpy()[part])
     # Tall rows come first; the longest word, the first of several, gives a line's height.
-    words["letters"] = words["text"].str.len()
+    words["letters"], words["at"] = words["text"].str.len(), range(len(words))
     rows = words.assign(body=~tall).groupby(["body", "row"], as_index=False).agg(band=("band", "first"), x=("x", "min"), y=("y", "min"), right=("right", "max"), top=("top", "max"), n_words=("text", "size"))
-    in_x = words.assign(body=~tall).sort_values("x", kind="stable").groupby(["body", "row"])["text"].agg(" ".join)
-    rows["text"] = [in_x[k] for k in zip(rows["body"], rows["row"], strict=True)]
+    across = words.assign(body=~tall).sort_values("x", kind="stable").groupby(["body", "row"])
+    in_x, at = across["text"].agg(" ".join), across["at"].agg(list)
+    rows["text"], rows["words"] = ([of[k] for k in zip(rows["body"], rows["row"], strict=True)] for of in (in_x, at))
     entered = words.assign(body=~tall, mid=y + h / 2).sort_values(["mid", "x"], ascending=[False, True], kind="stable")
     longest = entered.sort_values("letters", ascending=False, kind="stable").groupby(["body", "row"])["h"].first()
     rows["h"] = [longest[k] for k in zip(rows["body"], rows["row"], strict=True)]
@@ -127,12 +133,12 @@ def page_layout(words: pd.DataFrame) -> pd.DataFrame:
 def ocr_lines(words: DataFrame) -> DataFrame:
     """Lines, floats and line pitch of recognised words. Words without text or box are left out; a page of none has no row."""
     whole = words.select("doc_id", "page", "idx", "text", "x", "y", "w", "h").dropna(subset=["doc_id", "page", "text", "x", "y", "w", "h"])
-    return whole.groupBy(*pg.PAGE).applyInPandas(page_layout, OCR_LINE)
+    return whole.groupBy(*pg.PAGE).applyInPandas(page_layout, _typed(OCR_LINE, words))
 
 
 def run_lines(runs: pd.DataFrame) -> pd.DataFrame:
     """The lines of one page from its runs (doc_id, page, idx, text, x, y, w, h, page_width), in points with y down."""
-    runs = runs.sort_values("idx").sort_values(["y", "x"], kind="stable", ignore_index=True)
+    runs = runs.sort_values("idx").assign(at=range(len(runs))).sort_values(["y", "x"], kind="stable", ignore_index=True)
     mid, right = runs["page_width"].iloc[0] / 2, runs["x"] + runs["w"]
     share = lambda c: c.mean()
     two = share(right < mid) > 0.25 and share(runs["x"] > mid) > 0.25 and share((runs["x"] < mid) & (right > mid)) < 0.15
@@ -154,8 +160,8 @@ def run_lines(runs: pd.DataFrame) -> pd.DataFrame:
         for s, apart in zip(part["text"], wide, strict=True):
             text += (" " if apart and not text[-1:].isspace() and not s[:1].isspace() else "") + s
         chars = part["text"].str.len().groupby(part["h"], sort=False).sum()
-        out.append((int(part["col"].iloc[0]), " ".join(text.translate(_FOLD).split()), float(part["x"].iloc[0]), levels[k], float(chars.idxmax()), len(part)))
-    lines = pd.DataFrame(out, columns=["col", "text", "x", "y", "h", "n_words"]).sort_values(["col", "y"], kind="stable", ignore_index=True)
+        out.append((int(part["col"].iloc[0]), " ".join(text.translate(_FOLD).split()), float(part["x"].iloc[0]), levels[k], float(chars.idxmax()), len(part), part["at"].tolist()))
+    lines = pd.DataFrame(out, columns=["col", "text", "x", "y", "h", "n_words", "words"]).sort_values(["col", "y"], kind="stable", ignore_index=True)
     lines = lines[lines["text"] != ""].reset_index(drop=True)
     lines["ix"], lines["doc_id"], lines["page"] = range(len(lines)), runs["doc_id"].iloc[0], runs["page"].iloc[0]
     return lines[[c.split()[0] for c in TEXT_LINE.split(", ")]]
@@ -164,4 +170,4 @@ def run_lines(runs: pd.DataFrame) -> pd.DataFrame:
 def text_lines(runs: DataFrame) -> DataFrame:
     """Lines of text-layer runs; blank runs are left out."""
     need = runs.select("doc_id", "page", "idx", "text", "x", "y", "w", "h", "page_width").where(r"text rlike '\\S'").dropna()
-    return need.groupBy(*pg.PAGE).applyInPandas(run_lines, TEXT_LINE)
+    return need.groupBy(*pg.PAGE).applyInPandas(run_lines, _typed(TEXT_LINE, runs))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as tx
+from leafmark.operators import analysis as an
 from leafmark.operators import documents as dc
+from leafmark.operators import audit, emit, markdown
 from leafmark.operators import pages as pg
 from leafmark.operators import rows as rw
 from leafmark.sources import layout
@@ -176,7 +178,7 @@ def marker_count(spark, sf_dir):
     return md.select("doc_id", F.size(F.filter(F.split("md", "\n"), lambda x: x.rlike(tx.MARKER))).cast("long").alias("markers"))
 
 
-_STATS = f"""WITH {_MD}, x AS (SELECT *, string_split(body, chr(10)) AS ls FROM m), y AS (SELECT *, list_filter(ls, lambda l: trim(l) <> '' AND NOT regexp_matches(l, '^\\s*[#>|*-]') AND NOT regexp_matches(rtrim(l), '[.!?:;"''”’)\\]…]$')) AS dl FROM x),
+_STATS = f"""WITH {_MD}, x AS (SELECT *, string_split(body, chr(10)) AS ls FROM m), y AS (SELECT *, list_filter(ls, lambda l: trim(l) <> '' AND NOT regexp_matches(l, '^\\s*[#>|*-]') AND NOT regexp_matches(rtrim(l), '[.!?:;"''”’)\\]…0-9]$')) AS dl FROM x),
   st AS (SELECT doc_id, page, length(body)::BIGINT AS chars, len(regexp_extract_all(body, '(?m)^#{{1,6}}\\s*(.+)$'))::BIGINT AS headings, len(list_filter(ls, lambda l: regexp_matches(l, '^#{{1,6}}') AND NOT regexp_matches(l, '[A-Za-z]{{3}}')))::BIGINT AS junk_headings,
   len(regexp_extract_all(body, '(?m)^> \\[floats\\]'))::BIGINT AS floats, len(regexp_extract_all(body, '(?m)^[^#>\\-\\s].*$'))::BIGINT AS paragraphs, len(regexp_extract_all(body, '(?m)^> \\[review: '))::BIGINT AS review_blocks,
   len(list_filter(dl, lambda l: length(l) >= 60))::BIGINT AS dangling_long, len(list_filter(dl, lambda l: length(l) < 60))::BIGINT AS dangling_short FROM y)"""
@@ -250,21 +252,23 @@ _BLOCK_ROWS = "b AS (SELECT conv_id AS doc_id, turn AS ix, role, turn % 4 = 3 AS
 
 
 def _blocks(spark, sf_dir):
-    user = F.col("role") == "user"
-    return _t(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").alias("ix"), F.when(user, "heading").otherwise("paragraph").alias("type"), (4 + F.col("turn") % 3).cast("int").alias("level"),
-        F.when(user, F.trim("text")).otherwise(F.concat(F.lit("> "), F.trim("text"))).alias("text"), (F.col("turn") % 4 == 3).alias("tight"),
+    user, none = F.col("role") == "user", F.array().cast("array<int>")
+    each = _t(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("block"), F.when(user, "heading").otherwise("paragraph").alias("type"), F.when(user, (4 + F.col("turn") % 3).cast("int")).alias("level"),
+        F.when(user, F.trim("text")).otherwise(F.concat(F.lit("> "), F.trim("text"))).alias("text"), (F.col("turn") % 4 == 3).alias("tight"), none.alias("words"),
     )
+    no_words = spark.createDataFrame([], "doc_id long, page int, idx int, text string, x double, y double, w double, h double")
+    return an.page_rows(no_words, each, each.select("doc_id", "page").distinct().withColumn("path", F.lit("text")))
 
 
-@query(f"WITH {_BLOCK_ROWS} SELECT doc_id, trim(string_agg(CASE WHEN ix = 0 THEN '' WHEN tight THEN chr(10) ELSE chr(10) || chr(10) END || md, '' ORDER BY ix)) || chr(10) AS markdown FROM b GROUP BY ALL")
+@query(f"WITH {_BLOCK_ROWS} SELECT doc_id, regexp_replace(regexp_replace(string_agg(md || CASE WHEN tight THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY ix), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS markdown FROM b GROUP BY ALL")
 def markdown_render(spark, sf_dir):
-    return dc.render_markdown(_blocks(spark, sf_dir))
+    return an.render_markdown(_blocks(spark, sf_dir))
 
 
-@query(f"WITH {_BLOCK_ROWS} SELECT doc_id, trim(string_agg(bare, chr(10) || chr(10) ORDER BY ix)) || chr(10) AS text FROM b GROUP BY ALL")
+@query(f"WITH {_BLOCK_ROWS} SELECT doc_id, regexp_replace(string_agg(bare, chr(10) || chr(10) ORDER BY ix), '^\\s+|\\s+$', '', 'g') || chr(10) AS text FROM b GROUP BY ALL")
 def text_render(spark, sf_dir):
-    return dc.render_text(_blocks(spark, sf_dir))
+    return an.render_text(_blocks(spark, sf_dir))
 
 
 @query(f"""WITH {_WORDS}{_TWO}, g AS (SELECT words.*, h >= 2.0::DOUBLE * median_h AS tall, CASE WHEN two_column AND h < 2.0::DOUBLE * median_h AND x + w / 2 >= 0.5::DOUBLE THEN 1 ELSE 0 END AS band FROM words JOIN med USING (doc_id, page) JOIN two USING (doc_id, page))
@@ -334,3 +338,57 @@ def audit_records(spark, sf_dir):
     box = [F.lit(0.1).alias("x"), F.when(F.col("doc_id") % 5 != 0, F.lit(0.1)).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h")]
     records = _t(spark, sf_dir, "documents").select("doc_id", page.alias("page"), "text", *box)
     return records.select("doc_id", "page", tx.valid_record().alias("valid"))
+
+
+_LETTERED = """s AS (SELECT doc_id, page, row AS ix, h, CASE WHEN row % 7 = 3 THEN '• ' ELSE '' END || string_agg(text, ' ' ORDER BY x) || CASE WHEN row % 11 = 5 THEN ':' ELSE '' END AS text FROM words WHERE doc_id % 3 <> 0 GROUP BY doc_id, page, row, h),
+  hist AS (SELECT doc_id, h, sum(length(text)) AS n FROM s GROUP BY ALL), body AS (SELECT doc_id, arg_max(h, n * 10 - h) AS body FROM hist GROUP BY ALL),
+  f AS (SELECT s.*, row_number() OVER o AS n, h > 1.35::DOUBLE * body AND NOT starts_with(text, '•') AS head, starts_with(text, '•') AS item, lag(text) OVER o AS ptext, lag(starts_with(text, '•')) OVER o AS pitem, lag(h > 1.35::DOUBLE * body AND NOT starts_with(text, '•')) OVER o AS phead FROM s JOIN body USING (doc_id) WINDOW o AS (PARTITION BY doc_id, page ORDER BY ix)),
+  g AS (SELECT *, sum(CASE WHEN n > 1 AND ((head AND phead) OR (NOT head AND NOT item AND NOT phead AND NOT pitem AND NOT regexp_matches(ptext, '[.!?:]$'))) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY ix) AS block FROM f),
+  j AS (SELECT doc_id, page, block, bool_or(head) AS head, bool_or(item) AS item, string_agg(text, ' ' ORDER BY ix) AS t FROM g GROUP BY ALL)"""
+
+
+@query(f"""WITH {_WORDS}, {_LETTERED} SELECT doc_id, page, (block - 1)::INT AS block, CASE WHEN head AND length(m) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, item AS tight,
+  CASE WHEN head AND length(m) > 150 THEN '> ' || m WHEN item THEN '- ' || substr(t, 3) ELSE m END AS text FROM (SELECT *, regexp_replace(t, '\\s+([,.;:%])', '\\1', 'g') AS m FROM j)""")
+def text_blocks(spark, sf_dir):
+    """Lines of the one-column grid, every seventh row a bullet item; texts without broken words, values and blank items."""
+    words = _words(spark, sf_dir).where("doc_id % 3 <> 0")
+    rows = words.groupBy("doc_id", "page", F.col("row").alias("ix")).agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("ws"), F.first("h").alias("h"))
+    text = F.concat(F.when(F.col("ix") % 7 == 3, "• ").otherwise(""), F.array_join("ws.text", " "), F.when(F.col("ix") % 11 == 5, ":").otherwise(""))
+    lines = rows.select("doc_id", "page", "ix", F.lit(0).alias("col"), text.alias("text"), F.lit(50.0).alias("x"), (F.col("ix") * F.col("h")).alias("y"), "h", F.array().cast("array<int>").alias("words"))
+    got = markdown.text_blocks(lines.withColumn("y", F.lit(0.0)), markdown.heading_levels(lines))
+    return got.select("doc_id", "page", "block", "type", "tight", "text")
+
+
+@query(f"""WITH {_WORDS}{_LINES}{_GAPS}, hist AS (SELECT doc_id, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE AS size, sum(length(text)) AS n, min(page * 1000000 + col * 1000 + row) AS place FROM lines GROUP BY ALL),
+  body AS (SELECT doc_id, arg_max(size, n * 1000000000 - place) AS body FROM hist GROUP BY ALL),
+  q AS (SELECT gaps.*, pitch, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE > body * 2.0::DOUBLE AS head FROM gaps JOIN pitch USING (doc_id, page) JOIN body USING (doc_id)),
+  z AS (SELECT *, lag(head) OVER o AS phead, lag(h) OVER o AS ph, lag(text) OVER o AS ptext FROM q WINDOW o AS (PARTITION BY doc_id, page ORDER BY col, row)),
+  s AS (SELECT *, CASE WHEN pcol IS NULL OR phead <> head THEN 1 WHEN head THEN (pcol <> col OR pmid - mid >= 2.2::DOUBLE * greatest(h, ph))::INT
+    ELSE ((pcol <> col OR pmid - mid > pitch * 1.6::DOUBLE) AND NOT (pcol <> col AND NOT regexp_matches(ptext, '[.!?:;"''”’)\\]]$') AND regexp_matches(text, '^[a-z]')))::INT END AS st FROM z),
+  b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page ORDER BY col, row)::INT AS block FROM s),
+  g AS (SELECT doc_id, page, block, bool_or(head) AS head, string_agg(text, ' ' ORDER BY col, row) AS text FROM b GROUP BY ALL), k AS (SELECT *, {_TOK} AS tok FROM g),
+  r AS (SELECT *, len(tok) > 0 AND len(list_filter(tok, lambda t: regexp_matches(t, '[A-Za-z]{{3}}'))) / len(tok) < 0.4::DOUBLE AS review FROM k)
+  SELECT doc_id, page, block - 1 AS block, CASE WHEN review THEN 'review' WHEN head AND length(text) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head AND NOT review AND length(text) <= 150 THEN 4 ELSE 0 END AS level,
+    CASE WHEN review THEN '> [review: unstructured labels] ' WHEN head AND length(text) > 150 THEN '> ' ELSE '' END || text AS text FROM r""")
+def recognised_blocks(spark, sf_dir):
+    """Blocks with levels found from the document's heights, over the lines of the grid, whose words have no hyphens at their ends."""
+    words = _words(spark, sf_dir)
+    ls = pg.lines(words)
+    order = Window.partitionBy("doc_id", "page").orderBy("col", "row")
+    lines = ls.join(pg.pitches(ls), ["doc_id", "page"]).select(
+        "doc_id", "page", F.row_number().over(order).alias("ix"), "col", "text", "h", (F.col("y") + F.col("h") / 2.0).alias("mid_y"), "pitch", F.lit(False).alias("is_float"), F.array().cast("array<int>").alias("words"))
+    got = emit.recognised_blocks(lines, emit.recognised_levels(lines))
+    return got.select("doc_id", "page", "block", "type", F.coalesce("level", F.lit(0)).alias("level"), "text")
+
+
+_TOKENS = r"""list_transform(regexp_extract_all(translate(text, 'ʼ’‘“”–', '""-'), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), lambda t: lower(nfc_normalize(t)))"""
+
+
+@query(f"""WITH {_WORDS}, s AS (SELECT doc_id, page, unnest({_TOKENS}) AS token, idx % 17 = 16 AS cut FROM words),
+  m AS (SELECT doc_id, page, token, count(*) AS n, count(*) FILTER (NOT cut) AS o FROM s GROUP BY ALL) SELECT doc_id, page, token, (n - o)::BIGINT AS missing FROM m WHERE n > o""")
+def audit_repairs(spark, sf_dir):
+    """Words against pages of them without every 17th; words on a line stand apart by a space, so no repair applies."""
+    words = _words(spark, sf_dir)
+    body = words.where("idx % 17 <> 16").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("ws"))
+    found = audit.missing_words(words.select("doc_id", "page", "idx", "text"), body.select("doc_id", "page", F.array_join("ws.text", " ").alias("body")))
+    return found.groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
