@@ -2,9 +2,9 @@
 
 A line is compared as it stands, without the blanks at its ends. Equal lines are collapsed first. Signatures are of
 character shingles taken where words start (and after every character beyond Latin), in `BANDS` bands of `ROWS` minima
-each; a line without such a place has itself as its only shingle. Lines that share a band are
-linked to that band's least line if the exact Jaccard similarity of all their 5-character shingles is
-high enough; the components of links are found by distributed union-find.
+each; a line without such a place has itself as its only shingle. Lines that share a band are linked if the exact
+Jaccard similarity of all their 5-character shingles is high enough. All pairs of a band are compared but those that are
+in one component already, which add nothing; the components of links are found by distributed union-find.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut, join_checked
+from leafmark.llm.common import cut, in_block_pairs, join_checked
 from leafmark.llm.components import connected_components
 
 BANDS, ROWS = 10, 3
@@ -22,6 +22,8 @@ EVERY = r"(?s)(?=(.{5}))"
 BLANK = " \t\r\u000b\f"
 #: Dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
 BROADCAST_POSITIONS = 4_000_000
+#: Pairs left for each line of a band up to which no further star is tried, the stars that are tried anyway, and lines in a block.
+FEW_PAIRS, STARS, BLOCK = 8, 4, 1000
 
 
 def lines_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -42,8 +44,8 @@ def _minima() -> list:
     return out
 
 
-def band_links(lines: DataFrame) -> DataFrame:
-    """(a, b): hashes of lines that share a band; each line of a band with its least."""
+def band_members(lines: DataFrame) -> DataFrame:
+    """(band, lid): the lines (by hash) of every band that has more than one."""
     unique = lines.select(F.xxhash64("line").alias("lid"), "line").groupBy("lid").agg(F.max("line").alias("line"))
     hashed = (
         unique.select("lid", "line", F.explode_outer(F.regexp_extract_all("line", F.lit(ANCHORED), F.lit(1))).alias("s"))
@@ -53,8 +55,7 @@ def band_links(lines: DataFrame) -> DataFrame:
     signed = hashed.groupBy("lid").agg(*_minima())
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     keyed = signed.select("lid", F.explode(F.array(*bands)).alias("band"))
-    ends = keyed.select(F.col("lid").alias("a"), F.min("lid").over(Window.partitionBy("band")).alias("b"))
-    return ends.where("a <> b").distinct()
+    return keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1").drop("n")
 
 
 def character_hashes(line):
@@ -69,14 +70,63 @@ def exact_jaccard(x: str, y: str):
     return F.element_at(F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"]))), 1)
 
 
+def _near(links: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) whose lines are similar."""
+    pairs = links.join(text.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+    return pairs.select("a", "b", exact_jaccard("x", "y").alias("j")).where(F.col("j") >= threshold - 1e-9).select("a", "b")
+
+
+def _star(open_: DataFrame) -> DataFrame:
+    """(a, b): each line of a band with the band's least, unless one component has both."""
+    low = F.min(F.struct("lid", "comp")).over(Window.partitionBy("band")).alias("low")
+    return open_.select("lid", "comp", low).where("comp <> low.comp").select(F.col("lid").alias("a"), F.col("low.lid").alias("b")).distinct()
+
+
+def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """What a star leaves: without the least line of each band, which has met all others, and without bands of one component."""
+    of_band = Window.partitionBy("band")
+    rest = open_.withColumn("low", F.min("lid").over(of_band)).where("lid <> low").select("band", "lid")
+    placed = rest.join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("comp", "lid").alias("comp"))
+    return placed.withColumn("low", F.min("comp").over(of_band)).withColumn("high", F.max("comp").over(of_band)).where("low <> high").drop("low", "high")
+
+
+def _pairs_left(open_: DataFrame) -> tuple[int, float]:
+    """Rows, and pairs of a band that no component has."""
+    parts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+    return int(rows or 0), pairs or 0.0
+
+
+def _all_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a band that no component has, dealt to tasks by pairs of blocks."""
+    dealt = in_block_pairs(open_.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))), "band", "lid", "n", BLOCK).drop("n")
+    left = dealt.where("blk = bi").select("band", "bi", "bj", F.col("lid").alias("x"), F.col("comp").alias("xc"))
+    right = dealt.where("blk = bj").select("band", "bi", "bj", F.col("lid").alias("y"), F.col("comp").alias("yc"))
+    met = left.join(right, ["band", "bi", "bj"]).where("xc <> yc and (bi < bj or x > y)")
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """(node, comp) of lines (by hash) that are linked to others."""
-    links = cut(band_links(lines))
-    asked = cut(links.select(F.col("a").alias("lid")).union(links.select("b")).distinct())
+    """(node, comp) of lines (by hash) that are linked to others.
+
+    Stars come first: they join the copies of a large family without listing its pairs. Whatever pairs are left are then
+    all compared, so the components are those of all similar pairs that share a band.
+    """
+    open_ = cut(band_members(lines))
+    asked = cut(open_.select("lid").distinct())
     text = cut(join_checked(lines.select(F.xxhash64("line").alias("lid"), "line"), asked, ["lid"], "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
-    pairs = links.join(text.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    near = pairs.select("a", "b", exact_jaccard("x", "y").alias("j")).where(F.col("j") >= threshold - 1e-9)
-    return connected_components(near.select("a", "b"))
+    open_ = open_.withColumn("comp", F.col("lid"))
+    near, stars, pairs = None, 0, float("inf")
+    while True:
+        found = cut(_near(_star(open_), text, threshold))
+        near = found if near is None else near.unionByName(found)
+        comps = connected_components(near)
+        open_ = cut(_still_open(open_, comps))
+        stars, before = stars + 1, pairs
+        rows, pairs = _pairs_left(open_)
+        if pairs <= FEW_PAIRS * rows or (stars >= STARS and pairs > before / 2):
+            break
+    return connected_components(near.unionByName(cut(_near(_all_pairs(open_), text, threshold)))) if pairs else comps
 
 
 def dropped_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -110,6 +110,34 @@ def test_line_dedup_keeps_one(spark, odd):
     assert linededup.dedup_lines(odd).columns == odd.columns and linededup.line_report(odd.limit(0)).count() == 0
 
 
+def similar_pairs(lines, threshold=0.8):
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} or {x} for x in lines]
+    return [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9]
+
+
+def kept_by_brute_force(lines):
+    root = list(range(len(lines)))
+    for i, j in similar_pairs(lines):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def kept_lines(spark, lines):
+    """Each line a document of its own, so that of similar lines the first stays."""
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r.doc_id for r in linededup.line_report(docs).collect() if not r.n_dropped}
+
+
+def test_line_dedup_compares_all_pairs_of_a_band(spark):
+    r = random.Random(9)
+    opening = "the quarterly statement of the regional committee for public transport and local roads notes the following figure and"
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    families = [f"{opening} {' '.join(word() for _ in range(2))} " for _ in range(150)]
+    lines = [f + word() for f in families for _ in range(2)]
+    assert len(kept_by_brute_force(lines)) == 150 and kept_lines(spark, lines) == kept_by_brute_force(lines)
+
+
 def test_decontamination_against_brute_force(spark, odd):
     items = [(i, prose(100 + i, 14)) for i in range(20)] + [(50, "only three words"), (51, None), (52, "")]
     texts = [(i, f"{prose(i)} {prose(100 + i % 20, 14).upper()}, {'only -- three: WORDS' if i % 3 == 0 else ''} é {prose(i + 7)}") for i in range(30)]
