@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only: one line of each component of similar lines stays.
 
 A line is compared as it stands, without the blanks at its ends. Equal lines are collapsed first. Signatures are of
-character shingles taken where words start (and after every character beyond Latin), in `BANDS` bands of `ROWS` minima
-each; a line without such a place has itself as its only shingle. Lines that share a band are linked if the exact
+all 5-character shingles, those that are verified, in `BANDS` bands of `ROWS` minima each; a line of fewer characters
+has itself as its only shingle. Lines that share a band are linked if the exact
 Jaccard similarity of all their 5-character shingles is high enough. All pairs of a band are compared but those that are
-in one component already, which add nothing; the components of links are found by distributed union-find.
+in one component already, which add nothing. Parity maps of the sets, which differ in no more bits than the sets in
+shingles, first rule out pairs that can't be similar. The components of links are found by distributed union-find.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from leafmark.llm.common import cut, in_block_pairs, join_checked
 from leafmark.llm.components import connected_components
 
 BANDS, ROWS = 10, 3
-#: Eight characters from where a word of four characters or more starts, or four stand after a character beyond Latin.
-ANCHORED = r"(?s)(?<![^ \x{250}-\x{10FFFF}])(?=([^ ]{4}.{4}))"
 EVERY = r"(?s)(?=(.{5}))"
 BLANK = " \t\r\u000b\f"
 #: Dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
 BROADCAST_POSITIONS = 4_000_000
 #: Pairs left for each line of a band up to which no further star is tried, the stars that are tried anyway, and lines in a block.
-FEW_PAIRS, STARS, BLOCK = 8, 4, 1000
+FEW_PAIRS, STARS, BLOCK = 64, 2, 1000
+#: Columns of a line's size and parity map: shingles whose hash falls on a bit, modulo 2.
+MAP = 6
+SET = ["n", *(f"p{k}" for k in range(MAP))]
 
 
 def lines_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -44,18 +46,28 @@ def _minima() -> list:
     return out
 
 
-def band_members(lines: DataFrame) -> DataFrame:
-    """(band, lid): the lines (by hash) of every band that has more than one."""
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """lid, bands, and size and parity map of the set of every line (by hash)."""
     unique = lines.select(F.xxhash64("line").alias("lid"), "line").groupBy("lid").agg(F.max("line").alias("line"))
-    hashed = (
-        unique.select("lid", "line", F.explode_outer(F.regexp_extract_all("line", F.lit(ANCHORED), F.lit(1))).alias("s"))
-        .select("lid", F.xxhash64(F.coalesce("s", "line")).alias("h0"))
-        .select("lid", "h0", F.xxhash64(F.lit(3), "h0").alias("h1"))
-    )
-    signed = hashed.groupBy("lid").agg(*_minima())
+    hashed = unique.select("lid", F.explode(F.array_distinct(character_hashes(F.col("line")))).alias("h0")).select(
+        "lid", "h0", F.xxhash64(F.lit(3), "h0").alias("h1"), F.expr("shiftleft(1L, cast(h0 & 63 as int))").alias("bit"), F.expr(f"pmod(shiftrightunsigned(h0, 6), {MAP})").alias("word"))
+    parity = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(MAP)]
+    signed = hashed.groupBy("lid").agg(*_minima(), F.count(F.lit(1)).cast("int").alias("n"), *parity)
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    keyed = signed.select("lid", F.explode(F.array(*bands)).alias("band"))
-    return keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1").drop("n")
+    return signed.select("lid", F.array(*bands).alias("bands"), *SET)
+
+
+def band_members(signed: DataFrame) -> DataFrame:
+    """(band, lid): the lines (by hash) of every band that has more than one."""
+    keyed = signed.select("lid", F.explode("bands").alias("band"))
+    return keyed.withColumn("of_band", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("of_band > 1").drop("of_band")
+
+
+def _may_be_near(x: str, y: str, threshold: float):
+    """False only where two sets differ in more shingles than sets of that similarity and these sizes can."""
+    least = F.abs(F.col(f"{x}n") - F.col(f"{y}n"))
+    bits = sum((F.bit_count(F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))) for k in range(MAP)), F.lit(0))
+    return F.greatest(least, bits) <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(f"{x}n") + F.col(f"{y}n")) + F.lit(1e-6)
 
 
 def character_hashes(line):
@@ -70,23 +82,27 @@ def exact_jaccard(x: str, y: str):
     return F.element_at(F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"]))), 1)
 
 
-def _near(links: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+def _near(links: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The links (a, b) whose lines are similar."""
+    links = cut(links)
+    asked = cut(links.select(F.col("a").alias("lid")).union(links.select("b")).distinct())
+    text = cut(join_checked(lines.select(F.xxhash64("line").alias("lid"), "line"), asked, ["lid"], "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
     pairs = links.join(text.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     return pairs.select("a", "b", exact_jaccard("x", "y").alias("j")).where(F.col("j") >= threshold - 1e-9).select("a", "b")
 
 
-def _star(open_: DataFrame) -> DataFrame:
-    """(a, b): each line of a band with the band's least, unless one component has both."""
-    low = F.min(F.struct("lid", "comp")).over(Window.partitionBy("band")).alias("low")
-    return open_.select("lid", "comp", low).where("comp <> low.comp").select(F.col("lid").alias("a"), F.col("low.lid").alias("b")).distinct()
+def _star(open_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each line of a band with the band's least, unless one component has both or they can't be similar."""
+    low = F.min(F.struct("lid", "comp", *SET)).over(Window.partitionBy("band")).alias("low")
+    met = open_.select("lid", "comp", *SET, low).where("comp <> low.comp").where(_may_be_near("", "low.", threshold))
+    return met.select(F.col("lid").alias("a"), F.col("low.lid").alias("b")).distinct()
 
 
 def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
     """What a star leaves: without the least line of each band, which has met all others, and without bands of one component."""
     of_band = Window.partitionBy("band")
-    rest = open_.withColumn("low", F.min("lid").over(of_band)).where("lid <> low").select("band", "lid")
-    placed = rest.join(comps.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("comp", "lid").alias("comp"))
+    rest = open_.withColumn("low", F.min("lid").over(of_band)).where("lid <> low").drop("low", "comp")
+    placed = join_checked(rest, comps.withColumnRenamed("node", "lid"), ["lid"], "left").select("band", "lid", *SET, F.coalesce("comp", "lid").alias("comp"))
     return placed.withColumn("low", F.min("comp").over(of_band)).withColumn("high", F.max("comp").over(of_band)).where("low <> high").drop("low", "high")
 
 
@@ -97,13 +113,13 @@ def _pairs_left(open_: DataFrame) -> tuple[int, float]:
     return int(rows or 0), pairs or 0.0
 
 
-def _all_pairs(open_: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a band that no component has, dealt to tasks by pairs of blocks."""
-    dealt = in_block_pairs(open_.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))), "band", "lid", "n", BLOCK).drop("n")
-    left = dealt.where("blk = bi").select("band", "bi", "bj", F.col("lid").alias("x"), F.col("comp").alias("xc"))
-    right = dealt.where("blk = bj").select("band", "bi", "bj", F.col("lid").alias("y"), F.col("comp").alias("yc"))
-    met = left.join(right, ["band", "bi", "bj"]).where("xc <> yc and (bi < bj or x > y)")
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _all_pairs(open_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of a band that no component has and that may be similar, dealt to tasks by pairs of blocks."""
+    dealt = in_block_pairs(open_.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band"))), "band", "lid", "size", BLOCK).drop("size")
+    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("lid", "comp", *SET)]
+    left, right = (dealt.where(f"blk = {at}").select("band", "bi", "bj", *side(x)) for at, x in (("bi", "x"), ("bj", "y")))
+    met = left.join(right, ["band", "bi", "bj"]).where("xcomp <> ycomp and (bi < bj or xlid > ylid)").where(_may_be_near("x", "y", threshold))
+    return met.select(F.greatest("xlid", "ylid").alias("a"), F.least("xlid", "ylid").alias("b")).distinct()
 
 
 def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
@@ -112,13 +128,11 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     Stars come first: they join the copies of a large family without listing its pairs. Whatever pairs are left are then
     all compared, so the components are those of all similar pairs that share a band.
     """
-    open_ = cut(band_members(lines))
-    asked = cut(open_.select("lid").distinct())
-    text = cut(join_checked(lines.select(F.xxhash64("line").alias("lid"), "line"), asked, ["lid"], "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
-    open_ = open_.withColumn("comp", F.col("lid"))
+    signed = cut(signed_lines(lines))
+    open_ = cut(join_checked(signed.select("lid", *SET), cut(band_members(signed)), ["lid"], rows=0).withColumn("comp", F.col("lid")))
     near, stars, pairs = None, 0, float("inf")
     while True:
-        found = cut(_near(_star(open_), text, threshold))
+        found = cut(_near(_star(open_, threshold), lines, threshold))
         near = found if near is None else near.unionByName(found)
         comps = connected_components(near)
         open_ = cut(_still_open(open_, comps))
@@ -126,7 +140,7 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
         rows, pairs = _pairs_left(open_)
         if pairs <= FEW_PAIRS * rows or (stars >= STARS and pairs > before / 2):
             break
-    return connected_components(near.unionByName(cut(_near(_all_pairs(open_), text, threshold)))) if pairs else comps
+    return connected_components(near.unionByName(cut(_near(_all_pairs(open_, threshold), lines, threshold)))) if pairs else comps
 
 
 def dropped_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -138,6 +138,17 @@ def test_line_dedup_compares_all_pairs_of_a_band(spark):
     assert len(kept_by_brute_force(lines)) == 150 and kept_lines(spark, lines) == kept_by_brute_force(lines)
 
 
+def test_line_dedup_without_spaces_or_long_words(spark):
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(30):
+        path, cells, short = letters(70), ",".join(str(r.randrange(10**5)) for _ in range(20)), " ".join(letters(3) for _ in range(24))
+        lines += [f"https://example.org/{path}/1", f"https://example.org/{path}/2", f"id,{cells},1", f"id,{cells},2", short, f"{short[:-3]}xyz"]
+    kept = kept_by_brute_force(lines)
+    assert len(kept) == 90 and kept_lines(spark, lines) == kept
+
+
 def test_decontamination_against_brute_force(spark, odd):
     items = [(i, prose(100 + i, 14)) for i in range(20)] + [(50, "only three words"), (51, None), (52, "")]
     texts = [(i, f"{prose(i)} {prose(100 + i % 20, 14).upper()}, {'only -- three: WORDS' if i % 3 == 0 else ''} é {prose(i + 7)}") for i in range(30)]
