@@ -23,7 +23,7 @@ SCHEMA = "row_key string, doc_id long, n_words long, ranges array<struct<a:long,
 
 def item_windows(text: str | None, window: int) -> tuple[list[str], int]:
     """The windows of an item as padded strings, and the words in each."""
-    words = normalise(text or "").decode("latin-1").split()
+    words = [w.decode("latin-1") for w in normalise(text or "").split()]  # split as bytes: \x85 and \xa0 are blanks in Latin-1
     n = min(window, len(words))
     return [f" {' '.join(words[i : i + n])} " for i in range(len(words) - n + 1)] if n else [], n
 

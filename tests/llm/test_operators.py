@@ -173,6 +173,13 @@ def test_decontamination_against_brute_force(spark, odd):
     assert decontaminate.find_contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_letters_with_blank_bytes(spark):
+    items = [(1, "voilà Ångström Россия хорошо"), (2, "а был Рим и хлеб à la carte Å jusque là où tu es"), (3, "один\u00a0два three"), (4, "日本語 腠 全")]
+    rows = [(i, f"before {x}, after") for i, x in items] + [(9, "nothing of these")]
+    found = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in found} == {1: (4, ["1"]), 2: (14, ["2"]), 3: (2, ["3"]), 4: (3, ["4"]), 9: (0, [])}
+
+
 def test_secrets_base_and_added(spark, odd):
     r = random.Random(4)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
