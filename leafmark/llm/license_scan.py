@@ -2,7 +2,8 @@
 
 The classifier is trained here, on altered copies of the templates below and on a bounded sample of ordinary
 paragraphs of the corpus as the class `unknown`. Its probabilities are calibrated by a temperature found on altered
-copies that it was not trained on. A paragraph is a line; a licence text over several lines is found line by line.
+copies that it was not trained on. A paragraph is a line; a licence text over several lines, or within a long one, is
+found as a passage: where a template's word pairs lie together in a run of lines that have words.
 """
 
 from __future__ import annotations
@@ -174,6 +175,92 @@ class Model:
         return self.classes[best], float(p[best]), cover
 
 
+class Passages:
+    """Passages of a run of lines that hold enough word pairs of a template, wherever its lines end."""
+
+    STRETCH, AROUND = 1.5, 3
+
+    def __init__(self, model: Model, cover: float):
+        self.model, self.cover = model, cover
+        self.pairs = np.unique(np.concatenate([s for _, s in model.shapes]))
+        self.has = np.stack([np.isin(self.pairs, s) for _, s in model.shapes], axis=1)
+        self.need = cover * self.has.sum(axis=0)
+
+    def find(self, data: bytes) -> list[tuple[int, int, str, float, float]]:
+        """Begin and end in bytes, family, probability and cover; of passages that overlap the best."""
+        g = grams(word_hashes(data), 2) if data.strip() else np.zeros(0)
+        if not len(g):
+            return []
+        at = np.searchsorted(self.pairs, g)
+        at[at == len(self.pairs)] = 0
+        known = np.flatnonzero(self.pairs[at] == g)
+        enough = np.flatnonzero(self.has[np.unique(at[known])].sum(axis=0) >= np.maximum(self.need, 1))
+        if not len(enough):
+            return []
+        b = np.frombuffer(data, dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], b != 32, [0]]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        got = []
+        for t in enough.tolist():
+            own = known[self.has[at[known], t]]
+            for first, last in self._windows(own.tolist(), at[own].tolist(), float(self.need[t]), self.STRETCH * float(self.has[:, t].sum())):
+                lo, hi = max(0, first - self.AROUND), min(len(begin) - 1, last + self.AROUND)
+                family, p, c = self.model.classify(data[begin[lo] : end[hi]])
+                if family == self.model.classes[self.model.shapes[t][0]]:
+                    got.append((int(begin[first]), int(end[last]), family, p, c))
+        return _apart(sorted(got, key=lambda x: (-x[4], x[0] - x[1], x)))
+
+    @staticmethod
+    def _windows(places: list[int], pairs: list[int], need: float, width: float) -> list[tuple[int, int]]:
+        """First and last word of windows with `need` different pairs, each the fullest of those that overlap it, left to right."""
+        out: list[tuple[int, int, int]] = []
+        inside: dict[int, int] = {}
+        i = 0
+        for j, (place, pair) in enumerate(zip(places, pairs, strict=True)):
+            inside[pair] = inside.get(pair, 0) + 1
+            while place - places[i] >= width:
+                inside[pairs[i]] -= 1
+                if not inside[pairs[i]]:
+                    del inside[pairs[i]]
+                i += 1
+            if len(inside) >= need - 1e-9:
+                k, seen = i, dict(inside)
+                while seen[pairs[k]] > 1:  # begins as late as it can with the same pairs
+                    seen[pairs[k]] -= 1
+                    k += 1
+                window = (places[k], places[j] + 1, len(inside))
+                if out and window[0] <= out[-1][1]:
+                    out[-1] = max(out[-1], window, key=lambda w: w[2])
+                else:
+                    out.append(window)
+        return [w[:2] for w in out]
+
+
+def _overlap(a, b) -> bool:
+    return min(a[1], b[1]) - max(a[0], b[0]) > min(a[1] - a[0], b[1] - b[0]) / 2
+
+
+def _apart(ranked: list[tuple]) -> list[tuple]:
+    kept: list[tuple] = []
+    for x in ranked:
+        if not any(_overlap(x, y) for y in kept):
+            kept.append(x)
+    return kept
+
+
+def _runs(parts: list[str]) -> Iterator[tuple[int, str]]:
+    """Code point and text of the runs of lines that have words; comment leaders are no words."""
+    at, start, run = 0, 0, []
+    for part in [*parts, ""]:
+        if part.strip() and normalise(part).strip():
+            start = start if run else at
+            run.append(part)
+        elif run:
+            yield start, "\n".join(run)
+            run = []
+        at += len(part) + 1
+
+
 OUT = "doc_id long, n_paragraphs int, found array<struct<start:long,stop:long,family:string,probability:double,cover:double,confirmed:boolean>>"
 
 
@@ -196,7 +283,8 @@ def scan_licenses(docs: DataFrame, model: Model, probability: float = 0.5, cover
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = pickle.loads(sent.value)
-        pairs = np.unique(np.concatenate([s for _, s in m.shapes]))
+        passages = Passages(m, cover)
+        pairs = passages.pairs
         for f in batches:
             rows = []
             for text in f["text"]:
@@ -212,12 +300,28 @@ def scan_licenses(docs: DataFrame, model: Model, probability: float = 0.5, cover
                             if family != UNKNOWN and p >= probability:
                                 found.append({"start": at, "stop": at + len(part), "family": family, "probability": p, "cover": c, "confirmed": c >= cover})
                         at += len(part) + 1
+                    found = _with_passages(found, parts, passages, probability, cover)
                 rows.append((sum(bool(x.strip()) for x in parts), found))
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n_paragraphs": [r[0] for r in rows], "found": [r[1] for r in rows]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, OUT)
 
 
+def _with_passages(found: list[dict], parts: list[str], passages: Passages, probability: float, cover: float) -> list[dict]:
+    """Found lines, and the passages that no confirmed line of their family has, by place."""
+    sure = [(x["start"], x["stop"], x["family"]) for x in found if x["confirmed"]]
+    more = []
+    for start, run in _runs(parts):
+        data = normalise(run)
+        got = [x for x in passages.find(data) if x[3] >= probability and x[4] >= cover]
+        if got:
+            point = np.cumsum((np.frombuffer(run.encode("utf-8", "surrogatepass"), dtype=np.uint8) & 0xC0) != 0x80)
+            more += [{"start": start + int(point[a]) - 1, "stop": start + int(point[z - 1]), "family": k, "probability": p, "cover": c, "confirmed": True} for a, z, k, p, c in got]
+    more = [x for x in more if not any(x["family"] == y[2] and _overlap((x["start"], x["stop"]), y) for y in sure)]
+    parts_of = lambda x: any(not x["confirmed"] and min(x["stop"], y["stop"]) > max(x["start"], y["start"]) for y in more)
+    return sorted([x for x in found if not parts_of(x)] + more, key=lambda x: (x["start"], x["stop"]))
+
+
 def _touches(data: bytes, pairs: np.ndarray) -> bool:
     h = word_hashes(data)
     if not len(h):

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -203,6 +204,20 @@ def test_language_and_license_on_odd_rows(spark, odd):
     assert found == {1: ("MIT", f"{start}:{start + 31}:MIT"), 2: ("", ""), 3: ("", "")}
 
 
+def test_license_texts_that_are_wrapped_or_within_a_line(spark):
+    wrap = lambda texts, lead="", gap="\n\n": gap.join(textwrap.fill(x, 72, initial_indent=lead, subsequent_indent=lead) for x in texts)
+    t = license_scan.TEMPLATES
+    texts = {
+        1: ("GPL", f"Copyright 2020\n\n{wrap(t['GPL'][:3])}\n\n{prose(1)}"), 2: ("MIT", wrap(t["MIT"][:2])), 3: ("BSD", wrap(t["BSD"][:4], gap="\n")),
+        4: ("Apache-2.0", "/*\n" + wrap(t["Apache-2.0"][:2], " * ", "\n *\n") + "\n */"), 5: ("Apache-2.0,MIT", f"{prose(2, 400)} {t['MIT'][0]} {prose(3, 400)} {t['Apache-2.0'][1]}"),
+        6: ("", f"{prose(4)}\nof the work, and the use of the software\n{prose(5)}"), 7: ("MIT", "SPDX-License-Identifier: MIT"),
+    }
+    got = {r.doc_id: r for r in license_scan.license_report(spark.createDataFrame([(i, x) for i, (_, x) in texts.items()], "doc_id long, text string")).collect()}
+    assert {i: r.licences for i, r in got.items()} == {i: k for i, (k, _) in texts.items()}
+    x = texts[2][1]
+    assert got[2].spans == f"0:{x.index('conditions:') + 10}:MIT,{x.index('The above')}:{len(x) - 1}:MIT"
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "<\\|a", "<\\\\|x|>", "a\\n<|", ""]
     rows = [(1, i, "assistant" if i % 2 else "us\\er\n<|", t) for i, t in enumerate(hard)] + [(2, 0, "user", None), (None, 1, "assistant", "x"), (3, None, None, "q")]
