@@ -307,6 +307,18 @@ def hyphen_joins(spark, sf_dir):
     return dc.join_hyphens(pairs, known).select("doc_id", "idx", "joined")
 
 
+_HEADS_ALL = _HEADS.replace(" FROM w8 WHERE idx % 3 = 0)", " FROM w8)")
+
+
+@query(f"WITH {_WORDS}, {_HEADS_ALL} SELECT doc_id, idx, CASE WHEN d.word IS NULL THEN head || tail ELSE substr(head, 1, length(head) - 1) || tail END AS joined FROM c LEFT JOIN d USING (word)")
+def hyphen_joins_all_words(spark, sf_dir):
+    """Every long word of every document, not each third."""
+    long_words = _words(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]{8,}$"))
+    known = long_words.where("idx % 2 = 0").select(F.lower("text").alias("word")).distinct()
+    pairs = long_words.select("doc_id", "idx", F.concat(F.lit("see "), F.substring("text", 1, 4), F.lit("-")).alias("head"), F.concat(F.expr("substring(text, 5)"), F.lit(", and")).alias("tail"))
+    return dc.join_hyphens(pairs, known).select("doc_id", "idx", "joined")
+
+
 @query(f"""WITH s AS (SELECT doc_id, unnest({_AUDIT}) AS token, unnest(range(len({_AUDIT}))) AS i FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM s),
   o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM s WHERE i % 17 <> 16) SELECT doc_id, token, k::INT AS k, k.i::INT AS source_at, o.i::INT AS output_at FROM k JOIN o USING (doc_id, token, k)""")
 def occurrence_matches(spark, sf_dir):
@@ -359,6 +371,26 @@ def text_blocks(spark, sf_dir):
     return got.select("doc_id", "page", "block", "type", "tight", "text")
 
 
+_LETTERED_ALL = """s AS (SELECT doc_id, page, col, col * 30 + row AS ix, h, CASE WHEN row % 7 = 3 THEN '• ' ELSE '' END || string_agg(text, ' ' ORDER BY x) || CASE WHEN row % 11 = 5 THEN ':' ELSE '' END AS text FROM words GROUP BY doc_id, page, col, row, h),
+  hist AS (SELECT doc_id, h, sum(length(text)) AS n FROM s GROUP BY ALL), body AS (SELECT doc_id, arg_max(h, n * 10 - h) AS body FROM hist GROUP BY ALL),
+  e AS (SELECT s.*, starts_with(text, '•') AS item, h > 1.35::DOUBLE * body AND NOT starts_with(text, '•') AS head FROM s JOIN body USING (doc_id)),
+  f AS (SELECT *, lag(text) OVER o AS ptext, lag(item) OVER o AS pitem, lag(head) OVER o AS phead, lag(col) OVER o AS pcol FROM e WINDOW o AS (PARTITION BY doc_id, page ORDER BY ix)),
+  g AS (SELECT *, sum(CASE WHEN pcol = col AND ((head AND phead) OR (NOT head AND NOT item AND NOT phead AND NOT pitem AND NOT regexp_matches(ptext, '[.!?:]$'))) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY ix) AS block FROM f),
+  j AS (SELECT doc_id, page, block, min(col) AS col, bool_or(head) AS head, bool_or(item) AS item, string_agg(text, ' ' ORDER BY ix) AS t FROM g GROUP BY ALL)"""
+
+
+@query(f"""WITH {_WORDS}, {_LETTERED_ALL} SELECT doc_id, page, (block - 1)::INT AS block, CASE WHEN head AND length(m) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, item AS tight,
+  CASE WHEN head AND length(m) > 150 THEN '> ' || m WHEN item THEN repeat('  ', 28 * col) || '- ' || substr(t, 3) ELSE m END AS text FROM (SELECT *, regexp_replace(t, '\\s+([,.;:%])', '\\1', 'g') AS m FROM j)""")
+def text_blocks_all_columns(spark, sf_dir):
+    """As text_blocks, over the lines of all documents by column and row; items of the right column are 500 points, 28 steps, from the page's least x."""
+    rows = _words(spark, sf_dir).groupBy("doc_id", "page", "col", "row").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("ws"), F.first("h").alias("h"))
+    text = F.concat(F.when(F.col("row") % 7 == 3, "• ").otherwise(""), F.array_join("ws.text", " "), F.when(F.col("row") % 11 == 5, ":").otherwise(""))
+    lines = rows.select(
+        "doc_id", "page", (F.col("col") * 30 + F.col("row")).alias("ix"), "col", text.alias("text"), (F.col("col") * 500.0 + 50.0).alias("x"), F.lit(0.0).alias("y"), "h", F.array().cast("array<int>").alias("words"))
+    got = markdown.text_blocks(lines, markdown.heading_levels(lines))
+    return got.select("doc_id", "page", "block", "type", "tight", "text")
+
+
 @query(f"""WITH {_WORDS}{_LINES}{_GAPS}, hist AS (SELECT doc_id, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE AS size, sum(length(text)) AS n, min(page * 1000000 + col * 1000 + row) AS place FROM lines GROUP BY ALL),
   body AS (SELECT doc_id, arg_max(size, n * 1000000000 - place) AS body FROM hist GROUP BY ALL),
   q AS (SELECT gaps.*, pitch, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE > body * 2.0::DOUBLE AS head FROM gaps JOIN pitch USING (doc_id, page) JOIN body USING (doc_id)),
