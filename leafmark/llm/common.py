@@ -15,13 +15,15 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     at = "file://" + tempfile.mkdtemp(prefix="leafmark-shared-")
     spark.sparkContext.setCheckpointDir(at)
     return spark.sparkContext.getCheckpointDir() or at
@@ -44,6 +46,36 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of `columns` has, whatever the case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_salted(big: DataFrame, keyed: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """Shuffled join of `big` with `keyed` (one row a key, already cut; column `n`: rows of `big` with it, or more).
+
+    A key of more than 1,000 rows, and more than a 100,000th of all, is dealt to as many tasks as it has such shares;
+    so the hot keys are at most 100,000, and only these are broadcast. Columns but `n` come along.
+    """
+    share = max(1000, int(keyed.agg(F.sum(n)).first()[0] or 0) // 100_000)
+    hot = cut(keyed.where(F.col(n) > share).select(*on, F.ceil(F.col(n) / F.lit(share)).cast("int").alias("shares_")))
+    if hot.isEmpty():
+        return big.join(keyed.drop(n), on, how)
+    salted = big.join(F.broadcast(hot), on, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("shares_")).cast("int"), F.lit(0)))
+    shares = F.greatest(F.lit(1), F.ceil(F.when(F.col(n) > share, F.col(n)).otherwise(F.lit(0)) / F.lit(share))).cast("int")
+    return salted.join(keyed.withColumn("salt_", F.explode(F.sequence(F.lit(0), shares - 1))).drop(n), [*on, "salt_"], how).drop("shares_", "salt_")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder, of which each later use reads only the columns it needs."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole groups only, from batches of a partition sorted by `keys`; keeps one group at most."""
     rest: list[pd.DataFrame] = []

@@ -1,195 +1,229 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only: one line of each component of similar lines stays.
 
-A line is compared as it stands, without the blanks at its ends. Equal lines are collapsed first. Signatures are of
-all 5-character shingles, those that are verified, in `BANDS` bands of `ROWS` minima each; a line of fewer characters
-has itself as its only shingle. Lines that share a band are linked if the exact
-Jaccard similarity of all their 5-character shingles is high enough. All pairs of a band are compared but those that are
-in one component already, which add nothing. Parity maps of the sets, which differ in no more bits than the sets in
-shingles, first rule out pairs that can't be similar. The components of links are found by distributed union-find.
+A line is compared as it stands, without the blanks at its ends. Equal lines are collapsed first, by a 128-bit name.
+Signatures are of all 5-character shingles of a line, those that are verified; a line of fewer characters is its own
+only shingle. There are `MINIMA` minima under xor with fixed words; band k has the five numbered 3k + {0, 12, 14, 20,
+25} modulo 30, so that two lines at a similarity of 0.8 share one of the ten bands with probability 0.96, at 0.85 with 0.99.
+
+Lines of a band are first compared with its least line, which joins the copies of a large family without listing its
+pairs; then, in each band, the lines outside its largest component with all the others. Pairs of which fewer than
+`AGREE` of the minima agree in four bits are ruled out (at a similarity of 0.8 one pair in some thousands); all others
+are linked if their exact Jaccard similarity is high enough. Components are found by distributed union-find.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut, in_block_pairs, join_checked
+from leafmark.llm.common import cut, join_checked, join_salted, unused, written
 from leafmark.llm.components import connected_components
 
-BANDS, ROWS = 10, 3
-EVERY = r"(?s)(?=(.{5}))"
-BLANK = " \t\r\u000b\f"
-#: Dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
-BROADCAST_POSITIONS = 4_000_000
-#: Pairs left for each line of a band up to which no further star is tried, the stars that are tried anyway, and lines in a block.
-FEW_PAIRS, STARS, BLOCK = 64, 2, 1000
-#: Columns of a line's size and parity map: shingles whose hash falls on a bit, modulo 2.
-MAP = 6
-SET = ["n", *(f"p{k}" for k in range(MAP))]
-
-
-def lines_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, pos (from 0) and line of every line that isn't blank."""
-    split = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), *more)
-    return split.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
-
-
-def _minima() -> list:
-    """BANDS * ROWS permutations of two base hashes: a rotation, and a fixed word xored in."""
-    out = []
-    for i in range(BANDS * ROWS):
-        base, turn = f"h{i % 2}", (i // 2) * 4 + 1
-        word = (0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64)
-        word = word - (1 << 64) if word >= 1 << 63 else word
-        turned = F.shiftleft(base, turn).bitwiseOR(F.shiftrightunsigned(base, 64 - turn))
-        out.append(F.min(turned.bitwiseXOR(F.lit(word))).alias(f"m{i}"))
-    return out
+SHINGLE, MINIMA, BANDS, STEP, DESIGN = 5, 30, 10, 3, (0, 12, 14, 20, 25)
+AGREE = 16
+#: Shingles of an exploded row.
+CHUNK = 16
+BLANKS = (" ", "\t", "\r", "\u000b", "\f")
+#: Names of lines, 8 bytes each, and dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
+BROADCAST_NAMES = BROADCAST_POSITIONS = 4_000_000
+#: Rounds of stars at most while each halves the pairs left, and lines in a block of what is then compared in full.
+STARS, BLOCK = 6, 1000
 
 
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """lid, bands, and size and parity map of the set of every line (by hash)."""
-    unique = lines.select(F.xxhash64("line").alias("lid"), "line").groupBy("lid").agg(F.max("line").alias("line"))
-    hashed = unique.select("lid", F.explode(F.array_distinct(character_hashes(F.col("line")))).alias("h0")).select(
-        "lid", "h0", F.xxhash64(F.lit(3), "h0").alias("h1"), F.expr("shiftleft(1L, cast(h0 & 63 as int))").alias("bit"), F.expr(f"pmod(shiftrightunsigned(h0, 6), {MAP})").alias("word"))
-    parity = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(MAP)]
-    signed = hashed.groupBy("lid").agg(*_minima(), F.count(F.lit(1)).cast("int").alias("n"), *parity)
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("lid", F.array(*bands).alias("bands"), *SET)
+def trimmed(line: Column) -> Column:
+    """The line without blanks at its ends; looked at closely only where there are some."""
+    odd = F.lit(False)
+    for b in BLANKS:
+        odd = odd | F.startswith(line, F.lit(b)) | F.endswith(line, F.lit(b))
+    return F.when(odd, F.btrim(line, F.lit("".join(BLANKS)))).otherwise(line)
 
 
-def band_members(signed: DataFrame) -> DataFrame:
-    """(band, lid): the lines (by hash) of every band that has more than one."""
-    keyed = signed.select("lid", F.explode("bands").alias("band"))
-    return keyed.withColumn("of_band", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("of_band > 1").drop("of_band")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 0), line and its two names of every line that isn't blank."""
+    split = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    named = split.select("doc_id", "pos", trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return named.select("doc_id", "pos", "line", F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(1), "line").alias("lid2"))
 
 
-def _may_be_near(x: str, y: str, threshold: float):
-    """False only where two sets differ in more shingles than sets of that similarity and these sizes can."""
-    least = F.abs(F.col(f"{x}n") - F.col(f"{y}n"))
-    bits = sum((F.bit_count(F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))) for k in range(MAP)), F.lit(0))
-    return F.greatest(least, bits) <= F.lit((1 - threshold) / (1 + threshold)) * (F.col(f"{x}n") + F.col(f"{y}n")) + F.lit(1e-6)
+def _word(i: int) -> int:
+    word = 0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)
+    return word - (1 << 64) if word >= 1 << 63 else word
 
 
-def character_hashes(line):
-    """Hashes of all 5-character shingles; of a shorter line, its own."""
-    every = F.regexp_extract_all(line, F.lit(EVERY), F.lit(1))
-    return F.transform(F.when(F.char_length(line) >= 5, every).otherwise(F.array(line)), lambda g: F.xxhash64(g))
+def _sketch(minima: range) -> Column:
+    """Four bits of each of fifteen minima."""
+    out = F.lit(0).cast("long")
+    for k, i in enumerate(minima):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
+    return out
 
 
-def exact_jaccard(x: str, y: str):
-    """Jaccard similarity of two lines' sets. They are bound in a one-row array, so that each is computed once."""
-    sets = F.array(F.struct(character_hashes(F.col(x)).alias("x"), character_hashes(F.col(y)).alias("y")))
-    return F.element_at(F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"]))), 1)
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """uid, lid, lid2, n (places), first_doc, bands and sketch (s0, s1) of every different line, as a written table.
 
+    The one exchange of texts collapses equal lines; shingles are hashed and their minima taken where it ends. Texts
+    are cut at code points; shingles are taken in rows of `CHUNK`, the last of a line filled up with its last shingle.
+    """
+    unique = lines.groupBy("lid", "lid2").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    points = unique.select("lid", "lid2", "n", "first_doc", F.encode("line", "UTF-32").alias("u")).withColumn("last", F.expr(f"greatest(0, cast(octet_length(u) div 4 as int) - {SHINGLE})"))
+    rows = points.select("*", F.explode(F.expr(f"sequence(0, cast(last div {CHUNK} as int))")).alias("c"))
+    hashed = rows.select("lid", "lid2", "n", "first_doc", *[F.expr(f"xxhash64(substring(u, least(c * {CHUNK} + {k}, last) * 4 + 1, {4 * SHINGLE}))").alias(f"h{k}") for k in range(CHUNK)])
+    minima = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(_word(i))) for k in range(CHUNK)])).alias(f"m{i}") for i in range(MINIMA)]
+    signed = hashed.groupBy("lid", "lid2").agg(F.max("n").alias("n"), F.max("first_doc").alias("first_doc"), *minima)
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{(STEP * b + d) % MINIMA}") for d in DESIGN]) for b in range(BANDS)]
+    half = MINIMA // 2
+    return written(signed.select(F.monotonically_increasing_id().alias("uid"), "lid", "lid2", "n", "first_doc", F.array(*bands).alias("bands"), _sketch(range(half)).alias("s0"), _sketch(range(half, MINIMA)).alias("s1")), "lines")
 
-def _near(links: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The links (a, b) whose lines are similar."""
-    links = cut(links)
-    asked = cut(links.select(F.col("a").alias("lid")).union(links.select("b")).distinct())
-    text = cut(join_checked(lines.select(F.xxhash64("line").alias("lid"), "line"), asked, ["lid"], "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
-    pairs = links.join(text.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    return pairs.select("a", "b", exact_jaccard("x", "y").alias("j")).where(F.col("j") >= threshold - 1e-9).select("a", "b")
 
+def band_members(signed: DataFrame) -> DataFrame:
+    """(band, uid): the lines of every band that has more than one. Bands are counted before; those of two lines need no second look."""
+    keyed = signed.select("uid", F.explode("bands").alias("band"))
+    shared = cut(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("n > 1"))
+    pairs = shared.where("n = 2").select("band", F.explode(F.array("low", "high")).alias("uid"))
+    large = shared.where("n > 2").select("band", "n")
+    few = large.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    held = keyed.join(F.broadcast(large.select("band")), ["band"]) if few else join_salted(keyed, large, ["band"])
+    return cut(pairs.unionByName(held.select("band", "uid")))
 
-def _star(open_: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): each line of a band with the band's least, unless one component has both or they can't be similar."""
-    low = F.min(F.struct("lid", "comp", *SET)).over(Window.partitionBy("band")).alias("low")
-    met = open_.select("lid", "comp", *SET, low).where("comp <> low.comp").where(_may_be_near("", "low.", threshold))
-    return met.select(F.col("lid").alias("a"), F.col("low.lid").alias("b")).distinct()
 
+def _agree(x: str, y: str) -> Column:
+    """Whether enough minima of two lines agree in their four bits."""
+    differ = F.lit(0)
+    for s in ("s0", "s1"):
+        bits = F.col(x + s).bitwiseXOR(F.col(y + s))
+        any_ = bits
+        for k in (1, 2, 3):
+            any_ = any_.bitwiseOR(F.shiftrightunsigned(bits, k))
+        differ = differ + F.bit_count(any_.bitwiseAND(F.lit(0x0111111111111111)))
+    return differ <= F.lit(MINIMA - AGREE)
 
-def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
-    """What a star leaves: without the least line of each band, which has met all others, and without bands of one component."""
-    of_band = Window.partitionBy("band")
-    rest = open_.withColumn("low", F.min("lid").over(of_band)).where("lid <> low").drop("low", "comp")
-    placed = join_checked(rest, comps.withColumnRenamed("node", "lid"), ["lid"], "left").select("band", "lid", *SET, F.coalesce("comp", "lid").alias("comp"))
-    return placed.withColumn("low", F.min("comp").over(of_band)).withColumn("high", F.max("comp").over(of_band)).where("low <> high").drop("low", "high")
 
+def exact_jaccard(x: Column, y: Column) -> Column:
+    """Jaccard similarity of the shingle sets of two lines. What is used twice is bound in a one-row array, so that it is computed once."""
 
-def _pairs_left(open_: DataFrame) -> tuple[int, float]:
-    """Rows, and pairs of a band that no component has."""
-    parts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    rows, pairs = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
-    return int(rows or 0), pairs or 0.0
+    def once(value: Column, f) -> Column:
+        return F.element_at(F.transform(F.array(value), f), 1)
 
+    def hashes(line: Column) -> Column:
+        place = lambda u: F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(u) / 4).cast("int") - SHINGLE))
+        return once(F.encode(line, "UTF-32"), lambda u: F.array_distinct(F.transform(place(u), lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * SHINGLE))))))
 
-def _all_pairs(open_: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of a band that no component has and that may be similar, dealt to tasks by pairs of blocks."""
-    dealt = in_block_pairs(open_.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band"))), "band", "lid", "size", BLOCK).drop("size")
-    side = lambda x: [F.col(c).alias(f"{x}{c}") for c in ("lid", "comp", *SET)]
-    left, right = (dealt.where(f"blk = {at}").select("band", "bi", "bj", *side(x)) for at, x in (("bi", "x"), ("bj", "y")))
-    met = left.join(right, ["band", "bi", "bj"]).where("xcomp <> ycomp and (bi < bj or xlid > ylid)").where(_may_be_near("x", "y", threshold))
-    return met.select(F.greatest("xlid", "ylid").alias("a"), F.least("xlid", "ylid").alias("b")).distinct()
+    both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda n: n / (F.size(s["x"]) + F.size(s["y"]) - n))
+    return once(F.struct(hashes(x).alias("x"), hashes(y).alias("y")), both)
 
 
-def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
-    """(node, comp) of lines (by hash) that are linked to others.
+def _near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are similar."""
+    x, y = (texts.select(F.col("node").alias(c), F.col("line").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    met = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", exact_jaccard(F.col("x"), F.col("y")).alias("j"))
+    return cut(met.where(F.col("j") >= threshold - 1e-9).select("a", "b"))
 
-    Stars come first: they join the copies of a large family without listing its pairs. Whatever pairs are left are then
-    all compared, so the components are those of all similar pairs that share a band.
-    """
-    signed = cut(signed_lines(lines))
-    open_ = cut(join_checked(signed.select("lid", *SET), cut(band_members(signed)), ["lid"], rows=0).withColumn("comp", F.col("lid")))
-    near, stars, pairs = None, 0, float("inf")
-    while True:
-        found = cut(_near(_star(open_, threshold), lines, threshold))
+
+def _star(open_: DataFrame) -> DataFrame:
+    """(a, b): each line of a band with the band's least, unless one component has both or their sketches differ too much."""
+    low = cut(open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "comp", "s0", "s1")).alias("low")))
+    met = join_salted(open_, low, ["band"]).where("comp <> low.comp").where(_agree("", "low."))
+    return met.select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+
+
+def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """Bands that more than one component has, with the components so far."""
+    placed = cut(open_.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "n")
+    return cut(join_salted(placed, cut(mixed), ["band"]))
+
+
+def _strays(open_: DataFrame) -> DataFrame:
+    """band, main (the component with most lines of the band, of ties the least), members and strays (those outside of it)."""
+    parts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("of"))
+    return parts.groupBy("band").agg(F.sum("of").alias("n"), F.max("of").alias("most"), F.max(F.struct("of", "comp")).getField("comp").alias("main")).withColumn("strays", F.col("n") - F.col("most")).drop("most")
+
+
+def _rest(open_: DataFrame, strays: DataFrame) -> DataFrame:
+    """(a, b): every line outside a band's main component with each line of another component, dealt to tasks by pairs of blocks."""
+    known = join_salted(open_, cut(strays.select("band", "n", F.col("n").alias("members"), "main", "strays")), ["band"])
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    side = lambda x: [F.col(c).alias(x + c) for c in ("node", "comp", "s0", "s1")]
+    out = known.where("comp <> main").select("band", deal("strays").alias("i"), every("members").alias("j"), *side("x"))
+    all_ = known.select("band", every("strays").alias("i"), deal("members").alias("j"), (F.col("comp") == F.col("main")).alias("home"), *side("y"))
+    met = out.join(all_, ["band", "i", "j"]).where("xcomp <> ycomp and (home or xnode > ynode)").where(_agree("x", "y"))
+    return met.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b"))
+
+
+def similar_lines(signed: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(node, comp) of lines that are linked to others, nodes being struct(first_doc, uid), the least of which names the component."""
+    members = band_members(signed)
+    node = F.struct("first_doc", "uid").alias("node")
+    asked = cut(join_checked(signed.select("uid", "lid", "lid2", "first_doc", "s0", "s1"), members.select("uid").distinct(), ["uid"], "left_semi", BROADCAST_NAMES).select("uid", "lid", "lid2", node, "s0", "s1"))
+    names = asked.select("lid", "lid2", "node")
+    few = names.limit(BROADCAST_NAMES // 4 + 1).count() <= BROADCAST_NAMES // 4
+    own = lines.select("lid", "lid2", "line")
+    own = own.join(F.broadcast(names), ["lid", "lid2"]) if few else own.groupBy("lid", "lid2").agg(F.max("line").alias("line")).join(names, ["lid", "lid2"])
+    texts = written(own.groupBy("node").agg(F.max("line").alias("line")), "texts")
+    open_ = cut(members.join(asked.select("uid", "node", "s0", "s1"), "uid").select("band", "node", "s0", "s1", F.col("node").alias("comp")))
+    near, pairs = None, float("inf")
+    for _ in range(STARS):
+        found = _near(_star(open_), texts, threshold)
         near = found if near is None else near.unionByName(found)
         comps = connected_components(near)
-        open_ = cut(_still_open(open_, comps))
-        stars, before = stars + 1, pairs
-        rows, pairs = _pairs_left(open_)
-        if pairs <= FEW_PAIRS * rows or (stars >= STARS and pairs > before / 2):
+        open_ = _still_open(open_, comps)
+        strays = cut(_strays(open_))
+        before, (rows, pairs) = pairs, strays.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("strays"))).first()
+        if not pairs or pairs <= 16 * rows or pairs > before / 2:
             break
-    return connected_components(near.unionByName(cut(_near(_all_pairs(open_, threshold), lines, threshold)))) if pairs else comps
+    return connected_components(near.unionByName(_near(_rest(open_, strays), texts, threshold))) if pairs else comps
 
 
 def dropped_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id and dropped (sorted positions, from 0) of documents that lose lines.
 
     Of a component (equal lines and lines linked by similarity) the line stays that the least doc_id has, at its first
-    place there; of several such lines the one with the least hash. Blank lines, null texts and rows with a null doc_id
-    lose nothing. Rows with one doc_id are one document: they keep the same lines. Empty tables give no rows. Lines are
-    named by 64-bit hashes; texts aren't shuffled but for one exchange that collapses equal lines, with a count only, and one for lines with links.
+    place there; of several such lines of one document an arbitrary one. Blank lines, null texts and rows with a null
+    doc_id lose nothing. Rows with one doc_id are one document: they keep the same lines. Empty tables give no rows.
+    A line of any length is compared whole. Texts are shuffled once, to collapse equal lines; those of lines with
+    links once more, and all of them only if more lines than BROADCAST_NAMES / 4 share a band with others.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = lines_of(docs)
-    comps = similar_lines(lines, threshold)
-    places = cut(lines.select(F.xxhash64("line").alias("lid"), "doc_id", "pos"))
-    seen = places.groupBy("lid").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    grouped = cut(
-        seen.join(comps.withColumnRenamed("node", "lid"), "lid", "left").where("n > 1 or comp is not null")
-        .select("lid", "first_doc", F.coalesce("comp", "lid").alias("comp"))
-    )
-    keeper = grouped.groupBy("comp").agg(F.min(F.struct("first_doc", "lid")).alias("keep"))
-    doomed = cut(grouped.join(keeper, "comp").select("lid", F.when(F.col("keep.lid") == F.col("lid"), F.col("first_doc")).alias("keep_doc")))
-    hit = join_checked(places, doomed, ["lid"])
+    signed = signed_lines(lines)
+    comps = similar_lines(signed, lines, threshold).select("node.uid", "comp")
+    placed = signed.select("uid", "lid", "lid2", "n", "first_doc").join(comps, "uid", "left").where("n > 1 or comp is not null")
+    home = F.when(F.col("comp").isNull(), F.col("first_doc")).when(F.col("comp.uid") == F.col("uid"), F.col("first_doc"))
+    doomed = cut(placed.select("lid", "lid2", "n", home.alias("keep_doc")))
+    hit = join_salted(lines.select("lid", "lid2", "doc_id", "pos"), doomed, ["lid", "lid2"])
     kept_first = F.min(F.when(F.col("keep_doc") == F.col("doc_id"), F.col("pos")))
-    by_line = hit.groupBy("doc_id", "lid").agg(F.collect_set("pos").alias("ps"), kept_first.alias("keep"))
+    by_line = hit.groupBy("doc_id", "lid", "lid2").agg(F.collect_set("pos").alias("ps"), kept_first.alias("keep"))
     gone = by_line.select("doc_id", F.when(F.col("keep").isNull(), F.col("ps")).otherwise(F.array_remove("ps", F.col("keep"))).alias("ps")).where(F.size("ps") > 0)
     return gone.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("ps"))).alias("dropped"))
 
 
+def _few(gone: DataFrame, dropped: str) -> bool:
+    return (gone.agg(F.sum(F.size(dropped) + 4)).first()[0] or 0) <= BROADCAST_POSITIONS
+
+
 def line_report(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_lines, n_dropped and dropped of every document; null texts have no lines."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    """doc_id, n_lines, n_dropped and dropped of every row; null texts have no lines; see dropped_lines() for odd rows."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).alias("n_lines"))
     own = own.withColumn("n_lines", F.greatest(F.lit(0), F.col("n_lines")))
     gone = cut(dropped_lines(docs, threshold))
     none = F.array().cast("array<int>")
-    few = (gone.agg(F.sum(F.size("dropped") + 4)).first()[0] or 0) <= BROADCAST_POSITIONS
-    return own.join(F.broadcast(gone) if few else gone, ["doc_id"], "left").select("doc_id", "n_lines", F.coalesce(F.size(F.coalesce("dropped", none)), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
+    return own.join(F.broadcast(gone) if _few(gone, "dropped") else gone, ["doc_id"], "left").select("doc_id", "n_lines", F.coalesce(F.size(F.coalesce("dropped", none)), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents without dropped lines, n_chars counted anew where there is such a column.
 
-    Documents of which nothing but blank lines is left, having lost lines, go; all others stay, with all their columns.
+    Documents of which nothing but blank lines is left, having lost lines, go; all others stay, with all their columns,
+    whatever these are called. See dropped_lines() for nulls, ties, repeated rows and empty tables.
     """
-    gone = cut(dropped_lines(docs, threshold).select(F.col("doc_id").alias("gone_id_"), F.col("dropped").alias("gone_")))
-    few = (gone.agg(F.sum(F.size("gone_") + 4)).first()[0] or 0) <= BROADCAST_POSITIONS
-    joined = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone_id_"), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone_", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("gone_").isNull(), F.col("text")).otherwise(rest))
-    out = out.where(F.col("gone_").isNull() | (F.btrim("text", F.lit(BLANK + "\n")) != ""))
+    at, drop = unused(docs.columns, "gone_id_"), unused(docs.columns, "gone_")
+    gone = cut(dropped_lines(docs, threshold).select(F.col("doc_id").alias(at), F.col("dropped").alias(drop)))
+    joined = docs.join(F.broadcast(gone) if _few(gone, drop) else gone, docs["doc_id"].cast("long") == F.col(at), "left")
+    rest = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(drop, i)), "\n")
+    out = joined.withColumn("text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(rest))
+    out = out.where(F.col(drop).isNull() | (F.btrim("text", F.lit("".join(BLANKS) + "\n")) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone_").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
