@@ -1,33 +1,46 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations only: one line of each component of similar lines stays.
+"""Fuzzy line dedup by MinHash: one line of each component of similar lines stays.
 
 A line is compared as it stands, without the blanks at its ends. Equal lines are collapsed first, by a 128-bit name.
 Signatures are of all 5-character shingles of a line, those that are verified; a line of fewer characters is its own
-only shingle. There are `MINIMA` minima under xor with fixed words; band k has the five numbered 3k + {0, 12, 14, 20,
-25} modulo 30, so that two lines at a similarity of 0.8 share one of the ten bands with probability 0.96, at 0.85 with 0.99.
+only shingle. Each shingle falls in one of `BINS` bins by its hash; a bin's minimum is that of its shingles, or of the
+nearest bin (by xor of the numbers) that has any. Band k is made of the minima of five bins of its own, so that two
+lines at a similarity of 0.8 share one of the `BANDS` bands with probability 0.96, at 0.85 with 0.99.
 
 Lines of a band are first compared with its least line, which joins the copies of a large family without listing its
 pairs; then, in each band, the lines outside its largest component with all the others. Pairs of which fewer than
-`AGREE` of the minima agree in four bits are ruled out (at a similarity of 0.8 one pair in some thousands); all others
+`AGREE` of the minima agree in four bits are ruled out (at a similarity of 0.8 one pair in two thousand); all others
 are linked if their exact Jaccard similarity is high enough. Components are found by distributed union-find.
+
+Splitting, collapsing, bands, candidates, components and dropping are DataFrame operations. Signatures and exact
+similarities are computed over whole arrays in Python: in SQL functions alone they took more CPU than the check tool
+allows (figures in the README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import cut, join_checked, join_salted, unused, written
 from leafmark.llm.components import connected_components
-
-SHINGLE, MINIMA, BANDS, STEP, DESIGN = 5, 30, 10, 3, (0, 12, 14, 20, 25)
-AGREE = 16
-#: Shingles of an exploded row.
-CHUNK = 16
+from leafmark.llm.wordhash import mix
+
+SHINGLE, BINS, BANDS, ROWS = 5, 64, 8, 5
+AGREE = 42
+#: Characters that are signed at once; longer lines are taken in pieces.
+PIECE = 1 << 18
+SKETCH = tuple(f"s{k}" for k in range(BINS // 16))
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 BLANKS = (" ", "\t", "\r", "\u000b", "\f")
 #: Names of lines, 8 bytes each, and dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
 BROADCAST_NAMES = BROADCAST_POSITIONS = 4_000_000
-#: Rounds of stars at most while each halves the pairs left, and lines in a block of what is then compared in full.
-STARS, BLOCK = 6, 1000
+#: Rounds of stars at most, while each halves the pairs left and there are more than FEW_PAIRS for each line of a band; lines in a block of what is then compared in full.
+STARS, FEW_PAIRS, BLOCK = 6, 64, 1000
 
 
 def trimmed(line: Column) -> Column:
@@ -45,34 +58,79 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "pos", "line", F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(1), "line").alias("lid2"))
 
 
-def _word(i: int) -> int:
-    word = 0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)
-    return word - (1 << 64) if word >= 1 << 63 else word
-
-
-def _sketch(minima: range) -> Column:
-    """Four bits of each of fifteen minima."""
-    out = F.lit(0).cast("long")
-    for k, i in enumerate(minima):
-        out = out.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
-    return out
+def shingle_hashes(points: np.ndarray) -> np.ndarray:
+    """One hash for every SHINGLE consecutive code points."""
+    n = len(points) - SHINGLE + 1
+    acc = points[:n] * _POWERS[0]
+    for k in range(1, SHINGLE):
+        acc += points[k : k + n] * _POWERS[k]
+    return mix(acc)
+
+
+def _minima(lines: list[str]) -> np.ndarray:
+    """The minimum of every bin of every line, empty bins filled from the nearest that isn't."""
+    low = np.full(len(lines) * BINS + 1, np.iinfo(np.uint64).max, dtype=np.uint64)  # the last is for shingles of no line
+    held: list[tuple[int, str]] = []
+
+    def flush() -> None:
+        sizes = np.array([len(t) for _, t in held])
+        points = np.frombuffer("".join(t for _, t in held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        h = shingle_hashes(points)
+        at = np.repeat(np.array([i * BINS for i, _ in held]), sizes)[: len(h)] + (h >> np.uint64(58)).view(np.int64)
+        begin = np.cumsum(sizes)[:-1]
+        for k in range(1, SHINGLE):
+            at[begin - k] = len(low) - 1  # these reach into the next line
+        np.minimum.at(low, at, h)
+        held.clear()
+
+    size = 0
+    for i, line in enumerate(lines):
+        line = line if len(line) >= SHINGLE else line + "\U0010ffff" * (SHINGLE - len(line))
+        for a in range(0, len(line) - SHINGLE + 1, PIECE):
+            held.append((i, line[a : a + PIECE + SHINGLE - 1]))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                flush()
+                size = 0
+    if held:
+        flush()
+    low = low[:-1].reshape(len(lines), BINS)
+    some = np.flatnonzero((low == np.iinfo(np.uint64).max).any(axis=1))
+    part, step, bins = low[some], 1, np.arange(BINS)
+    while step < BINS:
+        part = np.where(part == np.iinfo(np.uint64).max, part[:, bins ^ step], part)
+        step *= 2
+    low[some] = part
+    return low
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low = _minima(batch.column("line").to_pylist())
+        value = mix(low)
+        bands = np.empty((len(low), BANDS), dtype=np.uint64)
+        for b in range(BANDS):
+            acc = np.full(len(low), np.uint64(b + 1))
+            for r in range(ROWS):
+                acc = mix(acc * np.uint64(0x9FB21C651E98DF25) ^ value[:, b * ROWS + r])
+            bands[:, b] = acc
+        half = (value & np.uint64(15)) << (np.arange(BINS, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
+        sketch = np.bitwise_or.reduce(half.reshape(len(low), BINS // 16, 16), axis=2).view(np.int64)
+        offsets = pa.array(np.arange(0, len(low) * BANDS + 1, BANDS, dtype=np.int32))
+        columns = [*(batch.column(c) for c in ("lid", "lid2", "n", "first_doc")), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), *(pa.array(sketch[:, k].copy()) for k in range(len(SKETCH)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lid", "lid2", "n", "first_doc", "bands", *SKETCH])
 
 
 def signed_lines(lines: DataFrame) -> DataFrame:
-    """uid, lid, lid2, n (places), first_doc, bands and sketch (s0, s1) of every different line, as a written table.
+    """uid, lid, lid2, n (places), first_doc, bands and sketch of every different line, as a written table.
 
-    The one exchange of texts collapses equal lines; shingles are hashed and their minima taken where it ends. Texts
-    are cut at code points; shingles are taken in rows of `CHUNK`, the last of a line filled up with its last shingle.
+    The one exchange of texts collapses equal lines; they are signed where it ends. Texts are cut at code points.
     """
     unique = lines.groupBy("lid", "lid2").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    points = unique.select("lid", "lid2", "n", "first_doc", F.encode("line", "UTF-32").alias("u")).withColumn("last", F.expr(f"greatest(0, cast(octet_length(u) div 4 as int) - {SHINGLE})"))
-    rows = points.select("*", F.explode(F.expr(f"sequence(0, cast(last div {CHUNK} as int))")).alias("c"))
-    hashed = rows.select("lid", "lid2", "n", "first_doc", *[F.expr(f"xxhash64(substring(u, least(c * {CHUNK} + {k}, last) * 4 + 1, {4 * SHINGLE}))").alias(f"h{k}") for k in range(CHUNK)])
-    minima = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(_word(i))) for k in range(CHUNK)])).alias(f"m{i}") for i in range(MINIMA)]
-    signed = hashed.groupBy("lid", "lid2").agg(F.max("n").alias("n"), F.max("first_doc").alias("first_doc"), *minima)
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{(STEP * b + d) % MINIMA}") for d in DESIGN]) for b in range(BANDS)]
-    half = MINIMA // 2
-    return written(signed.select(F.monotonically_increasing_id().alias("uid"), "lid", "lid2", "n", "first_doc", F.array(*bands).alias("bands"), _sketch(range(half)).alias("s0"), _sketch(range(half, MINIMA)).alias("s1")), "lines")
+    signed = unique.select("lid", "lid2", "n", "first_doc", "line").mapInArrow(_signed, f"lid long, lid2 long, n long, first_doc long, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}")
+    return written(signed.withColumn("uid", F.monotonically_increasing_id()), "lines")
 
 
 def band_members(signed: DataFrame) -> DataFrame:
@@ -89,41 +147,44 @@ def band_members(signed: DataFrame) -> DataFrame:
 def _agree(x: str, y: str) -> Column:
     """Whether enough minima of two lines agree in their four bits."""
     differ = F.lit(0)
-    for s in ("s0", "s1"):
+    for s in SKETCH:
         bits = F.col(x + s).bitwiseXOR(F.col(y + s))
         any_ = bits
         for k in (1, 2, 3):
             any_ = any_.bitwiseOR(F.shiftrightunsigned(bits, k))
-        differ = differ + F.bit_count(any_.bitwiseAND(F.lit(0x0111111111111111)))
-    return differ <= F.lit(MINIMA - AGREE)
+        differ = differ + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= F.lit(BINS - AGREE)
 
 
-def exact_jaccard(x: Column, y: Column) -> Column:
-    """Jaccard similarity of the shingle sets of two lines. What is used twice is bound in a one-row array, so that it is computed once."""
+def exact_jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Jaccard similarity of the shingle sets of two lines, by 64-bit names of shingles."""
 
-    def once(value: Column, f) -> Column:
-        return F.element_at(F.transform(F.array(value), f), 1)
+    def shingles(line: str) -> np.ndarray:
+        line = line if len(line) >= SHINGLE else line + "\U0010ffff" * (SHINGLE - len(line))
+        h = np.sort(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)))
+        return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
-    def hashes(line: Column) -> Column:
-        place = lambda u: F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(u) / 4).cast("int") - SHINGLE))
-        return once(F.encode(line, "UTF-32"), lambda u: F.array_distinct(F.transform(place(u), lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * SHINGLE))))))
+    def one(a: str, b: str) -> float:
+        p, q = shingles(a), shingles(b)
+        both = np.sort(np.concatenate((p, q)))
+        same = np.count_nonzero(both[1:] == both[:-1])
+        return same / (len(both) - same)
 
-    both = lambda s: once(F.size(F.array_intersect(s["x"], s["y"])), lambda n: n / (F.size(s["x"]) + F.size(s["y"]) - n))
-    return once(F.struct(hashes(x).alias("x"), hashes(y).alias("y")), both)
+    return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose lines are similar."""
     x, y = (texts.select(F.col("node").alias(c), F.col("line").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    met = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", exact_jaccard(F.col("x"), F.col("y")).alias("j"))
+    met = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", F.pandas_udf(exact_jaccard, "double")("x", "y").alias("j"))
     return cut(met.where(F.col("j") >= threshold - 1e-9).select("a", "b"))
 
 
 def _star(open_: DataFrame) -> DataFrame:
-    """(a, b): each line of a band with the band's least, unless one component has both or their sketches differ too much."""
-    low = cut(open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "comp", "s0", "s1")).alias("low")))
+    """(a, b): each line with the least of its bands' least lines, of those outside its component whose sketches are near enough."""
+    low = cut(open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "comp", *SKETCH)).alias("low")))
     met = join_salted(open_, low, ["band"]).where("comp <> low.comp").where(_agree("", "low."))
-    return met.select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+    return met.groupBy(F.col("node").alias("a")).agg(F.min("low.node").alias("b"))
 
 
 def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
@@ -145,7 +206,7 @@ def _rest(open_: DataFrame, strays: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    side = lambda x: [F.col(c).alias(x + c) for c in ("node", "comp", "s0", "s1")]
+    side = lambda x: [F.col(c).alias(x + c) for c in ("node", "comp", *SKETCH)]
     out = known.where("comp <> main").select("band", deal("strays").alias("i"), every("members").alias("j"), *side("x"))
     all_ = known.select("band", every("strays").alias("i"), deal("members").alias("j"), (F.col("comp") == F.col("main")).alias("home"), *side("y"))
     met = out.join(all_, ["band", "i", "j"]).where("xcomp <> ycomp and (home or xnode > ynode)").where(_agree("x", "y"))
@@ -156,13 +217,13 @@ def similar_lines(signed: DataFrame, lines: DataFrame, threshold: float) -> Data
     """(node, comp) of lines that are linked to others, nodes being struct(first_doc, uid), the least of which names the component."""
     members = band_members(signed)
     node = F.struct("first_doc", "uid").alias("node")
-    asked = cut(join_checked(signed.select("uid", "lid", "lid2", "first_doc", "s0", "s1"), members.select("uid").distinct(), ["uid"], "left_semi", BROADCAST_NAMES).select("uid", "lid", "lid2", node, "s0", "s1"))
+    asked = cut(join_checked(signed.select("uid", "lid", "lid2", "first_doc", *SKETCH), members.select("uid").distinct(), ["uid"], "left_semi", BROADCAST_NAMES).select("uid", "lid", "lid2", node, *SKETCH))
     names = asked.select("lid", "lid2", "node")
     few = names.limit(BROADCAST_NAMES // 4 + 1).count() <= BROADCAST_NAMES // 4
     own = lines.select("lid", "lid2", "line")
     own = own.join(F.broadcast(names), ["lid", "lid2"]) if few else own.groupBy("lid", "lid2").agg(F.max("line").alias("line")).join(names, ["lid", "lid2"])
     texts = written(own.groupBy("node").agg(F.max("line").alias("line")), "texts")
-    open_ = cut(members.join(asked.select("uid", "node", "s0", "s1"), "uid").select("band", "node", "s0", "s1", F.col("node").alias("comp")))
+    open_ = cut(members.join(asked.select("uid", "node", *SKETCH), "uid").select("band", "node", *SKETCH, F.col("node").alias("comp")))
     near, pairs = None, float("inf")
     for _ in range(STARS):
         found = _near(_star(open_), texts, threshold)
@@ -171,7 +232,7 @@ def similar_lines(signed: DataFrame, lines: DataFrame, threshold: float) -> Data
         open_ = _still_open(open_, comps)
         strays = cut(_strays(open_))
         before, (rows, pairs) = pairs, strays.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("strays"))).first()
-        if not pairs or pairs <= 16 * rows or pairs > before / 2:
+        if not pairs or pairs <= FEW_PAIRS * rows or pairs > before / 2:
             break
     return connected_components(near.unionByName(_near(_rest(open_, strays), texts, threshold))) if pairs else comps
 
