@@ -6,14 +6,13 @@ only shingle. Each shingle falls in one of `BINS` bins by its hash; a bin's mini
 nearest bin (by xor of the numbers) that has any. Band k is made of the minima of five bins of its own, so that two
 lines at a similarity of 0.8 share one of the `BANDS` bands with probability 0.96, at 0.85 with 0.99.
 
-Lines of a band are first compared with its least line, which joins the copies of a large family without listing its
-pairs; then, in each band, the lines outside its largest component with all the others. Pairs of which fewer than
-`AGREE` of the minima agree in four bits are ruled out (at a similarity of 0.8 one pair in two thousand); all others
-are linked if their exact Jaccard similarity is high enough. Components are found by distributed union-find.
-
-Splitting, collapsing, bands, candidates, components and dropping are DataFrame operations. Signatures and exact
-similarities are computed over whole arrays in Python: in SQL functions alone they took more CPU than the check tool
-allows (figures in the README).
+All pairs of a band are compared on their whole sets, but for lines that already hang together: a line that is found
+similar to one is taken out and later compared for the others in its place. Large bands are dealt to tasks by pairs of
+blocks, of bounded size, and no list of pairs is made. Components are found by distributed union-find.
+
+Splitting, collapsing, bands, components and dropping are DataFrame operations. Signatures and exact similarities are
+computed over whole arrays in Python: in SQL functions alone they took more CPU than the check tool allows (figures in
+the README).
 """
 
 from __future__ import annotations
@@ -26,21 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut, join_checked, join_salted, unused, written
+from leafmark.llm.common import cut, group_bounds, in_block_pairs, join_checked, join_salted, unused, whole_groups, written
 from leafmark.llm.components import connected_components
 from leafmark.llm.wordhash import mix
 
 SHINGLE, BINS, BANDS, ROWS = 5, 64, 8, 5
-AGREE = 42
 #: Characters that are signed at once; longer lines are taken in pieces.
 PIECE = 1 << 18
-SKETCH = tuple(f"s{k}" for k in range(BINS // 16))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 BLANKS = (" ", "\t", "\r", "\u000b", "\f")
 #: Names of lines, 8 bytes each, and dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
 BROADCAST_NAMES = BROADCAST_POSITIONS = 4_000_000
-#: Rounds of stars at most, while each halves the pairs left and there are more than FEW_PAIRS for each line of a band; lines in a block of what is then compared in full.
-STARS, FEW_PAIRS, BLOCK = 6, 64, 1000
+#: Lines in a block, or thousands of characters if that is more.
+BLOCK = 1000
 
 
 def trimmed(line: Column) -> Column:
@@ -85,7 +82,7 @@ def _minima(lines: list[str]) -> np.ndarray:
 
     size = 0
     for i, line in enumerate(lines):
-        line = line if len(line) >= SHINGLE else line + "\U0010ffff" * (SHINGLE - len(line))
+        line = _padded(line)
         for a in range(0, len(line) - SHINGLE + 1, PIECE):
             held.append((i, line[a : a + PIECE + SHINGLE - 1]))
             size += len(held[-1][1])
@@ -116,125 +113,147 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 acc = mix(acc * np.uint64(0x9FB21C651E98DF25) ^ value[:, b * ROWS + r])
             bands[:, b] = acc
-        half = (value & np.uint64(15)) << (np.arange(BINS, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
-        sketch = np.bitwise_or.reduce(half.reshape(len(low), BINS // 16, 16), axis=2).view(np.int64)
         offsets = pa.array(np.arange(0, len(low) * BANDS + 1, BANDS, dtype=np.int32))
-        columns = [*(batch.column(c) for c in ("lid", "lid2", "n", "first_doc")), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), *(pa.array(sketch[:, k].copy()) for k in range(len(SKETCH)))]
-        yield pa.RecordBatch.from_arrays(columns, names=["lid", "lid2", "n", "first_doc", "bands", *SKETCH])
+        columns = [*(batch.column(c) for c in ("lid", "lid2", "n", "first_doc")), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lid", "lid2", "n", "first_doc", "bands"])
 
 
 def signed_lines(lines: DataFrame) -> DataFrame:
-    """uid, lid, lid2, n (places), first_doc, bands and sketch of every different line, as a written table.
+    """uid, lid, lid2, n (places), first_doc, bands of every different line, as a written table.
 
     The one exchange of texts collapses equal lines; they are signed where it ends. Texts are cut at code points.
     """
     unique = lines.groupBy("lid", "lid2").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    signed = unique.select("lid", "lid2", "n", "first_doc", "line").mapInArrow(_signed, f"lid long, lid2 long, n long, first_doc long, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}")
+    signed = unique.select("lid", "lid2", "n", "first_doc", "line").mapInArrow(_signed, "lid long, lid2 long, n long, first_doc long, bands array<long>")
     return written(signed.withColumn("uid", F.monotonically_increasing_id()), "lines")
 
 
 def band_members(signed: DataFrame) -> DataFrame:
-    """(band, uid): the lines of every band that has more than one. Bands are counted before; those of two lines need no second look."""
+    """(band, uid, pair): the lines of every band that has more than one. Bands are counted before; bands of the same two lines are one."""
     keyed = signed.select("uid", F.explode("bands").alias("band"))
     shared = cut(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("n > 1"))
-    pairs = shared.where("n = 2").select("band", F.explode(F.array("low", "high")).alias("uid"))
+    pairs = shared.where("n = 2").select("low", "high").distinct().select(F.xxhash64("low", "high").alias("band"), F.explode(F.array("low", "high")).alias("uid"), F.lit(True).alias("pair"))
     large = shared.where("n > 2").select("band", "n")
     few = large.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     held = keyed.join(F.broadcast(large.select("band")), ["band"]) if few else join_salted(keyed, large, ["band"])
-    return cut(pairs.unionByName(held.select("band", "uid")))
-
-
-def _agree(x: str, y: str) -> Column:
-    """Whether enough minima of two lines agree in their four bits."""
-    differ = F.lit(0)
-    for s in SKETCH:
-        bits = F.col(x + s).bitwiseXOR(F.col(y + s))
-        any_ = bits
-        for k in (1, 2, 3):
-            any_ = any_.bitwiseOR(F.shiftrightunsigned(bits, k))
-        differ = differ + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= F.lit(BINS - AGREE)
-
-
-def exact_jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Jaccard similarity of the shingle sets of two lines, by 64-bit names of shingles."""
-
-    def shingles(line: str) -> np.ndarray:
-        line = line if len(line) >= SHINGLE else line + "\U0010ffff" * (SHINGLE - len(line))
-        h = np.sort(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)))
-        return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-    def one(a: str, b: str) -> float:
-        p, q = shingles(a), shingles(b)
-        both = np.sort(np.concatenate((p, q)))
-        same = np.count_nonzero(both[1:] == both[:-1])
-        return same / (len(both) - same)
-
-    return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
-
-
-def _near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are similar."""
-    x, y = (texts.select(F.col("node").alias(c), F.col("line").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    met = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", F.pandas_udf(exact_jaccard, "double")("x", "y").alias("j"))
-    return cut(met.where(F.col("j") >= threshold - 1e-9).select("a", "b"))
-
-
-def _star(open_: DataFrame) -> DataFrame:
-    """(a, b): each line with the least of its bands' least lines, of those outside its component whose sketches are near enough."""
-    low = cut(open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "comp", *SKETCH)).alias("low")))
-    met = join_salted(open_, low, ["band"]).where("comp <> low.comp").where(_agree("", "low."))
-    return met.groupBy(F.col("node").alias("a")).agg(F.min("low.node").alias("b"))
-
-
-def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
-    """Bands that more than one component has, with the components so far."""
-    placed = cut(open_.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "n")
-    return cut(join_salted(placed, cut(mixed), ["band"]))
-
-
-def _strays(open_: DataFrame) -> DataFrame:
-    """band, main (the component with most lines of the band, of ties the least), members and strays (those outside of it)."""
-    parts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("of"))
-    return parts.groupBy("band").agg(F.sum("of").alias("n"), F.max("of").alias("most"), F.max(F.struct("of", "comp")).getField("comp").alias("main")).withColumn("strays", F.col("n") - F.col("most")).drop("most")
-
-
-def _rest(open_: DataFrame, strays: DataFrame) -> DataFrame:
-    """(a, b): every line outside a band's main component with each line of another component, dealt to tasks by pairs of blocks."""
-    known = join_salted(open_, cut(strays.select("band", "n", F.col("n").alias("members"), "main", "strays")), ["band"])
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    deal = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    side = lambda x: [F.col(c).alias(x + c) for c in ("node", "comp", *SKETCH)]
-    out = known.where("comp <> main").select("band", deal("strays").alias("i"), every("members").alias("j"), *side("x"))
-    all_ = known.select("band", every("strays").alias("i"), deal("members").alias("j"), (F.col("comp") == F.col("main")).alias("home"), *side("y"))
-    met = out.join(all_, ["band", "i", "j"]).where("xcomp <> ycomp and (home or xnode > ynode)").where(_agree("x", "y"))
-    return met.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b"))
+    return cut(pairs.unionByName(held.select("band", "uid", F.lit(False).alias("pair"))))
+
+
+def _padded(line: str) -> str:
+    return line if len(line) >= SHINGLE else line + "\U0010ffff" * (SHINGLE - len(line))
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted 64-bit names of each line's shingles. Lines are hashed together, up to PIECE characters or one line."""
+    out, a = [], 0
+    while a < len(lines):
+        held, size = [], 0
+        while a < len(lines) and (not held or size + len(lines[a]) <= PIECE):
+            held.append(_padded(lines[a]))
+            size += len(held[-1])
+            a += 1
+        h = shingle_hashes(np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64))
+        at = 0
+        for t in held:
+            s = h[at : at + len(t) - SHINGLE + 1]
+            s.sort()
+            fresh = np.empty(len(s), dtype=bool)
+            fresh[0] = True
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            out.append(s[fresh])
+            at += len(t)
+    return out
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    both = np.concatenate((p, q))
+    both.sort()
+    return np.count_nonzero(both[1:] == both[:-1])
+
+
+def _forest(sets: list[np.ndarray], blk: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all similar members of a unit; if it has two blocks, similar members of different blocks.
+
+    Members wait in `left` until they are found similar to one before them, and are then compared in their turn with
+    what still waits. A few sets are compared one by one, more of them by marks in their common vocabulary.
+    """
+    sizes = np.array([len(s) for s in sets])
+    cross, few = blk.min() != blk.max(), len(sets) <= 8
+    if not few:
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        own, mark = np.split(flat, np.cumsum(sizes)[:-1]), np.zeros(len(vocabulary), dtype=np.int32)
+    left, queue, done, links = np.arange(1, len(sets)), [0], 0, []
+    if not few:
+        flat = flat[sizes[0] :]
+    while len(left):
+        if done == len(queue):
+            queue.append(int(left[0]))
+            if not few:
+                flat = flat[sizes[left[0]] :]
+            left = left[1:]
+            continue
+        k = queue[done]
+        done += 1
+        fits = (sizes[left] >= threshold * sizes[k] - 1e-9) & (sizes[left] * threshold <= sizes[k] + 1e-9)
+        if cross:
+            fits &= blk[left] != blk[k]
+        if not fits.any():
+            continue
+        if few:
+            both = np.array([_common(sets[k], sets[i]) if ok else 0 for i, ok in zip(left.tolist(), fits.tolist(), strict=True)])
+        else:
+            mark[own[k]] = 1
+            both = np.add.reduceat(mark[flat], np.concatenate(([0], np.cumsum(sizes[left])[:-1])))
+            mark[own[k]] = 0
+        near = fits & (both >= threshold * (sizes[k] + sizes[left] - both) - 1e-9)
+        if near.any():
+            hit = left[near].tolist()
+            links += [(h, k) for h in hit]
+            queue += hit
+            if not few:
+                flat = flat[np.repeat(~near, sizes[left])]
+            left = left[~near]
+    return links
+
+
+def _links(threshold: float):
+    """Whole units (band, bi, bj) of lines -> links (a, b) of their forests."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in whole_groups(batches, ["band", "bi", "bj"]):
+            lines, blk, a, b = f["line"].tolist(), f["blk"].to_numpy(), [], []
+            docs, uids = f["first_doc"].to_numpy(np.int64), f["uid"].to_numpy(np.int64)
+            bounds, known = group_bounds(f, ["band", "bi", "bj"]), 0
+            for u, (i, j) in enumerate(bounds):
+                if j > known:  # sets of the next units together, some thousands of lines at a time
+                    first, known = i, next((e for _, e in bounds[u:] if e - i >= 2000), bounds[-1][1])
+                    sets = shingle_sets(lines[first:known])
+                for x, y in _forest(sets[i - first : j - first], blk[i:j], threshold):
+                    a.append(i + x)
+                    b.append(i + y)
+            if a:
+                yield pd.DataFrame({"a_doc": docs[a], "a_uid": uids[a], "b_doc": docs[b], "b_uid": uids[b]})
+
+    return run
 
 
 def similar_lines(signed: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(node, comp) of lines that are linked to others, nodes being struct(first_doc, uid), the least of which names the component."""
     members = band_members(signed)
-    node = F.struct("first_doc", "uid").alias("node")
-    asked = cut(join_checked(signed.select("uid", "lid", "lid2", "first_doc", *SKETCH), members.select("uid").distinct(), ["uid"], "left_semi", BROADCAST_NAMES).select("uid", "lid", "lid2", node, *SKETCH))
-    names = asked.select("lid", "lid2", "node")
-    few = names.limit(BROADCAST_NAMES // 4 + 1).count() <= BROADCAST_NAMES // 4
+    asked = cut(join_checked(signed.select("uid", "lid", "lid2", "first_doc"), members.select("uid").distinct(), ["uid"], "left_semi", BROADCAST_NAMES))
+    few = asked.limit(BROADCAST_NAMES // 4 + 1).count() <= BROADCAST_NAMES // 4
     own = lines.select("lid", "lid2", "line")
-    own = own.join(F.broadcast(names), ["lid", "lid2"]) if few else own.groupBy("lid", "lid2").agg(F.max("line").alias("line")).join(names, ["lid", "lid2"])
-    texts = written(own.groupBy("node").agg(F.max("line").alias("line")), "texts")
-    open_ = cut(members.join(asked.select("uid", "node", *SKETCH), "uid").select("band", "node", *SKETCH, F.col("node").alias("comp")))
-    near, pairs = None, float("inf")
-    for _ in range(STARS):
-        found = _near(_star(open_), texts, threshold)
-        near = found if near is None else near.unionByName(found)
-        comps = connected_components(near)
-        open_ = _still_open(open_, comps)
-        strays = cut(_strays(open_))
-        before, (rows, pairs) = pairs, strays.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("strays"))).first()
-        if not pairs or pairs <= FEW_PAIRS * rows or pairs > before / 2:
-            break
-    return connected_components(near.unionByName(_near(_rest(open_, strays), texts, threshold))) if pairs else comps
+    own = own.join(F.broadcast(asked), ["lid", "lid2"]) if few else own.groupBy("lid", "lid2").agg(F.max("line").alias("line")).join(asked, ["lid", "lid2"])
+    texts = written(own.groupBy("uid", "first_doc").agg(F.max("line").alias("line")), "texts")
+    sizes = members.where("not pair").join(texts.select("uid", F.char_length("line").alias("chars")), "uid").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    sizes = cut(sizes.select("band", "n", F.greatest("n", F.ceil(F.col("chars") / 1000)).cast("long").alias("size")))
+    large = join_salted(members.where("not pair").select("band", "uid"), sizes, ["band"])
+    dealt = in_block_pairs(large, "band", "uid", "size", BLOCK).select("band", "bi", "bj", "blk", "uid")
+    zero = [F.lit(0).alias(c) for c in ("bi", "bj", "blk")]
+    units = members.where("pair").select("band", *zero, "uid").unionByName(dealt).join(texts, "uid")
+    links = units.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj", "uid").mapInPandas(_links(threshold), "a_doc long, a_uid long, b_doc long, b_uid long")
+    node = lambda x: F.struct(F.col(f"{x}_doc").alias("first_doc"), F.col(f"{x}_uid").alias("uid")).alias(x)
+    return connected_components(links.select(node("a"), node("b")))
 
 
 def dropped_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
