@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.wordhash import normalise
 
+#: What this worker has built last.
+_BUILT: dict = {}
 SCHEMA = "row_key string, doc_id long, n_words long, ranges array<struct<a:long,b:long>>, items array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -90,13 +93,14 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 1 << 19) -> DataFrame:
     """Every document with `n_words`, `n_hit`, `items` (found item ids as sorted strings) and `spans` (code points of hit passages).
 
     docs has doc_id and text; benchmark has item_id and text; other columns are left out. Texts are scanned whole, one
-    document at a time. The automaton is broadcast: it holds benchmark texts of at most `shard_bytes`. A larger
-    benchmark is read in shards of that size, each scanning the documents once, and the hits are united by document,
-    so nothing is dropped and no more than a shard is in memory.
+    document at a time. The texts of a shard of the benchmark are broadcast, and each worker builds its automaton once;
+    it takes some 440 times the bytes of the texts in memory, so a shard has about `shard_bytes` of them (the default:
+    220 MB a worker). A larger benchmark has more shards, each scanning the documents once, and the hits are united by
+    document, so nothing is dropped and a worker holds one shard's automaton at a time.
 
     Null or empty texts have no words and no hits; a null item text has no window; an item of fewer words than
     `window` is one window; repeated items are found together; repeated rows and doc_ids stay rows of their own; a
@@ -133,11 +137,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def _scanner(spark, rows: list, window: int):
-    """The scan of one shard. The items are broadcast; each worker builds the automaton once."""
+    """The scan of one shard. The items are broadcast; a worker keeps the automaton of the last shard it has built."""
     sent = spark.sparkContext.broadcast(pickle.dumps([(r["item_id"], r["text"]) for r in rows]))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = build(pickle.loads(sent.value), window)
+        if _BUILT.get("key") != key:
+            _BUILT.clear()
+            _BUILT.update(key=key, automaton=build(pickle.loads(sent.value), window))
+        automaton = _BUILT["automaton"]
         for f in batches:
             out = [scan(t if isinstance(t, str) else None, automaton) for t in f["text"]]
             yield pd.DataFrame({

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut, group_bounds, in_block_pairs, join_checked, whole_groups
+from leafmark.llm.common import cut, group_bounds, in_block_pairs, join_checked, join_salted, whole_groups
 from leafmark.llm.components import connected_components
 from leafmark.llm.wordhash import mix, normalise, shingle_set
 
@@ -156,7 +156,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in batches:
         sets = [shingle_set(normalise(t)).tobytes() for t in f["text"]]
         same = [xxhash.xxh3_128_digest(s) == p for s, p in zip(sets, f["fp"], strict=True)]
-        yield f.assign(shingles=sets)[same][["comp", "rep", "copies", "members", "shingles"]]
+        yield f.assign(shingles=sets)[same][["comp", "rep", "first", "copies", "members", "shingles"]]
 
 
 def _exact(threshold: float):
@@ -203,7 +203,8 @@ def _exact(threshold: float):
                         low, high = (r, o) if rep[r] < rep[o] else (o, r)
                         root[high] = low
                         r = low
-        return pd.DataFrame({"comp": g["comp"].to_numpy(), "rep": rep, "links": links, "root": rep[[find(k) for k in range(len(g))]]})
+        at, first = [find(k) for k in range(len(g))], g["first"].to_numpy(np.int64)
+        return pd.DataFrame({"rep": rep, "first": first, "links": links, "root": rep[at], "root_first": first[at]})
 
     return run
 
@@ -221,18 +222,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     Documents with equal sets are one set with a count, whatever their number. The first `levels` of the trees need no
     exchange and are always split; nodes of more than `leaf` sets split on to `depth`, but not if they kept `dense` of
     their parent's sets, which a sampled token can't tell apart. What is still large then is dealt in pairs of blocks, as is a large component, so a task holds at
-    most two blocks of `block` sets. A pair is a candidate if its 4-bit sketches put it above threshold - 0.14 (four
+    most two blocks of `block` sets (of verified sets: of 2,048 shingles each on average, fewer if they are longer). A pair is a candidate if its 4-bit sketches put it above threshold - 0.14 (four
     standard deviations); pairs are met with probability `recall` at the threshold at least, more above it and in
     shallower leaves, and all pairs of a component are verified on whole sets.
     """
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     features = cut(need.mapInPandas(_features, "doc_id long, fp binary, n int, sketch binary"))
     units = features.select("doc_id", "fp", "n").distinct()
-    filled = units.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    filled = cut(filled)
+    filled = units.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    filled = cut(filled.withColumn("rep", F.monotonically_increasing_id()))  # the name of a set
     sets = cut(
-        features.where("n > 0").select(F.col("doc_id").alias("rep"), "fp", "sketch").join(filled.select("rep", "fp"), ["rep", "fp"])
-        .dropDuplicates(["rep"])
+        features.select(F.col("doc_id").alias("first"), "fp", "sketch").join(filled.select("first", "fp", "rep"), ["first", "fp"]).dropDuplicates(["rep"]).select("rep", "sketch")
     )
 
     runs = runs_needed(recall, depth)
@@ -240,7 +240,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     leaves: list[DataFrame] = []
     for level in range(levels, depth + 1):
         counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        held = cut(nodes.join(counted, "node"))
+        held = cut(join_salted(nodes, cut(counted.withColumn("n", F.col("size"))), ["node"]))
         if level == depth:
             leaves.append(held)
             break
@@ -265,18 +265,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         .mapInPandas(_leaf_links(threshold - 0.14), "a long, b long")
     )
     comps = connected_components(links).withColumnRenamed("node", "rep")
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    members = cut(comps.join(sizes, "comp").join(filled, "rep").select(F.col("rep").alias("doc_id"), "rep", "fp", "copies", "comp", "members"))
+    known = cut(comps.join(filled, "rep"))
+    # what a component counts for in dealing: its sets, or as many as have its shingles at 2,048 each
+    sizes = cut(known.groupBy("comp").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("shingles")).select("comp", F.col("of").alias("n"), F.greatest("of", F.ceil(F.col("shingles") / 2048)).cast("long").alias("members")))
+    members = cut(join_salted(known.select(F.col("first").alias("doc_id"), "rep", "fp", "copies", "comp"), sizes, ["comp"]))
 
-    texts = join_checked(need, members, ["doc_id"]).select("comp", "rep", "fp", "copies", "members", "text").mapInPandas(_sets, "comp long, rep long, copies long, members long, shingles binary")
+    texts = join_checked(need, members, ["doc_id"]).select("comp", "rep", F.col("doc_id").alias("first"), "fp", "copies", "members", "text").mapInPandas(_sets, "comp long, rep long, first long, copies long, members long, shingles binary")
     checked = cut(
         in_block_pairs(texts, "comp", "rep", "members", block).repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "rep")
-        .drop("members").mapInPandas(_exact(threshold), "comp long, rep long, links long, root long")
+        .drop("members").mapInPandas(_exact(threshold), "rep long, first long, links long, root long, root_first long")
     )
     near = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = filled.join(near, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", "copies", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
+    named = lambda first, rep: F.struct(F.col(first).alias("first"), F.col(rep).alias("rep"))
+    classes = connected_components(checked.select(named("first", "rep").alias("a"), named("root_first", "root").alias("b")))
+    known = filled.join(near, "rep", "left").join(classes.select(F.col("node.rep").alias("rep"), F.col("comp.first").alias("class_id")), "rep", "left").select(
+        "fp", "copies", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
     )
     return units.join(known, "fp", "left").select(
         "doc_id",

@@ -8,6 +8,7 @@ positives of that language's slice would give; the language with most decides.
 from __future__ import annotations
 
 import pickle
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut
+from leafmark.llm.common import cut, unused
 from leafmark.llm.wordhash import mix
 
 SIZES = (2, 3, 4)
@@ -49,7 +50,7 @@ def _folded(text: str) -> np.ndarray:
     if not got.all():
         for c in np.unique(points[got == 0]).tolist():
             low = chr(c).lower()
-            _KIND[c] = ord(low[0]) if low[0].isalpha() or 0x300 <= c < 0x370 else 32
+            _KIND[c] = ord(low[0]) if low[0].isalpha() or unicodedata.category(chr(c))[0] == "M" else 32
         got = _KIND[points]
     return got
 
@@ -80,7 +81,8 @@ def ngrams(text: str, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
 
 
 def has_letters(text: str) -> bool:
-    return any((_folded(p) != 32).any() for p in _pieces(text))
+    """Whether a letter is in the text; marks alone are none."""
+    return any(map(str.isalpha, text))
 
 
 class Filters:
@@ -173,13 +175,8 @@ def train(labelled: DataFrame, per_language: int = 1500, characters: int = 20000
     return filters
 
 
-def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataFrame:
-    """Every row's doc_id with lang_pred, score and cover, over its whole text.
-
-    `und` with score 0 is for null texts and texts without letters, or if no language was learned. Ties go to the
-    language that sorts first. Repeated rows and null ids stay. keep_text: give all columns of docs, the new ones
-    replacing those of the same names.
-    """
+def _guess(docs: DataFrame, filters: Filters, name: str) -> DataFrame:
+    """docs with a column `name`: struct(lang_pred, score, cover)."""
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(filters), 1))
 
     @F.pandas_udf("struct<lang_pred:string,score:double,cover:double>")
@@ -188,9 +185,16 @@ def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataF
         for s in texts:
             yield pd.DataFrame([model.decide(t if isinstance(t, str) else None) for t in s], columns=["lang_pred", "score", "cover"])
 
-    own = docs.drop("lang_pred", "score", "cover", "guess_") if keep_text else docs.select("doc_id", "text")
-    found = own.withColumn("guess_", guess(F.col("text").cast("string")))
-    return found.select(*[c for c in own.columns if keep_text or c != "text"], "guess_.lang_pred", "guess_.score", "guess_.cover")
+    return docs.withColumn(name, guess(F.col("text").cast("string")))
+
+
+def predict(docs: DataFrame, filters: Filters) -> DataFrame:
+    """Every row's doc_id with lang_pred, score and cover, over its whole text.
+
+    `und` with score 0 is for null texts and texts without letters, or if no language was learned. Ties go to the
+    language that sorts first. Repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
+    """
+    return _guess(docs.select("doc_id", "text"), filters, "guess").select("doc_id", "guess.lang_pred", "guess.score", "guess.cover")
 
 
 def learn_and_predict(docs: DataFrame, **how) -> DataFrame:
@@ -200,7 +204,11 @@ def learn_and_predict(docs: DataFrame, **how) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, cover: float = 0.2, **how) -> DataFrame:
-    """The documents whose language is known: not `und`, and at least `cover` of the n-grams in the language decided for."""
+    """The documents whose language is known: not `und`, and at least `cover` of the n-grams in the language decided for.
+
+    All columns stay as they are, whatever their names. Null texts go; null ids and repeated rows are judged like any other.
+    """
     filters = train(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out("doc_id")), **how)
-    scored = predict(docs, filters, keep_text=True)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("cover") >= cover)).select(*docs.columns)
+    name = unused(docs.columns, "guess_")
+    found = F.col(name)
+    return _guess(docs, filters, name).where((found["lang_pred"] != "und") & (found["cover"] >= cover)).select(*docs.columns)

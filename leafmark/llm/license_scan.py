@@ -264,10 +264,12 @@ def _runs(parts: list[str]) -> Iterator[tuple[int, str]]:
 OUT = "doc_id long, n_paragraphs int, found array<struct<start:long,stop:long,family:string,probability:double,cover:double,confirmed:boolean>>"
 
 
-def train(docs: DataFrame, sample: int = 400) -> Model:
-    """The model; of the corpus it sees at most `sample` lines, those of least hash, that name no licence."""
-    lines = docs.where("text is not null").select(F.explode(F.split(F.substring("text", 1, 4000), "\n")).alias("line")).where(~F.col("line").rlike("(?i)licen[cs]|copyright|warrant|permi[st]|rights|spdx|public domain"))
-    rows = lines.where(F.char_length("line") > 20).distinct().orderBy(F.xxhash64("line"), "line").limit(sample).collect()
+def train(docs: DataFrame, sample: int = 400, characters: int = 4000) -> Model:
+    """The model; of the corpus it sees at most `sample` different lines, those of least hash, that name no licence, and of each the first `characters`."""
+    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike("(?i)licen[cs]|copyright|warrant|permi[st]|rights|spdx|public domain"))
+    hashed = lines.where(F.char_length("line") > 20).select(F.xxhash64("line").alias("h"), F.substring("line", 1, characters).alias("line"))
+    least = hashed.select("h").distinct().orderBy("h").limit(sample)
+    rows = hashed.join(F.broadcast(least), "h").distinct().orderBy("h", "line").collect()
     return Model(TEMPLATES, [*ORDINARY * 5, *(r["line"] for r in rows)])
 
 
@@ -333,7 +335,10 @@ def _touches(data: bytes, pairs: np.ndarray) -> bool:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_found, licences (confirmed families, sorted, comma-joined) and spans (start:stop:family of confirmed paragraphs)."""
+    """doc_id, n_paragraphs, n_found, licences (confirmed families, sorted, comma-joined) and spans (start:stop:family of confirmed paragraphs).
+
+    See scan_licenses() for nulls, empty and long texts, repeated rows and empty tables.
+    """
     found = scan_licenses(docs, train(docs))
     sure = F.filter("found", lambda x: x["confirmed"])
     return found.select(

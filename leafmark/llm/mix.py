@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut, group_bounds, join_checked, whole_groups
+from leafmark.llm.common import cut, group_bounds, join_checked, unused, whole_groups
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Units of a source that are left to the landing, besides the two the flight leaves.
@@ -177,9 +177,8 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     of docs that are named like the new ones are replaced.
     """
     own = docs.drop("size", "source_size", "target", "copies", "taken")
-    sized = own.withColumn("size", token_count("text"))
-    plan = mix_plan(sized, **how).select(
-        F.col("doc_id").alias("p_doc"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", "copies"
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("p_doc")) & F.col("source").cast("string").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
-    return sized.join(plan, same).drop("p_doc", "p_source", "p_size").withColumn("taken", F.col("size") * F.col("copies"))
+    sized = own.withColumn("size", token_count(F.col("text").cast("string")))
+    doc, source, size = (unused([*sized.columns, "source_size", "target", "copies", "taken"], f"plan_{c}") for c in ("doc_id", "source", "size"))
+    plan = mix_plan(sized.select("doc_id", "source", "size"), **how).select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "copies")
+    same = sized["doc_id"].cast("long").eqNullSafe(plan[doc]) & sized["source"].cast("string").eqNullSafe(plan[source]) & (sized["size"] == plan[size])
+    return sized.join(plan, same).drop(doc, source, size).withColumn("taken", F.col("size") * F.col("copies"))

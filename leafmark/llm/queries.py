@@ -15,12 +15,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents; see jaccard_classes() for nulls, ties and repeated rows."""
     return jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written and read back; a gap in what was read is an error, not a missing row. See write_archives() for nulls, ties and repeated rows."""
     manifest = warc.write_archives(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    rows = warc.read_archives(manifest, payload=False).where("kind = 'record'")
+    rows = warc.read_archives(manifest, payload=False)
+    gap = F.raise_error(F.concat_ws(" ", F.lit("gap in an archive just written:"), "path", F.col("start").cast("string"), F.col("end").cast("string"), "reason"))
+    rows = rows.where(F.when(F.col("kind") == "record", F.lit(True)).otherwise(gap.cast("boolean")))
     rows = rows.withColumn("page_id", warc.page_of("record_id")).withColumn("refers_to", warc.page_of("refers_to"))
     origin = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest")).agg(F.max("payload_bytes").alias("origin_bytes"))
     return rows.join(origin, ["refers_to", "payload_digest"], "left").select(
@@ -29,12 +33,13 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every row whose vec_id is divisible by 20; see exact_topk() for nulls, ties and repeated rows."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("double")).alias("v"), F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias("odd"))
-    rows = rows.where(~F.col("odd")).drop("odd")
-    return topk.exact_topk(rows, rows.where("vec_id % 20 = 0"), 20)
+    return topk.exact_topk(rows.where(~F.col("odd")), F.col("vec_id") % 20 == 0, 20).drop("depth")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each; see mix_documents() for nulls, ties and repeated rows."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mix.token_count("text").alias("size"))
     plan = mix.mix_plan(docs)
     # Rows alike in id, source and size share a decision; each is a row of the result.
@@ -42,10 +47,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped of every document; see line_report()."""
     return linededup.line_report(_read(spark, sf_dir, "documents"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in every document; see find_contamination() for nulls, short items and repeated rows."""
     found = decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
@@ -53,18 +60,22 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document; see scan_secrets() for nulls and repeated rows."""
     return secrets.secret_report(_read(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and their spans of every document; see license_report()."""
     return license_scan.license_report(_read(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out; see predict() for nulls and texts without letters."""
     return langid.learn_and_predict(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back; see prefix_target_examples() for nulls and repeated rows."""
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -77,9 +88,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
-WORDS = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+WORDS = "list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 ORACLE = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT DISTINCT doc_id, {WORDS.format('text')} AS ws FROM documents WHERE doc_id IS NOT NULL),
+        g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(ws) - 3)), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS s FROM d WHERE len(ws) > 0),
+        f AS (SELECT s, min(doc_id) AS rep, count(DISTINCT doc_id) AS copies FROM g GROUP BY s),
+        u AS (SELECT rep, copies, len(s) AS n, unnest(s) AS w FROM f),
+        p AS (SELECT a.rep AS x, b.rep AS y, any_value(b.copies) AS copies FROM u a JOIN u b ON a.w = b.w AND a.rep <> b.rep AND b.n >= 0.8 * a.n AND a.n >= 0.8 * b.n
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+        c(x, y) AS (SELECT rep, rep FROM f UNION SELECT c.x, p.y FROM c JOIN p ON c.y = p.x),
+        k AS (SELECT x, min(y) AS class_id FROM c GROUP BY x),
+        l AS (SELECT x, sum(copies) AS linked FROM p GROUP BY x)
+        SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, (coalesce(l.linked, 0) + coalesce(f.copies, 1) - 1)::BIGINT AS n_links, coalesce(f.copies, 1)::BIGINT AS n_copies
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN f ON f.s = g.s LEFT JOIN k ON k.x = f.rep LEFT JOIN l ON l.x = f.rep
+    """,
+    "op3_exact_topk": """
+        WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, e.r AS other, list_inner_product(q.v, e.v)::BIGINT AS score FROM e q JOIN e ON q.r <> e.r WHERE q.vec_id % 20 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+    """,
+    "op6_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format('text')} AS ws FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item, {WORDS.format('text')} AS ws FROM benchmark),
+        i AS (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS a FROM b WHERE len(ws) > 0),
+        w AS (SELECT DISTINCT item, n, array_to_string(ws[a:a + n - 1], ' ') AS win FROM i),
+        t AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS a FROM d JOIN (SELECT DISTINCT n FROM w) ON len(ws) >= n),
+        m AS (SELECT t.r, t.a, t.n, w.item FROM t JOIN w ON w.n = t.n AND w.win = array_to_string(t.ws[t.a:t.a + t.n - 1], ' ')),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM m) GROUP BY r),
+        o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)
+    """,
     "op2_warc_salvage": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex FROM p),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import cut
+from leafmark.llm.common import cut, join_salted
 
 # Fixed patterns, as the base kinds are defined; in hex and access the length is part of the pattern, since their runs are maximal.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +35,8 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/_-]+$", _UPPER + _LOWER + _DIGIT + "+/", 0.066),
 )
 BINS = 200
+#: Matches of a text that are placed together.
+AT_ONCE = 64
 MATCH = "array<struct<start:int,k:int,stop:int,token:string>>"
 
 
@@ -42,7 +44,8 @@ def _places(text: Column, pattern: str, k: int, least: int = 0, group: int = 0)
     """start, kind, stop and matched text of every match, those with a shorter group than `least` left out."""
     pat = F.lit(pattern)
     matches = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pat, F.lit(0)).alias("m"), F.regexp_extract_all(text, pat, F.lit(group)).alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    none = F.array().cast(MATCH)
+    length = lambda x: F.char_length(x["gap"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
@@ -51,7 +54,15 @@ def _places(text: Column, pattern: str, k: int, least: int = 0, group: int = 0)
         fits = x["m"].isNotNull() & (F.char_length(x["g"]) >= least)
         return F.struct(stop.alias("at"), F.when(fits, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(matches, empty, step)["out"]).otherwise(F.array().cast(MATCH))
+    # in blocks, since an array that grows by one is copied each time: first where each block begins, then its matches
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / AT_ONCE).cast("int")), lambda b: F.slice(matches, b * AT_ONCE + 1, F.lit(AT_ONCE)))
+
+    def within(bs: Column) -> Column:
+        lengths = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + length(x)))
+        begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(bs, F.slice(begins, F.lit(1), F.size(bs)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
+
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(blocks), within), 1)).otherwise(none)
 
 
 def _phi(z: Column) -> Column:
@@ -107,7 +118,7 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
     base are the matches of assign, access and hex; added are tokens that pass the battery and overlap no base match.
     Null and empty texts have none; whole texts are scanned; null ids and repeated rows stay rows of their own (equal
-    tokens count as often as they stand when p's are ranked); an empty table gives no rows; extra columns are ignored.
+    tokens count once when p's are ranked); an empty table gives no rows; extra columns are ignored.
     Texts aren't shuffled. The histogram holds BINS counts for each encoding and length band.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -152,7 +163,8 @@ def _with_added(found: DataFrame, secret: DataFrame) -> DataFrame:
     keyed = found.withColumn("key", key)
     each = keyed.where(F.size("token") > 0).select("key", F.explode("token").alias("t")).select("key", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.token").alias("token")).distinct()
     few = secret.limit(200_001).count() <= 200_000
-    hit = each.join(F.broadcast(secret) if few else secret, "token").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(3).alias("k"), "stop"))).alias("added"))
+    met = each.join(F.broadcast(secret), "token") if few else join_salted(each, cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(secret, "token")), ["token"])
+    hit = met.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(3).alias("k"), "stop"))).alias("added"))
     joined = keyed.join(hit, "key", "left")
     free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,k:int,stop:int>>")), lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
     return joined.select("doc_id", "base", free.alias("added"))
@@ -165,6 +177,7 @@ def span_text(matches: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, rate: float = 0.05) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans and all spans of every row; see scan_secrets() for odd rows."""
     found = scan_secrets(docs, rate)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(

@@ -2,84 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import cut
 
 
 class Lists:
-    """Vectors of a block and, for each dimension, their order by value (descending)."""
+    """Vectors of a block and, for each dimension, their places by value, descending."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray):
+        self.ids, self.rows, self.x = ids, rows, x
         self.n, self.d = x.shape
-        self.down = np.argsort(-self.x, axis=0, kind="stable").astype(np.int32)
-        self.depths = self._depths()
-        self.high = np.stack([self.x[self.down[t - 1], np.arange(self.d)] for t in self.depths], axis=1)
-        self.low = np.stack([self.x[self.down[self.n - t], np.arange(self.d)] for t in self.depths], axis=1)
-
-    def _depths(self) -> list[int]:
-        out, t = [], 16
-        while t < self.n:
-            out.append(t)
-            t += max(16, t // 2)
-        return [*out, self.n]
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def threshold_topk(lists: Lists, q: np.ndarray, own: np.ndarray, k: int, first: int = 32, dense: float = 0.25) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each row of q: ids and scores of the k best vectors but `own`, by score descending, then id; and the depth read.
-
-    Sorted access goes down all lists at once, from the top where the query's component is positive and from the
-    bottom where it is negative. A vector's score is computed in full when it is first seen. What hasn't been seen
-    scores at most the sum of the products at the lists' present places (`bound`); the search ends at the first depth
-    where that is less than the k-th score, so vectors tied with the k-th are always seen. The k-th score after `first`
-    places already tells a depth at which the search must have ended; the lists are read on to that depth in one go.
-    If they'd then have shown more than `dense` of the block, every vector of the block is scored, by one product for
-    all such queries, which reads no list further and gives the same answer.
-    """
-    bound = np.maximum(q, 0) @ lists.high + np.minimum(q, 0) @ lists.low
-    depths = np.array(lists.depths)
-    out: list = [None] * len(q)
-    full: list[tuple[int, float]] = []
-
-    def seen(i: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-        up, down = np.flatnonzero(q[i] > 0), np.flatnonzero(q[i] < 0)
-        rows = np.unique(np.concatenate((lists.down[:t, up].ravel(), lists.down[lists.n - t :, down].ravel())))
-        rows = rows[lists.ids[rows] != own[i]]
-        return lists.ids[rows], lists.x[rows] @ q[i]
-
-    for i in range(len(q)):
-        begin = min(first, lists.n)
-        ids, scores = seen(i, begin)
-        kth = -np.partition(-scores, k - 1)[k - 1] if len(scores) >= k else -np.inf
-        stop = np.flatnonzero((bound[i] < kth) & (depths >= begin))
-        t = int(depths[stop[0]]) if len(stop) else lists.n
-        if t * np.count_nonzero(q[i]) > dense * lists.n:
-            full.append((i, kth))
-        elif t == begin:
-            out[i] = (*_best(ids, scores, k), t)
-        else:
-            out[i] = (*_best(*seen(i, t), k), t)
-    for c in range(0, len(full), 32):
-        part = full[c : c + 32]
-        scores = q[[i for i, _ in part]] @ lists.x.T
-        for (i, kth), row in zip(part, scores, strict=True):
-            near = np.flatnonzero(row >= kth)
-            near = near[lists.ids[near] != own[i]]
-            out[i] = (*_best(lists.ids[near], row[near], k), lists.n)
-    return out
+        self.order = np.argsort(-x.T, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(x.T, self.order, axis=1)
+
 
+def threshold_topk(lists: Lists, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and scores of the k best vectors for q but row `own`, by score descending, then id; and the depth read.
 
-OUT = "query_id long, vec_id long, score double, depth long"
+    Sorted access goes down the lists of q's components that aren't 0 side by side, from the top where the component is
+    positive and from the bottom where it is negative, and is resumed where it stopped. A vector is scored in full when
+    it is first seen. What hasn't been seen scores at most the sum of the products at the lists' present places; the
+    search ends when that bound is less than the k-th score, so that vectors tied with the k-th are all seen.
+    """
+    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+    if not len(up) and not len(down):  # all scores are 0
+        rest = np.sort(lists.ids[lists.rows != own])[:k]
+        return rest, np.zeros(len(rest)), 0
+    seen = lists.rows == own
+    ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+    at = 0
+    while at < lists.n:
+        to = min(lists.n, at + max(8, at // 4))
+        fresh = np.zeros(lists.n, dtype=bool)
+        fresh[lists.order[up, at:to].ravel()] = True
+        fresh[lists.order[down, lists.n - to : lists.n - at].ravel()] = True
+        fresh = np.flatnonzero(fresh & ~seen)
+        seen[fresh] = True
+        ids, scores = np.concatenate((ids, lists.ids[fresh])), np.concatenate((scores, lists.x[fresh] @ q))
+        if len(ids) > k:
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+        at = to
+        bound = q[up] @ lists.sorted[up, at - 1] + q[down] @ lists.sorted[down, lists.n - at]
+        if len(ids) >= k and bound < scores.min():
+            break
+    best = np.lexsort((ids, -scores))
+    return ids[best], scores[best], at
+
+
+OUT = "query_row long, query_id long, vec_id long, score double, depth long"
 
 
 def _matrix(column: pd.Series, d: int) -> np.ndarray:
@@ -90,43 +67,53 @@ def _matrix(column: pd.Series, d: int) -> np.ndarray:
 
 
 def _search(k: int, d: int):
-    def run(query: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if not len(query) or not len(base):
-            return pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
-        lists = Lists(base["vec_id"].to_numpy(np.int64), _matrix(base["v"], d))
-        rows = []
-        owns = query["vec_id"].to_numpy(np.int64)
-        for own, (ids, scores, depth) in zip(owns.tolist(), threshold_topk(lists, _matrix(query["v"], d), owns, k), strict=True):
-            rows.append((np.full(len(ids), own), ids, scores, np.full(len(ids), depth)))
-        return pd.DataFrame({c.split()[0]: np.concatenate([r[i] for r in rows]) for i, c in enumerate(OUT.split(", "))})
+    """Rows sorted by block, a block's vectors before its queries -> the k best of the block for every query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, lists = None, [], None
+        for f in batches:
+            for b, part in f.groupby("b", sort=True):
+                if b != block:
+                    block, held, lists = b, [], None
+                held.append(part[~part["asks"]])
+                asks = part[part["asks"]]
+                if not len(asks):
+                    continue
+                if lists is None:
+                    base = pd.concat(held)
+                    lists = Lists(base["vec_id"].to_numpy(np.int64), base["row"].to_numpy(np.int64), _matrix(base["v"], d))
+                out = []
+                for row, vec, q in zip(asks["row"].tolist(), asks["vec_id"].tolist(), _matrix(asks["v"], d), strict=True):
+                    ids, scores, depth = threshold_topk(lists, q, row, k)
+                    out.append(pd.DataFrame({"query_row": row, "query_id": vec, "vec_id": ids, "score": scores, "depth": depth}))
+                yield pd.concat(out)
 
     return run
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1 << 15, query_block: int = 512) -> DataFrame:
-    """For every query its k highest inner products with `vectors`, its own id left out: query_id, rank, vec_id, score, depth.
-
-    Both tables have vec_id long and v array<double> of whole numbers (sums stay exact below 2**53). The query set is
-    given; it is dealt in blocks against blocks of vectors: a task holds at most about `block` vectors, whose lists it
-    sorts once, and `query_block` queries. A block gives each query its own k best, of which the k best of all blocks are
-    the answer. Rows are named by vec_id: of rows with one id the least vector counts. Null ids and null vectors, and
-    vectors with null, NaN or infinite components, take no part; shorter vectors are filled up with zeros; ties go to
-    the smaller vec_id; fewer than k candidates are all returned; empty tables give no rows. Extra columns are ignored.
-    """
+def exact_topk(vectors: DataFrame, asks: Column, k: int = 20, block: int = 1 << 13) -> DataFrame:
+    """For every row that `asks` holds for, its k highest inner products with all other rows: query_id, rank, vec_id, score, depth.
 
-    def clean(df: DataFrame) -> DataFrame:
-        inf = float("inf")
-        whole = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (x == inf) | (x == -inf))
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where(whole).groupBy("vec_id").agg(F.min("v").alias("v"))
+    vectors has vec_id long and v array<double> of whole numbers (sums stay exact below 2**53); asks is a condition on
+    vec_id. Rows are dealt once to blocks of about `block` vectors; a task sorts its block's lists once and streams all
+    queries through them, so queries are sent to each block and vectors to one. A block gives each query its own k best,
+    of which the k best of all blocks are the answer; depth is how far that block's lists were read.
 
-    base, query = cut(clean(vectors)), cut(clean(queries))
+    Every row but the query's own is a candidate, also one that repeats its vec_id; rows that repeat a vec_id are
+    queries of their own. Null ids and null vectors, and vectors with null, NaN or infinite components, take no part;
+    shorter vectors are filled up with zeros; ties go to the smaller vec_id; fewer than k candidates are all returned;
+    empty tables give no rows. Extra columns are ignored.
+    """
+    inf = float("inf")
+    whole = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (x == inf) | (x == -inf))
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where(whole)
+    base = cut(own.withColumn("row", F.monotonically_increasing_id()))
     n, d = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    nq, dq = query.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    parts, q_parts = max(1, -(-n // block)), max(1, -(-nq // query_block))
-    base_dealt = base.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    query_dealt = query.withColumn("q", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(q_parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = query_dealt.groupBy("q", "b").cogroup(base_dealt.groupBy("q", "b")).applyInPandas(_search(k, max(d or 1, dq or 1)), OUT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    blocks = max(1, -(-n // block))
+    dealt = base.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    sent = base.where(asks).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    found = dealt.unionByName(sent).repartition(blocks, "b").sortWithinPartitions("b", "asks").mapInPandas(_search(k, d or 1), OUT)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"), "depth")
 
 

@@ -169,27 +169,68 @@ def _checked(fields: dict[str, str], block: bytes) -> tuple[bytes, str | None]:
     return payload, found
 
 
-def _member(src: _Source, at: int, most: int) -> tuple[bytes, int]:
-    """The inflated gzip member at `at` and its end."""
+def _member(src: _Source, at: int, most: int) -> tuple[bytes, int, str]:
+    """What can be inflated of the gzip member at `at`, where it ends (or reading stopped), and what is wrong with it, if anything."""
     z, out, size = zlib.decompressobj(31), [], 0
     while not z.eof:
         if not src.fill(at + 1):
-            raise _Bad("gzip member not ended")
+            return b"".join(out), at, "gzip member not ended"
         piece = src.get(at, min(src.end(), at + (1 << 16)))
+        before = z.copy()
         try:
             got = z.decompress(piece, most + 1 - size)
         except zlib.error as e:
-            raise _Bad(f"gzip: {str(e)[:60]}") from None
+            return b"".join(out) + _before_damage(before, piece, most - size), at, f"gzip: {str(e)[:60]}"
         size += len(got)
         out.append(got)
         if not out[0][:7].startswith(VERSION[: len(out[0][:7])]):
-            raise _Bad("gzip member without a version line")
+            return b"", at, "gzip member without a version line"
         if size > most:
-            raise _Bad("record larger than the limit")
+            return b"", at, "member larger than the limit"
         at += len(piece) - len(z.unused_data) - len(z.unconsumed_tail)
         if z.unconsumed_tail and not got:
-            raise _Bad("gzip member stalls")
-    return b"".join(out), at
+            return b"".join(out), at, "gzip member stalls"
+    return b"".join(out), at, ""
+
+
+def _before_damage(z, piece: bytes, most: int) -> bytes:
+    """What a piece inflates to up to its first bad byte; a failed call gives nothing, so bytes go in one by one."""
+    out = bytearray()
+    try:
+        for i in range(len(piece)):
+            out += z.decompress(piece[i : i + 1], most + 1)
+            if len(out) > most:
+                return b""
+    except zlib.error:
+        pass
+    return bytes(out)
+
+
+def _within(raw: bytes, sound: bool) -> Iterator[tuple]:
+    """Records of an inflated member and the stretches between: (fields, payload, digest) or (begin, end, reason).
+
+    In a member that is damaged only records that state a block digest which holds are taken.
+    """
+    at, bad, why = 0, None, ""
+    while at < len(raw):
+        try:
+            fields, block, n = _parse(raw[at:] if at else raw, True)
+            payload, digest = _checked(fields, block)
+            if not sound and not fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise _Bad("no block digest in a damaged member")
+        except _Bad as e:
+            if bad is None:
+                bad, why = at, str(e)
+            following = raw.find(VERSION, at + 1)
+            at = len(raw) if following < 0 else following
+            continue
+        if bad is not None:
+            yield bad, at, why
+            bad = None
+        yield fields, payload, digest
+        at += n
+    if bad is not None:
+        yield bad, len(raw), why
 
 
 def _plain(src: _Source, at: int, most: int) -> tuple[bytes, int]:
@@ -212,32 +253,45 @@ def salvage(file, most: int = 1 << 30) -> Iterator[tuple]:
 
     A record is whole only if its gzip member inflates (or its plain form is all there), its header parses, its block
     has the stated length and its digests hold. Otherwise the bytes from there to the next offset at which a gzip
-    magic or a version line starts a whole record are one gap. Records of more than `most` bytes are gaps too.
+    magic or a version line starts a whole record are one gap. A member may hold several records: they have its start
+    and end, and so has a gap for each stretch in it that is no whole record, which tells its place in the inflated
+    bytes. Of a member that fails, whole records before the damage whose digests hold are given, with an empty range at
+    its start, and it is a gap all the same. Members and records of more than `most` bytes are gaps.
     """
     src, at, bad, why = _Source(file), 0, None, ""
     while src.fill(at + 1):
         src.forget(at)
-        first = src.get(at, at + 7)
-        try:
-            if first.startswith(GZIP):
-                raw, end = _member(src, at, most)
-            elif first.startswith(VERSION):
+        first, found, end, wrong = src.get(at, at + 7), [], at, ""
+        if first.startswith(GZIP):
+            raw, end, wrong = _member(src, at, most)
+            found = list(_within(raw, not wrong))
+            if not wrong and not any(isinstance(x[0], dict) for x in found):
+                wrong = found[0][2] if found else "empty gzip member"
+        elif first.startswith(VERSION):
+            try:
                 raw, end = _plain(src, at, most)
-            else:
-                raise _Bad("neither a gzip member nor a version line")
-            fields, block, n = _parse(raw, True)
-            payload, digest = _checked(fields, block)
-            if n != len(raw):
-                raise _Bad("more than one record in a member")
-        except _Bad as e:
+                fields, block, _ = _parse(raw, True)
+                found = [(fields, *_checked(fields, block))]
+            except _Bad as e:
+                wrong = str(e)
+        else:
+            wrong = "neither a gzip member nor a version line"
+        if wrong:
             if bad is None:
-                bad, why = at, str(e)
+                bad, why = at, wrong
+            for x in found:
+                if isinstance(x[0], dict):
+                    yield "record", at, at, *x
             at = _next(src, at + 1)
             continue
         if bad is not None:
             yield "gap", bad, at, why
             bad = None
-        yield "record", at, end, fields, payload, digest
+        for x in found:
+            if isinstance(x[0], dict):
+                yield "record", at, end, *x
+            else:
+                yield "gap", at, end, f"inflated {x[0]}-{x[1]}: {x[2]}"
         at = end
     if bad is not None:
         yield "gap", bad, src.end(), why

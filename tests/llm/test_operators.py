@@ -70,7 +70,7 @@ def test_warc_round_trip_and_salvage(spark):
         members.append(z.compress(x) + z.flush())
     broken = members[0] + members[1][:40] + b"\x00junk" + members[2] + raw[3].replace(b"DDD", b"EEE", 1) + members[3] + b"tail"
     out = list(warc.salvage(io.BytesIO(broken)))
-    assert [x[0] for x in out] == ["record", "gap", "record", "gap", "record", "gap"]
+    assert [x[0] for x in out] == ["record", "gap", "record", "gap", "record", "gap"], out
     assert out[0][1] == 0 and out[-1][2] == len(broken) and all(a[2] == b[1] for a, b in zip(out, out[1:], strict=False))
 
 
@@ -79,13 +79,13 @@ def test_topk_is_exact_with_ties(spark):
     x = r.integers(-3, 4, (700, 6)).astype(float)
     x[5] = x[6]
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [1.0, None]), (902, [float("nan")])], "vec_id long, v array<double>")
-    got = [(q.query_id, q.rank, q.vec_id, q.score) for q in topk.exact_topk(df, df.where("vec_id % 20 = 0"), 20, block=256, query_block=16).orderBy("query_id", "rank").collect()]
+    got = [(q.query_id, q.rank, q.vec_id, q.score) for q in topk.exact_topk(df, F.col("vec_id") % 20 == 0, 20, block=256).orderBy("query_id", "rank").collect()]
     want = []
     for i in range(0, 700, 20):
         s = x @ x[i]
         want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(700), -s)) if j != i][:20])]
     assert got == want
-    assert topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
+    assert topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_mix_meets_targets_and_repeats(spark, odd):
