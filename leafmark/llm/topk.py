@@ -13,47 +13,66 @@ from leafmark.llm.common import cut
 
 
 class Lists:
-    """Vectors of a block and, for each dimension, their places by value, descending."""
+    """Vectors of a block and, for each dimension, their places by value, descending; the values at some depths from either end."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray):
-        self.ids, self.rows, self.x = ids, rows, x
-        self.n, self.d = x.shape
+        self.ids, self.rows, (self.n, self.d) = ids, rows, x.shape
+        # whole numbers whose products and their sums stay below 2**24 are exact in half the space
+        self.x = x.astype(np.float32) if self.n and self.d * float(np.abs(x).max()) ** 2 < 1 << 24 else x
         self.order = np.argsort(-x.T, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(x.T, self.order, axis=1)
+        depths, t = [], 16
+        while t < self.n:
+            depths.append(t)
+            t += max(16, t // 16)
+        self.depths = np.array([*depths, self.n])
+        values = np.take_along_axis(x.T, self.order, axis=1)
+        self.high, self.low = values[:, self.depths - 1], values[:, self.n - self.depths]
 
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """For each query and depth the most that a vector can score that is in no list up to there."""
+        return np.maximum(q, 0) @ self.high + np.minimum(q, 0) @ self.low
 
-def threshold_topk(lists: Lists, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+
+def threshold_topk(lists: Lists, q: np.ndarray, own: int, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and scores of the k best vectors for q but row `own`, by score descending, then id; and the depth read.
 
     Sorted access goes down the lists of q's components that aren't 0 side by side, from the top where the component is
     positive and from the bottom where it is negative, and is resumed where it stopped. A vector is scored in full when
     it is first seen. What hasn't been seen scores at most the sum of the products at the lists' present places; the
-    search ends when that bound is less than the k-th score, so that vectors tied with the k-th are all seen.
+    search ends when that bound is less than the k-th score, so that vectors tied with the k-th are all seen. The k-th
+    score so far tells a depth at which the search must end; half the way there is read before it is asked again.
     """
     up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
     if not len(up) and not len(down):  # all scores are 0
         rest = np.sort(lists.ids[lists.rows != own])[:k]
         return rest, np.zeros(len(rest)), 0
+    bounds = lists.bounds(q[None])[0] if bounds is None else bounds
+    exact = q.astype(lists.x.dtype) if lists.d * float(np.abs(q).max()) ** 2 < 1 << 24 else q
     seen = lists.rows == own
-    ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-    at = 0
-    while at < lists.n:
-        to = min(lists.n, at + max(8, at // 4))
+    ids, scores, kth = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=lists.x.dtype), -np.inf
+    at, step = 0, 0
+    while True:
+        to = lists.depths[step]
         fresh = np.zeros(lists.n, dtype=bool)
         fresh[lists.order[up, at:to].ravel()] = True
         fresh[lists.order[down, lists.n - to : lists.n - at].ravel()] = True
-        fresh = np.flatnonzero(fresh & ~seen)
-        seen[fresh] = True
-        ids, scores = np.concatenate((ids, lists.ids[fresh])), np.concatenate((scores, lists.x[fresh] @ q))
-        if len(ids) > k:
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        at = to
-        bound = q[up] @ lists.sorted[up, at - 1] + q[down] @ lists.sorted[down, lists.n - at]
-        if len(ids) >= k and bound < scores.min():
+        fresh &= ~seen
+        seen |= fresh
+        rows = np.flatnonzero(fresh)
+        found = np.take(lists.x, rows, axis=0) @ exact
+        good = found >= kth
+        ids, scores, at = np.concatenate((ids, lists.ids[rows[good]])), np.concatenate((scores, found[good])), to
+        if len(scores) >= k:
+            kth = -np.partition(-scores, k - 1)[k - 1]
+            good = scores >= kth
+            ids, scores = ids[good], scores[good]
+        ends = np.flatnonzero(bounds < kth)
+        if at == lists.n or len(ends) and ends[0] <= step:
             break
-    best = np.lexsort((ids, -scores))
-    return ids[best], scores[best], at
+        last = ends[0] if len(ends) else len(lists.depths) - 1
+        step = min(last, max(step + 1, int(np.searchsorted(lists.depths, (at + lists.depths[last]) // 2))))
+    best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best].astype(np.float64), int(at)
 
 
 OUT = "query_row long, query_id long, vec_id long, score double, depth long"
@@ -82,11 +101,13 @@ def _search(k: int, d: int):
                 if lists is None:
                     base = pd.concat(held)
                     lists = Lists(base["vec_id"].to_numpy(np.int64), base["row"].to_numpy(np.int64), _matrix(base["v"], d))
-                out = []
-                for row, vec, q in zip(asks["row"].tolist(), asks["vec_id"].tolist(), _matrix(asks["v"], d), strict=True):
-                    ids, scores, depth = threshold_topk(lists, q, row, k)
-                    out.append(pd.DataFrame({"query_row": row, "query_id": vec, "vec_id": ids, "score": scores, "depth": depth}))
-                yield pd.concat(out)
+                queries = _matrix(asks["v"], d)
+                found = [threshold_topk(lists, *x, k, b) for *x, b in zip(queries, asks["row"].tolist(), lists.bounds(queries), strict=True)]
+                of = np.array([len(ids) for ids, _, _ in found])
+                yield pd.DataFrame({
+                    "query_row": np.repeat(asks["row"].to_numpy(), of), "query_id": np.repeat(asks["vec_id"].to_numpy(), of),
+                    "vec_id": np.concatenate([ids for ids, _, _ in found]), "score": np.concatenate([s for _, s, _ in found]), "depth": np.repeat([t for *_, t in found], of),
+                })
 
     return run
 
