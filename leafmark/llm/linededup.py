@@ -32,6 +32,8 @@ from leafmark.llm.wordhash import mix
 SHINGLE, BINS, BANDS, ROWS = 5, 64, 8, 5
 #: Characters that are signed at once; longer lines are taken in pieces.
 PIECE = 1 << 18
+#: Lines that are signed at once.
+AT_ONCE = 2048
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 BLANKS = (" ", "\t", "\r", "\u000b", "\f")
 #: Names of lines, 8 bytes each, and dropped positions, with four a document for the rest of its row, up to which they are broadcast: some 32 MB.
@@ -102,9 +104,7 @@ def _minima(lines: list[str]) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (whole.slice(a, AT_ONCE) for whole in batches for a in range(0, whole.num_rows, AT_ONCE)):
         low = _minima(batch.column("line").to_pylist())
         value = mix(low)
         bands = np.empty((len(low), BANDS), dtype=np.uint64)
