@@ -17,7 +17,7 @@ COLUMN_WIDTH, COLUMN_ROW_HEIGHT = (0.2, 0.55), 1.6
 FLOAT_WORDS, FLOAT_WIDTH, FLOAT_MARGIN, ISOLATION, RESCUE_OVERLAP = 3, 0.15, 0.008, 2.2, 0.5
 RUN_MIN_TOL, RUN_TOL_SHARE, RUN_SPACE = 2.0, 0.5, 0.12
 
-OCR_LINE = "doc_id long, page int, ix int, col int, text string, x double, width double, mid_y double, h double, n_words long, is_float boolean, pitch double, words array<int>"
+OCR_LINE = "doc_id long, page int, ix int, col int, text string, x double, width double, mid_y double, h double, n_words long, is_float boolean, is_tall boolean, pitch double, median_h double, two_column boolean, words array<int>"
 TEXT_LINE = "doc_id long, page int, ix int, col int, text string, x double, y double, h double, n_words long, words array<int>"
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 
@@ -33,19 +33,19 @@ def row_numbers(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, band
     A word joins the first open row of its band whose middle is within the tolerance and whose height isn't too
     different; it widens that row's box, so the outcome depends on the order: from the top, then from the left.
     """
-    found, n = np.zeros(len(x), dtype=int), 0
-    low, high, bands = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), dtype=int)
-    for i in np.lexsort((x, -(y + h / 2))):
-        tall, mid = high[:n] - low[:n], (high[:n] + low[:n]) / 2
-        most, least = np.maximum(tall, h[i]), np.minimum(tall, h[i])
-        near = np.abs(mid - (y[i] + h[i] / 2)) <= np.maximum(LINE_Y_TOL, most * LINE_HEIGHT_SHARE)
-        fits = np.flatnonzero((bands[:n] == band[i]) & near & (most < least * LINE_HEIGHT_RATIO))
-        if len(fits):
-            r = fits[0]
-            low[r], high[r] = min(low[r], y[i]), max(high[r], y[i] + h[i])
+    found = np.zeros(len(x), dtype=int)
+    rows: list[list[float]] = []  # low, high, band
+    for i, a, t, s in zip((order := np.lexsort((x, -(y + h / 2)))).tolist(), y[order].tolist(), h[order].tolist(), band[order].tolist(), strict=True):
+        mid = a + t / 2
+        for r, (low, high, own) in enumerate(rows):
+            tall = high - low
+            most, least = (tall, t) if tall > t else (t, tall)
+            if own == s and abs((high + low) / 2 - mid) <= max(LINE_Y_TOL, most * LINE_HEIGHT_SHARE) and most < least * LINE_HEIGHT_RATIO:
+                rows[r][0], rows[r][1] = min(low, a), max(high, a + t)
+                break
         else:
-            r, n = n, n + 1
-            low[r], high[r], bands[r] = y[i], y[i] + h[i], band[i]
+            r = len(rows)
+            rows.append([a, a + t, s])
         found[i] = r
     return found
 
@@ -54,80 +54,81 @@ def _upper_median(values: np.ndarray, default: float) -> float:
     return float(np.sort(values)[len(values) // 2]) if len(values) else default
 
 
-def _pitch(lines: pd.DataFrame) -> float:
-    gap = -lines["mid_y"].diff()
-    return _upper_median(gap[(lines["col"] == lines["col"].shift()) & (gap > 0.0005)].to_numpy(), pg.PITCH)
+def _pitch(col: np.ndarray, mid_y: np.ndarray) -> float:
+    gap = mid_y[:-1] - mid_y[1:]
+    return _upper_median(gap[(col[1:] == col[:-1]) & (gap > 0.0005)], pg.PITCH)
 
 
-def _ranges(rows: pd.DataFrame, two: bool, median_h: float) -> list[tuple[float, float]]:
+def _ranges(x: np.ndarray, right: np.ndarray, tall: np.ndarray, band: np.ndarray, two: bool, median_h: float) -> list[tuple[float, float]]:
     """The x range of each column, from its wide rows of body height; a column with fewer than two has none."""
-    wide = rows[(rows["right"] - rows["x"] >= COLUMN_WIDTH[0]) & (rows["top"] - rows["y"] <= median_h * COLUMN_ROW_HEIGHT)]
+    wide = (right - x >= COLUMN_WIDTH[0]) & (tall <= median_h * COLUMN_ROW_HEIGHT)
     if two:
-        wide = wide[wide["right"] - wide["x"] <= COLUMN_WIDTH[1]]
-    sides = [wide[wide["band"] == b] for b in (0, 1)] if two else [wide]
-    return [(s["x"].min(), s["right"].max()) for s in sides if len(s) > 1]
+        wide &= right - x <= COLUMN_WIDTH[1]
+    sides = [wide & (band == b) for b in (0, 1)] if two else [wide]
+    return [(x[s].min(), right[s].max()) for s in sides if s.sum() > 1]
 
 
-def _columns(rows: pd.DataFrame, ranges: list[tuple[float, float]]) -> np.ndarray:
+def _columns(x: np.ndarray, right: np.ndarray, ranges: list[tuple[float, float]]) -> np.ndarray:
     """The column that a row overlaps more, else the one with the nearer centre."""
     if len(ranges) != 2:
-        return np.zeros(len(rows), dtype=int)
-    x, right = rows["x"].to_numpy(), rows["right"].to_numpy()
+        return np.zeros(len(x), dtype=int)
     left, other = (np.clip(np.minimum(right, b) - np.maximum(x, a), 0, None) for a, b in ranges)
     far = [np.abs((x + right) / 2 - (a + b) / 2) for a, b in ranges]
     return np.where(left != other, left < other, far[0] > far[1]).astype(int)
 
 
-def _floats(lines: pd.DataFrame, ranges: list[tuple[float, float]], tall_from: float) -> np.ndarray:
+def _floats(text: list[str], col: np.ndarray, x: np.ndarray, width: np.ndarray, mid_y: np.ndarray, h: np.ndarray, ranges: list[tuple[float, float]], tall_from: float) -> np.ndarray:
     """Short lines off their column's start that are narrow or lone display junk, unless they hang under a kept line."""
-    start = lines["col"].map({i: r[0] for i, r in enumerate(ranges)})
-    short = (lines["text"].str.split(" ").map(lambda t: sum(map(bool, t))) <= FLOAT_WORDS) & ((lines["x"] - start).abs() > FLOAT_MARGIN)
-    reach, is_float = _pitch(lines) * pg.PARA_GAP, np.zeros(len(lines), dtype=bool)
-    for i in np.flatnonzero(short.to_numpy()):  # in reading order: a line kept here may keep the next
-        line = lines.iloc[i]
-        same = lines["col"] == line["col"]
-        odd = line["width"] < FLOAT_WIDTH
-        if not odd and line["h"] >= tall_from and not re.search(WORDLIKE, line["text"]):
-            close = (lines["mid_y"] - line["mid_y"]).abs() < np.maximum(lines["h"], line["h"]) * ISOLATION
-            odd = not (same & close & (lines["h"] >= tall_from) & (lines.index != i)).any()
+    reach, is_float, at = _pitch(col, mid_y) * pg.PARA_GAP, np.zeros(len(text), dtype=bool), np.arange(len(text))
+    for i, t in enumerate(text):  # in reading order: a line kept here may keep the next
+        if col[i] >= len(ranges) or sum(map(bool, t.split(" "))) > FLOAT_WORDS or abs(x[i] - ranges[col[i]][0]) <= FLOAT_MARGIN:
+            continue
+        same = col == col[i]
+        odd = width[i] < FLOAT_WIDTH
+        if not odd and h[i] >= tall_from and not re.search(WORDLIKE, t):
+            close = np.abs(mid_y - mid_y[i]) < np.maximum(h, h[i]) * ISOLATION
+            odd = not (same & close & (h >= tall_from) & (at != i)).any()
         if odd:
-            gap = lines["mid_y"] - line["mid_y"]
-            over = np.minimum(lines["x"] + lines["width"], line["x"] + line["width"]) - np.maximum(lines["x"], line["x"])
-            above = same & (gap > 0) & (gap <= reach) & (over >= line["width"] * RESCUE_OVERLAP) & ~is_float & (lines.index < i)
-            is_float[i] = not above.any()
+            gap = mid_y - mid_y[i]
+            over = np.minimum(x + width, x[i] + width[i]) - np.maximum(x, x[i])
+            is_float[i] = not (same & (gap > 0) & (gap <= reach) & (over >= width[i] * RESCUE_OVERLAP) & ~is_float & (at < i)).any()
     return is_float
 
 
 def page_layout(words: pd.DataFrame) -> pd.DataFrame:
     """The lines of one page, in reading order, from its words (doc_id, page, idx, text, x, y, w, h)."""
-    words = words.sort_values("idx", ignore_index=True)
-    x, y, w, h = (words[c].to_numpy(float) for c in ("x", "y", "w", "h"))
+    first = words.iloc[0]
+    order = np.argsort(words["idx"].to_numpy(), kind="stable")
+    x, y, w, h = (words[c].to_numpy(float)[order] for c in ("x", "y", "w", "h"))
+    said = words["text"].to_numpy(object)[order].tolist()
     median_h = _upper_median(h, 0.0)
     tall, mid = h >= pg.TALL * median_h, x + w / 2
     n = max(1, int((~tall).sum()))
     sides = [int((~tall & (mid < pg.SPLIT - pg.GUTTER)).sum()), int((~tall & (mid > pg.SPLIT + pg.GUTTER)).sum())]
     ink = int((~tall & (x < pg.SPLIT) & (x + w > pg.SPLIT)).sum())
     two = min(sides) >= max(pg.MIN_WORDS, n * pg.MIN_SHARE) and ink <= n * pg.GUTTER_INK
-    words["band"] = np.where(tall | (not two) | (mid < pg.SPLIT), 0, 1)
-    words["row"], words["right"], words["top"], words["tall"] = 0, x + w, y + h, tall
-    for part in (tall, ~tall):
-        words.loc[part, "row"] = row_numbers(x[part], y[part], w[part], h[part], words["band"].to_numpy()[part])
-    # Tall rows come first; the longest word, the first of several, gives a line's height.
-    words["letters"], words["at"] = words["text"].str.len(), range(len(words))
-    rows = words.assign(body=~tall).groupby(["body", "row"], as_index=False).agg(band=("band", "first"), x=("x", "min"), y=("y", "min"), right=("right", "max"), top=("top", "max"), n_words=("text", "size"))
-    across = words.assign(body=~tall).sort_values("x", kind="stable").groupby(["body", "row"])
-    in_x, at = across["text"].agg(" ".join), across["at"].agg(list)
-    rows["text"], rows["words"] = ([of[k] for k in zip(rows["body"], rows["row"], strict=True)] for of in (in_x, at))
-    entered = words.assign(body=~tall, mid=y + h / 2).sort_values(["mid", "x"], ascending=[False, True], kind="stable")
-    longest = entered.sort_values("letters", ascending=False, kind="stable").groupby(["body", "row"])["h"].first()
-    rows["h"] = [longest[k] for k in zip(rows["body"], rows["row"], strict=True)]
-    ranges = _ranges(rows, two, median_h)
-    rows["col"], rows["width"], rows["mid_y"] = _columns(rows, ranges), rows["right"] - rows["x"], (rows["y"] + rows["top"]) / 2
-    lines = rows.assign(down=-rows["mid_y"]).sort_values(["col", "down"], kind="stable", ignore_index=True)
-    lines["is_float"] = _floats(lines, ranges, pg.TALL * median_h)
-    lines["pitch"], lines["ix"] = _pitch(lines[~lines["is_float"]]), range(len(lines))
-    lines["doc_id"], lines["page"] = words["doc_id"].iloc[0], words["page"].iloc[0]
-    return lines[[c.split()[0] for c in OCR_LINE.split(", ")]]
+    band = np.where(tall | (not two) | (mid < pg.SPLIT), 0, 1)
+    members: list[list[int]] = []  # of rows, those of tall words first
+    for part in (np.flatnonzero(tall), np.flatnonzero(~tall)):
+        opened: dict[int, list[int]] = {}
+        for i, r in zip(part.tolist(), row_numbers(x[part], y[part], w[part], h[part], band[part]).tolist(), strict=True):
+            opened.setdefault(r, []).append(i)
+        members += [opened[r] for r in sorted(opened)]
+    # The longest word gives a line's height; of several the one that was entered first.
+    rx, ry, right, top = (np.array([f(v[m]) for m in members]) for f, v in ((np.min, x), (np.min, y), (np.max, x + w), (np.max, y + h)))
+    height = np.array([h[max(m, key=lambda i: (len(said[i]), y[i] + h[i] / 2, -x[i], -i))] for m in members])
+    in_x = [sorted(m, key=lambda i: x[i]) for m in members]
+    rows_band, is_tall = np.array([band[m[0]] for m in members]), np.array([bool(tall[m[0]]) for m in members])
+    ranges = _ranges(rx, right, top - ry, rows_band, two, median_h)
+    col, mid_y = _columns(rx, right, ranges), (ry + top) / 2
+    down = np.lexsort((-mid_y, col))
+    col, mid_y, lx, width, height, is_tall = col[down], mid_y[down], rx[down], (right - rx)[down], height[down], is_tall[down]
+    text = [" ".join(said[i] for i in in_x[k]) for k in down]
+    is_float = _floats(text, col, lx, width, mid_y, height, ranges, pg.TALL * median_h)
+    return pd.DataFrame({
+        "doc_id": first["doc_id"], "page": first["page"], "ix": range(len(text)), "col": col, "text": text, "x": lx, "width": width, "mid_y": mid_y, "h": height, "n_words": [len(in_x[k]) for k in down],
+        "is_float": is_float, "is_tall": is_tall, "pitch": _pitch(col[~is_float], mid_y[~is_float]), "median_h": median_h, "two_column": bool(two), "words": [in_x[k] for k in down],
+    })
 
 
 def ocr_lines(words: DataFrame) -> DataFrame:
