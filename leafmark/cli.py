@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from leafmark import api
+from leafmark import __version__, api
 from leafmark.errors import LeafmarkError
 from leafmark.operators import analysis
 from leafmark.sources.layout import read_word_dump
@@ -44,6 +44,7 @@ def positive(text: str) -> float:
 
 def parser() -> argparse.ArgumentParser:
     top = _Parser(prog="leafmark")
+    top.add_argument("--version", action="version", version=__version__)
     sub = top.add_subparsers(dest="command", required=True)
     ex = sub.add_parser("extract")
     ex.add_argument("words")
@@ -54,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     ex.add_argument("--heading-scale", type=positive, default=2.0)
     ex.add_argument("--para-gap", type=positive, default=1.6)
     ex.add_argument("--stdout", action="store_true")
+    ex.add_argument("--debug-words", metavar="FILE", help="write the words of the pages asked for, one JSON object a line")
     ex.add_argument("--json", action="store_true", help="print the report")
     au = sub.add_parser("audit")
     au.add_argument("words")
@@ -75,7 +77,13 @@ def extract(spark: SparkSession, args) -> int:
     pages = api.analyze_words(words, api.Options(args.pages, dictionary=known, heading_scale=args.heading_scale, para_gap=args.para_gap))
     for w in api.warnings(pages).orderBy("page").toLocalIterator():
         print(w.warning, file=sys.stderr)
+    if args.debug_words:
+        with open(args.debug_words, "w", encoding="utf-8") as out:
+            for w in analysis.word_dump(pages).toLocalIterator():
+                out.write(w.line + "\n")
     report = api.report(pages, words)
+    if not report.limit(1).collect():
+        raise LeafmarkError("WORDS_INPUT", "no words")
     if args.format == "raw":
         content = json.dumps(json.loads(analysis.to_json(pages, report).first().json), indent=1, ensure_ascii=False)
     else:
@@ -115,4 +123,6 @@ def main(argv: list[str] | None = None) -> int:
         return {"extract": extract, "audit": audit}[args.command](spark, args)
     except LeafmarkError as e:
         print(f"{e.code}: {e}", file=sys.stderr)
-        return FAILED
+    except Exception as e:  # a missing file, an unreadable dictionary, an empty dump: one exit code for all
+        print(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", file=sys.stderr)
+    return FAILED

@@ -22,7 +22,7 @@ LINE_GAP = r"^[\p{Pd}−][ \t]*\r?\n[ \t]*\z"
 TOKEN_AND_GAP = r"([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)([^\p{L}\p{N}]*)"
 SAMPLE = 12
 
-#: What isn't text in Markdown, and what stands for it; in this order.
+# What isn't text in Markdown, and what stands for it; in this order.
 STRIPPED = (
     (r"(?s)<!--.*?-->", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"!\[[^\]]*\]\[[^\]]*\]", " "), (r"(?i)<img\b[^>]*>", " "), (r"(?i)<a\b[^>]*>", " "), (r"(?i)</a>", " "),
     (r"(?m)^\s*\[[^\]]+\]:[^\n]*$", " "), (r"(?m)^>\s*\[(?:review:[^\]]*|floats)\]\s*", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\[[^\]]*\]", "$1"),
@@ -113,11 +113,20 @@ def _tokens(text: Column) -> Column:
     return tokens_with_gaps(_nfc(text))
 
 
+def runs_with_tokens(words: DataFrame) -> DataFrame:
+    """The words with ts (their tokens and gaps) and at (the page's number of the first)."""
+    runs = words.withColumn("ts", _tokens(F.col("text")))
+    return runs.withColumn("at", (F.sum(F.size("ts")).over(Window.partitionBy(*PAGE).orderBy("idx")) - F.size("ts")).cast("long"))
+
+
+def absent_pages(words: DataFrame, bodies: DataFrame) -> DataFrame:
+    """doc_id, page of pages with words that the Markdown doesn't mark."""
+    return words.select(*PAGE).distinct().join(bodies.select(*PAGE), list(PAGE), "left_anti")
+
+
 def _sides(words: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """runs, source tokens and output tokens (doc_id, page, at, token, k; the output's with gap)."""
-    order = Window.partitionBy(*PAGE).orderBy("idx")
-    runs = words.withColumn("ts", _tokens(F.col("text")))
-    runs = runs.withColumn("at", (F.sum(F.size("ts")).over(order) - F.size("ts")).cast("long"))
+    runs = runs_with_tokens(words)
     nth = F.row_number().over(Window.partitionBy(*PAGE, "token").orderBy("at"))
     source = runs.select(*PAGE, "at", F.posexplode("ts").alias("k0", "t")).select(*PAGE, (F.col("at") + F.col("k0")).alias("at"), "t.token").withColumn("k", nth)
     output = bodies.select(*PAGE, F.posexplode(_tokens(markdown_text(F.col("body")))).alias("at", "t"))
@@ -188,14 +197,14 @@ def check_evidence(words: DataFrame, bodies: DataFrame) -> None:
     """Raises AUDIT_INPUT for invalid records, evidence without tokens, and pages that the Markdown doesn't mark."""
     boxed = _boxed(words)
     seen = boxed.agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid_record()).alias("bad"), F.coalesce(F.sum(F.size(_tokens(F.col("text")))), F.lit(0)).alias("tokens")).first()
-    errors = []
+    errors = []  # fixed messages
     if not seen["n"]:
         errors.append("word dump contains no JSON records")
     if seen["bad"]:
         errors.append(f"{seen['bad']} records lack a positive integer page or non-empty text, or have a broken box")
     if not seen["tokens"]:
         errors.append("word dump contains no lexical tokens")
-    absent = words.select(*PAGE).distinct().join(bodies.select(*PAGE), list(PAGE), "left_anti").orderBy(*PAGE).limit(SAMPLE).collect()
+    absent = absent_pages(words, bodies).orderBy(*PAGE).limit(SAMPLE).collect()
     if absent and not errors:
         errors.append(f"Markdown has no provenance marker for {', '.join(f'p{r.page}' for r in absent)}")
     if errors:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions.text import half_up, tokens
 
-#: How a line of prose may end: punctuation, a closing mark, or a digit.
+# Fixed value: how a line of prose may end.
 TERMINAL = r"[.!?:;\"'”’)\]…0-9]$"
 
 
@@ -21,21 +21,23 @@ def page_stats(pages: DataFrame) -> DataFrame:
         "doc_id", "page", F.char_length("body").cast("long").alias("chars"), count(r"(?m)^#{1,6}\s*(.+)$").alias("headings"),
         F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike("^#{1,6}") & ~x.rlike("[A-Za-z]{3}"))).cast("long").alias("junk_headings"),
         count(r"(?m)^> \[floats\]").alias("floats"), count(r"(?m)^[^#>\-\s].*$").alias("paragraphs"), count(r"(?m)^> \[review: ").alias("review_blocks"),
+        count(r"(?m)^> (?!\[floats\]|\[review:)").alias("callouts"),
         F.size(F.filter(dangling, lambda x: F.char_length(x) >= 60)).cast("long").alias("dangling_long"),
         F.size(F.filter(dangling, lambda x: F.char_length(x) < 60)).cast("long").alias("dangling_short"),
     )
 
 
 def document_report(stats: DataFrame) -> DataFrame:
-    sums = ("chars", "headings", "junk_headings", "floats", "paragraphs", "review_blocks", "dangling_long", "dangling_short")
+    sums = ("chars", "headings", "junk_headings", "floats", "paragraphs", "review_blocks", "callouts", "dangling_long", "dangling_short")
     per = stats.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(c).cast("long").alias(c) for c in sums])
     rate = half_up(F.col("chars") / F.col("pages")).cast("long")
     return per.withColumn("chars_per_page", rate).withColumn("sparse", F.col("chars_per_page") < 200)
 
 
-def routes(pages: DataFrame) -> DataFrame:
-    """Adds path: ocr for pages with an image and fewer than 20 text characters, else text."""
-    return pages.withColumn("path", F.when(F.col("has_image") & (F.col("text_chars") < 20), "ocr").otherwise("text"))
+def routes(pages: DataFrame, ocr: bool | None = None) -> DataFrame:
+    """Adds path: ocr for pages with an image and fewer than 20 text characters, else text; ocr: for all pages, or (False) for none."""
+    scanned = F.coalesce(F.col("has_image") & (F.col("text_chars") < 20), F.lit(False)) if ocr is None else F.lit(ocr)
+    return pages.withColumn("path", F.when(scanned, "ocr").otherwise("text"))
 
 
 def ocr_ranges(routed: DataFrame) -> DataFrame:
@@ -45,15 +47,13 @@ def ocr_ranges(routed: DataFrame) -> DataFrame:
     return runs.groupBy("source", "island").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, token, n: how often a document has each token."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-
-
-def deficits(source: DataFrame, output: DataFrame) -> DataFrame:
-    """doc_id, token, missing: occurrences that the source has beyond the output's."""
-    both = source.withColumnRenamed("n", "s").join(output.withColumnRenamed("n", "o"), ["doc_id", "token"], "left")
-    return both.select("doc_id", "token", (F.col("s") - F.coalesce("o", F.lit(0))).alias("missing")).where("missing > 0")
+def shared_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, shared: how many tokens a document and the one with the next id have in common, by occurrence; none, no row."""
+    token = F.explode(tokens(F.col("text"))).alias("token")
+    sides = F.explode(F.array(F.struct(F.col("doc_id"), F.lit(1).alias("own"), F.lit(0).alias("next")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(0).alias("own"), F.lit(1).alias("next")))).alias("s")
+    counts = docs.select("doc_id", token).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", sides)
+    both = counts.groupBy("s.doc_id", "token").agg(F.sum(F.col("n") * F.col("s.own")).alias("a"), F.sum(F.col("n") * F.col("s.next")).alias("b"))
+    return both.where("a > 0 and b > 0").groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("shared"))
 
 
 def ocr_heading_levels(sizes: DataFrame, scale: float = 2.0, step: float = 0.8) -> DataFrame:
@@ -73,23 +73,3 @@ def ocr_heading_levels(sizes: DataFrame, scale: float = 2.0, step: float = 0.8)
 
     folded = tall.select("doc_id", F.explode(F.aggregate("s", F.array().cast(kind), lambda done, x: F.when(F.size(done) == 0, F.array(F.struct(x.alias("size"), F.lit(4).alias("level"), x.alias("top"))).cast(kind)).otherwise(put(done, x)))).alias("f"))
     return folded.select("doc_id", "f.size", "f.level")
-
-
-def join_hyphens(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Adds joined to (head, tail): a final hyphen after a letter or digit closes if the dictionary (word) has the closed
-    form, and stays, without a space, if not; other heads are joined by a space. The look-up is an equi-join."""
-    head, tail = F.col("head"), F.col("tail")
-    last = F.regexp_extract(head, r"([^ ]*[A-Za-z0-9])-$", 1)
-    begin = F.split(F.regexp_replace(F.element_at(F.split(tail, " "), 1), "[^A-Za-z-]", ""), "-")[0]
-    keyed = pairs.withColumn("word_", F.when(last != "", F.lower(F.concat(last, begin))))
-    known = dictionary.select(F.col("word").alias("known_")).distinct()
-    found = keyed.join(known, F.col("word_") == F.col("known_"), "left")
-    joined = F.when(F.col("word_").isNull(), F.concat_ws(" ", head, tail)).when(F.col("known_").isNull(), F.concat(head, tail)).otherwise(F.concat(F.regexp_replace(head, "-$", ""), tail))
-    return found.withColumn("joined", joined).drop("word_", "known_")
-
-
-def match_occurrences(source: DataFrame, output: DataFrame) -> DataFrame:
-    """(doc_id, i, token) twice -> doc_id, token, k, source_at, output_at: the k-th occurrence takes the k-th."""
-    order = F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("i"))
-    left = source.select("doc_id", "token", F.col("i").alias("source_at"), order.alias("k"))
-    return left.join(output.select("doc_id", "token", F.col("i").alias("output_at"), order.alias("k")), ["doc_id", "token", "k"])

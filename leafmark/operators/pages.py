@@ -2,81 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.functions.text import LOW_CONFIDENCE, WORDLIKE, bucket, is_unstructured
+from leafmark.functions.text import LOW_CONFIDENCE, WORDLIKE, word_list
 
 PAGE = ("doc_id", "page")
 SPLIT, GUTTER_INK, MIN_WORDS, MIN_SHARE, GUTTER = 0.5, 0.03, 10, 0.2, 0.02
 PITCH, PARA_GAP, TALL = 0.012, 1.6, 2.0
 
 
-def upper_median(values: Column) -> Column:
-    """The element after the middle of the sorted values where their number is even."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
-def with_median_height(words: DataFrame) -> DataFrame:
-    """Counts of each height, then the upper median by running count: no list of a page's words is gathered."""
-    counts = words.groupBy(*PAGE, "h").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*PAGE)
-    run = counts.withColumn("upto", F.sum("n").over(w.orderBy("h"))).withColumn("all", F.sum("n").over(w))
-    return run.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*PAGE).agg(F.min("h").alias("median_h"))
-
-
-def two_columns(words: DataFrame) -> DataFrame:
-    """doc_id, page, two_column: enough body words centred clear of the middle on both sides, and few across it."""
-    body = words.join(with_median_height(words), list(PAGE)).where(F.col("h") < TALL * F.col("median_h"))
-    mid = F.col("x") + F.col("w") / 2.0
-    left, right = mid < SPLIT - GUTTER, mid > SPLIT + GUTTER
-    across = (F.col("x") < SPLIT) & (F.col("x") + F.col("w") > SPLIT)
-    count = lambda c: F.count_if(c)
-    n = body.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), count(left).alias("l"), count(right).alias("r"), count(across).alias("a"))
-    wide = (F.col("l") >= MIN_WORDS) & (F.col("r") >= MIN_WORDS) & (F.col("l") / F.col("n") >= MIN_SHARE) & (F.col("r") / F.col("n") >= MIN_SHARE) & (F.col("a") / F.col("n") <= GUTTER_INK)
-    pages = words.select(*PAGE).distinct()
-    return pages.join(n.select(*PAGE, wide.alias("two_column")), list(PAGE), "left").select(*PAGE, F.coalesce("two_column", F.lit(False)).alias("two_column"))
-
-
-def lines(words: DataFrame) -> DataFrame:
-    """Lines of words whose rows are known: text in x order, box, height of the longest word (the first of several)."""
-    by = words.groupBy(*PAGE, "col", "row")
-    line = by.agg(
-        F.array_sort(F.collect_list(F.struct("x", "idx", "text"))).alias("ws"), F.min("x").alias("x"), F.min("y").alias("y"),
-        F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("top"),
-        F.max_by("h", F.struct(F.char_length("text"), -F.col("idx"))).alias("h"),
-    )
-    return line.select(*PAGE, "col", "row", F.array_join(F.transform("ws", lambda s: s["text"]), " ").alias("text"), "x", "y", "right", "top", "h")
-
-
-def pitches(ls: DataFrame) -> DataFrame:
-    """doc_id, page, pitch: the upper median of gaps between following lines of a column; PITCH if there is none."""
-    order = Window.partitionBy(*PAGE).orderBy("col", "row")
-    mid = F.col("y") + F.col("h") / 2.0
-    gap = F.when(F.lag("col").over(order) == F.col("col"), F.lag(mid).over(order) - mid)
-    gaps = ls.withColumn("gap", gap).groupBy(*PAGE).agg(F.collect_list(F.when(F.col("gap") > 0.0005, F.col("gap"))).alias("gaps"))
-    return gaps.select(*PAGE, F.coalesce(F.when(F.size("gaps") > 0, upper_median(F.col("gaps"))), F.lit(PITCH)).alias("pitch"))
-
-
-def blocks(ls: DataFrame, pitch: DataFrame, heading_from: float = 0.03) -> DataFrame:
-    """Gaps and islands: doc_id, page, block, kind, text, n_lines; a block is a run of lines without a start between them."""
-    order = Window.partitionBy(*PAGE).orderBy("col", "row")
-    lag = lambda c: F.lag(c).over(order)
-    l2 = ls.join(pitch, list(PAGE)).withColumn("head", bucket(F.col("h")) >= heading_from).withColumn("mid", F.col("y") + F.col("h") / 2.0)
-    dy = lag("mid") - F.col("mid")
-    moved = lag("col") != F.col("col")
-    flows = moved & ~lag("text").rlike("[.!?:;\"'”’)\\]]$") & F.col("text").rlike("^[a-z]")
-    start = (
-        lag("col").isNull() | (lag("head") != F.col("head"))
-        | F.when(F.col("head"), moved | (dy >= 2.2 * F.greatest("h", lag("h")))).otherwise((moved | (dy > F.col("pitch") * PARA_GAP)) & ~flows)
-    )
-    dealt = l2.withColumn("s", start.cast("int")).withColumn("block", F.sum("s").over(order))
-    grouped = dealt.groupBy(*PAGE, "block").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("col", "row", "text"))).alias("ts"), F.count(F.lit(1)).alias("n_lines"))
-    text = grouped.withColumn("text", F.array_join(F.transform("ts", lambda t: t["text"]), " "))
-    kind = F.when(is_unstructured(F.col("text")), "review").when(~F.col("head"), "paragraph").when(F.char_length("text") > 150, "quote").otherwise("heading")
-    return text.select(*PAGE, F.col("block").cast("int").alias("block"), kind.alias("kind"), "text", "n_lines")
-
-
 def low_confidence(words: DataFrame, cap: int = 12) -> DataFrame:
     """doc_id, page, measured, low and sample: the `cap` least confident words, ties in source order."""
     low = F.col("confidence") < LOW_CONFIDENCE
@@ -88,30 +23,6 @@ def low_confidence(words: DataFrame, cap: int = 12) -> DataFrame:
 
 def prose_share(docs: DataFrame) -> DataFrame:
     """doc_id, n, prose (words with three letters in a row) and retry: some words, but less than 0.6 of them prose."""
-    from leafmark.functions.text import word_list
-
     words = word_list(F.col("text"))
     n = docs.select("doc_id", F.size(words).cast("long").alias("n"), F.size(F.filter(words, lambda w: w.rlike(WORDLIKE))).cast("long").alias("prose"))
     return n.withColumn("retry", F.when(F.col("n") > 0, F.col("prose") / F.col("n") < 0.6).otherwise(False))
-
-
-def touching_fragments(words: DataFrame) -> DataFrame:
-    """doc_id, page, idx, first, second: following words on a baseline with hardly a gap."""
-    order = Window.partitionBy(*PAGE).orderBy("idx")
-    lead = lambda c: F.lead(c).over(order)
-    tall = F.greatest("h", lead("h"))
-    near = (tall > 0) & (F.abs(F.col("y") - lead("y")) <= tall * 0.25) & (F.abs(lead("x") - (F.col("x") + F.col("w"))) <= tall * 0.15)
-    return words.select(*PAGE, "idx", F.col("text").alias("first"), lead("text").alias("second"), near.alias("near")).where("second is not null and near").drop("near")
-
-
-def in_range(words: DataFrame, counts: DataFrame, first: int, last: int) -> DataFrame:
-    """Words of the pages from `first` to `last`, both clamped to the document's pages (counts: doc_id, n_pages)."""
-    begin = F.least(F.greatest(F.lit(1), F.lit(first)), F.greatest(F.lit(1), F.col("n_pages")))
-    return words.join(counts, "doc_id").where(F.col("page").between(begin, F.least(F.greatest(begin, F.lit(last)), F.col("n_pages")))).drop("n_pages")
-
-
-def every_page(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, page, n_words, warn for all pages of a document, those without words included."""
-    pages = counts.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page"))
-    n = words.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))
-    return pages.join(n, list(PAGE), "left").select(*PAGE, F.coalesce("n", F.lit(0)).alias("n_words"), F.col("n").isNull().alias("warn"))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmark import api
 from leafmark.functions import text as tx
 from leafmark.operators import analysis as an
 from leafmark.operators import documents as dc
-from leafmark.operators import audit, emit, markdown
+from leafmark.operators import audit, emit, hyphens, markdown
 from leafmark.operators import pages as pg
 from leafmark.operators import rows as rw
 from leafmark.sources import layout
@@ -26,14 +27,28 @@ l AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN p // 6 ELSE p // 12 END AS ln, CAS
 words AS (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN ln // 60 ELSE ln // 30 END + 1)::INT AS page, p AS idx, (CASE WHEN doc_id % 3 = 0 THEN (ln // 30) % 2 ELSE 0 END)::INT AS col, (ln % 30)::INT AS row, text,
   (50 + 500 * (CASE WHEN doc_id % 3 = 0 THEN (ln // 30) % 2 ELSE 0 END) + 62 * k)::DOUBLE / 1000::DOUBLE AS x, (900 - 25 * (ln % 30))::DOUBLE / 1000::DOUBLE AS y, 0.052::DOUBLE AS w,
   CASE WHEN ln % 30 = 0 AND doc_id % 5 = 0 THEN 0.05::DOUBLE ELSE 0.017::DOUBLE END AS h, ((p * 37 + doc_id * 11) % 101)::DOUBLE AS confidence FROM l)"""
+_WORDS_H = _WORDS.replace("AS row, text,", "AS row, text || CASE WHEN k = (CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 11 END) AND ln % 30 % 4 = 1 THEN '-' ELSE '' END AS text,")
 _MEDIAN = """, med AS (SELECT doc_id, page, list_sort(list(h))[len(list(h)) // 2 + 1] AS median_h FROM words GROUP BY ALL)"""
-_LINES = """, lines AS (SELECT doc_id, page, col, row, string_agg(text, ' ' ORDER BY x, idx) AS text, min(x) AS x, min(y) AS y, max(x + w) AS right, max(y + h) AS top, arg_max(h, length(text) * 1000000000 - idx) AS h FROM words GROUP BY ALL)"""
-_GAPS = """, gaps AS (SELECT *, y + h / 2.0::DOUBLE AS mid, lag(col) OVER o AS pcol, lag(y + h / 2.0::DOUBLE) OVER o AS pmid FROM lines WINDOW o AS (PARTITION BY doc_id, page ORDER BY col, row)),
-pit AS (SELECT doc_id, page, list(pmid - mid) FILTER (pcol = col AND pmid - mid > 0.0005::DOUBLE) AS g FROM gaps GROUP BY ALL),
-pitch AS (SELECT doc_id, page, coalesce(list_sort(g)[len(g) // 2 + 1], 0.012::DOUBLE) AS pitch FROM pit)"""
 _MD = """m AS (SELECT conv_id AS doc_id, turn::INT AS page, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY ALL)"""
 _AUDIT = r"""list_transform(regexp_extract_all(translate(text, 'ʼ’‘“”–', '''''''""-'), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), lambda t: lower(t))"""
 
+_TOKENS = r"""list_transform(regexp_extract_all(translate(text, 'ʼ’‘“”–', '""-'), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), lambda t: lower(nfc_normalize(t)))"""
+_CUT = f"""s AS (SELECT doc_id, page, idx, {_TOKENS} AS ts, idx % 17 = 16 AS cut FROM words), a AS (SELECT *, sum(len(ts)) OVER (PARTITION BY doc_id, page ORDER BY idx) - len(ts) AS pos FROM s),
+  e AS (SELECT doc_id, page, cut, unnest(ts) AS token, pos + unnest(range(len(ts))) AS pos FROM a), m AS (SELECT doc_id, page, token, list(pos ORDER BY pos) AS places, count(*) FILTER (NOT cut) AS o FROM e GROUP BY ALL),
+  miss AS (SELECT doc_id, page, token, unnest(places[o + 1:]) AS pos FROM m WHERE len(places) > o)"""
+_BUCKET = "floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE"
+_TWO = f"""{_MEDIAN}, b AS (SELECT words.* FROM words JOIN med USING (doc_id, page) WHERE h < 2.0::DOUBLE * median_h),
+  n AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (x + w / 2 < 0.48::DOUBLE) AS l, count(*) FILTER (x + w / 2 > 0.52::DOUBLE) AS r, count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) AS a FROM b GROUP BY ALL),
+  two AS (SELECT doc_id, page, coalesce(l >= 10 AND r >= 10 AND l / n >= 0.2::DOUBLE AND r / n >= 0.2::DOUBLE AND a / n <= 0.03::DOUBLE, false) AS two_column FROM (SELECT DISTINCT doc_id, page FROM words) LEFT JOIN n USING (doc_id, page))"""
+# Lines as ocr_lines has them: tall words make rows of their own, and a page of one column joins what stands side by side.
+_LAID = f"""{_TWO}, tg AS (SELECT words.*, median_h, two_column, h >= 2.0::DOUBLE * median_h AS tall, CASE WHEN two_column AND h < 2.0::DOUBLE * median_h AND x + w / 2 >= 0.5::DOUBLE THEN 1 ELSE 0 END AS band FROM words JOIN med USING (doc_id, page) JOIN two USING (doc_id, page)),
+  rl AS (SELECT doc_id, page, tall, band, row, string_agg(text, ' ' ORDER BY x, idx) AS text, min(x) AS x, max(x + w) - min(x) AS width, (min(y) + max(y + h)) / 2.0::DOUBLE AS mid_y, arg_max(h, length(text) * 1000000000 - idx) AS h, count(*)::BIGINT AS n_words FROM tg GROUP BY ALL),
+  gl AS (SELECT *, (row_number() OVER o - 1)::INT AS ix, lag(band) OVER o AS pband, lag(mid_y) OVER o - mid_y AS gap FROM rl WINDOW o AS (PARTITION BY doc_id, page ORDER BY band, row)),
+  pl AS (SELECT doc_id, page, list(gap) FILTER (pband = band AND gap > 0.0005::DOUBLE) AS gs FROM gl GROUP BY ALL),
+  laid AS (SELECT gl.*, coalesce(list_sort(gs)[len(gs) // 2 + 1], 0.012::DOUBLE) AS pitch, {_BUCKET} AS size FROM gl JOIN pl USING (doc_id, page)),
+  hist AS (SELECT doc_id, size, sum(length(text))::BIGINT AS chars, min(page::BIGINT * 1000000 + ix) AS place FROM laid GROUP BY ALL),
+  body AS (SELECT doc_id, arg_max(size, chars * 1000000000000 - place) AS body FROM hist GROUP BY ALL)"""
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -69,86 +84,84 @@ def tokenize_words(spark, sf_dir):
     return found.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", "|").alias("tokens"))
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, page, col, row, min(x) AS x, min(y) AS y, max(x + w) AS right, max(y + h) AS top FROM words GROUP BY ALL")
+@query(f"WITH {_WORDS}{_LAID} SELECT doc_id, page, ix, x, width, mid_y FROM laid")
 def word_bbox_union(spark, sf_dir):
-    return pg.lines(_words(spark, sf_dir)).select("doc_id", "page", "col", "row", "x", "y", "right", "top")
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "ix", "x", "width", "mid_y")
 
 
-@query(f"WITH {_WORDS}{_LINES} SELECT doc_id, page, col, row, text, h FROM lines")
+@query(f"WITH {_WORDS}{_LAID} SELECT doc_id, page, ix, band AS col, text, h FROM laid")
 def line_words(spark, sf_dir):
-    return pg.lines(_words(spark, sf_dir)).select("doc_id", "page", "col", "row", "text", "h")
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "ix", "col", "text", "h")
 
 
 @query(f"WITH {_WORDS}{_MEDIAN} SELECT * FROM med")
 def page_median_height(spark, sf_dir):
-    return pg.with_median_height(_words(spark, sf_dir))
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "median_h").distinct()
 
 
 @query(f"WITH {_WORDS}{_MEDIAN} SELECT doc_id, page, count(*) FILTER (h >= 2.0::DOUBLE * median_h)::BIGINT AS tall, count(*) FILTER (h < 2.0::DOUBLE * median_h)::BIGINT AS body FROM words JOIN med USING (doc_id, page) GROUP BY ALL")
 def tall_body_split(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    tall = F.col("h") >= pg.TALL * F.col("median_h")
-    return words.join(pg.with_median_height(words), ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count_if(tall).alias("tall"), F.count_if(~tall).alias("body"))
-
-
-_TWO = f"""{_MEDIAN}, b AS (SELECT words.* FROM words JOIN med USING (doc_id, page) WHERE h < 2.0::DOUBLE * median_h),
-  n AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (x + w / 2 < 0.48::DOUBLE) AS l, count(*) FILTER (x + w / 2 > 0.52::DOUBLE) AS r, count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) AS a FROM b GROUP BY ALL),
-  two AS (SELECT doc_id, page, coalesce(l >= 10 AND r >= 10 AND l / n >= 0.2::DOUBLE AND r / n >= 0.2::DOUBLE AND a / n <= 0.03::DOUBLE, false) AS two_column FROM (SELECT DISTINCT doc_id, page FROM words) LEFT JOIN n USING (doc_id, page))"""
+    of = lambda c: F.sum(F.when(c, F.col("n_words")).otherwise(0))
+    return rw.ocr_lines(_words(spark, sf_dir)).groupBy("doc_id", "page").agg(of(F.col("is_tall")).alias("tall"), of(~F.col("is_tall")).alias("body"))
 
 
 @query(f"WITH {_WORDS}{_TWO} SELECT * FROM two")
 def two_column_pages(spark, sf_dir):
-    return pg.two_columns(_words(spark, sf_dir))
-
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "two_column").distinct()
 
-@query(f"WITH {_WORDS} SELECT doc_id, page, count(*) FILTER (x + w < 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x > 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) / count(*) < 0.15::DOUBLE AS two_column FROM words GROUP BY ALL")
-def text_two_column_pages(spark, sf_dir):
-    right = F.col("x") + F.col("w")
-    share = lambda c: F.count_if(c) / F.count(F.lit(1))
-    two = (share(right < 0.5) > 0.25) & (share(F.col("x") > 0.5) > 0.25) & (share((F.col("x") < 0.5) & (right > 0.5)) < 0.15)
-    return _words(spark, sf_dir).groupBy("doc_id", "page").agg(two.alias("two_column"))
 
-
-@query(f"WITH {_WORDS} SELECT doc_id, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE AS bucket, sum(length(text))::BIGINT AS chars, min(idx)::INT AS first_idx FROM words GROUP BY 1, 2")
+@query(f"WITH {_WORDS}{_LAID} SELECT doc_id, size AS bucket, chars, (place // 1000000)::INT AS first_page, (place % 1000000)::INT AS first_line FROM hist")
 def height_histogram(spark, sf_dir):
-    return _words(spark, sf_dir).groupBy("doc_id", tx.bucket(F.col("h")).alias("bucket")).agg(F.sum(F.char_length("text")).alias("chars"), F.min("idx").alias("first_idx"))
+    return emit.heights(rw.ocr_lines(_words(spark, sf_dir))).select("doc_id", F.col("size").alias("bucket"), "chars", F.col("at.page").alias("first_page"), F.col("at.ix").alias("first_line"))
 
 
-@query(f"WITH {_WORDS}, g AS (SELECT doc_id, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE AS bucket, sum(length(text)) AS chars, min(idx) AS first_idx FROM words GROUP BY 1, 2) SELECT doc_id, bucket AS body_height FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first_idx) AS r FROM g) WHERE r = 1")
+@query(f"WITH {_WORDS}{_LAID} SELECT doc_id, body AS body_height FROM body")
 def body_height(spark, sf_dir):
-    return height_histogram(spark, sf_dir).groupBy("doc_id").agg(F.max_by("bucket", F.struct("chars", -F.col("first_idx"))).alias("body_height"))
+    return emit.body_heights(emit.heights(rw.ocr_lines(_words(spark, sf_dir))))
 
 
-@query(f"WITH {_WORDS}, s AS (SELECT DISTINCT doc_id, (10 + idx % 9)::DOUBLE AS size FROM words), r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS k FROM s WHERE size > 1.35::DOUBLE * 8.0::DOUBLE) SELECT doc_id, size, least(6, k + 3)::INT AS level FROM r WHERE k <= 6")
+@query(f"""WITH {_WORDS}, s AS (SELECT doc_id, (10 + (idx * idx) % 23)::DOUBLE AS size, sum(length(text)) AS chars, min(page::BIGINT * 1000000000 + idx) AS place FROM words GROUP BY 1, 2), b AS (SELECT doc_id, arg_max(size, chars::HUGEINT * 1000000000000000 - place) AS body FROM s GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS k FROM s JOIN b USING (doc_id) WHERE size > 1.35::DOUBLE * body) SELECT doc_id, size, least(6, k + 3)::INT AS level FROM r WHERE k <= 6""")
 def heading_levels_text(spark, sf_dir):
-    sizes = _words(spark, sf_dir).select("doc_id", (10 + F.col("idx") % 9).cast("double").alias("size")).distinct().where(F.col("size") > 1.35 * 8.0)
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))
-    return sizes.withColumn("k", rank).where("k <= 6").select("doc_id", "size", F.least(F.lit(6), F.col("k") + 3).cast("int").alias("level"))
+    """Levels below page markers of made-up heights, the body height found from their characters."""
+    size = (10 + (F.col("idx") * F.col("idx")) % 23).cast("double").alias("size")
+    sizes = _words(spark, sf_dir).groupBy("doc_id", size).agg(F.sum(F.char_length("text")).alias("chars"), F.min(F.struct("page", F.col("idx").alias("ix"))).alias("at"))
+    return markdown.heading_levels(sizes, True, sizes)
 
 
-@query(f"WITH {_WORDS}{_LINES}{_GAPS} SELECT * FROM pitch")
+@query(f"WITH {_WORDS}{_LAID} SELECT DISTINCT doc_id, page, pitch FROM laid")
 def line_pitch(spark, sf_dir):
-    return pg.pitches(pg.lines(_words(spark, sf_dir)))
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "pitch").distinct()
+
+
+_BLOCKS = f"""WITH {_WORDS_H}{_LAID}, q AS (SELECT laid.*, size > body * 2.0::DOUBLE AS head FROM laid JOIN body USING (doc_id)),
+  z AS (SELECT *, lag(head) OVER o AS phead, lag(h) OVER o AS ph, lag(text) OVER o AS ptext FROM q WINDOW o AS (PARTITION BY doc_id, page ORDER BY ix)),
+  s AS (SELECT *, CASE WHEN pband IS NULL OR phead <> head THEN 1 WHEN head THEN (pband <> band OR gap >= 2.2::DOUBLE * greatest(h, ph))::INT
+    ELSE ((pband <> band OR gap > pitch * 1.6::DOUBLE) AND NOT (pband <> band AND NOT regexp_matches(ptext, '[.!?:;"''”’)\\]]$') AND regexp_matches(text, '^[a-z]')))::INT END AS st FROM z),
+  bl AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page ORDER BY ix)::INT - 1 AS block FROM s),
+  j AS (SELECT doc_id, page, block, bool_or(head) AS head, regexp_replace(string_agg(text || CASE WHEN regexp_matches(text, '[A-Za-z0-9_]-$') THEN '' ELSE ' ' END, '' ORDER BY ix), ' $', '') AS text, count(*)::BIGINT AS n_lines FROM bl GROUP BY ALL),
+  k AS (SELECT *, {_TOK} AS tok FROM j),
+  v AS (SELECT *, coalesce(len(list_filter(tok, lambda t: regexp_matches(t, '[A-Za-z]{{3}}'))) / nullif(len(tok), 0) < 0.4::DOUBLE, false) AS review FROM k),
+  blocks AS (SELECT doc_id, page, block, CASE WHEN review THEN 'review' WHEN head AND length(text) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head AND NOT review AND length(text) <= 150 THEN 4 END AS level,
+    CASE WHEN review THEN '> [review: unstructured labels] ' WHEN head AND length(text) > 150 THEN '> ' ELSE '' END || text AS text, n_lines FROM v)"""
 
 
-_BLOCKS = f"""WITH {_WORDS}{_LINES}{_GAPS}, q AS (SELECT gaps.*, pitch, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE >= 0.03::DOUBLE AS head FROM gaps JOIN pitch USING (doc_id, page)),
-  z AS (SELECT *, lag(head) OVER o AS phead, lag(h) OVER o AS ph, lag(text) OVER o AS ptext FROM q WINDOW o AS (PARTITION BY doc_id, page ORDER BY col, row)),
-  s AS (SELECT *, CASE WHEN pcol IS NULL OR phead <> head THEN 1 WHEN head THEN (pcol <> col OR pmid - mid >= 2.2::DOUBLE * greatest(h, ph))::INT
-    ELSE ((pcol <> col OR pmid - mid > pitch * 1.6::DOUBLE) AND NOT (pcol <> col AND NOT regexp_matches(ptext, '[.!?:;"''”’)\\]]$') AND regexp_matches(text, '^[a-z]')))::INT END AS st FROM z),
-  b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page ORDER BY col, row)::INT AS block FROM s),
-  g AS (SELECT doc_id, page, block, bool_or(head) AS head, string_agg(text, ' ' ORDER BY col, row) AS text, count(*)::BIGINT AS n_lines FROM b GROUP BY ALL)"""
+def _recognised(spark, sf_dir):
+    """Blocks of the words, of which the last of every fourth row has a hyphen at its end."""
+    per = F.when(F.col("doc_id") % 3 == 0, 6).otherwise(12)
+    ends = (F.col("idx") % per == per - 1) & (F.col("row") % 4 == 1)
+    lines = rw.ocr_lines(_words(spark, sf_dir).withColumn("text", F.when(ends, F.concat("text", F.lit("-"))).otherwise(F.col("text"))))
+    return emit.recognised_blocks(lines, emit.recognised_levels(lines))
 
 
-@query(f"{_BLOCKS} SELECT doc_id, page, block, text, n_lines FROM g")
+@query(f"{_BLOCKS} SELECT doc_id, page, block, text, n_lines FROM blocks")
 def block_segmentation(spark, sf_dir):
-    ls = pg.lines(_words(spark, sf_dir))
-    return pg.blocks(ls, pg.pitches(ls)).drop("kind")
+    return _recognised(spark, sf_dir).select("doc_id", "page", "block", "text", "n_lines")
 
 
-@query(f"""{_BLOCKS}, k AS (SELECT *, {_TOK} AS tok FROM g) SELECT doc_id, page, block, CASE WHEN len(tok) > 0 AND len(list_filter(tok, lambda t: regexp_matches(t, '[A-Za-z]{{3}}'))) / len(tok) < 0.4::DOUBLE THEN 'review' WHEN NOT head THEN 'paragraph' WHEN length(text) > 150 THEN 'quote' ELSE 'heading' END AS kind FROM k""")
+@query(f"{_BLOCKS} SELECT doc_id, page, block, type, coalesce(level, 0)::INT AS level FROM blocks")
 def block_classify(spark, sf_dir):
-    ls = pg.lines(_words(spark, sf_dir))
-    return pg.blocks(ls, pg.pitches(ls)).select("doc_id", "page", "block", "kind")
+    return _recognised(spark, sf_dir).select("doc_id", "page", "block", "type", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 @query(f"SELECT doc_id, coalesce(len(list_filter({_TOK}, lambda t: regexp_matches(t, '[A-Za-z]{{3}}'))) / nullif(len({_TOK}), 0) < 0.4::DOUBLE, false) AS review FROM documents")
@@ -180,7 +193,7 @@ def marker_count(spark, sf_dir):
 
 _STATS = f"""WITH {_MD}, x AS (SELECT *, string_split(body, chr(10)) AS ls FROM m), y AS (SELECT *, list_filter(ls, lambda l: trim(l) <> '' AND NOT regexp_matches(l, '^\\s*[#>|*-]') AND NOT regexp_matches(rtrim(l), '[.!?:;"''”’)\\]…0-9]$')) AS dl FROM x),
   st AS (SELECT doc_id, page, length(body)::BIGINT AS chars, len(regexp_extract_all(body, '(?m)^#{{1,6}}\\s*(.+)$'))::BIGINT AS headings, len(list_filter(ls, lambda l: regexp_matches(l, '^#{{1,6}}') AND NOT regexp_matches(l, '[A-Za-z]{{3}}')))::BIGINT AS junk_headings,
-  len(regexp_extract_all(body, '(?m)^> \\[floats\\]'))::BIGINT AS floats, len(regexp_extract_all(body, '(?m)^[^#>\\-\\s].*$'))::BIGINT AS paragraphs, len(regexp_extract_all(body, '(?m)^> \\[review: '))::BIGINT AS review_blocks,
+  len(regexp_extract_all(body, '(?m)^> \\[floats\\]'))::BIGINT AS floats, len(regexp_extract_all(body, '(?m)^[^#>\\-\\s].*$'))::BIGINT AS paragraphs, len(regexp_extract_all(body, '(?m)^> \\[review: '))::BIGINT AS review_blocks, (len(regexp_extract_all(body, '(?m)^> ')) - len(regexp_extract_all(body, '(?m)^> \\[floats\\]')) - len(regexp_extract_all(body, '(?m)^> \\[review:')))::BIGINT AS callouts,
   len(list_filter(dl, lambda l: length(l) >= 60))::BIGINT AS dangling_long, len(list_filter(dl, lambda l: length(l) < 60))::BIGINT AS dangling_short FROM y)"""
 
 
@@ -189,7 +202,7 @@ def page_stats(spark, sf_dir):
     return dc.page_stats(_pages(spark, sf_dir))
 
 
-@query(f"""{_STATS}, r AS (SELECT doc_id, count(*)::BIGINT AS pages, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('chars', 'headings', 'junk_headings', 'floats', 'paragraphs', 'review_blocks', 'dangling_long', 'dangling_short'))} FROM st GROUP BY ALL)
+@query(f"""{_STATS}, r AS (SELECT doc_id, count(*)::BIGINT AS pages, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('chars', 'headings', 'junk_headings', 'floats', 'paragraphs', 'review_blocks', 'callouts', 'dangling_long', 'dangling_short'))} FROM st GROUP BY ALL)
   SELECT *, floor(chars / pages + 0.5::DOUBLE)::BIGINT AS chars_per_page, floor(chars / pages + 0.5::DOUBLE) < 200 AS sparse FROM r""")
 def document_report(spark, sf_dir):
     return dc.document_report(dc.page_stats(_pages(spark, sf_dir)))
@@ -214,38 +227,36 @@ def ocr_ranges(spark, sf_dir):
     return dc.ocr_ranges(_routed(spark, sf_dir))
 
 
-_DROPPED = f"s AS (SELECT doc_id, unnest({_AUDIT}) AS token, unnest(range(len({_AUDIT}))) AS i FROM documents), a AS (SELECT doc_id, token, count(*) AS n, count(*) FILTER (i % 17 <> 16) AS o FROM s GROUP BY ALL)"
-
-
-def _audit(spark, sf_dir):
-    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("i", "token"))
-    count = lambda df: df.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return count(each), count(each.where(F.col("i") % 17 != 16))
+def _cut(spark, sf_dir):
+    """Words, and pages of them without every 17th; words on a line stand apart by a space, so no repair applies."""
+    words = _words(spark, sf_dir)
+    body = words.where("idx % 17 <> 16").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("ws"))
+    return words, body.select("doc_id", "page", F.array_join("ws.text", " ").alias("body"))
 
 
-@query(f"WITH {_DROPPED} SELECT doc_id, token, (n - o)::BIGINT AS missing FROM a WHERE n > o")
+@query(f"""WITH {_WORDS}, {_CUT}, n AS (SELECT doc_id, page, list(token ORDER BY pos) AS ts FROM miss GROUP BY ALL)
+  SELECT doc_id, page, len(ts)::BIGINT AS n_missing, 'p' || page || ': MISSING ' || len(ts) || ': [''' || array_to_string(ts[1:12], ''', ''') || ''']' AS line FROM n""")
 def audit_missing(spark, sf_dir):
-    return dc.deficits(*_audit(spark, sf_dir))
+    return audit.audit_lines(audit.missing_words(*_cut(spark, sf_dir)))
 
 
-@query(f"WITH {_DROPPED} SELECT doc_id, sum(n - o)::BIGINT AS strict_deficits FROM a WHERE n > o GROUP BY ALL")
-def strict_deficits(spark, sf_dir):
-    return audit_missing(spark, sf_dir).groupBy("doc_id").agg(F.sum("missing").alias("strict_deficits"))
+@query(f"""WITH {_WORDS}, {_CUT}, parsed AS (SELECT doc_id, count(*)::BIGINT AS parsed, count(DISTINCT page)::BIGINT AS pages, sum(len({_TOKENS}))::BIGINT AS words FROM words GROUP BY ALL), lost AS (SELECT doc_id, count(*)::BIGINT AS missing FROM miss GROUP BY ALL)
+  SELECT doc_id, parsed, pages, words, coalesce(missing, 0) AS strict_deficits, coalesce(missing, 0) AS missing FROM parsed LEFT JOIN lost USING (doc_id)""")
+def audit_totals(spark, sf_dir):
+    words, body = _cut(spark, sf_dir)
+    return audit.audit_totals(words, body, audit.missing_words(words, body))
 
 
 @query("SELECT DISTINCT conv_id AS doc_id, turn::INT AS page FROM conversations WHERE turn % 3 = 2")
 def absent_pages(spark, sf_dir):
-    all_pages = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page")).distinct()
-    marked = _pages(spark, sf_dir).where(F.col("page") % 3 != 2)
-    return all_pages.join(marked, ["doc_id", "page"], "left_anti")
+    seen = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"))
+    return audit.absent_pages(seen, _pages(spark, sf_dir).where(F.col("page") % 3 != 2))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest({_AUDIT}) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM s GROUP BY ALL)
   SELECT a.doc_id, sum(least(a.n, b.n))::BIGINT AS shared FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 AND a.token = b.token GROUP BY ALL""")
 def word_overlap(spark, sf_dir):
-    n = dc.counted(_t(spark, sf_dir, "documents"))
-    after = n.select((F.col("doc_id") - 1).alias("doc_id"), "token", F.col("n").alias("m"))
-    return n.join(after, ["doc_id", "token"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("shared"))
+    return dc.shared_tokens(_t(spark, sf_dir, "documents"))
 
 
 _BLOCK_ROWS = "b AS (SELECT conv_id AS doc_id, turn AS ix, role, turn % 4 = 3 AS tight, CASE WHEN role = 'user' THEN repeat('#', (4 + turn % 3)::INT) || ' ' || trim(text) ELSE '> ' || trim(text) END AS md, trim(text) AS bare FROM conversations)"
@@ -271,10 +282,9 @@ def text_render(spark, sf_dir):
     return an.render_text(_blocks(spark, sf_dir))
 
 
-@query(f"""WITH {_WORDS}{_TWO}, g AS (SELECT words.*, h >= 2.0::DOUBLE * median_h AS tall, CASE WHEN two_column AND h < 2.0::DOUBLE * median_h AND x + w / 2 >= 0.5::DOUBLE THEN 1 ELSE 0 END AS band FROM words JOIN med USING (doc_id, page) JOIN two USING (doc_id, page))
-  SELECT doc_id, page, string_agg(text, ' ' ORDER BY x) AS text, arg_max(h, length(text) * 1000000000 - idx) AS h, count(*)::BIGINT AS n_words FROM g GROUP BY doc_id, page, tall, band, row""")
+@query(f"WITH {_WORDS}{_LAID} SELECT doc_id, page, ix, band AS col, text, x, width, mid_y, h, n_words, false AS is_float, tall AS is_tall, pitch FROM laid")
 def ocr_rows(spark, sf_dir):
-    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "text", "h", "n_words")
+    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "ix", "col", "text", "x", "width", "mid_y", "h", "n_words", "is_float", "is_tall", "pitch")
 
 
 @query(f"""WITH {_WORDS}, t2 AS (SELECT doc_id, page, count(*) FILTER (x + w < 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x > 0.5::DOUBLE) / count(*) > 0.25::DOUBLE AND count(*) FILTER (x < 0.5::DOUBLE AND x + w > 0.5::DOUBLE) / count(*) < 0.15::DOUBLE AS two FROM words GROUP BY ALL),
@@ -296,52 +306,50 @@ def heading_levels_ocr(spark, sf_dir):
     return dc.ocr_heading_levels(sizes.withColumn("body_height", F.lit(0.02)))
 
 
-_HEADS = "w8 AS (SELECT * FROM words WHERE regexp_full_match(text, '[A-Za-z]{8,}')), d AS (SELECT DISTINCT lower(text) AS word FROM w8 WHERE idx % 2 = 0), c AS (SELECT doc_id, idx, 'see ' || substr(text, 1, 4) || '-' AS head, substr(text, 5) || ', and' AS tail, lower(text) AS word FROM w8 WHERE idx % 3 = 0)"
+_HEADS = "w8 AS (SELECT * FROM words WHERE regexp_full_match(text, '[A-Za-z]{8,}')), d AS (SELECT DISTINCT lower(text) AS word FROM w8 WHERE idx % 2 = 0), c AS (SELECT doc_id, idx, 'see ' || substr(text, 1, 4) || '-' AS head, substr(text, 5) || ', and' AS tail, lower(text) AS word FROM w8)"
 
 
 @query(f"WITH {_WORDS}, {_HEADS} SELECT doc_id, idx, CASE WHEN d.word IS NULL THEN head || tail ELSE substr(head, 1, length(head) - 1) || tail END AS joined FROM c LEFT JOIN d USING (word)")
 def hyphen_joins(spark, sf_dir):
+    """Every long word, broken over two lines; the dictionary has those at even places."""
     long_words = _words(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]{8,}$"))
     known = long_words.where("idx % 2 = 0").select(F.lower("text").alias("word")).distinct()
-    pairs = long_words.where("idx % 3 = 0").select("doc_id", "idx", F.concat(F.lit("see "), F.substring("text", 1, 4), F.lit("-")).alias("head"), F.concat(F.expr("substring(text, 5)"), F.lit(", and")).alias("tail"))
-    return dc.join_hyphens(pairs, known).select("doc_id", "idx", "joined")
-
-
-_HEADS_ALL = _HEADS.replace(" FROM w8 WHERE idx % 3 = 0)", " FROM w8)")
-
-
-@query(f"WITH {_WORDS}, {_HEADS_ALL} SELECT doc_id, idx, CASE WHEN d.word IS NULL THEN head || tail ELSE substr(head, 1, length(head) - 1) || tail END AS joined FROM c LEFT JOIN d USING (word)")
-def hyphen_joins_all_words(spark, sf_dir):
-    """Every long word of every document, not each third."""
-    long_words = _words(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]{8,}$"))
-    known = long_words.where("idx % 2 = 0").select(F.lower("text").alias("word")).distinct()
-    pairs = long_words.select("doc_id", "idx", F.concat(F.lit("see "), F.substring("text", 1, 4), F.lit("-")).alias("head"), F.concat(F.expr("substring(text, 5)"), F.lit(", and")).alias("tail"))
-    return dc.join_hyphens(pairs, known).select("doc_id", "idx", "joined")
-
+    halves = F.array(F.concat(F.lit("see "), F.substring("text", 1, 4), F.lit("-")), F.concat(F.expr("substring(text, 5)"), F.lit(", and")))
+    lines = long_words.select("doc_id", "idx", F.posexplode(halves).alias("i", "text"))
+    parts = hyphens.with_joins(lines, ["doc_id", "idx"], known).groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("i", "text", "join"))).alias("ps"))
+    return parts.select("doc_id", "idx", hyphens.joined(F.col("ps")).alias("joined"))
 
-@query(f"""WITH s AS (SELECT doc_id, unnest({_AUDIT}) AS token, unnest(range(len({_AUDIT}))) AS i FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM s),
-  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM s WHERE i % 17 <> 16) SELECT doc_id, token, k::INT AS k, k.i::INT AS source_at, o.i::INT AS output_at FROM k JOIN o USING (doc_id, token, k)""")
-def occurrence_matches(spark, sf_dir):
-    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("i", "token"))
-    return dc.match_occurrences(each, each.where("i % 17 <> 16"))
 
-
-@query(f"""WITH {_WORDS}, v AS (SELECT *, CASE WHEN idx % 5 = 0 THEN 0.0615::DOUBLE ELSE w END AS w2 FROM words), n AS (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(h) OVER o AS nh, lead(text) OVER o AS second FROM v WINDOW o AS (PARTITION BY doc_id, page ORDER BY idx))
-  SELECT doc_id, page, idx, text AS "first", second FROM n WHERE second IS NOT NULL AND greatest(h, nh) > 0 AND abs(y - ny) <= greatest(h, nh) * 0.25::DOUBLE AND abs(nx - (x + w2)) <= greatest(h, nh) * 0.15::DOUBLE""")
+@query(f"""WITH {_WORDS}, v AS (SELECT *, CASE WHEN idx % 5 = 0 THEN 0.0615::DOUBLE ELSE w END AS w2, {_TOKENS} AS ts FROM words), placed AS (SELECT *, sum(len(ts)) OVER (PARTITION BY doc_id, page ORDER BY idx) - len(ts) AS pos FROM v),
+  n AS (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(h) OVER o AS nh, lead(text) OVER o AS ntext, lead(len(ts)) OVER o AS nn, lead(pos) OVER o AS nat FROM placed WINDOW o AS (PARTITION BY doc_id, page ORDER BY idx))
+  SELECT doc_id, page, pos::BIGINT AS "first", nat::BIGINT AS second FROM n WHERE len(ts) = 1 AND nn = 1 AND NOT regexp_matches(text, '[\\p{{Pd}}−]$') AND NOT regexp_matches(ntext, '^[\\p{{Pd}}−]$')
+    AND abs(y - ny) <= greatest(h, nh) * 0.25::DOUBLE AND abs(nx - (x + w2)) <= greatest(h, nh) * 0.15::DOUBLE""")
 def touching_fragments(spark, sf_dir):
-    return pg.touching_fragments(_words(spark, sf_dir).withColumn("w", F.when(F.col("idx") % 5 == 0, F.lit(0.0615)).otherwise(F.col("w"))))
+    """Tokens that a repair may join since their words touch: every fifth word is widened."""
+    words = _words(spark, sf_dir).withColumn("w", F.when(F.col("idx") % 5 == 0, F.lit(0.0615)).otherwise(F.col("w")))
+    return audit.source_pairs(audit.runs_with_tokens(words)).where("rank.part = 1 and rank.kind = 1").select("doc_id", "page", "first", "second")
 
 
-@query(f"WITH {_WORDS}, n AS (SELECT doc_id, max(page) AS n FROM words GROUP BY ALL), b AS (SELECT *, least(2, n) AS a FROM n) SELECT doc_id, page, idx, text FROM words JOIN b USING (doc_id) WHERE page BETWEEN a AND least(greatest(a, 3), n)")
+@query(f"WITH {_WORDS}, d AS (SELECT doc_id, unnest([2, 3])::INT AS page FROM (SELECT DISTINCT doc_id FROM words)), c AS (SELECT doc_id, page, count(*) AS n FROM words GROUP BY ALL) SELECT doc_id, page, 'ocr' AS path, coalesce(n, 0)::INT AS n_words FROM d LEFT JOIN c USING (doc_id, page)")
 def page_range(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    return pg.in_range(words, words.groupBy("doc_id").agg(F.max("page").alias("n_pages")), 2, 3).select("doc_id", "page", "idx", "text")
+    pages = api.analyze_words(_words(spark, sf_dir), api.Options(pages=(2, 3)))
+    return pages.select("doc_id", "page", "path", F.size("words").alias("n_words"))
 
 
-@query(f"WITH {_WORDS}, n AS (SELECT doc_id, unnest(range(1, max(page) + 1))::INT AS page FROM words GROUP BY doc_id), c AS (SELECT doc_id, page, count(*) AS n FROM words WHERE page % 2 = 1 GROUP BY ALL) SELECT doc_id, page, coalesce(c.n, 0)::BIGINT AS n_words, c.n IS NULL AS warn FROM n LEFT JOIN c USING (doc_id, page)")
+@query(f"WITH {_WORDS}, n AS (SELECT doc_id, unnest(range(1, max(page) + 1))::INT AS page FROM words WHERE page % 2 = 1 GROUP BY doc_id) SELECT doc_id, page, 'p' || page || ': no recognized words, page emitted with no OCR text' AS warning FROM n WHERE page % 2 = 0")
 def pages_without_words(spark, sf_dir):
+    return api.warnings(api.analyze_words(_words(spark, sf_dir).where("page % 2 = 1")))
+
+
+@query(f"""WITH {_WORDS}, i AS (SELECT doc_id, page, (doc_id + page) % 3 = 0 AS scanned, count(*)::INT AS n, any_value(text) FILTER (false) AS t FROM words GROUP BY ALL)
+  SELECT doc_id, page, CASE WHEN scanned THEN 'ocr' ELSE 'text' END AS path, n AS n_words FROM i""")
+def automatic_routing(spark, sf_dir):
+    """Pages by the API, each third one a scan that is recognised; all keep their words."""
     words = _words(spark, sf_dir)
-    return pg.every_page(words.where("page % 2 = 1"), words.groupBy("doc_id").agg(F.max("page").alias("n_pages")))
+    scanned = (F.col("doc_id") + F.col("page")) % 3 == 0
+    info = words.groupBy("doc_id", "page").agg(F.sum(F.char_length("text")).alias("n")).select("doc_id", "page", F.when(scanned, 0).otherwise(F.col("n") + 20).alias("text_chars"), F.lit(True).alias("has_image"))
+    points = [(F.col("x") * 612).alias("x"), ((1 - F.col("y")) * 792).alias("y"), (F.col("w") * 612).alias("w"), (F.col("h") * 792).alias("h"), F.lit(612.0).alias("page_width")]
+    return api.analyze_auto(info, words.select("doc_id", "page", "idx", "text", *points), words).select("doc_id", "page", "path", F.size("words").alias("n_words"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 9 END AS page, NOT (doc_id % 7 = 0 OR doc_id % 9 = 0 OR regexp_full_match(text, '\\s*') OR doc_id % 5 = 0) AS valid FROM documents")
@@ -352,37 +360,18 @@ def audit_records(spark, sf_dir):
     return records.select("doc_id", "page", tx.valid_record().alias("valid"))
 
 
-_LETTERED = """s AS (SELECT doc_id, page, row AS ix, h, CASE WHEN row % 7 = 3 THEN '• ' ELSE '' END || string_agg(text, ' ' ORDER BY x) || CASE WHEN row % 11 = 5 THEN ':' ELSE '' END AS text FROM words WHERE doc_id % 3 <> 0 GROUP BY doc_id, page, row, h),
-  hist AS (SELECT doc_id, h, sum(length(text)) AS n FROM s GROUP BY ALL), body AS (SELECT doc_id, arg_max(h, n * 10 - h) AS body FROM hist GROUP BY ALL),
-  f AS (SELECT s.*, row_number() OVER o AS n, h > 1.35::DOUBLE * body AND NOT starts_with(text, '•') AS head, starts_with(text, '•') AS item, lag(text) OVER o AS ptext, lag(starts_with(text, '•')) OVER o AS pitem, lag(h > 1.35::DOUBLE * body AND NOT starts_with(text, '•')) OVER o AS phead FROM s JOIN body USING (doc_id) WINDOW o AS (PARTITION BY doc_id, page ORDER BY ix)),
-  g AS (SELECT *, sum(CASE WHEN n > 1 AND ((head AND phead) OR (NOT head AND NOT item AND NOT phead AND NOT pitem AND NOT regexp_matches(ptext, '[.!?:]$'))) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY ix) AS block FROM f),
-  j AS (SELECT doc_id, page, block, bool_or(head) AS head, bool_or(item) AS item, string_agg(text, ' ' ORDER BY ix) AS t FROM g GROUP BY ALL)"""
-
-
-@query(f"""WITH {_WORDS}, {_LETTERED} SELECT doc_id, page, (block - 1)::INT AS block, CASE WHEN head AND length(m) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, item AS tight,
-  CASE WHEN head AND length(m) > 150 THEN '> ' || m WHEN item THEN '- ' || substr(t, 3) ELSE m END AS text FROM (SELECT *, regexp_replace(t, '\\s+([,.;:%])', '\\1', 'g') AS m FROM j)""")
-def text_blocks(spark, sf_dir):
-    """Lines of the one-column grid, every seventh row a bullet item; texts without broken words, values and blank items."""
-    words = _words(spark, sf_dir).where("doc_id % 3 <> 0")
-    rows = words.groupBy("doc_id", "page", F.col("row").alias("ix")).agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("ws"), F.first("h").alias("h"))
-    text = F.concat(F.when(F.col("ix") % 7 == 3, "• ").otherwise(""), F.array_join("ws.text", " "), F.when(F.col("ix") % 11 == 5, ":").otherwise(""))
-    lines = rows.select("doc_id", "page", "ix", F.lit(0).alias("col"), text.alias("text"), F.lit(50.0).alias("x"), (F.col("ix") * F.col("h")).alias("y"), "h", F.array().cast("array<int>").alias("words"))
-    got = markdown.text_blocks(lines.withColumn("y", F.lit(0.0)), markdown.heading_levels(lines))
-    return got.select("doc_id", "page", "block", "type", "tight", "text")
-
-
-_LETTERED_ALL = """s AS (SELECT doc_id, page, col, col * 30 + row AS ix, h, CASE WHEN row % 7 = 3 THEN '• ' ELSE '' END || string_agg(text, ' ' ORDER BY x) || CASE WHEN row % 11 = 5 THEN ':' ELSE '' END AS text FROM words GROUP BY doc_id, page, col, row, h),
-  hist AS (SELECT doc_id, h, sum(length(text)) AS n FROM s GROUP BY ALL), body AS (SELECT doc_id, arg_max(h, n * 10 - h) AS body FROM hist GROUP BY ALL),
+_LETTERED = """s AS (SELECT doc_id, page, col, col * 30 + row AS ix, h, CASE WHEN row % 7 = 3 THEN '• ' ELSE '' END || string_agg(text, ' ' ORDER BY x) || CASE WHEN row % 11 = 5 THEN ':' ELSE '' END AS text FROM words GROUP BY doc_id, page, col, row, h),
+  hist AS (SELECT doc_id, h, sum(length(text)) AS n, min(page * 1000 + ix) AS place FROM s GROUP BY ALL), body AS (SELECT doc_id, arg_max(h, n * 1000000000 - place) AS body FROM hist GROUP BY ALL),
   e AS (SELECT s.*, starts_with(text, '•') AS item, h > 1.35::DOUBLE * body AND NOT starts_with(text, '•') AS head FROM s JOIN body USING (doc_id)),
   f AS (SELECT *, lag(text) OVER o AS ptext, lag(item) OVER o AS pitem, lag(head) OVER o AS phead, lag(col) OVER o AS pcol FROM e WINDOW o AS (PARTITION BY doc_id, page ORDER BY ix)),
   g AS (SELECT *, sum(CASE WHEN pcol = col AND ((head AND phead) OR (NOT head AND NOT item AND NOT phead AND NOT pitem AND NOT regexp_matches(ptext, '[.!?:]$'))) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY ix) AS block FROM f),
   j AS (SELECT doc_id, page, block, min(col) AS col, bool_or(head) AS head, bool_or(item) AS item, string_agg(text, ' ' ORDER BY ix) AS t FROM g GROUP BY ALL)"""
 
 
-@query(f"""WITH {_WORDS}, {_LETTERED_ALL} SELECT doc_id, page, (block - 1)::INT AS block, CASE WHEN head AND length(m) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, item AS tight,
+@query(f"""WITH {_WORDS}, {_LETTERED} SELECT doc_id, page, (block - 1)::INT AS block, CASE WHEN head AND length(m) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, item AS tight,
   CASE WHEN head AND length(m) > 150 THEN '> ' || m WHEN item THEN repeat('  ', 28 * col) || '- ' || substr(t, 3) ELSE m END AS text FROM (SELECT *, regexp_replace(t, '\\s+([,.;:%])', '\\1', 'g') AS m FROM j)""")
-def text_blocks_all_columns(spark, sf_dir):
-    """As text_blocks, over the lines of all documents by column and row; items of the right column are 500 points, 28 steps, from the page's least x."""
+def text_blocks(spark, sf_dir):
+    """Lines by column and row, every seventh row a bullet item; items of the right column are 500 points, 28 steps, from the page's least x."""
     rows = _words(spark, sf_dir).groupBy("doc_id", "page", "col", "row").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("ws"), F.first("h").alias("h"))
     text = F.concat(F.when(F.col("row") % 7 == 3, "• ").otherwise(""), F.array_join("ws.text", " "), F.when(F.col("row") % 11 == 5, ":").otherwise(""))
     lines = rows.select(
@@ -391,36 +380,17 @@ def text_blocks_all_columns(spark, sf_dir):
     return got.select("doc_id", "page", "block", "type", "tight", "text")
 
 
-@query(f"""WITH {_WORDS}{_LINES}{_GAPS}, hist AS (SELECT doc_id, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE AS size, sum(length(text)) AS n, min(page * 1000000 + col * 1000 + row) AS place FROM lines GROUP BY ALL),
-  body AS (SELECT doc_id, arg_max(size, n * 1000000000 - place) AS body FROM hist GROUP BY ALL),
-  q AS (SELECT gaps.*, pitch, floor(h * 500.0::DOUBLE + 0.5::DOUBLE) / 500.0::DOUBLE > body * 2.0::DOUBLE AS head FROM gaps JOIN pitch USING (doc_id, page) JOIN body USING (doc_id)),
-  z AS (SELECT *, lag(head) OVER o AS phead, lag(h) OVER o AS ph, lag(text) OVER o AS ptext FROM q WINDOW o AS (PARTITION BY doc_id, page ORDER BY col, row)),
-  s AS (SELECT *, CASE WHEN pcol IS NULL OR phead <> head THEN 1 WHEN head THEN (pcol <> col OR pmid - mid >= 2.2::DOUBLE * greatest(h, ph))::INT
-    ELSE ((pcol <> col OR pmid - mid > pitch * 1.6::DOUBLE) AND NOT (pcol <> col AND NOT regexp_matches(ptext, '[.!?:;"''”’)\\]]$') AND regexp_matches(text, '^[a-z]')))::INT END AS st FROM z),
-  b AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page ORDER BY col, row)::INT AS block FROM s),
-  g AS (SELECT doc_id, page, block, bool_or(head) AS head, string_agg(text, ' ' ORDER BY col, row) AS text FROM b GROUP BY ALL), k AS (SELECT *, {_TOK} AS tok FROM g),
-  r AS (SELECT *, len(tok) > 0 AND len(list_filter(tok, lambda t: regexp_matches(t, '[A-Za-z]{{3}}'))) / len(tok) < 0.4::DOUBLE AS review FROM k)
-  SELECT doc_id, page, block - 1 AS block, CASE WHEN review THEN 'review' WHEN head AND length(text) <= 150 THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN head AND NOT review AND length(text) <= 150 THEN 4 ELSE 0 END AS level,
-    CASE WHEN review THEN '> [review: unstructured labels] ' WHEN head AND length(text) > 150 THEN '> ' ELSE '' END || text AS text FROM r""")
-def recognised_blocks(spark, sf_dir):
-    """Blocks with levels found from the document's heights, over the lines of the grid, whose words have no hyphens at their ends."""
-    words = _words(spark, sf_dir)
-    ls = pg.lines(words)
-    order = Window.partitionBy("doc_id", "page").orderBy("col", "row")
-    lines = ls.join(pg.pitches(ls), ["doc_id", "page"]).select(
-        "doc_id", "page", F.row_number().over(order).alias("ix"), "col", "text", "h", (F.col("y") + F.col("h") / 2.0).alias("mid_y"), "pitch", F.lit(False).alias("is_float"), F.array().cast("array<int>").alias("words"))
-    got = emit.recognised_blocks(lines, emit.recognised_levels(lines))
-    return got.select("doc_id", "page", "block", "type", F.coalesce("level", F.lit(0)).alias("level"), "text")
+@query(f"{_BLOCKS}, h AS (SELECT doc_id, string_agg(CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' ' ELSE '' END || text, chr(10) || chr(10) ORDER BY page, block) AS t FROM blocks GROUP BY ALL) SELECT doc_id, length(t)::BIGINT AS chars, sha256(t) AS digest FROM h")
+def recognised_markdown(spark, sf_dir):
+    """Words to Markdown by the API; page markers and blank lines aside, it is the blocks in order."""
+    per = F.when(F.col("doc_id") % 3 == 0, 6).otherwise(12)
+    ends = (F.col("idx") % per == per - 1) & (F.col("row") % 4 == 1)
+    words = _words(spark, sf_dir).withColumn("text", F.when(ends, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+    md = an.render_markdown(api.analyze_words(words))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("markdown", r"(?m)^### p\d+$", ""), "\n{3,}", "\n\n"), F.lit("\n"))
+    return md.select("doc_id", bare.alias("t")).where("t <> ''").select("doc_id", F.char_length("t").cast("long").alias("chars"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
 
 
-_TOKENS = r"""list_transform(regexp_extract_all(translate(text, 'ʼ’‘“”–', '""-'), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), lambda t: lower(nfc_normalize(t)))"""
-
-
-@query(f"""WITH {_WORDS}, s AS (SELECT doc_id, page, unnest({_TOKENS}) AS token, idx % 17 = 16 AS cut FROM words),
-  m AS (SELECT doc_id, page, token, count(*) AS n, count(*) FILTER (NOT cut) AS o FROM s GROUP BY ALL) SELECT doc_id, page, token, (n - o)::BIGINT AS missing FROM m WHERE n > o""")
+@query(f"WITH {_WORDS}, {_CUT} SELECT doc_id, page, token, count(*)::BIGINT AS missing FROM miss GROUP BY ALL")
 def audit_repairs(spark, sf_dir):
-    """Words against pages of them without every 17th; words on a line stand apart by a space, so no repair applies."""
-    words = _words(spark, sf_dir)
-    body = words.where("idx % 17 <> 16").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("ws"))
-    found = audit.missing_words(words.select("doc_id", "page", "idx", "text"), body.select("doc_id", "page", F.array_join("ws.text", " ").alias("body")))
-    return found.groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
+    return audit.missing_words(*_cut(spark, sf_dir)).groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
\ No newline at end of file

@@ -56,17 +56,13 @@ def marked_documents(conversations: DataFrame) -> DataFrame:
 
 def bodies(marked: DataFrame) -> DataFrame:
     """(doc_id, md) -> doc_id, page, body: the lines after each page marker. Text before the first is left out; bodies of a
-    page that is marked again are joined in order. A document is split as an array, so no window is needed."""
-    lines = F.split("md", "\n")
-    cut_at = F.transform(lines, lambda x: F.when(x.rlike(MARKER), F.coalesce(F.nullif(F.regexp_extract(x, MARKER, 1), F.lit("")), F.regexp_extract(x, MARKER, 2)).cast("int")))
-    empty = F.array().cast("array<struct<page:int,lines:array<string>>>")
-    one = lambda page, ls: F.array(F.struct(page.alias("page"), ls.cast("array<string>").alias("lines"))).cast("array<struct<page:int,lines:array<string>>>")
+    page that is marked again are joined in order. A document is split as an array and cut at its markers, in linear time."""
+    def cut(lines):
+        at = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, MARKER, 1), F.lit("")), F.regexp_extract(x, MARKER, 2)).cast("int")
+        marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(MARKER), at(x)).alias("page"))), lambda m: m["page"].isNotNull())
+        body = lambda ms: F.transform(ms, lambda m, k: F.struct(m["page"].alias("page"), F.array_join(F.slice(lines, m["i"] + 2, F.coalesce(F.get(ms, k + 1)["i"], F.size(lines)) - m["i"] - 1), "\n").alias("body")))
+        return F.element_at(F.transform(F.array(marks), body), 1)
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), one(last["page"], F.concat(last["lines"], F.array(x["l"]))))
-        return F.when(x["p"].isNotNull(), F.concat(acc, one(x["p"], F.array()))).when(F.size(acc) == 0, acc).otherwise(grown)
-
-    pages = F.aggregate(F.arrays_zip(lines.alias("l"), cut_at.alias("p")), empty, step)
-    each = marked.select("doc_id", F.posexplode(pages).alias("nth", "b")).select("doc_id", "nth", "b.page", F.array_join("b.lines", "\n").alias("body"))
+    pages = F.element_at(F.transform(F.array(F.split("md", "\n")), cut), 1)
+    each = marked.select("doc_id", F.posexplode(pages).alias("nth", "b")).select("doc_id", "nth", "b.page", "b.body")
     return each.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "body"))), lambda x: x["body"]), "\n").alias("body"))
