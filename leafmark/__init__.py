@@ -2,11 +2,12 @@
 
 from leafmark.api import Options, analyze_auto, analyze_runs, analyze_words, audit, mixed, page_report, report, warnings
 from leafmark.errors import LeafmarkError
-from leafmark.operators.analysis import render_markdown, render_text, to_json
+from leafmark.operators.analysis import render_markdown, render_text, to_json, word_dump
+from leafmark.operators.rows import Tuning
 from leafmark.sources.layout import read_word_dump
 
 __version__ = "0.2.0"
 __all__ = [
-    "LeafmarkError", "Options", "analyze_auto", "analyze_runs", "analyze_words", "audit", "mixed", "page_report", "read_word_dump", "render_markdown", "render_text", "report",
-    "to_json", "warnings",
+    "LeafmarkError", "Options", "Tuning", "analyze_auto", "analyze_runs", "analyze_words", "audit", "mixed", "page_report", "read_word_dump", "render_markdown", "render_text", "report",
+    "to_json", "warnings", "word_dump",
 ]

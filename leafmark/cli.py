@@ -6,6 +6,7 @@ import argparse
 import json
 import re
 import sys
+from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from leafmark import __version__, api
 from leafmark.errors import LeafmarkError
 from leafmark.operators import analysis
-from leafmark.sources.layout import read_word_dump
+from leafmark.operators.rows import Tuning
+from leafmark.sources.layout import read_audit_dump, read_word_dump
 
 FAILED = 19
 SUFFIX = {"md": "md", "txt": "txt", "raw": "json"}
@@ -42,6 +44,10 @@ def positive(text: str) -> float:
     return value
 
 
+def count(text: str) -> int:
+    return int(float(text))
+
+
 def parser() -> argparse.ArgumentParser:
     top = _Parser(prog="leafmark")
     top.add_argument("--version", action="version", version=__version__)
@@ -52,8 +58,9 @@ def parser() -> argparse.ArgumentParser:
     ex.add_argument("--format", choices=tuple(SUFFIX), default="md")
     ex.add_argument("--pages", type=page_range)
     ex.add_argument("--dictionary", help="a word a line")
-    ex.add_argument("--heading-scale", type=positive, default=2.0)
-    ex.add_argument("--para-gap", type=positive, default=1.6)
+    for knob in fields(Tuning):
+        kind = count if knob.type == "int" else positive if knob.default > 0.1 else float
+        ex.add_argument("--" + knob.name.replace("_", "-"), type=kind, default=knob.default)
     ex.add_argument("--stdout", action="store_true")
     ex.add_argument("--debug-words", metavar="FILE", help="write the words of the pages asked for, one JSON object a line")
     ex.add_argument("--json", action="store_true", help="print the report")
@@ -74,7 +81,7 @@ def extract(spark: SparkSession, args) -> int:
     if skipped:
         print(f"skipped {skipped} lines that aren't words", file=sys.stderr)
     known = spark.read.text(args.dictionary).select(F.col("value").alias("word")) if args.dictionary else None
-    pages = api.analyze_words(words, api.Options(args.pages, dictionary=known, heading_scale=args.heading_scale, para_gap=args.para_gap))
+    pages = api.analyze_words(words, api.Options(args.pages, dictionary=known, tuning=Tuning(**{knob.name: getattr(args, knob.name) for knob in fields(Tuning)})))
     for w in api.warnings(pages).orderBy("page").toLocalIterator():
         print(w.warning, file=sys.stderr)
     if args.debug_words:
@@ -103,10 +110,11 @@ def extract(spark: SparkSession, args) -> int:
 
 
 def audit(spark: SparkSession, args) -> int:
-    words, skipped = words_of(spark, args.words)
-    if skipped:
-        raise LeafmarkError("AUDIT_INPUT", f"audit evidence is invalid: {skipped} lines aren't valid JSON records")
-    words = words.withColumn("doc_id", F.lit(1))
+    words = read_audit_dump(spark, args.words)
+    wrong = words.where("error is not null").orderBy("idx").select("error").limit(100).collect()
+    if wrong:
+        raise LeafmarkError("AUDIT_INPUT", "audit evidence is invalid: " + "; ".join(r.error for r in wrong))
+    words = words.drop("error").withColumn("doc_id", F.lit(1))
     marked = spark.createDataFrame([(1, Path(args.markdown).read_text(encoding="utf-8"))], "doc_id int, md string")
     lines, totals = api.audit(words, marked)
     for row in lines.orderBy("page").toLocalIterator():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,39 @@ from pyspark.sql import DataFrame
 from leafmark.functions.text import FOLD_FROM, FOLD_TO, WORDLIKE
 from leafmark.operators import pages as pg
 
-# Fixed values of the row grouping and of the float test.
-LINE_Y_TOL, LINE_HEIGHT_SHARE, LINE_HEIGHT_RATIO = 0.006, 0.2, 2.4
-COLUMN_WIDTH, COLUMN_ROW_HEIGHT = (0.2, 0.55), 1.6
-FLOAT_WORDS, FLOAT_WIDTH, FLOAT_MARGIN, ISOLATION, RESCUE_OVERLAP = 3, 0.15, 0.008, 2.2, 0.5
+# Fixed values of the row grouping and of the float test; those that a caller may change are in Tuning.
+LINE_HEIGHT_SHARE, COLUMN_LEAST_WIDTH, COLUMN_ROW_HEIGHT, ISOLATION, RESCUE_OVERLAP = 0.2, 0.2, 1.6, 2.2, 0.5
 RUN_MIN_TOL, RUN_TOL_SHARE, RUN_SPACE = 2.0, 0.5, 0.12
 
+
+@dataclass(frozen=True)
+class Tuning:
+    """What a caller may change; lengths are fractions of the page.
+
+    float_words, float_width, float_margin: a float has at most so many words, is narrower, and begins further from its
+    column's start. para_gap: of the line pitch. heading_scale: of the body height. column_width: of rows that tell the
+    columns. split: where two columns part. line_y_tol, line_height_ratio: words of a line are as near, and as alike in height.
+    """
+
+    float_words: int = 3
+    float_width: float = 0.15
+    float_margin: float = 0.008
+    para_gap: float = pg.PARA_GAP
+    heading_scale: float = 2.0
+    column_width: float = 0.55
+    split: float = pg.SPLIT
+    line_y_tol: float = 0.006
+    line_height_ratio: float = 2.4
+
+    def __post_init__(self):
+        for name in ("float_words", "float_width", "float_margin", "line_y_tol"):
+            if not 0 <= getattr(self, name) < float("inf"):
+                raise ValueError(f"{name} must not be negative")
+        for name in ("para_gap", "heading_scale", "column_width", "split", "line_height_ratio"):
+            if not 0 < getattr(self, name) < float("inf"):
+                raise ValueError(f"{name} must be positive")
+
+
 OCR_LINE = "doc_id long, page int, ix int, col int, text string, x double, width double, mid_y double, h double, n_words long, is_float boolean, is_tall boolean, pitch double, median_h double, two_column boolean, words array<int>"
 TEXT_LINE = "doc_id long, page int, ix int, col int, text string, x double, y double, h double, n_words long, words array<int>"
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
@@ -27,7 +55,7 @@ def _typed(schema: str, given: DataFrame) -> str:
     return schema.replace("doc_id long", f"doc_id {given.schema['doc_id'].dataType.simpleString()}")
 
 
-def row_numbers(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, band: np.ndarray) -> np.ndarray:
+def row_numbers(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, band: np.ndarray, tuning: Tuning) -> np.ndarray:
     """The row of every word, numbered as rows open from the top.
 
     A word joins the first open row of its band whose middle is within the tolerance and whose height isn't too
@@ -40,7 +68,7 @@ def row_numbers(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, band
         for r, (low, high, own) in enumerate(rows):
             tall = high - low
             most, least = (tall, t) if tall > t else (t, tall)
-            if own == s and abs((high + low) / 2 - mid) <= max(LINE_Y_TOL, most * LINE_HEIGHT_SHARE) and most < least * LINE_HEIGHT_RATIO:
+            if own == s and abs((high + low) / 2 - mid) <= max(tuning.line_y_tol, most * LINE_HEIGHT_SHARE) and most < least * tuning.line_height_ratio:
                 rows[r][0], rows[r][1] = min(low, a), max(high, a + t)
                 break
         else:
@@ -59,11 +87,11 @@ def _pitch(col: np.ndarray, mid_y: np.ndarray) -> float:
     return _upper_median(gap[(col[1:] == col[:-1]) & (gap > 0.0005)], pg.PITCH)
 
 
-def _ranges(x: np.ndarray, right: np.ndarray, tall: np.ndarray, band: np.ndarray, two: bool, median_h: float) -> list[tuple[float, float]]:
+def _ranges(x: np.ndarray, right: np.ndarray, tall: np.ndarray, band: np.ndarray, two: bool, median_h: float, tuning: Tuning) -> list[tuple[float, float]]:
     """The x range of each column, from its wide rows of body height; a column with fewer than two has none."""
-    wide = (right - x >= COLUMN_WIDTH[0]) & (tall <= median_h * COLUMN_ROW_HEIGHT)
+    wide = (right - x >= COLUMN_LEAST_WIDTH) & (tall <= median_h * COLUMN_ROW_HEIGHT)
     if two:
-        wide &= right - x <= COLUMN_WIDTH[1]
+        wide &= right - x <= tuning.column_width
     sides = [wide & (band == b) for b in (0, 1)] if two else [wide]
     return [(x[s].min(), right[s].max()) for s in sides if s.sum() > 1]
 
@@ -77,14 +105,14 @@ def _columns(x: np.ndarray, right: np.ndarray, ranges: list[tuple[float, float]]
     return np.where(left != other, left < other, far[0] > far[1]).astype(int)
 
 
-def _floats(text: list[str], col: np.ndarray, x: np.ndarray, width: np.ndarray, mid_y: np.ndarray, h: np.ndarray, ranges: list[tuple[float, float]], tall_from: float) -> np.ndarray:
+def _floats(text: list[str], col: np.ndarray, x: np.ndarray, width: np.ndarray, mid_y: np.ndarray, h: np.ndarray, ranges: list[tuple[float, float]], tall_from: float, tuning: Tuning) -> np.ndarray:
     """Short lines off their column's start that are narrow or lone display junk, unless they hang under a kept line."""
-    reach, is_float, at = _pitch(col, mid_y) * pg.PARA_GAP, np.zeros(len(text), dtype=bool), np.arange(len(text))
+    reach, is_float, at = _pitch(col, mid_y) * tuning.para_gap, np.zeros(len(text), dtype=bool), np.arange(len(text))
     for i, t in enumerate(text):  # in reading order: a line kept here may keep the next
-        if col[i] >= len(ranges) or sum(map(bool, t.split(" "))) > FLOAT_WORDS or abs(x[i] - ranges[col[i]][0]) <= FLOAT_MARGIN:
+        if col[i] >= len(ranges) or sum(map(bool, t.split(" "))) > tuning.float_words or abs(x[i] - ranges[col[i]][0]) <= tuning.float_margin:
             continue
         same = col == col[i]
-        odd = width[i] < FLOAT_WIDTH
+        odd = width[i] < tuning.float_width
         if not odd and h[i] >= tall_from and not re.search(WORDLIKE, t):
             close = np.abs(mid_y - mid_y[i]) < np.maximum(h, h[i]) * ISOLATION
             odd = not (same & close & (h >= tall_from) & (at != i)).any()
@@ -95,7 +123,7 @@ def _floats(text: list[str], col: np.ndarray, x: np.ndarray, width: np.ndarray,
     return is_float
 
 
-def page_layout(words: pd.DataFrame) -> pd.DataFrame:
+def page_layout(words: pd.DataFrame, tuning: Tuning = Tuning()) -> pd.DataFrame:
     """The lines of one page, in reading order, from its words (doc_id, page, idx, text, x, y, w, h)."""
     first = words.iloc[0]
     order = np.argsort(words["idx"].to_numpy(), kind="stable")
@@ -104,14 +132,14 @@ def page_layout(words: pd.DataFrame) -> pd.DataFrame:
     median_h = _upper_median(h, 0.0)
     tall, mid = h >= pg.TALL * median_h, x + w / 2
     n = max(1, int((~tall).sum()))
-    sides = [int((~tall & (mid < pg.SPLIT - pg.GUTTER)).sum()), int((~tall & (mid > pg.SPLIT + pg.GUTTER)).sum())]
-    ink = int((~tall & (x < pg.SPLIT) & (x + w > pg.SPLIT)).sum())
+    sides = [int((~tall & (mid < tuning.split - pg.GUTTER)).sum()), int((~tall & (mid > tuning.split + pg.GUTTER)).sum())]
+    ink = int((~tall & (x < tuning.split) & (x + w > tuning.split)).sum())
     two = min(sides) >= max(pg.MIN_WORDS, n * pg.MIN_SHARE) and ink <= n * pg.GUTTER_INK
-    band = np.where(tall | (not two) | (mid < pg.SPLIT), 0, 1)
+    band = np.where(tall | (not two) | (mid < tuning.split), 0, 1)
     members: list[list[int]] = []  # of rows, those of tall words first
     for part in (np.flatnonzero(tall), np.flatnonzero(~tall)):
         opened: dict[int, list[int]] = {}
-        for i, r in zip(part.tolist(), row_numbers(x[part], y[part], w[part], h[part], band[part]).tolist(), strict=True):
+        for i, r in zip(part.tolist(), row_numbers(x[part], y[part], w[part], h[part], band[part], tuning).tolist(), strict=True):
             opened.setdefault(r, []).append(i)
         members += [opened[r] for r in sorted(opened)]
     # The longest word gives a line's height; of several the one that was entered first.
@@ -119,22 +147,22 @@ def page_layout(words: pd.DataFrame) -> pd.DataFrame:
     height = np.array([h[max(m, key=lambda i: (len(said[i]), y[i] + h[i] / 2, -x[i], -i))] for m in members])
     in_x = [sorted(m, key=lambda i: x[i]) for m in members]
     rows_band, is_tall = np.array([band[m[0]] for m in members]), np.array([bool(tall[m[0]]) for m in members])
-    ranges = _ranges(rx, right, top - ry, rows_band, two, median_h)
+    ranges = _ranges(rx, right, top - ry, rows_band, two, median_h, tuning)
     col, mid_y = _columns(rx, right, ranges), (ry + top) / 2
     down = np.lexsort((-mid_y, col))
     col, mid_y, lx, width, height, is_tall = col[down], mid_y[down], rx[down], (right - rx)[down], height[down], is_tall[down]
     text = [" ".join(said[i] for i in in_x[k]) for k in down]
-    is_float = _floats(text, col, lx, width, mid_y, height, ranges, pg.TALL * median_h)
+    is_float = _floats(text, col, lx, width, mid_y, height, ranges, pg.TALL * median_h, tuning)
     return pd.DataFrame({
         "doc_id": first["doc_id"], "page": first["page"], "ix": range(len(text)), "col": col, "text": text, "x": lx, "width": width, "mid_y": mid_y, "h": height, "n_words": [len(in_x[k]) for k in down],
         "is_float": is_float, "is_tall": is_tall, "pitch": _pitch(col[~is_float], mid_y[~is_float]), "median_h": median_h, "two_column": bool(two), "words": [in_x[k] for k in down],
     })
 
 
-def ocr_lines(words: DataFrame) -> DataFrame:
+def ocr_lines(words: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
     """Lines, floats and line pitch of recognised words. Words without text or box are left out; a page of none has no row."""
     whole = words.select("doc_id", "page", "idx", "text", "x", "y", "w", "h").dropna(subset=["doc_id", "page", "text", "x", "y", "w", "h"])
-    return whole.groupBy(*pg.PAGE).applyInPandas(page_layout, _typed(OCR_LINE, words))
+    return whole.groupBy(*pg.PAGE).applyInPandas(lambda page: page_layout(page, tuning), _typed(OCR_LINE, words))
 
 
 def run_lines(runs: pd.DataFrame) -> pd.DataFrame:

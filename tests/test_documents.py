@@ -165,3 +165,49 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["extract", str(dump), "--pages", "3-1"])
     assert e.value.code == 19
+
+
+def test_audit_dump_is_read_strictly(spark, tmp_path):
+    from leafmark.sources.layout import read_audit_dump
+
+    path = tmp_path / "dump.jsonl"
+    path.write_text('{"page": 1, "text": "a"}\n\n[1]\n{"page": 0, "text": "b"}\n{"page": 2, "text": " "}\n {"page": 3, "text": "c", "x": 0.5}\n{"page": 4\n')
+    got = [(r.idx, r.page, r.error) for r in read_audit_dump(spark, str(path)).orderBy("idx").collect()]
+    lacks = "must contain a positive integer page and non-empty text"
+    assert [g[2] for g in got] == [None, "line 2 is not valid JSON", "line 3 is not valid JSON", f"line 4 {lacks}", f"line 5 {lacks}", None, "line 7 is not valid JSON"]
+    (tmp_path / "out.md").write_text("### p1\n\na\n")
+    assert cli.main(["audit", str(path), str(tmp_path / "out.md")]) == 19
+    assert cli.main(["audit", str(tmp_path / "none.jsonl"), str(tmp_path / "out.md")]) == 19
+    (tmp_path / "empty.jsonl").write_text("")
+    assert cli.main(["extract", str(tmp_path / "empty.jsonl"), "--stdout"]) == 19
+
+
+def test_tuning_changes_the_layout(spark, tmp_path):
+    from leafmark import LeafmarkError as exported
+    from leafmark import Options, Tuning, analyze_words, page_report, word_dump
+
+    assert exported is LeafmarkError
+    rows = [(1, 1, i, f"word{i}", 0.05 + 0.06 * (i % 10), 0.9 - 0.03 * (i // 10), 0.05, 0.017, 50.0 + i) for i in range(60)]
+    rows += [(1, 1, 90, "aside", 0.8, 0.5, 0.05, 0.017, 10.0)]
+    words = spark.createDataFrame(rows, DUMP)
+    types = lambda o: [b.type for p in analyze_words(words, o).collect() for b in p.blocks]
+    assert types(Options()) == ["paragraph", "float"] and types(Options(tuning=Tuning(float_words=0))) == ["paragraph", "paragraph"]
+    assert len(types(Options(tuning=Tuning(para_gap=0.5)))) == 7
+    with pytest.raises(ValueError):
+        Tuning(split=0.0)
+    pages = analyze_words(words)
+    report = page_report(pages, words).first()
+    assert (report.path, report.measured, report.low, report.sample.split("|")[:2], report.floats) == ("ocr", 61, 11, ["aside", "word0"], 1)
+    assert json.loads(word_dump(pages).first().line) == {"page": 1, "text": "word0", "x": 0.05, "y": 0.9, "w": 0.05, "h": 0.017, "confidence": 50.0}
+
+
+def test_automatic_pages(spark):
+    from leafmark import Options, analyze_auto
+
+    info = spark.createDataFrame([(1, 1, 500, True), (1, 2, 3, True), (1, 3, 0, False), (1, 4, None, None)], "doc_id int, page int, text_chars int, has_image boolean")
+    runs = spark.createDataFrame([(1, p, 0, f"text of page {p}", 72.0, 100.0, 90.0, 12.0, 612.0) for p in (1, 2)], "doc_id int, page int, idx int, text string, x double, y double, w double, h double, page_width double")
+    words = spark.createDataFrame([(1, 2, 0, "seen", 0.1, 0.9, 0.05, 0.02, 90.0), (1, 1, 0, "unused", 0.1, 0.9, 0.05, 0.02, 90.0)], DUMP)
+    got = lambda o=None: sorted((p.page, p.path, [b.text for b in p.blocks]) for p in analyze_auto(info, runs, words, o).collect())
+    assert got() == [(1, "text", ["text of page 1"]), (2, "ocr", ["seen"]), (3, "text", []), (4, "text", [])]
+    assert got(Options(pages=(2, 9)))[0] == (2, "ocr", ["seen"]) and len(got(Options(pages=(8, 9)))) == 1
+    assert {p[1] for p in got(Options(ocr=False))} == {"text"} and got(Options(ocr=True))[0] == (1, "ocr", ["unused"])
