@@ -91,16 +91,13 @@ def _first_levels(runs: int, levels: int, threshold: float, seed: int):
                 continue
             values = _matrix(f["sketch"])
             rep = f["rep"].to_numpy(np.int64)
-            out = []
-            for r in range(runs):
+            for r in range(runs):  # a run's frame at a time
                 at = np.arange(len(f))
                 path = np.full(len(f), mix(np.array([seed * 1000 + r + 1], dtype=np.uint64))[0], dtype=np.uint64)
                 for _ in range(levels):
                     row, path = _children(path, values[at], threshold)
                     at = at[row]
-                out.append((at, path))
-            at, path = (np.concatenate([x[i] for x in out]) for i in (0, 1))
-            yield pd.DataFrame({"node": path.view(np.int64), "rep": rep[at], "above": 0}).drop_duplicates()
+                yield pd.DataFrame({"node": path.view(np.int64), "rep": rep[at], "above": 0}).drop_duplicates()
 
     return run
 
