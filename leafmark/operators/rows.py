@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,10 +160,30 @@ def page_layout(words: pd.DataFrame, tuning: Tuning = Tuning()) -> pd.DataFrame:
     })
 
 
+def _by_page(rows: DataFrame, schema: str, layout) -> DataFrame:
+    """layout() of each page's rows, many pages of a partition at a time; a task holds a batch and one page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in batches:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            if not len(f):
+                continue
+            doc, page = f["doc_id"].to_numpy(), f["page"].to_numpy()
+            begin = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist()]
+            rest = f.iloc[begin[-1] :]
+            if len(begin) > 1:
+                yield pd.concat([layout(f.iloc[a:b]) for a, b in zip(begin, begin[1:])])  # noqa: B905, RUF007
+        if rest is not None and len(rest):
+            yield layout(rest)
+
+    return rows.repartition(*pg.PAGE).sortWithinPartitions(*pg.PAGE).mapInPandas(run, _typed(schema, rows))
+
+
 def ocr_lines(words: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
     """Lines, floats and line pitch of recognised words. Words without text or box are left out; a page of none has no row."""
     whole = words.select("doc_id", "page", "idx", "text", "x", "y", "w", "h").dropna(subset=["doc_id", "page", "text", "x", "y", "w", "h"])
-    return whole.groupBy(*pg.PAGE).applyInPandas(lambda page: page_layout(page, tuning), _typed(OCR_LINE, words))
+    return _by_page(whole, OCR_LINE, lambda page: page_layout(page, tuning))
 
 
 def run_lines(runs: pd.DataFrame) -> pd.DataFrame:
@@ -199,4 +220,4 @@ def run_lines(runs: pd.DataFrame) -> pd.DataFrame:
 def text_lines(runs: DataFrame) -> DataFrame:
     """Lines of text-layer runs; blank runs are left out."""
     need = runs.select("doc_id", "page", "idx", "text", "x", "y", "w", "h", "page_width").where(r"text rlike '\\S'").dropna()
-    return need.groupBy(*pg.PAGE).applyInPandas(run_lines, _typed(TEXT_LINE, runs))
+    return _by_page(need, TEXT_LINE, run_lines)
