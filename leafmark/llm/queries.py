@@ -90,6 +90,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 WORDS = "list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
+#: Kind, pattern and the group whose length counts, as the contract gives them; quotes doubled for SQL.
+SECRET_PATTERNS = (
+    (0, r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2),
+    (1, "AKIA[A-Z0-9]+", 0),
+    (2, "[0-9a-f]+", 0),
+    (3, "[A-Za-z0-9+/_-]+", 0),
+)
+
 ORACLE = {
     "op1_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT DISTINCT doc_id, {WORDS.format('text')} AS ws FROM documents WHERE doc_id IS NOT NULL),
@@ -123,6 +131,42 @@ ORACLE = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)
     """,
+    "op7_secret_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        kinds(k, name, least) AS (VALUES (0, 'assign', 12), (1, 'access', 18), (2, 'hex', 16), (3, 'random', 20)),
+        f AS ({" UNION ALL ".join(f"SELECT r, {k} AS k, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {g}) AS gs FROM d" for k, p, g in SECRET_PATTERNS)}),
+        u AS (SELECT r, k, unnest(range(1, len(ms) + 1)) AS i, unnest(gaps[:len(ms)]) AS gap, unnest(ms) AS m, unnest(gs) AS g FROM f WHERE len(ms) > 0),
+        a AS (SELECT r, k, g, m, sum(length(gap) + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS stop FROM u),
+        s AS (SELECT r, k, name, m, stop - length(m) AS start, stop FROM a JOIN kinds USING (k) WHERE length(g) >= least),
+        enc(e, size, alphabet, collide) AS (VALUES (0, 10, '0123456789', 0.2::DOUBLE), (1, 16, '0123456789abcdef', 0.12), (2, 32, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 0.066),
+            (3, 62, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', 0.066), (4, 64, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', 0.066)),
+        tok AS (SELECT m, length(m)::DOUBLE AS n, CASE WHEN regexp_full_match(m, '[0-9]+') THEN 0 WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') THEN 1
+            WHEN regexp_full_match(m, '[A-Z2-7]+') THEN 2 WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN 3 ELSE 4 END AS e FROM (SELECT DISTINCT m FROM s WHERE k = 3)),
+        ch AS (SELECT m, n, e, size, collide, unnest(range(1, n::BIGINT + 1)) AS i, alphabet,
+            CASE e WHEN 1 THEN lower(m) WHEN 4 THEN translate(m, '-_', '+/') ELSE m END AS plain FROM tok JOIN enc USING (e)),
+        c AS (SELECT *, instr(alphabet, substr(plain, i, 1))::DOUBLE AS code FROM ch),
+        nb AS (SELECT *, code > size / 2 AS half, lag(code) OVER w AS before, lag(code > size / 2) OVER w AS half_before FROM c WINDOW w AS (PARTITION BY m ORDER BY i)),
+        sq AS (SELECT m, sum(cnt * cnt)::DOUBLE AS squares FROM (SELECT m, code, count(*) AS cnt FROM c GROUP BY ALL) GROUP BY m),
+        st AS (SELECT m, any_value(n) AS n, any_value(e) AS e, any_value(size)::DOUBLE AS size, any_value(collide)::DOUBLE AS collide, count(*) FILTER (half)::DOUBLE AS ones,
+            (1 + count(*) FILTER (half <> half_before))::DOUBLE AS runs, sum(code) AS s1, sum(code * code) AS s2, coalesce(sum(code * before), 0) AS sx FROM nb GROUP BY m),
+        z AS (SELECT *, size * squares / n - n AS chi, size - 1 AS df, 2 * ones * (n - ones) / n + 1 AS mu, s1 / n AS mean, (n - 1) * (size * collide - 1) AS extra FROM st JOIN sq USING (m)),
+        y AS (SELECT m, n, e, (chi - df) / sqrt(2 * df * (n - 1) / n) AS z_chi,
+            CASE WHEN ones IN (0, n) THEN 9 ELSE (runs - mu) / sqrt(greatest(1e-9, (mu - 1) * (mu - 2) / (n - 1))) END AS z_runs,
+            (CASE WHEN s2 - n * mean * mean > 1e-9 THEN (sx - (n - 1) * mean * mean) / (s2 - n * mean * mean) ELSE 1 END + 1 / n) * sqrt(n) AS z_serial,
+            (chi - df - extra) / sqrt(2 * df + 4 * extra) AS zt FROM z),
+        b AS (SELECT m, e, least(9, floor(log2(n / 20) * 2))::INT AS band, CASE WHEN e = 0 OR z_chi > 3.5 OR abs(z_runs) > 3.5 OR abs(z_serial) > 3.5 THEN 1
+            ELSE 1 / (1 + exp(greatest(-700, least(700, -(1.5976 * zt + 0.070566 * zt * zt * zt))))) END AS p FROM y),
+        q AS (SELECT m, e, band, least(199, floor(-log2(greatest(1e-30::DOUBLE, p)) * 4))::INT AS bin FROM b),
+        h AS (SELECT e, band, bin, sum(count(*)) OVER (PARTITION BY e, band ORDER BY bin DESC) AS upto, sum(count(*)) OVER (PARTITION BY e, band) AS total FROM q GROUP BY e, band, bin),
+        low AS (SELECT e, band, min(bin) AS lowest FROM h WHERE bin > 0 AND power(2::DOUBLE, -bin / 4) <= 0.05 * upto / total GROUP BY e, band),
+        found AS (SELECT m FROM q JOIN low USING (e, band) WHERE bin >= lowest),
+        more AS (SELECT s.* FROM s JOIN found USING (m) WHERE k = 3 AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.k < 3 AND o.r = s.r AND s.start < o.stop AND o.start < s.stop)),
+        spans AS (SELECT r, k, start, stop, name || ':' || start || ':' || stop AS span FROM (SELECT * FROM s WHERE k < 3 UNION ALL SELECT * FROM more)),
+        g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+            string_agg(span, ',' ORDER BY start, k, stop) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k, stop) AS spans FROM spans GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (r)
+    """,
     "op2_warc_salvage": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex FROM p),

@@ -157,9 +157,9 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
 
 def _with_added(found: DataFrame, secret: DataFrame) -> DataFrame:
-    """Tokens that are in `secret` become added matches of their rows; rows are told apart by id and matches."""
+    """Tokens that are in `secret` become added matches of their rows; rows are told apart by a 128-bit name of their id and matches."""
     bare = F.transform("base", lambda x: F.struct(x["start"], x["k"], x["stop"]))
-    key = F.xxhash64("doc_id", bare, "token")
+    key = F.struct(F.xxhash64("doc_id", bare, "token").alias("a"), F.xxhash64(F.lit(1), "doc_id", bare, "token").alias("b"))
     keyed = found.withColumn("key", key)
     each = keyed.where(F.size("token") > 0).select("key", F.explode("token").alias("t")).select("key", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.token").alias("token")).distinct()
     few = secret.limit(200_001).count() <= 200_000
