@@ -1,21 +1,29 @@
-"""python -m leafmark extract WORDS.jsonl [OUT] | audit WORDS.jsonl OUT.md; every failure ends with code 19."""
+"""python -m leafmark extract WORDS.jsonl|FILE.pdf [OUT] | render FILE.pdf N[-M] | audit WORDS.jsonl OUT.md.
+
+Every failure ends with code 19. PDFs need --plugin: a module with parse(bytes), rasterise(path, page, dpi) for render,
+and, where pages are to be recognised, engine(path, page, sparse, dpi); see sources.pdf for what they give.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import re
 import sys
 from dataclasses import fields
+from functools import partial
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark import __version__, api
 from leafmark.errors import LeafmarkError
 from leafmark.operators import analysis
 from leafmark.operators.rows import Tuning
+from leafmark.sources import pdf
 from leafmark.sources.layout import read_audit_dump, read_word_dump
 
 FAILED = 19
@@ -64,6 +72,17 @@ def parser() -> argparse.ArgumentParser:
     ex.add_argument("--stdout", action="store_true")
     ex.add_argument("--debug-words", metavar="FILE", help="write the words of the pages asked for, one JSON object a line")
     ex.add_argument("--json", action="store_true", help="print the report")
+    ex.add_argument("--page-markers", action="store_true", help="of PDFs whose pages all have text")
+    which = ex.add_mutually_exclusive_group()
+    which.add_argument("--ocr", action="store_const", const=True, help="recognise all pages of a PDF")
+    which.add_argument("--no-ocr", dest="ocr", action="store_const", const=False, help="recognise none")
+    re_ = sub.add_parser("render")
+    re_.add_argument("pdf")
+    re_.add_argument("pages", type=page_range)
+    re_.add_argument("--out", "-o", default=".")
+    for command in (ex, re_):
+        command.add_argument("--dpi", "-d", type=positive, default=288.0)
+        command.add_argument("--plugin", help="module that parses, draws and recognises PDFs")
     au = sub.add_parser("audit")
     au.add_argument("words")
     au.add_argument("markdown")
@@ -76,26 +95,76 @@ def words_of(spark: SparkSession, path: str):
     return dump.where("not bad").drop("bad"), dump.where("bad").count()
 
 
-def extract(spark: SparkSession, args) -> int:
-    words, skipped = words_of(spark, args.words)
-    if skipped:
-        print(f"skipped {skipped} lines that aren't words", file=sys.stderr)
+def plugin(args):
+    """The module of --plugin, which tasks get by value."""
+    if not args.plugin:
+        raise LeafmarkError("PDF_OPEN", "PDFs need --plugin")
+    module = importlib.import_module(args.plugin)
+    cloudpickle.register_pickle_by_value(module)
+    return module
+
+
+def parsed_pdf(spark: SparkSession, path: str, module) -> DataFrame:
+    parsed = pdf.read_pdfs(spark, path, module.parse).persist()
+    wrong = parsed.where("error is not null").limit(1).collect()
+    if wrong:
+        raise LeafmarkError("PDF_OPEN", wrong[0].error)
+    return parsed
+
+
+def no_engine(doc: str, page: int, sparse: bool) -> list[dict]:
+    raise LeafmarkError("PDF_OPEN", f"page {page} of {doc} needs recognition, but the plug-in has no engine")
+
+
+def analyzed_file(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Pages, words read, warnings and what the report has besides, of a dump or a PDF."""
     known = spark.read.text(args.dictionary).select(F.col("value").alias("word")) if args.dictionary else None
-    pages = api.analyze_words(words, api.Options(args.pages, dictionary=known, tuning=Tuning(**{knob.name: getattr(args, knob.name) for knob in fields(Tuning)})))
-    for w in api.warnings(pages).orderBy("page").toLocalIterator():
+    tuning = Tuning(**{knob.name: getattr(args, knob.name) for knob in fields(Tuning)})
+    o = api.Options(args.pages, args.page_markers, known, args.ocr, tuning)
+    if not args.words.lower().endswith(".pdf"):
+        words, skipped = words_of(spark, args.words)
+        if skipped:
+            print(f"skipped {skipped} lines that aren't words", file=sys.stderr)
+        pages = api.analyze_words(words, o).persist()
+        return pages, words, api.warnings(pages), None
+    module = plugin(args)
+    parsed = parsed_pdf(spark, args.words, module)
+    engine = partial(module.engine, dpi=args.dpi) if hasattr(module, "engine") else no_engine
+    pages, words = api.analyze_parsed(parsed, engine, o)
+    pages = pages.persist()  # read by the notices, the report and the rendering
+    info = pdf.image_signals(parsed)
+    return pages, words, api.warnings(pages, info, args.ocr is True), api.builder_report(pages, pdf.runs_of(parsed), info, o)
+
+
+def render(spark: SparkSession, args) -> int:
+    module = plugin(args)
+    n = pdf.page_counts(parsed_pdf(spark, args.pdf, module))
+    if n.isEmpty():
+        raise LeafmarkError("PDF_OPEN", f"{args.pdf} has no pages")
+    first, last = args.pages
+    pages = n.select("doc_id", "n_pages", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("page"))
+    for row in sorted(pdf.write_pages(pages, module.rasterise, args.out, args.dpi).collect(), key=lambda r: r.page):  # sorted here, lest pages are drawn twice
+        print(row.path)
+    return 0
+
+
+def extract(spark: SparkSession, args) -> int:
+    pages, words, notes, besides = analyzed_file(spark, args)
+    for w in notes.orderBy("page").toLocalIterator():
         print(w.warning, file=sys.stderr)
     if args.debug_words:
         with open(args.debug_words, "w", encoding="utf-8") as out:
             for w in analysis.word_dump(pages).toLocalIterator():
                 out.write(w.line + "\n")
-    report = api.report(pages, words)
+    report = api.report(pages, words, args.page_markers)
+    if besides is not None:
+        report = report.join(besides, "doc_id", "left")
     if not report.limit(1).collect():
         raise LeafmarkError("WORDS_INPUT", "no words")
     if args.format == "raw":
         content = json.dumps(json.loads(analysis.to_json(pages, report).first().json), indent=1, ensure_ascii=False)
     else:
-        render = analysis.render_markdown if args.format == "md" else analysis.render_text
-        content = render(pages).first()[1]
+        content = (analysis.render_markdown(pages, args.page_markers) if args.format == "md" else analysis.render_text(pages)).first()[1]
     dest = args.out or f"{re.sub(r'[.](pdf|jsonl)$', '', args.words, flags=re.I)}.{SUFFIX[args.format]}"
     if args.stdout:
         sys.stdout.write(content)
@@ -128,7 +197,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("leafmark").getOrCreate()
     try:
-        return {"extract": extract, "audit": audit}[args.command](spark, args)
+        return {"extract": extract, "render": render, "audit": audit}[args.command](spark, args)
     except LeafmarkError as e:
         print(f"{e.code}: {e}", file=sys.stderr)
     except Exception as e:  # a missing file, an unreadable dictionary, an empty dump: one exit code for all

@@ -22,18 +22,27 @@ GRAMMAR = "g+(?:[BHIL][vVW]|[^g]|$)|B[vVW]|[Bb]|[hHViIW][iIW]*|L[vVW]|[Lvt]"
 VALUED = "^(?:g+[BHIL]|B|L)[vVW]$"
 
 
-def heading_levels(lines: DataFrame, markers: bool = False, histogram: DataFrame | None = None) -> DataFrame:
+def body_heights(histogram: DataFrame) -> DataFrame:
+    """doc_id, body: the height with the most characters, the first met of several, of (doc_id, size, chars, at)."""
+    return histogram.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("at.page"), -F.col("at.ix"))).alias("body"))
+
+
+def heading_levels(lines: DataFrame, markers: bool | DataFrame = False, histogram: DataFrame | None = None) -> DataFrame:
     """doc_id, size, level: the six largest heights over 1.35 body heights; below page markers they start at level 4.
 
-    The body height is the one with the most characters, the first met of several. histogram: (doc_id, size, chars, at),
+    markers: of all documents or none, or the documents (doc_id) that have them. histogram: (doc_id, size, chars, at),
     at being a struct(page, ix) of the first place, where not that of the lines.
     """
     if histogram is None:
         histogram = lines.groupBy("doc_id", F.col("h").alias("size")).agg(F.sum(F.char_length("text")).alias("chars"), F.min(F.struct("page", "ix")).alias("at"))
-    body = histogram.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("at.page"), -F.col("at.ix"))).alias("body"))
-    tall = histogram.join(body, "doc_id").where(F.col("size") > F.col("body") * HEADING_SCALE)
+    tall = histogram.join(body_heights(histogram), "doc_id").where(F.col("size") > F.col("body") * HEADING_SCALE)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))
-    return tall.withColumn("rank", rank).where(F.col("rank") <= HEADING_SIZES).select("doc_id", "size", F.least(F.lit(6), F.col("rank") + (3 if markers else 0)).cast("int").alias("level"))
+    ranked = tall.withColumn("rank", rank).where(F.col("rank") <= HEADING_SIZES)
+    if isinstance(markers, DataFrame):
+        ranked = ranked.join(markers.select("doc_id", F.lit(3).alias("below")).distinct(), "doc_id", "left")
+    else:
+        ranked = ranked.withColumn("below", F.lit(3 if markers else 0))
+    return ranked.select("doc_id", "size", F.least(F.lit(6), F.col("rank") + F.coalesce("below", F.lit(0))).cast("int").alias("level"))
 
 
 def classified(lines: DataFrame, levels: DataFrame) -> DataFrame:

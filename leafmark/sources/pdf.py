@@ -6,6 +6,7 @@ height, runs (text, a..f of the transform to the viewport with y down, width), a
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -123,18 +124,57 @@ def recognise(pages: DataFrame, engine: Callable[[str, int, bool], list[dict]])
     return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page").mapInPandas(run, WORDS)
 
 
-def render_pages(pages: DataFrame, rasterise: Callable[[str, int, float], tuple[bytes, int, int]], dpi: float = 288.0) -> DataFrame:
-    """doc_id, page, png, width, height; a page that isn't in its document (n_pages) raises PAGE_RANGE before any is drawn."""
+def check_pages(pages: DataFrame) -> None:
+    """Raises PAGE_RANGE if a page (doc_id, page, n_pages) isn't in its document."""
     outside = pages.where("page < 1 or page > n_pages").select(*PAGE, "n_pages").limit(1).collect()
     if outside:
         raise LeafmarkError("PAGE_RANGE", f"page {outside[0].page} of {outside[0].doc_id}, which has {outside[0].n_pages}")
 
+
+def _drawn(rasterise: Callable[[str, int, float], tuple[bytes, int, int]], dpi: float, batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for batch in batches:
+        for doc, page in zip(batch["doc_id"], batch["page"], strict=True):
+            png, width, height = rasterise(doc, int(page), dpi)
+            if width < 1 or height < 1:
+                raise LeafmarkError("PAGE_RENDER", f"page {page} of {doc} has no size")
+            yield {"doc_id": doc, "page": page, "png": png, "width": width, "height": height}
+
+
+def render_pages(pages: DataFrame, rasterise: Callable[[str, int, float], tuple[bytes, int, int]], dpi: float = 288.0) -> DataFrame:
+    """doc_id, page, png, width, height; a page that isn't in its document (n_pages) raises PAGE_RANGE before any is drawn."""
+    check_pages(pages)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, page in zip(batch["doc_id"], batch["page"], strict=True):
-                png, width, height = rasterise(doc, int(page), dpi)
-                if width < 1 or height < 1:
-                    raise LeafmarkError("PAGE_RENDER", f"page {page} of {doc} has no size")
-                yield pd.DataFrame([{"doc_id": doc, "page": page, "png": png, "width": width, "height": height}])
+        for one in _drawn(rasterise, dpi, batches):
+            yield pd.DataFrame([one])
 
     return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page").mapInPandas(run, "doc_id string, page int, png binary, width int, height int")
+
+
+def write_pages(pages: DataFrame, rasterise: Callable[[str, int, float], tuple[bytes, int, int]], out: str, dpi: float = 288.0) -> DataFrame:
+    """Draws the pages (doc_id, page, n_pages) to files STEM-pN.png in the folder `out`, which all executors share: doc_id, page, path.
+
+    STEM is the last part of doc_id without its ending, blanks as hyphens; two documents of one stem raise PAGE_RENDER,
+    a page outside of its document PAGE_RANGE, both before any is drawn. Pictures stay in the task that draws them; one
+    that runs again writes the same names.
+    """
+    name = F.element_at(F.split(F.col("doc_id").cast("string"), "/"), -1)
+    stemmed = pages.withColumn("stem", F.replace(F.regexp_replace(name, r"(.)\.[^.]*$", "$1"), F.lit(" "), F.lit("-")))
+    check_pages(stemmed)
+    twice = stemmed.groupBy("stem").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise LeafmarkError("PAGE_RENDER", f"{twice[0].n} documents are called {twice[0].stem}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(out if "://" in out else os.path.abspath(out))
+        system.create_dir(folder)
+        for batch in batches:
+            for stem, one in zip(batch["stem"], _drawn(rasterise, dpi, iter([batch])), strict=True):
+                path = f"{folder.rstrip('/')}/{stem}-p{one['page']}.png"
+                with system.open_output_stream(path) as f:
+                    f.write(one["png"])
+                yield pd.DataFrame([{"doc_id": one["doc_id"], "page": one["page"], "path": path}])
+
+    return stemmed.select(F.col("doc_id").cast("string").alias("doc_id"), "page", "stem").mapInPandas(run, "doc_id string, page int, path string")

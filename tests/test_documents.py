@@ -211,3 +211,64 @@ def test_automatic_pages(spark):
     assert got() == [(1, "text", ["text of page 1"]), (2, "ocr", ["seen"]), (3, "text", []), (4, "text", [])]
     assert got(Options(pages=(2, 9)))[0] == (2, "ocr", ["seen"]) and len(got(Options(pages=(8, 9)))) == 1
     assert {p[1] for p in got(Options(ocr=False))} == {"text"} and got(Options(ocr=True))[0] == (1, "ocr", ["unused"])
+
+
+PLUGIN = """
+def parse(content):
+    if content != b"a PDF":
+        raise ValueError("not a PDF")
+    def run(text, y, size):
+        return {"text": text, "a": size, "b": 0.0, "c": 0.0, "d": -size, "e": 72.0, "f": y, "width": 200.0}
+    pages = [[run("Large heading", 60.0, 24.0), run("A long body line that goes on as prose", 120.0, 10.0), run("and ends here.", 134.0, 10.0), run("\u2022 one item", 190.0, 10.0)], [], [run("Last page of text.", 100.0, 10.0)]]
+    ops = [[], [{"name": "paintImageXObject", "w": 900, "h": 900}], []]
+    return [{"page": i + 1, "width": 612.0, "height": 792.0, "runs": r, "ops": o} for i, (r, o) in enumerate(zip(pages, ops))]
+
+def rasterise(path, page, dpi):
+    return b"PNG %d %d" % (page, dpi), 10, 0 if dpi == 1 else 10
+
+def engine(path, page, sparse, dpi):
+    return [{"text": "recognised", "x": 0.1, "y": 0.8, "w": 0.2, "h": 0.02, "confidence": 40.0}]
+"""
+
+
+def test_command_line_on_pdfs(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "leafmark_test_plugin.py").write_text(PLUGIN)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    file, out = tmp_path / "My file.pdf", tmp_path / "My file.md"
+    file.write_bytes(b"a PDF")
+    use = ["--plugin", "leafmark_test_plugin"]
+    assert cli.main(["extract", str(file), "--json", *use]) == 0
+    seen = capsys.readouterr()
+    got = json.loads(seen.out)
+    assert (got["path"], got["pages"], got["body_height"], got["heading_sizes"], got["list_items"], got["low_confidence_words"]) == ("mixed", 3, 10.0, [24.0], 1, 1)
+    assert "p2: sparse text layer with image content" in seen.err
+    md = out.read_text()
+    assert md.startswith("\n### p1\n\n#### Large heading\n\n") and "### p2\n\nrecognised\n" in md and "Last page" in md
+    assert cli.main(["extract", str(file), "--no-ocr", "--json", *use]) == 0
+    seen = capsys.readouterr()
+    assert "p2: no extractable text; page has image content" in seen.err and out.read_text().startswith("# Large heading\n") and json.loads(seen.out)["chars"] == len(out.read_text())
+    assert cli.main(["extract", str(file), "--ocr", "--pages", "2-3", *use]) == 0 and out.read_text().count("recognised") == 2
+    assert cli.main(["render", str(file), "1-2", "-d", "100", "-o", str(tmp_path / "png"), *use]) == 0
+    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "png").iterdir()) == [("My-file-p1.png", b"PNG 1 100"), ("My-file-p2.png", b"PNG 2 100")]
+    capsys.readouterr()
+    for bad in (["render", str(file), "3-4", "-o", str(tmp_path / "none"), *use], ["render", str(file), "1", "-d", "1", *use], ["render", str(file), "1"], ["extract", str(file)]):
+        assert cli.main(bad) == 19
+    assert "PAGE_RANGE" in capsys.readouterr().err and not (tmp_path / "none").exists()
+    (tmp_path / "broken.pdf").write_bytes(b"broken")
+    assert cli.main(["extract", str(tmp_path / "broken.pdf"), *use]) == 19 and "PDF_OPEN" in capsys.readouterr().err
+
+
+def test_sets_of_pages(spark):
+    from leafmark import LeafmarkError, Options, analyze_auto, analyze_words, warnings
+
+    info = spark.createDataFrame([(1, p, 500, p == 3, p == 3) for p in (1, 2, 3)], "doc_id int, page int, text_chars int, has_image boolean, large_image boolean")
+    runs = spark.createDataFrame([(1, p, 0, f"text of page {p}", 72.0, 100.0, 90.0, 12.0, 612.0) for p in (1, 2, 3)], "doc_id int, page int, idx int, text string, x double, y double, w double, h double, page_width double")
+    words = spark.createDataFrame([(1, p, 0, "seen", 0.1, 0.9, 0.05, 0.02, 90.0) for p in (1, 2, 4)], DUMP)
+    o = Options(pages=frozenset({1, 3, 9}))
+    pages = analyze_auto(info, runs, words, o)
+    assert sorted((p.page, len(p.blocks)) for p in pages.collect()) == [(1, 1), (3, 1)]
+    assert [w.page for w in warnings(pages, info).collect()] == [3]
+    assert sorted((p.page, len(p.blocks)) for p in analyze_words(words, o).collect()) == [(1, 1), (3, 0)]
+    for wrong in (frozenset(), frozenset({0})):
+        with pytest.raises(LeafmarkError):
+            Options(pages=wrong)
