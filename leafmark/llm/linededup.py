@@ -121,9 +121,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed_lines(lines: DataFrame) -> DataFrame:
     """uid, lid, lid2, n (places), first_doc, bands of every different line, as a written table.
 
-    The one exchange of texts collapses equal lines; they are signed where it ends. Texts are cut at code points.
+    The one exchange of texts collapses equal lines, by hash and not by sorting, since the line is one of the keys; they
+    are signed where it ends. Texts are cut at code points.
     """
-    unique = lines.groupBy("lid", "lid2").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    unique = lines.groupBy("lid", "lid2", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
     signed = unique.select("lid", "lid2", "n", "first_doc", "line").mapInArrow(_signed, "lid long, lid2 long, n long, first_doc long, bands array<long>")
     return written(signed.withColumn("uid", F.monotonically_increasing_id()), "lines")
 
@@ -243,8 +244,8 @@ def similar_lines(signed: DataFrame, lines: DataFrame, threshold: float) -> Data
     asked = cut(join_checked(signed.select("uid", "lid", "lid2", "first_doc"), members.select("uid").distinct(), ["uid"], "left_semi", BROADCAST_NAMES))
     few = asked.limit(BROADCAST_NAMES // 4 + 1).count() <= BROADCAST_NAMES // 4
     own = lines.select("lid", "lid2", "line")
-    own = own.join(F.broadcast(asked), ["lid", "lid2"]) if few else own.groupBy("lid", "lid2").agg(F.max("line").alias("line")).join(asked, ["lid", "lid2"])
-    texts = written(own.groupBy("uid", "first_doc").agg(F.max("line").alias("line")), "texts")
+    own = own.join(F.broadcast(asked), ["lid", "lid2"]) if few else own.distinct().join(asked, ["lid", "lid2"])
+    texts = written(own.select("uid", "first_doc", "line").distinct(), "texts")
     sizes = members.where("not pair").join(texts.select("uid", F.char_length("line").alias("chars")), "uid").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     sizes = cut(sizes.select("band", "n", F.greatest("n", F.ceil(F.col("chars") / 1000)).cast("long").alias("size")))
     large = join_salted(members.where("not pair").select("band", "uid"), sizes, ["band"])
