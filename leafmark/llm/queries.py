@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import chat, decontaminate, jaccard_join, langid, license_scan, linededup, mix, secrets, topk, warc
+from leafmark.llm import chat, decontaminate, filter_audit, html_text, jaccard_join, langid, lexical, license_scan, linededup, mix, secrets, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_target_examples(rows))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item; see search() for nulls, ties and repeated rows."""
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents in every order; see filter_audit() for nulls and repeated rows."""
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; see extract_text() for nulls and repeated rows."""
+    return html_text.extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -177,6 +192,41 @@ ORACLE = {
                 ((v[CAST((5 * j + k) // 4 + 1 AS INT)] // CAST(power(2, 3 - (5 * j + k) % 4) AS INT)) % 2) * CAST(power(2, 4 - k) AS INT))) AS INT), 1)), 'string_agg', '') AS payload_digest FROM bits)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to FROM b32
     """,
+    "op11_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format('text')} AS ws FROM documents),
+        q AS (SELECT row_number() OVER () AS i, item_id, {WORDS.format('text')} AS ws FROM benchmark),
+        g AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+        a AS (SELECT i, term, count(*)::BIGINT AS times FROM (SELECT i, unnest(ws) AS term FROM q) GROUP BY ALL),
+        p AS (SELECT r, doc_id, len(any_value(ws))::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY r, doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, n_docs),
+        s AS (SELECT i, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score FROM a JOIN p USING (term) JOIN w USING (term), g GROUP BY i, r, doc_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k JOIN q USING (i) WHERE rank <= 20
+    """,
+    "op12_filter_audit": """
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT r, part, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic,
+            [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+            coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM t LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, good, toxic, count(*)::BIGINT AS n FROM m GROUP BY ALL),
+        f AS (SELECT unnest(range(1, 6)) AS f),
+        o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS fs FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+        s AS (SELECT array_to_string(list_transform(fs, lambda x: substr('ABCDE', x::INT, 1)), '') AS filter_order, unnest(range(1, 6)) AS step, fs FROM o),
+        y AS (SELECT part, filter_order, step, n, good, toxic, fs[step] AS f, len(list_filter(fs[:step - 1], lambda x: fails[x])) > 0 AS gone, fails[fs[step]] AS failing, len(list_filter(fails, lambda x: x)) AS n_fails FROM c, s),
+        k AS (SELECT part, filter_order, step, any_value(f) AS f, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failing AND n_fails = 1), 0)::BIGINT AS unique_fails,
+            coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0)::BIGINT AS toxic_lost FROM y GROUP BY part, filter_order, step)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM k
+    """,
+    # what the main text is on pages whose article is marked as such, as in the given tables: its blocks without inline markup
+    "op13_html_extraction": """
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+        b AS (SELECT page_id, url, string_split_regex(regexp_replace(body, '<br>', ' ', 'g'), '</?(?:p|h[1-6]|ul|li)>') AS parts FROM a),
+        t AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) AS parts FROM b),
+        j AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM t)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM j
+    """,
     "op10_chat_formatting": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),

@@ -10,7 +10,7 @@ import pytest
 from leafmark.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def alike(spark, name, folder, tables):
