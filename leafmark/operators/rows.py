@@ -1,14 +1,15 @@
-"""Order-dependent grouping of a page's words or runs into lines: one task's unit is a page, which bounds its memory."""
+"""Grouping of words and runs into lines: page statistics are Spark aggregates, the grouping goes over all pages of a batch at once."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from leafmark.functions.text import FOLD_FROM, FOLD_TO, WORDLIKE
 from leafmark.operators import pages as pg
@@ -16,6 +17,7 @@ from leafmark.operators import pages as pg
 # Fixed values of the row grouping and of the float test; those that a caller may change are in Tuning.
 LINE_HEIGHT_SHARE, COLUMN_LEAST_WIDTH, COLUMN_ROW_HEIGHT, ISOLATION, RESCUE_OVERLAP = 0.2, 0.2, 1.6, 2.2, 0.5
 RUN_MIN_TOL, RUN_TOL_SHARE, RUN_SPACE = 2.0, 0.5, 0.12
+RUN_SIDE, RUN_STRADDLE = 0.25, 0.15
 
 
 @dataclass(frozen=True)
@@ -56,168 +58,273 @@ def _typed(schema: str, given: DataFrame) -> str:
     return schema.replace("doc_id long", f"doc_id {given.schema['doc_id'].dataType.simpleString()}")
 
 
-def row_numbers(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, band: np.ndarray, tuning: Tuning) -> np.ndarray:
-    """The row of every word, numbered as rows open from the top.
+def row_numbers(part: np.ndarray, y: np.ndarray, h: np.ndarray, band: np.ndarray, tuning: Tuning) -> np.ndarray:
+    """The row of every word, numbered as rows open; words come part by part, in each from the top, then from the left.
 
-    A word joins the first open row of its band whose middle is within the tolerance and whose height isn't too
-    different; it widens that row's box, so the outcome depends on the order: from the top, then from the left.
+    A word joins the first open row of its part and band whose middle is within the tolerance and whose height isn't too
+    different; it widens that row's box, so the outcome depends on the order. Middles only fall within a part, so a row
+    that the tallest word left could not reach any more is closed.
     """
-    found = np.zeros(len(x), dtype=int)
-    rows: list[list[float]] = []  # low, high, band
-    for i, a, t, s in zip((order := np.lexsort((x, -(y + h / 2)))).tolist(), y[order].tolist(), h[order].tolist(), band[order].tolist(), strict=True):
+    found, opened, n, now = np.zeros(len(y), dtype=np.int64), [], -1, None
+    tallest = np.zeros(len(y))  # of the part
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    if len(y):
+        tallest = np.repeat(np.maximum.reduceat(h, starts), np.diff([*starts.tolist(), len(y)]))
+    near, ratio = tuning.line_y_tol, tuning.line_height_ratio
+    for i, (p, a, t, s, most_h) in enumerate(zip(part.tolist(), y.tolist(), h.tolist(), band.tolist(), tallest.tolist(), strict=True)):
         mid = a + t / 2
-        for r, (low, high, own) in enumerate(rows):
+        if p != now:
+            now, opened = p, []
+        reached = False
+        for row in opened:  # low, high, band, number
+            low, high = row[0], row[1]
             tall = high - low
+            apart = (high + low) / 2 - mid
+            if apart > max(near, (tall if tall > most_h else most_h) * LINE_HEIGHT_SHARE):
+                reached = True
+                continue
             most, least = (tall, t) if tall > t else (t, tall)
-            if own == s and abs((high + low) / 2 - mid) <= max(tuning.line_y_tol, most * LINE_HEIGHT_SHARE) and most < least * tuning.line_height_ratio:
-                rows[r][0], rows[r][1] = min(low, a), max(high, a + t)
+            if row[2] == s and abs(apart) <= max(near, most * LINE_HEIGHT_SHARE) and most < least * ratio:
+                row[0], row[1] = min(low, a), max(high, a + t)
+                found[i] = row[3]
                 break
         else:
-            r = len(rows)
-            rows.append([a, a + t, s])
-        found[i] = r
+            n += 1
+            if reached:
+                opened = [r for r in opened if (r[0] + r[1]) / 2 - mid <= max(near, max(r[1] - r[0], most_h) * LINE_HEIGHT_SHARE)]
+            opened.append([a, a + t, s, n])
+            found[i] = n
     return found
 
 
-def _upper_median(values: np.ndarray, default: float) -> float:
-    return float(np.sort(values)[len(values) // 2]) if len(values) else default
+def _upper_medians(of: np.ndarray, values: np.ndarray, n: int, default: float) -> np.ndarray:
+    """The upper median of the values of each of n groups."""
+    order = np.lexsort((values, of))
+    count = np.bincount(of, minlength=n)
+    at = np.cumsum(count) - count + count // 2
+    out = np.full(n, default)
+    out[count > 0] = values[order][at[count > 0]]
+    return out
 
 
-def _pitch(col: np.ndarray, mid_y: np.ndarray) -> float:
+def _pitches(page: np.ndarray, col: np.ndarray, mid_y: np.ndarray, n: int) -> np.ndarray:
+    """The line pitch of each of n pages, from lines in reading order."""
     gap = mid_y[:-1] - mid_y[1:]
-    return _upper_median(gap[(col[1:] == col[:-1]) & (gap > 0.0005)], pg.PITCH)
-
+    use = (page[1:] == page[:-1]) & (col[1:] == col[:-1]) & (gap > 0.0005)
+    return _upper_medians(page[1:][use], gap[use], n, pg.PITCH)
 
-def _ranges(x: np.ndarray, right: np.ndarray, tall: np.ndarray, band: np.ndarray, two: bool, median_h: float, tuning: Tuning) -> list[tuple[float, float]]:
-    """The x range of each column, from its wide rows of body height; a column with fewer than two has none."""
-    wide = (right - x >= COLUMN_LEAST_WIDTH) & (tall <= median_h * COLUMN_ROW_HEIGHT)
-    if two:
-        wide &= right - x <= tuning.column_width
-    sides = [wide & (band == b) for b in (0, 1)] if two else [wide]
-    return [(x[s].min(), right[s].max()) for s in sides if s.sum() > 1]
 
+def _ranges(page: np.ndarray, x: np.ndarray, right: np.ndarray, tall: np.ndarray, band: np.ndarray, two: np.ndarray, median_h: np.ndarray, n: int, tuning: Tuning) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The x ranges of each page's columns (how many, their starts and ends, by place), from wide rows of body height.
 
-def _columns(x: np.ndarray, right: np.ndarray, ranges: list[tuple[float, float]]) -> np.ndarray:
+    A column with fewer than two such rows has none; a page with one range has it at place 0, whichever column it is of.
+    """
+    wide = (right - x >= COLUMN_LEAST_WIDTH) & (tall <= median_h * COLUMN_ROW_HEIGHT) & (~two | (right - x <= tuning.column_width))
+    lows, highs, counts = np.full((2, n), np.inf), np.full((2, n), -np.inf), np.zeros((2, n), dtype=np.int64)
+    side = np.where(two, band, 0)
+    np.minimum.at(lows, (side[wide], page[wide]), x[wide])
+    np.maximum.at(highs, (side[wide], page[wide]), right[wide])
+    np.add.at(counts, (side[wide], page[wide]), 1)
+    has = counts > 1
+    only = ~has[0] & has[1]
+    lows[0, only], highs[0, only] = lows[1, only], highs[1, only]
+    return has.sum(axis=0), lows, highs
+
+
+def _columns(page: np.ndarray, x: np.ndarray, right: np.ndarray, count: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """The column that a row overlaps more, else the one with the nearer centre."""
-    if len(ranges) != 2:
-        return np.zeros(len(x), dtype=int)
-    left, other = (np.clip(np.minimum(right, b) - np.maximum(x, a), 0, None) for a, b in ranges)
-    far = [np.abs((x + right) / 2 - (a + b) / 2) for a, b in ranges]
-    return np.where(left != other, left < other, far[0] > far[1]).astype(int)
-
-
-def _floats(text: list[str], col: np.ndarray, x: np.ndarray, width: np.ndarray, mid_y: np.ndarray, h: np.ndarray, ranges: list[tuple[float, float]], tall_from: float, tuning: Tuning) -> np.ndarray:
-    """Short lines off their column's start that are narrow or lone display junk, unless they hang under a kept line."""
-    reach, is_float, at = _pitch(col, mid_y) * tuning.para_gap, np.zeros(len(text), dtype=bool), np.arange(len(text))
-    for i, t in enumerate(text):  # in reading order: a line kept here may keep the next
-        if col[i] >= len(ranges) or sum(map(bool, t.split(" "))) > tuning.float_words or abs(x[i] - ranges[col[i]][0]) <= tuning.float_margin:
-            continue
-        same = col == col[i]
+    with np.errstate(invalid="ignore"):
+        left, other = (np.clip(np.minimum(right, highs[k, page]) - np.maximum(x, lows[k, page]), 0, None) for k in (0, 1))
+        far = [np.abs((x + right) / 2 - (lows[k, page] + highs[k, page]) / 2) for k in (0, 1)]
+        return (np.where(left != other, left < other, far[0] > far[1]) & (count[page] == 2)).astype(np.int64)
+
+
+def _floats(page: np.ndarray, text: list[str], col: np.ndarray, x: np.ndarray, width: np.ndarray, mid_y: np.ndarray, h: np.ndarray, ranges: tuple, tall_from: np.ndarray, tuning: Tuning) -> np.ndarray:
+    """Short lines off their column's start that are narrow or lone display junk, unless they hang under a kept line.
+
+    Lines in reading order, page by page; a line kept here may keep the next, so those in question are settled in order.
+    """
+    count, lows, _ = ranges
+    is_float = np.zeros(len(text), dtype=bool)
+    start = lows[np.minimum(col, 1), page]
+    asked = np.flatnonzero((col < count[page]) & (np.abs(x - start) > tuning.float_margin))
+    asked = asked[[sum(map(bool, text[i].split(" "))) <= tuning.float_words for i in asked.tolist()]] if len(asked) else asked
+    if not len(asked):
+        return is_float
+    reach = _pitches(page, col, mid_y, len(count)) * tuning.para_gap
+    begin = np.searchsorted(page, np.arange(len(count) + 1))
+    for i in asked.tolist():
+        a, z = begin[page[i]], begin[page[i] + 1]
+        c, my, hh = col[a:z], mid_y[a:z], h[a:z]
+        same = c == col[i]
         odd = width[i] < tuning.float_width
-        if not odd and h[i] >= tall_from and not re.search(WORDLIKE, t):
-            close = np.abs(mid_y - mid_y[i]) < np.maximum(h, h[i]) * ISOLATION
-            odd = not (same & close & (h >= tall_from) & (at != i)).any()
+        if not odd and h[i] >= tall_from[i] and not re.search(WORDLIKE, text[i]):
+            close = np.abs(my - mid_y[i]) < np.maximum(hh, h[i]) * ISOLATION
+            close[i - a] = False
+            odd = not (same & close & (hh >= tall_from[i])).any()
         if odd:
-            gap = mid_y - mid_y[i]
-            over = np.minimum(x + width, x[i] + width[i]) - np.maximum(x, x[i])
-            is_float[i] = not (same & (gap > 0) & (gap <= reach) & (over >= width[i] * RESCUE_OVERLAP) & ~is_float & (at < i)).any()
+            k = i - a
+            gap = my[:k] - mid_y[i]
+            over = np.minimum(x[a:i] + width[a:i], x[i] + width[i]) - np.maximum(x[a:i], x[i])
+            is_float[i] = not (same[:k] & (gap > 0) & (gap <= reach[page[i]]) & (over >= width[i] * RESCUE_OVERLAP) & ~is_float[a:i]).any()
     return is_float
 
 
-def page_layout(words: pd.DataFrame, tuning: Tuning = Tuning()) -> pd.DataFrame:
-    """The lines of one page, in reading order, from its words (doc_id, page, idx, text, x, y, w, h)."""
-    first = words.iloc[0]
-    order = np.argsort(words["idx"].to_numpy(), kind="stable")
-    x, y, w, h = (words[c].to_numpy(float)[order] for c in ("x", "y", "w", "h"))
-    said = words["text"].to_numpy(object)[order].tolist()
-    median_h = _upper_median(h, 0.0)
-    tall, mid = h >= pg.TALL * median_h, x + w / 2
-    n = max(1, int((~tall).sum()))
-    sides = [int((~tall & (mid < tuning.split - pg.GUTTER)).sum()), int((~tall & (mid > tuning.split + pg.GUTTER)).sum())]
-    ink = int((~tall & (x < tuning.split) & (x + w > tuning.split)).sum())
-    two = min(sides) >= max(pg.MIN_WORDS, n * pg.MIN_SHARE) and ink <= n * pg.GUTTER_INK
-    band = np.where(tall | (not two) | (mid < tuning.split), 0, 1)
-    members: list[list[int]] = []  # of rows, those of tall words first
-    for part in (np.flatnonzero(tall), np.flatnonzero(~tall)):
-        opened: dict[int, list[int]] = {}
-        for i, r in zip(part.tolist(), row_numbers(x[part], y[part], w[part], h[part], band[part], tuning).tolist(), strict=True):
-            opened.setdefault(r, []).append(i)
-        members += [opened[r] for r in sorted(opened)]
-    # The longest word gives a line's height; of several the one that was entered first.
-    rx, ry, right, top = (np.array([f(v[m]) for m in members]) for f, v in ((np.min, x), (np.min, y), (np.max, x + w), (np.max, y + h)))
-    height = np.array([h[max(m, key=lambda i: (len(said[i]), y[i] + h[i] / 2, -x[i], -i))] for m in members])
-    in_x = [sorted(m, key=lambda i: x[i]) for m in members]
-    rows_band, is_tall = np.array([band[m[0]] for m in members]), np.array([bool(tall[m[0]]) for m in members])
-    ranges = _ranges(rx, right, top - ry, rows_band, two, median_h, tuning)
-    col, mid_y = _columns(rx, right, ranges), (ry + top) / 2
-    down = np.lexsort((-mid_y, col))
-    col, mid_y, lx, width, height, is_tall = col[down], mid_y[down], rx[down], (right - rx)[down], height[down], is_tall[down]
-    text = [" ".join(said[i] for i in in_x[k]) for k in down]
-    is_float = _floats(text, col, lx, width, mid_y, height, ranges, pg.TALL * median_h, tuning)
-    return pd.DataFrame({
-        "doc_id": first["doc_id"], "page": first["page"], "ix": range(len(text)), "col": col, "text": text, "x": lx, "width": width, "mid_y": mid_y, "h": height, "n_words": [len(in_x[k]) for k in down],
-        "is_float": is_float, "is_tall": is_tall, "pitch": _pitch(col[~is_float], mid_y[~is_float]), "median_h": median_h, "two_column": bool(two), "words": [in_x[k] for k in down],
-    })
-
-
-def _by_page(rows: DataFrame, schema: str, layout) -> DataFrame:
-    """layout() of each page's rows, many pages of a partition at a time; a task holds a batch and one page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for f in batches:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if not len(f):
+def _runs_of(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _joined(said: list[str], size: np.ndarray, sep: str = " ") -> list[str]:
+    out, at = [], 0
+    for k in size.tolist():
+        out.append(sep.join(said[at : at + k]))
+        at += k
+    return out
+
+
+def page_lines(batch: pa.Table, page: np.ndarray, tuning: Tuning = Tuning()) -> dict[str, object]:
+    """The lines of whole pages, in reading order, from their words; `page` numbers each word's page from 0."""
+    n = int(page[-1]) + 1
+    idx, x, y, w, h, median_h = (batch[c].to_numpy() for c in ("idx", "x", "y", "w", "h", "median_h"))
+    tall, two = batch["tall"].to_numpy(), batch["two_column"].to_numpy()
+    said = np.array(batch["text"].to_pylist(), dtype=object)
+    first_of = _runs_of(page)
+    at_idx = np.lexsort((idx, page))
+    place = np.empty(len(page), dtype=np.int64)  # of a word on its page, by idx
+    place[at_idx] = np.arange(len(page)) - np.repeat(first_of, np.diff([*first_of.tolist(), len(page)]))
+    band = np.where(tall | ~two | (x + w / 2 < tuning.split), 0, 1)
+    part = page * 2 + ~tall  # of each page, tall words make the first rows
+    order = np.lexsort((place, x, -(y + h / 2), part))
+    page, x, y, w, h, tall, two, median_h, band, said, place = (v[order] for v in (page, x, y, w, h, tall, two, median_h, band, said, place))
+    row = row_numbers(part[order], y, h, band, tuning)
+
+    by_row = np.argsort(row, kind="stable")  # in a row as they were entered
+    begin = _runs_of(row[by_row])
+    size = np.diff([*begin.tolist(), len(row)])
+    rx, ry = np.minimum.reduceat(x[by_row], begin), np.minimum.reduceat(y[by_row], begin)
+    right, top = np.maximum.reduceat((x + w)[by_row], begin), np.maximum.reduceat((y + h)[by_row], begin)
+    letters = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
+    longest = np.lexsort((np.arange(len(row)), -letters, row))[begin]  # of several the one entered first
+    one = by_row[begin]
+    height, r_page, r_band, r_tall, r_two, r_median = h[longest], page[one], band[one], tall[one], two[one], median_h[one]
+    ranges = _ranges(r_page, rx, right, top - ry, r_band, r_two, r_median, n, tuning)
+    col, mid_y = _columns(r_page, rx, right, *ranges), (ry + top) / 2
+
+    down = np.lexsort((-mid_y, col, r_page))
+    new_place = np.empty(len(down), dtype=np.int64)
+    new_place[down] = np.arange(len(down))
+    in_x = np.lexsort((np.arange(len(row)), x, new_place[row]))
+    page, col, mid_y, lx, width, height, is_tall, two, median_h, size = r_page[down], col[down], mid_y[down], rx[down], (right - rx)[down], height[down], r_tall[down], r_two[down], r_median[down], size[down]
+    text = _joined(said[in_x].tolist(), size)
+    is_float = _floats(page, text, col, lx, width, mid_y, height, ranges, pg.TALL * median_h, tuning)
+    pitch = _pitches(page[~is_float], col[~is_float], mid_y[~is_float], n)
+    begin = _runs_of(page)
+    return {
+        "at": page, "ix": np.arange(len(page)) - np.repeat(begin, np.diff([*begin.tolist(), len(page)])), "col": col, "text": text, "x": lx, "width": width, "mid_y": mid_y, "h": height, "n_words": size,
+        "is_float": is_float, "is_tall": is_tall, "pitch": pitch[page], "median_h": median_h, "two_column": two, "words": _lists(place[in_x], size),
+    }
+
+
+def _by_page(rows: DataFrame, schema: str, lines: Callable[[pa.Table, np.ndarray], dict], order: tuple[str, ...] = ()) -> DataFrame:
+    """lines() of whole pages, all those of a batch at a time; a task holds a batch and one page. Rows come by page, then in `order`."""
+    ordered = rows.repartition(*pg.PAGE).sortWithinPartitions(*pg.PAGE, *order)
+    out = _typed(schema, rows)
+    names = [c.split()[0] for c in schema.replace("array<", "").split(", ")]
+
+    def made(table: pa.Table, doc: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        change = np.concatenate([[False], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])
+        got = lines(table, np.cumsum(change))
+        at = _runs_of(np.cumsum(change))[got.pop("at")]
+        got = {"doc_id": table["doc_id"].combine_chunks().take(pa.array(at)), "page": pa.array(number[at].astype(np.int32))} | got
+        kinds = {"ix": pa.int32(), "col": pa.int32(), "n_words": pa.int64(), "text": pa.string()}
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kinds.get(k)) for k, v in ((k, got[k]) for k in names)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, number = np.asarray(b["doc_id"].to_pylist(), dtype=object), b["page"].to_numpy()
+            last = np.flatnonzero((doc != doc[-1]) | (number != number[-1]))
+            begin = int(last[-1]) + 1 if len(last) else 0
+            same = bool(rest) and rest[-1]["doc_id"][-1].as_py() == doc[0] and rest[-1]["page"][-1].as_py() == number[0]
+            if begin == 0 and (same or not rest):  # a page of more than a batch
+                rest.append(b)
                 continue
-            doc, page = f["doc_id"].to_numpy(), f["page"].to_numpy()
-            begin = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist()]
-            rest = f.iloc[begin[-1] :]
-            if len(begin) > 1:
-                yield pd.concat([layout(f.iloc[a:b]) for a, b in zip(begin, begin[1:])])  # noqa: B905, RUF007
-        if rest is not None and len(rest):
-            yield layout(rest)
+            whole = pa.Table.from_batches([*rest, b.slice(0, begin)])
+            rest = [b.slice(begin)]
+            if whole.num_rows:
+                yield made(whole, np.asarray(whole["doc_id"].to_pylist(), dtype=object), whole["page"].to_numpy())
+        if rest:
+            whole = pa.Table.from_batches(rest)
+            yield made(whole, np.asarray(whole["doc_id"].to_pylist(), dtype=object), whole["page"].to_numpy())
 
-    return rows.repartition(*pg.PAGE).sortWithinPartitions(*pg.PAGE).mapInPandas(run, _typed(schema, rows))
+    return ordered.mapInArrow(run, out)
 
 
 def ocr_lines(words: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
-    """Lines, floats and line pitch of recognised words. Words without text or box are left out; a page of none has no row."""
+    """Lines, floats and line pitch of recognised words. Words without text or box are left out; a page of none has no row.
+
+    Medians, tall words and columns are settled by Spark (pages.with_page_marks) in the shuffle that brings pages
+    together; the grouping into rows depends on order and runs over the pages of a batch.
+    """
     whole = words.select("doc_id", "page", "idx", "text", "x", "y", "w", "h").dropna(subset=["doc_id", "page", "text", "x", "y", "w", "h"])
-    return _by_page(whole, OCR_LINE, lambda page: page_layout(page, tuning))
-
-
-def run_lines(runs: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one page from its runs (doc_id, page, idx, text, x, y, w, h, page_width), in points with y down."""
-    runs = runs.sort_values("idx").assign(at=range(len(runs))).sort_values(["y", "x"], kind="stable", ignore_index=True)
-    mid, right = runs["page_width"].iloc[0] / 2, runs["x"] + runs["w"]
-    share = lambda c: c.mean()
-    two = share(right < mid) > 0.25 and share(runs["x"] > mid) > 0.25 and share((runs["x"] < mid) & (right > mid)) < 0.15
-    runs["col"] = ((runs["x"] > mid) & two).astype(int)
-    line, level, levels, of = -1, 0.0, [], []
-    for y, h, col in zip(runs["y"], runs["h"], runs["col"], strict=True):
-        if line >= 0 and col == before and abs(level - y) < max(RUN_MIN_TOL, h * RUN_TOL_SHARE):
-            level = (level + y) / 2
+    marked = pg.with_page_marks(whole.withColumn("page", F.col("page").cast("int")), tuning.split)
+    return _by_page(marked, OCR_LINE, lambda batch, page: page_lines(batch, page, tuning))
+
+
+def run_lines(batch: pa.Table, page: np.ndarray) -> dict[str, object]:
+    """The lines of whole pages from their runs, which come from the top, then from the left; in points with y down."""
+    x, y, w, h, place = (batch[c].to_numpy() for c in ("x", "y", "w", "h", "place"))
+    col, said = batch["col"].to_numpy(), np.array(batch["text"].to_pylist(), dtype=object)
+    line, level, levels, of, now, before = -1, 0.0, [], [], -1, -1
+    for p, a, t, c in zip(page.tolist(), y.tolist(), h.tolist(), col.tolist(), strict=True):
+        if p == now and c == before and abs(level - a) < max(RUN_MIN_TOL, t * RUN_TOL_SHARE):
+            level = (level + a) / 2
             levels[line] = level
         else:
-            line, level, before = line + 1, y, col
-            levels.append(y)
+            line, level, now, before = line + 1, a, p, c
+            levels.append(a)
         of.append(line)
-    out = []
-    for k, part in runs.groupby(np.array(of)):
-        part = part.sort_values("x", kind="stable")
-        wide = (part["x"] - (part["x"] + part["w"]).shift() > part["h"].shift() * RUN_SPACE).to_numpy()
-        text = ""
-        for s, apart in zip(part["text"], wide, strict=True):
-            text += (" " if apart and not text[-1:].isspace() and not s[:1].isspace() else "") + s
-        chars = part["text"].str.len().groupby(part["h"], sort=False).sum()
-        out.append((int(part["col"].iloc[0]), " ".join(text.translate(_FOLD).split()), float(part["x"].iloc[0]), levels[k], float(chars.idxmax()), len(part), part["at"].tolist()))
-    lines = pd.DataFrame(out, columns=["col", "text", "x", "y", "h", "n_words", "words"]).sort_values(["col", "y"], kind="stable", ignore_index=True)
-    lines = lines[lines["text"] != ""].reset_index(drop=True)
-    lines["ix"], lines["doc_id"], lines["page"] = range(len(lines)), runs["doc_id"].iloc[0], runs["page"].iloc[0]
-    return lines[[c.split()[0] for c in TEXT_LINE.split(", ")]]
+    row = np.array(of)
+    in_x = np.lexsort((np.arange(len(row)), x, row))
+    row, x, w, h, place, said = row[in_x], x[in_x], w[in_x], h[in_x], place[in_x], said[in_x].tolist()
+    begin = _runs_of(row)
+    size = np.diff([*begin.tolist(), len(row)])
+    apart = np.concatenate([[False], x[1:] - (x + w)[:-1] > h[:-1] * RUN_SPACE])
+    apart[begin] = False
+    spaced = [" " + s if a and not s[:1].isspace() and not said[i - 1][-1:].isspace() else s for i, (s, a) in enumerate(zip(said, apart.tolist(), strict=True))]
+    text = [" ".join(t.translate(_FOLD).split()) for t in _joined(spaced, size, "")]
+    height = h[begin]
+    for k in np.flatnonzero(np.minimum.reduceat(h, begin) != np.maximum.reduceat(h, begin)).tolist():  # the height of most characters, the first of several
+        chars: dict[float, int] = {}
+        for i in range(begin[k], begin[k] + size[k]):
+            chars[h[i]] = chars.get(h[i], 0) + len(said[i])
+        height[k] = max(chars, key=chars.get)
+    first, level = in_x[begin], np.array(levels)
+    down = np.lexsort((np.arange(len(begin)), level, col[first], page[first]))
+    keep = down[[text[k] != "" for k in down.tolist()]]
+    at = page[first][keep]
+    start = _runs_of(at)
+    pieces = np.concatenate([np.arange(begin[k], begin[k] + size[k]) for k in keep.tolist()]) if len(keep) else np.zeros(0, dtype=np.int64)
+    return {
+        "at": at, "ix": np.arange(len(keep)) - np.repeat(start, np.diff([*start.tolist(), len(keep)])), "col": col[first][keep], "text": [text[k] for k in keep.tolist()], "x": x[begin][keep], "y": level[keep],
+        "h": height[keep], "n_words": size[keep], "words": _lists(place[pieces], size[keep]),
+    }
 
 
 def text_lines(runs: DataFrame) -> DataFrame:
-    """Lines of text-layer runs; blank runs are left out."""
+    """Lines of text-layer runs; blank runs are left out. A page has two columns if more than a quarter of its runs ends
+    before its middle, more than a quarter begins beyond it, and less than 0.15 straddle it."""
     need = runs.select("doc_id", "page", "idx", "text", "x", "y", "w", "h", "page_width").where(r"text rlike '\\S'").dropna()
-    return _by_page(need, TEXT_LINE, run_lines)
+    page, mid, right = Window.partitionBy(*pg.PAGE), F.col("page_width") / 2, F.col("x") + F.col("w")
+    share = lambda c: F.avg(c.cast("int")).over(page)
+    two = (share(right < mid) > RUN_SIDE) & (share(F.col("x") > mid) > RUN_SIDE) & (share((F.col("x") < mid) & (right > mid)) < RUN_STRADDLE)
+    placed = need.withColumn("page", F.col("page").cast("int")).withColumn("place", F.row_number().over(page.orderBy("idx")) - 1).withColumn("two", two)
+    dealt = placed.select("doc_id", "page", "place", "text", "x", "y", "w", "h", ((F.col("x") > mid) & F.col("two")).cast("int").alias("col"))
+    return _by_page(dealt, TEXT_LINE, run_lines, ("y", "x", "place"))

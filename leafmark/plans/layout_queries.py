@@ -96,18 +96,17 @@ def line_words(spark, sf_dir):
 
 @query(f"WITH {_WORDS}{_MEDIAN} SELECT * FROM med")
 def page_median_height(spark, sf_dir):
-    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "median_h").distinct()
+    return pg.page_statistics(_words(spark, sf_dir)).select("doc_id", "page", "median_h")
 
 
 @query(f"WITH {_WORDS}{_MEDIAN} SELECT doc_id, page, count(*) FILTER (h >= 2.0::DOUBLE * median_h)::BIGINT AS tall, count(*) FILTER (h < 2.0::DOUBLE * median_h)::BIGINT AS body FROM words JOIN med USING (doc_id, page) GROUP BY ALL")
 def tall_body_split(spark, sf_dir):
-    of = lambda c: F.sum(F.when(c, F.col("n_words")).otherwise(0))
-    return rw.ocr_lines(_words(spark, sf_dir)).groupBy("doc_id", "page").agg(of(F.col("is_tall")).alias("tall"), of(~F.col("is_tall")).alias("body"))
+    return pg.page_statistics(_words(spark, sf_dir)).select("doc_id", "page", "tall", "body")
 
 
 @query(f"WITH {_WORDS}{_TWO} SELECT * FROM two")
 def two_column_pages(spark, sf_dir):
-    return rw.ocr_lines(_words(spark, sf_dir)).select("doc_id", "page", "two_column").distinct()
+    return pg.page_statistics(_words(spark, sf_dir)).select("doc_id", "page", "two_column")
 
 
 @query(f"WITH {_WORDS}{_LAID} SELECT doc_id, size AS bucket, chars, (place // 1000000)::INT AS first_page, (place % 1000000)::INT AS first_line FROM hist")
