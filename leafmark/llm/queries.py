@@ -113,6 +113,11 @@ SECRET_PATTERNS = (
     (3, "[A-Za-z0-9+/_-]+", 0),
 )
 
+#: A stretch of HTML without tags, its character references decoded: those that the pages' texts were escaped with.
+PLAIN = "regexp_replace(x, '<[^>]*>', '', 'g')"
+for _ref, _char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;", "''"), ("&amp;?", "&")):
+    PLAIN = f"regexp_replace({PLAIN}, '{_ref}', '{_char}', 'g')"
+
 ORACLE = {
     "op1_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT DISTINCT doc_id, {WORDS.format('text')} AS ws FROM documents WHERE doc_id IS NOT NULL),
@@ -220,10 +225,10 @@ ORACLE = {
         SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM k
     """,
     # what the main text is on pages whose article is marked as such, as in the given tables: its blocks without inline markup
-    "op13_html_extraction": """
+    "op13_html_extraction": f"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
         b AS (SELECT page_id, url, string_split_regex(regexp_replace(body, '<br>', ' ', 'g'), '</?(?:p|h[1-6]|ul|li)>') AS parts FROM a),
-        t AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) AS parts FROM b),
+        t AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace({PLAIN}, '\\s+', ' ', 'g'))) AS parts FROM b),
         j AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM t)
         SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM j
     """,
