@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import defaultdict, deque
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,6 +16,8 @@ from pyspark.sql.types import StringType
 from leafmark.errors import LeafmarkError
 from leafmark.functions.text import fold_typographic, valid_record
 from leafmark.operators.pages import PAGE
+from leafmark.operators.rows import by_page
+from leafmark.operators.tables import written
 
 # Hyphens, and the text between two tokens that a hyphen joins on one line or over a line's end.
 HYPHEN_END = r"[\p{Pd}−]\s*\z"
@@ -31,7 +36,7 @@ STRIPPED = (
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def markdown_text(md: Column) -> Column:
@@ -42,10 +47,8 @@ def markdown_text(md: Column) -> Column:
 
 def tokens_with_gaps(text: Column) -> Column:
     """Array of (token, gap): lower-case tokens and what stands between each and the next."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(fold_typographic(text), F.lit(TOKEN_AND_GAP), F.lit(1)).alias("token"), F.regexp_extract_all(fold_typographic(text), F.lit(TOKEN_AND_GAP), F.lit(2)).alias("gap")
-    )
-    return F.transform(pairs, lambda p: F.struct(F.lower(p["token"]).alias("token"), p["gap"].alias("gap")))
+    folded = F.lower(fold_typographic(text))  # no gap has letters
+    return F.arrays_zip(F.regexp_extract_all(folded, F.lit(TOKEN_AND_GAP), F.lit(1)).alias("token"), F.regexp_extract_all(folded, F.lit(TOKEN_AND_GAP), F.lit(2)).alias("gap"))
 
 
 def source_pairs(runs: DataFrame) -> DataFrame:
@@ -75,87 +78,139 @@ def source_pairs(runs: DataFrame) -> DataFrame:
     return each.select(*PAGE, F.struct("p.part", "p.run", "p.kind").alias("rank"), "p.first", "p.second", "p.hyphen")
 
 
-def repaired(rows: pd.DataFrame) -> pd.DataFrame:
-    """The tokens of one page still missing after repairs, from what literal matching left of both sides.
+#: What literal matching leaves and what repairs may join: side (s source, o output, p pair), at, token (of a pair: its joined
+#: form), gap (kind of hyphen after an output token), second and hyphen of a pair, rank (a pair's turn).
+OPEN = "side string, at long, token string, gap string, second long, hyphen boolean, rank string"
+MISSING = "doc_id long, page int, at long, token string"
+
+
+def _repaired(source: dict[int, str], output: dict[int, tuple[str, str]], pairs: list[tuple[int, int, bool]]) -> list[tuple[int, str]]:
+    """The tokens of one page still missing after repairs.
 
-    rows: side (s source, o output, p pair), at, token, gap (kind of hyphen after an output token), second, hyphen,
-    ordered. Pairs take the first output that spells their joined form: two tokens around a hyphen, else one token; then
+    Pairs, in turn, take the first output that spells their joined form: two tokens around a hyphen, else one token; then
     single source tokens take two tokens around a line's end. An output serves once.
     """
-    source = {r.at: r.token for r in rows[rows["side"] == "s"].sort_values("at").itertuples()}
-    output = {r.at: (r.token, r.gap) for r in rows[rows["side"] == "o"].sort_values("at").itertuples()}
-    whole, split = defaultdict(list), {"inline": defaultdict(list), "line": defaultdict(list)}
+    whole, split = defaultdict(deque), {"inline": defaultdict(deque), "line": defaultdict(deque)}
     for at, (token, gap) in output.items():
         whole[token].append((at,))
         if gap in split and at + 1 in output:
             split[gap][token + output[at + 1][0]].append((at, at + 1))
 
     def take(form: str, *tables) -> bool:
-        for table in tables:
-            for places in table.get(form, ()):
-                if all(at in output for at in places):
-                    for at in places:
+        for places in (t[form] for t in tables if form in t):
+            while places:
+                first = places.popleft()  # what isn't free now won't be again
+                if all(at in output for at in first):
+                    for at in first:
                         del output[at]
                     return True
         return False
 
-    for p in rows[rows["side"] == "p"].sort_values("rank").itertuples():
-        if p.at in source and p.second in source:
-            tables = (split["inline"], split["line"], whole) if p.hyphen else (whole,)
-            if take(source[p.at] + source[p.second], *tables):
-                del source[p.at], source[p.second]
-    left = [(at, token) for at, token in source.items() if not take(token, split["line"])]
-    out = pd.DataFrame(left, columns=["at", "token"])
-    return out.assign(doc_id=rows["doc_id"].iloc[0], page=rows["page"].iloc[0])[["doc_id", "page", "at", "token"]]
-
-
-def _tokens(text: Column) -> Column:
-    return tokens_with_gaps(_nfc(text))
+    for first, second, hyphen in pairs:
+        if first in source and second in source:
+            tables = (split["inline"], split["line"], whole) if hyphen else (whole,)
+            if take(source[first] + source[second], *tables):
+                del source[first], source[second]
+    return [(at, token) for at, token in source.items() if not take(token, split["line"])]
+
+
+def repaired(batch: pa.Table, page: np.ndarray) -> dict[str, object]:
+    """_repaired() of whole pages; rows (OPEN) come by page, side, rank and at."""
+    lost: list[tuple[int, int, str]] = []
+    rows = list(zip(page.tolist(), *(batch[c].to_pylist() for c in ("side", "at", "token", "gap", "second", "hyphen")), strict=True))
+    for p, of_page in groupby(rows, key=lambda r: r[0]):
+        source, output, pairs = {}, {}, []
+        for _, side, at, token, gap, second, hyphen in of_page:
+            if side == "s":
+                source[at] = token
+            elif side == "o":
+                output[at] = (token, gap)
+            else:
+                pairs.append((at, second, hyphen))
+        lost += [(p, at, token) for at, token in _repaired(source, output, pairs)]
+    return {"page_at": np.array([x[0] for x in lost], dtype=np.int64), "at": pa.array([x[1] for x in lost], pa.int64()), "token": pa.array([x[2] for x in lost], pa.string())}
 
 
 def runs_with_tokens(words: DataFrame) -> DataFrame:
     """The words with ts (their tokens and gaps) and at (the page's number of the first)."""
-    runs = words.withColumn("ts", _tokens(F.col("text")))
+    runs = words.withColumn("ts", tokens_with_gaps(_nfc("text")))
     return runs.withColumn("at", (F.sum(F.size("ts")).over(Window.partitionBy(*PAGE).orderBy("idx")) - F.size("ts")).cast("long"))
 
 
+def source_pages(words: DataFrame) -> DataFrame:
+    """doc_id, page, parsed (words) and said: the page's words in order, a line each, so no token goes over two words."""
+    of_page = words.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("parsed"), F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("ws"))
+    return of_page.select(*PAGE, "parsed", F.array_join("ws.text", "\n").alias("said"))
+
+
 def absent_pages(words: DataFrame, bodies: DataFrame) -> DataFrame:
     """doc_id, page of pages with words that the Markdown doesn't mark."""
     return words.select(*PAGE).distinct().join(bodies.select(*PAGE), list(PAGE), "left_anti")
 
 
-def _sides(words: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """runs, source tokens and output tokens (doc_id, page, at, token, k; the output's with gap)."""
-    runs = runs_with_tokens(words)
-    nth = F.row_number().over(Window.partitionBy(*PAGE, "token").orderBy("at"))
-    source = runs.select(*PAGE, "at", F.posexplode("ts").alias("k0", "t")).select(*PAGE, (F.col("at") + F.col("k0")).alias("at"), "t.token").withColumn("k", nth)
-    output = bodies.select(*PAGE, F.posexplode(_tokens(markdown_text(F.col("body")))).alias("at", "t"))
-    gap = F.when(F.col("t.gap").rlike(INLINE_GAP), "inline").when(F.col("t.gap").rlike(LINE_GAP), "line").otherwise("")
-    return runs, source, output.select(*PAGE, F.col("at").cast("long").alias("at"), "t.token", gap.alias("gap")).withColumn("k", nth)
-
-
-def missing_words(words: DataFrame, bodies: DataFrame) -> DataFrame:
-    """doc_id, page, at, token of words (doc_id, page, idx, text and, where known, x, y, w, h) that their page's body lacks.
+def leftovers(words: DataFrame, bodies: DataFrame) -> DataFrame:
+    """doc_id, page, side (s source, o output), at, token, gap: what is left of both sides once the k-th literal occurrence
+    of a token in the words has taken the k-th in the page's body.
 
-    The k-th literal occurrence takes the k-th by an equi-join. Only pages with tokens left over go on to the repairs,
-    which depend on order, with nothing but the leftovers of both sides. A page's leftovers bound the memory of a task.
-    Words of pages without a body are missing.
+    Pages are tokenised whole and both sides joined by page, a row each; then a token is left over by its number against
+    the other side's count, which needs no further shuffle.
+    """
+    source = source_pages(words.select(*PAGE, "idx", "text")).select(*PAGE, _nfc("said").alias("said"))
+    output = bodies.select(*PAGE, _nfc(markdown_text(F.col("body"))).alias("shown"))
+    both = source.join(output, list(PAGE), "full")
+    kind = F.when(F.col("t.gap").rlike(INLINE_GAP), "inline").when(F.col("t.gap").rlike(LINE_GAP), "line").otherwise("")
+    token = lambda side, gap: lambda t, i: F.struct(F.lit(side).alias("side"), i.cast("long").alias("at"), t["token"].alias("token"), gap(t).alias("gap"))
+    of = lambda c, side, gap: F.coalesce(F.transform(tokens_with_gaps(F.col(c)), token(side, gap)), F.array())
+    each = both.select(*PAGE, F.explode(F.concat(of("shown", "o", lambda t: t["gap"]), of("said", "s", lambda t: F.lit("")))).alias("t"))
+    each = each.select(*PAGE, "t.side", "t.at", "t.token", kind.alias("gap"))
+    alike = Window.partitionBy(*PAGE, "token").orderBy("side", "at")
+    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # of a token's rows, those of the output come first
+    counted = each.withColumn("r", F.row_number().over(alike)).withColumn("n_out", F.count_if(F.col("side") == "o").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
+    over = F.when(F.col("side") == "o", F.col("r") > F.col("n") - F.col("n_out")).otherwise(F.col("r") > F.col("n_out") * 2)
+    return counted.where(over).select(*PAGE, "side", "at", "token", "gap")
+
+
+def open_repairs(words: DataFrame, left: DataFrame) -> DataFrame:
+    """doc_id, page and the columns of OPEN of pages on which a repair may apply, for left (written) of leftovers().
+
+    Such a page has an unused output, or two side by side around a hyphen, that spell a leftover token or a pair of them;
+    all other pages are settled as they are. Only pages with something left of both sides are tokenised again, for pairs.
     """
-    runs, source, output = _sides(_boxed(words), bodies)
-    on = [*PAGE, "token", "k"]
-    over = source.join(output.select(*on), on, "left_anti").select(*PAGE, "at", "token")
-    open_pages = over.select(*PAGE).distinct()
-    unused = output.join(source.select(*on), on, "left_anti").join(open_pages, list(PAGE), "left_semi")
-    pairs = source_pairs(runs).join(open_pages, list(PAGE), "left_semi")
+    over, unused = left.where("side = 's'"), left.where("side = 'o'")
+    both = over.select(*PAGE).distinct().join(unused.select(*PAGE).distinct(), list(PAGE))
+    runs = runs_with_tokens(_boxed(words).join(both, list(PAGE), "left_semi"))
+    named = lambda c: over.select(*PAGE, F.col("at").alias(c), F.col("token").alias(f"{c}_token"))
+    pairs = source_pairs(runs).join(named("first"), [*PAGE, "first"]).join(named("second"), [*PAGE, "second"]).withColumn("form", F.concat("first_token", "second_token"))
+    order = Window.partitionBy(*PAGE).orderBy("at")
+    beside = unused.withColumn("next", F.when((F.lead("at").over(order) == F.col("at") + 1) & (F.col("gap") != ""), F.concat("token", F.lead("token").over(order))))
+    spelled = beside.select(*PAGE, F.explode(F.array_compact(F.array("token", "next"))).alias("form"))
+    split = beside.where("gap = 'line'").select(*PAGE, F.col("next").alias("form"))
+    pages = pairs.select(*PAGE, "form").join(spelled, [*PAGE, "form"], "left_semi").select(*PAGE).unionByName(over.withColumnRenamed("token", "form").join(split, [*PAGE, "form"], "left_semi").select(*PAGE)).distinct()
+    pages = written(pages, "open-pages")
     none = lambda t: F.lit(None).cast(t)
     rank = F.format_string("%d %019d %09d", "rank.part", "rank.run", "rank.kind")
-    mixed = (
-        over.select(*PAGE, F.lit("s").alias("side"), "at", "token", none("string").alias("gap"), none("long").alias("second"), none("boolean").alias("hyphen"), none("string").alias("rank"))
-        .unionByName(unused.select(*PAGE, F.lit("o").alias("side"), "at", "token", "gap", none("long").alias("second"), none("boolean").alias("hyphen"), none("string").alias("rank")))
-        .unionByName(pairs.select(*PAGE, F.lit("p").alias("side"), F.col("first").alias("at"), none("string").alias("token"), none("string").alias("gap"), "second", "hyphen", rank.alias("rank")))
+    rows = left.select(*PAGE, "side", "at", "token", "gap", none("long").alias("second"), none("boolean").alias("hyphen"), none("string").alias("rank")).unionByName(
+        pairs.select(*PAGE, F.lit("p").alias("side"), F.col("first").alias("at"), F.col("form").alias("token"), none("string").alias("gap"), "second", "hyphen", rank.alias("rank"))
     )
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mixed.select(*PAGE).schema)
-    return mixed.groupBy(*PAGE).applyInPandas(repaired, f"{kinds}, at long, token string")
+    return rows.join(pages, list(PAGE), "left_semi")
+
+
+def missing_words(words: DataFrame, bodies: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, at, token of words (doc_id, page, idx, text and, where known, x, y, w, h) that their page's body lacks.
+
+    Literal occurrences are settled by leftovers(), which is written once; pages on which no repair can apply end there,
+    and the others go to the repairs, which depend on order, many pages of a partition at a time, with nothing but what
+    is left of both sides and the pairs of it. A page's leftovers bound the memory of a task. Words of pages without a
+    body are missing. left: the written table of leftovers(), if there is one already.
+    """
+    left = written(leftovers(words, bodies), "leftovers") if left is None else left
+    if left.where("side = 'o'").isEmpty():  # nothing unused that a repair could take
+        return left.select(*PAGE, "at", "token")
+    rows = written(open_repairs(words, left), "repairs")
+    after = by_page(rows.repartition(*PAGE), MISSING, repaired, ("side", "rank", "at"))
+    settled = left.where("side = 's'").join(rows.select(*PAGE).distinct(), list(PAGE), "left_anti").select(*PAGE, "at", "token")
+    return settled.unionByName(after.select(*PAGE, "at", "token"))
 
 
 def _boxed(words: DataFrame) -> DataFrame:
@@ -163,11 +218,9 @@ def _boxed(words: DataFrame) -> DataFrame:
     return words.select("doc_id", "page", "idx", "text", *[(F.col(c) if c in words.columns else F.lit(None)).cast("double").alias(c) for c in ("x", "y", "w", "h")])
 
 
-def strict_deficits(words: DataFrame, bodies: DataFrame) -> DataFrame:
-    """doc_id, strict_deficits: words without a literal occurrence, before repairs."""
-    _, source, output = _sides(_boxed(words), bodies)
-    on = [*PAGE, "token", "k"]
-    return source.join(output.select(*on), on, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("strict_deficits"))
+def strict_deficits(left: DataFrame) -> DataFrame:
+    """doc_id, strict_deficits: words without a literal occurrence, before repairs; left as of leftovers()."""
+    return left.where("side = 's'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("strict_deficits"))
 
 
 def quoted_list(items: Column) -> Column:
@@ -184,19 +237,24 @@ def audit_lines(missing: DataFrame) -> DataFrame:
     return per.select(*PAGE, n.alias("n_missing"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(": MISSING "), n.cast("string"), F.lit(": "), shown).alias("line"))
 
 
-def audit_totals(words: DataFrame, bodies: DataFrame, missing: DataFrame) -> DataFrame:
-    """doc_id, parsed, pages, words, strict_deficits, missing of every document with words."""
-    n = F.size(_tokens(F.col("text")))
-    counts = words.select("doc_id", "page", n.alias("n")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parsed"), F.countDistinct("page").alias("pages"), F.sum("n").cast("long").alias("words"))
+def token_counts(words: DataFrame) -> DataFrame:
+    """doc_id, page, parsed (words) and words (tokens) of every page with words."""
+    return source_pages(words.select(*PAGE, "idx", "text")).select(*PAGE, "parsed", F.regexp_count(fold_typographic(F.col("said")), F.lit(TOKEN_AND_GAP)).cast("long").alias("words"))
+
+
+def audit_totals(words: DataFrame, left: DataFrame, missing: DataFrame) -> DataFrame:
+    """doc_id, parsed, pages, words, strict_deficits, missing of every document with words; left as of leftovers()."""
+    counts = token_counts(words).groupBy("doc_id").agg(F.sum("parsed").alias("parsed"), F.count(F.lit(1)).alias("pages"), F.sum("words").alias("words"))
     lost = missing.groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing"))
-    out = counts.join(strict_deficits(words, bodies), "doc_id", "left").join(lost, "doc_id", "left")
+    out = counts.join(strict_deficits(left), "doc_id", "left").join(lost, "doc_id", "left")
     return out.fillna(0, ["strict_deficits", "missing"])
 
 
 def check_evidence(words: DataFrame, bodies: DataFrame) -> None:
     """Raises AUDIT_INPUT for invalid records, evidence without tokens, and pages that the Markdown doesn't mark."""
     boxed = _boxed(words)
-    seen = boxed.agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid_record()).alias("bad"), F.coalesce(F.sum(F.size(_tokens(F.col("text")))), F.lit(0)).alias("tokens")).first()
+    some = F.coalesce(fold_typographic(F.col("text")).rlike(TOKEN_AND_GAP), F.lit(False))
+    seen = boxed.agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid_record()).alias("bad"), F.count_if(some).alias("tokens")).first()
     errors = []  # fixed messages
     if not seen["n"]:
         errors.append("word dump contains no JSON records")

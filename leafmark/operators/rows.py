@@ -225,23 +225,26 @@ def page_lines(batch: pa.Table, page: np.ndarray, tuning: Tuning = Tuning()) ->
     pitch = _pitches(page[~is_float], col[~is_float], mid_y[~is_float], n)
     begin = _runs_of(page)
     return {
-        "at": page, "ix": np.arange(len(page)) - np.repeat(begin, np.diff([*begin.tolist(), len(page)])), "col": col, "text": text, "x": lx, "width": width, "mid_y": mid_y, "h": height, "n_words": size,
+        "page_at": page, "ix": np.arange(len(page)) - np.repeat(begin, np.diff([*begin.tolist(), len(page)])), "col": col, "text": text, "x": lx, "width": width, "mid_y": mid_y, "h": height, "n_words": size,
         "is_float": is_float, "is_tall": is_tall, "pitch": pitch[page], "median_h": median_h, "two_column": two, "words": _lists(place[in_x], size),
     }
 
 
-def _by_page(rows: DataFrame, schema: str, lines: Callable[[pa.Table, np.ndarray], dict], order: tuple[str, ...] = ()) -> DataFrame:
-    """lines() of whole pages, all those of a batch at a time; a task holds a batch and one page. Rows come by page, then in `order`."""
-    ordered = rows.repartition(*pg.PAGE).sortWithinPartitions(*pg.PAGE, *order)
+def by_page(rows: DataFrame, schema: str, lines: Callable[[pa.Table, np.ndarray], dict], order: tuple[str, ...] = ()) -> DataFrame:
+    """lines() of whole pages, all those of a batch at a time; a task holds a batch and one page. Rows come by page, then in `order`.
+
+    A page's rows must be in one partition already, as they are after a window over pages.
+    """
+    ordered = rows.sortWithinPartitions(*pg.PAGE, *order)
     out = _typed(schema, rows)
     names = [c.split()[0] for c in schema.replace("array<", "").split(", ")]
 
     def made(table: pa.Table, doc: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
         change = np.concatenate([[False], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])
         got = lines(table, np.cumsum(change))
-        at = _runs_of(np.cumsum(change))[got.pop("at")]
+        at = _runs_of(np.cumsum(change))[got.pop("page_at")]
         got = {"doc_id": table["doc_id"].combine_chunks().take(pa.array(at)), "page": pa.array(number[at].astype(np.int32))} | got
-        kinds = {"ix": pa.int32(), "col": pa.int32(), "n_words": pa.int64(), "text": pa.string()}
+        kinds = {"ix": pa.int32(), "col": pa.int32(), "n_words": pa.int64(), "text": pa.string()}  # those whose type their values don't tell
         return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kinds.get(k)) for k, v in ((k, got[k]) for k in names)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +278,7 @@ def ocr_lines(words: DataFrame, tuning: Tuning = Tuning()) -> DataFrame:
     """
     whole = words.select("doc_id", "page", "idx", "text", "x", "y", "w", "h").dropna(subset=["doc_id", "page", "text", "x", "y", "w", "h"])
     marked = pg.with_page_marks(whole.withColumn("page", F.col("page").cast("int")), tuning.split)
-    return _by_page(marked, OCR_LINE, lambda batch, page: page_lines(batch, page, tuning))
+    return by_page(marked, OCR_LINE, lambda batch, page: page_lines(batch, page, tuning))
 
 
 def run_lines(batch: pa.Table, page: np.ndarray) -> dict[str, object]:
@@ -313,7 +316,7 @@ def run_lines(batch: pa.Table, page: np.ndarray) -> dict[str, object]:
     start = _runs_of(at)
     pieces = np.concatenate([np.arange(begin[k], begin[k] + size[k]) for k in keep.tolist()]) if len(keep) else np.zeros(0, dtype=np.int64)
     return {
-        "at": at, "ix": np.arange(len(keep)) - np.repeat(start, np.diff([*start.tolist(), len(keep)])), "col": col[first][keep], "text": [text[k] for k in keep.tolist()], "x": x[begin][keep], "y": level[keep],
+        "page_at": at, "ix": np.arange(len(keep)) - np.repeat(start, np.diff([*start.tolist(), len(keep)])), "col": col[first][keep], "text": [text[k] for k in keep.tolist()], "x": x[begin][keep], "y": level[keep],
         "h": height[keep], "n_words": size[keep], "words": _lists(place[pieces], size[keep]),
     }
 
@@ -327,4 +330,4 @@ def text_lines(runs: DataFrame) -> DataFrame:
     two = (share(right < mid) > RUN_SIDE) & (share(F.col("x") > mid) > RUN_SIDE) & (share((F.col("x") < mid) & (right > mid)) < RUN_STRADDLE)
     placed = need.withColumn("page", F.col("page").cast("int")).withColumn("place", F.row_number().over(page.orderBy("idx")) - 1).withColumn("two", two)
     dealt = placed.select("doc_id", "page", "place", "text", "x", "y", "w", "h", ((F.col("x") > mid) & F.col("two")).cast("int").alias("col"))
-    return _by_page(dealt, TEXT_LINE, run_lines, ("y", "x", "place"))
+    return by_page(dealt, TEXT_LINE, run_lines, ("y", "x", "place"))

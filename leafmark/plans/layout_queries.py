@@ -11,7 +11,7 @@ from leafmark import api
 from leafmark.functions import text as tx
 from leafmark.operators import analysis as an
 from leafmark.operators import documents as dc
-from leafmark.operators import audit, emit, hyphens, markdown
+from leafmark.operators import audit, emit, hyphens, markdown, tables
 from leafmark.operators import pages as pg
 from leafmark.operators import rows as rw
 from leafmark.sources import layout
@@ -149,7 +149,7 @@ def _recognised(spark, sf_dir):
     """Blocks of the words, of which the last of every fourth row has a hyphen at its end."""
     per = F.when(F.col("doc_id") % 3 == 0, 6).otherwise(12)
     ends = (F.col("idx") % per == per - 1) & (F.col("row") % 4 == 1)
-    lines = rw.ocr_lines(_words(spark, sf_dir).withColumn("text", F.when(ends, F.concat("text", F.lit("-"))).otherwise(F.col("text"))))
+    lines = tables.written(rw.ocr_lines(_words(spark, sf_dir).withColumn("text", F.when(ends, F.concat("text", F.lit("-"))).otherwise(F.col("text")))), "lines")
     return emit.recognised_blocks(lines, emit.recognised_levels(lines))
 
 
@@ -243,7 +243,8 @@ def audit_missing(spark, sf_dir):
   SELECT doc_id, parsed, pages, words, coalesce(missing, 0) AS strict_deficits, coalesce(missing, 0) AS missing FROM parsed LEFT JOIN lost USING (doc_id)""")
 def audit_totals(spark, sf_dir):
     words, body = _cut(spark, sf_dir)
-    return audit.audit_totals(words, body, audit.missing_words(words, body))
+    left = tables.written(audit.leftovers(words, body), "leftovers")
+    return audit.audit_totals(words, left, audit.missing_words(words, body, left))
 
 
 @query("SELECT DISTINCT conv_id AS doc_id, turn::INT AS page FROM conversations WHERE turn % 3 = 2")
