@@ -91,7 +91,7 @@ def parser() -> argparse.ArgumentParser:
 
 def words_of(spark: SparkSession, path: str):
     """The dump's words in order, and how many lines weren't such."""
-    dump = read_word_dump(spark, path).withColumn("idx", F.monotonically_increasing_id())
+    dump = read_word_dump(spark, path)
     return dump.where("not bad").drop("bad"), dump.where("bad").count()
 
 

@@ -393,4 +393,65 @@ def recognised_markdown(spark, sf_dir):
 
 @query(f"WITH {_WORDS}, {_CUT} SELECT doc_id, page, token, count(*)::BIGINT AS missing FROM miss GROUP BY ALL")
 def audit_repairs(spark, sf_dir):
-    return audit.missing_words(*_cut(spark, sf_dir)).groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
\ No newline at end of file
+    return audit.missing_words(*_cut(spark, sf_dir)).groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query(f"""WITH {_WORDS} SELECT doc_id, page, min(idx + (idx + 22) // 29)::BIGINT AS first_line, max(idx + (idx + 22) // 29)::BIGINT AS last_line, count(*)::BIGINT AS n_words, sha256(string_agg(text, ' ' ORDER BY idx)) AS digest FROM words GROUP BY ALL""")
+def numbered_dump(spark, sf_dir):
+    """Words written as dumps of many documents, a broken line before every 29th word, and read back with their lines' numbers."""
+    page = (F.col("doc_id") * 1000 + F.col("page")).cast("int")
+    record = F.to_json(F.struct(page.alias("page"), "text", "x", "y", "w", "h", "confidence"))
+    lines = _words(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "idx").select(F.explode(F.when(F.col("idx") % 29 == 7, F.array(F.lit("{"), record)).otherwise(F.array(record))).alias("value"))
+    path = tables.shared_path(spark, "dump")
+    lines.write.text(path)
+    read = layout.read_audit_dump(spark, path).where("error is null")
+    own = read.select(F.floor(F.col("page") / 1000).alias("doc"), (F.col("page") % 1000).alias("p"), "doc_id", "idx", "text")
+    line = F.col("idx") - F.min("idx").over(Window.partitionBy("doc_id", "doc"))
+    per = own.withColumn("line", line).groupBy("doc", "p").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_words"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ws"))
+    return per.select(F.col("doc").alias("doc_id"), F.col("p").alias("page"), "first_line", "last_line", "n_words", F.sha2(F.array_join("ws.text", " ").cast("binary"), 256).alias("digest"))
+
+
+# Long words in the source: cut at a hyphen in two runs, hyphened in one, whole, in two runs that touch, or whole; in the body: whole, or (third case) broken over two lines.
+_PIECES = r"""lw AS (SELECT *, CASE WHEN regexp_full_match(text, '[A-Za-z]{8,}') THEN idx % 5 ELSE 4 END AS how, substr(text, 1, 4) AS a, substr(text, 5) AS b FROM words),
+  runs AS (SELECT doc_id, page, idx * 2 AS idx, CASE how WHEN 0 THEN a || '-' WHEN 1 THEN a || '-' || b WHEN 3 THEN a ELSE text END AS text, x, y, CASE WHEN how IN (0, 3) THEN w / 2 ELSE w END AS w, h FROM lw
+    UNION ALL SELECT doc_id, page, idx * 2 + 1, b, x + w / 2, y, w / 2, h FROM lw WHERE how IN (0, 3)),
+  body AS (SELECT doc_id, page, translate(string_agg(CASE how WHEN 2 THEN a || '-' || chr(10) || b ELSE text END, ' ' ORDER BY idx), 'ʼ’‘“”–', '""-') AS t FROM lw WHERE idx % 17 <> 16 GROUP BY ALL),
+  rt AS (SELECT *, len(ts) AS n, (sum(len(ts)) OVER (PARTITION BY doc_id, page ORDER BY idx) - len(ts))::BIGINT AS pos, regexp_matches(text, '[\p{Pd}−]\s*$') AS ends, regexp_matches(text, '^[\p{Pd}−]\s*$') AS lone
+    FROM (SELECT *, list_transform(regexp_extract_all(f, 'TOKGAP', 1), lambda t: lower(nfc_normalize(t))) AS ts, regexp_extract_all(f, 'TOKGAP', 2) AS gs FROM (SELECT *, translate(text, 'ʼ’‘“”–', '""-') AS f FROM runs))),
+  nb AS (SELECT *, lead(pos) OVER o AS at1, lead(n) OVER o AS n1, lead(lone) OVER o AS lone1, lead(n, 2) OVER o AS n2, lead(pos, 2) OVER o AS at2, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(h) OVER o AS h1 FROM rt WINDOW o AS (PARTITION BY doc_id, page ORDER BY idx)),
+  pr AS (SELECT doc_id, page, 0 AS part, idx AS run, k AS kind, pos + k - 1 AS a, pos + k AS b, true AS hyphen FROM (SELECT *, unnest(range(1, n)) AS k FROM rt) WHERE regexp_matches(gs[k], '^[\p{Pd}−][ \t]*$')
+    UNION ALL SELECT doc_id, page, 1, idx, 0, pos + n - 1, at1, true FROM nb WHERE n > 0 AND ends AND n1 > 0
+    UNION ALL SELECT doc_id, page, 1, idx, 1, pos + n - 1, at1, false FROM nb WHERE n = 1 AND n1 = 1 AND NOT ends AND NOT lone1 AND abs(y - y1) <= greatest(h, h1) * 0.25::DOUBLE AND abs(x1 - (x + w)) <= greatest(h, h1) * 0.15::DOUBLE
+    UNION ALL SELECT doc_id, page, 1, idx, 2, pos + n - 1, at2, true FROM nb WHERE n > 0 AND lone1 AND n2 > 0),
+  st AS (SELECT doc_id, page, pos + unnest(range(n)) AS pos, unnest(ts) AS token FROM rt),
+  ot AS (SELECT doc_id, page, unnest(range(len(ts))) AS pos, unnest(ts) AS token, unnest(gs) AS gap FROM (SELECT doc_id, page, list_transform(regexp_extract_all(t, 'TOKGAP', 1), lambda t: lower(nfc_normalize(t))) AS ts, regexp_extract_all(t, 'TOKGAP', 2) AS gs FROM body)),
+  sc AS (SELECT doc_id, page, token, count(*) AS n FROM st GROUP BY ALL), oc AS (SELECT doc_id, page, token, count(*) AS n FROM ot GROUP BY ALL),
+  so AS (SELECT s.doc_id, s.page, s.pos, s.token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, token ORDER BY pos) AS k FROM st) s LEFT JOIN oc USING (doc_id, page, token) WHERE k > coalesce(oc.n, 0)),
+  ou AS (SELECT o.doc_id, o.page, o.pos, o.token, o.gap FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, token ORDER BY pos) AS k FROM ot) o LEFT JOIN sc USING (doc_id, page, token) WHERE k > coalesce(sc.n, 0)),
+  opt AS (SELECT doc_id, page, token AS form, 2 AS kind, pos AS a, pos AS b FROM ou
+    UNION ALL SELECT o.doc_id, o.page, o.token || p.token, CASE WHEN regexp_matches(o.gap, '\n') THEN 1 ELSE 0 END, o.pos, p.pos FROM ou o JOIN ou p ON p.doc_id = o.doc_id AND p.page = o.page AND p.pos = o.pos + 1
+      WHERE regexp_matches(o.gap, '^[\p{Pd}−][ \t]*$') OR regexp_matches(o.gap, '^[\p{Pd}−][ \t]*\r?\n[ \t]*$')),
+  want AS (SELECT p.doc_id, p.page, 0 AS phase, part, run, kind, [p.a, p.b] AS places, f.token || s.token AS form, hyphen FROM pr p JOIN so f ON f.doc_id = p.doc_id AND f.page = p.page AND f.pos = p.a JOIN so s ON s.doc_id = p.doc_id AND s.page = p.page AND s.pos = p.b
+    UNION ALL SELECT doc_id, page, 1, 0, pos, 0, [pos], token, NULL FROM so),
+  may AS (SELECT w.doc_id, w.page, phase, part, run, w.kind, places, list({'a': o.a, 'b': o.b} ORDER BY o.kind, o.a) AS options FROM want w JOIN opt o ON o.doc_id = w.doc_id AND o.page = w.page AND o.form = w.form AND CASE WHEN phase = 1 THEN o.kind = 1 WHEN hyphen THEN true ELSE o.kind = 2 END GROUP BY ALL),
+  items AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY phase, part, run, kind) AS rk FROM may),
+  turn AS (SELECT doc_id, page, 0::BIGINT AS rk, []::BIGINT[] AS src, []::BIGINT[] AS used FROM (SELECT DISTINCT doc_id, page FROM items)
+    UNION ALL SELECT doc_id, page, nrk, CASE WHEN pick IS NULL THEN src ELSE list_concat(src, places) END, CASE WHEN pick IS NULL THEN used ELSE list_concat(used, [pick.a, pick.b]) END
+    FROM (SELECT t.doc_id, t.page, src, used, i.places, i.rk AS nrk, CASE WHEN list_has_any(src, places) THEN NULL ELSE list_filter(options, lambda o: NOT list_contains(used, o.a) AND NOT list_contains(used, o.b))[1] END AS pick FROM turn t JOIN items i ON i.doc_id = t.doc_id AND i.page = t.page AND i.rk = t.rk + 1)),
+  done AS (SELECT doc_id, page, arg_max(src, rk) AS src FROM turn GROUP BY ALL)""".replace("TOKGAP", r"([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)([^\p{L}\p{N}]*)")
+
+
+@query(f"WITH RECURSIVE {_WORDS}, {_PIECES} SELECT doc_id, page, token, count(*)::BIGINT AS missing FROM so LEFT JOIN done USING (doc_id, page) WHERE NOT coalesce(list_contains(src, pos), false) GROUP BY ALL")
+def audit_hyphen_repairs(spark, sf_dir):
+    """What is missing after repairs: long words cut by a hyphen or into touching runs, or broken over two lines of the body."""
+    whole = F.col("text").rlike("^[A-Za-z]{8,}$")
+    how = F.when(whole, F.col("idx") % 5).otherwise(4)
+    words = _words(spark, sf_dir).withColumn("how", how).withColumn("a", F.substring("text", 1, 4)).withColumn("b", F.expr("substring(text, 5)"))
+    piece = lambda text, nth, x, w: F.struct((F.col("idx") * 2 + nth).alias("idx"), text.alias("text"), x.alias("x"), "y", w.alias("w"), "h")
+    hyphened, half = F.concat("a", F.lit("-")), F.col("w") / 2
+    whole_run = piece(F.when(F.col("how") == 1, F.concat(hyphened, "b")).otherwise(F.col("text")), 0, F.col("x"), F.col("w"))
+    cut = F.array(piece(F.when(F.col("how") == 0, hyphened).otherwise(F.col("a")), 0, F.col("x"), half), piece(F.col("b"), 1, F.col("x") + half, half))
+    runs = words.select("doc_id", "page", F.explode(F.when(F.col("how").isin(0, 3), cut).otherwise(F.array(whole_run))).alias("r")).select("doc_id", "page", "r.*")
+    shown = F.when(F.col("how") == 2, F.concat(hyphened, F.lit("\n"), "b")).otherwise(F.col("text")).alias("text")
+    body = words.where("idx % 17 <> 16").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", shown))).alias("ws")).select("doc_id", "page", F.array_join("ws.text", " ").alias("body"))
+    return audit.missing_words(runs, body).groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))

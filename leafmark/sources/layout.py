@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmark.functions.text import MARKER, word_list
+from leafmark.sources.numbering import numbered_lines
 
 #: A word dump, one JSON object a line; confidence may be missing.
 WORD = T.StructType([
@@ -16,26 +17,23 @@ WORD = T.StructType([
 
 
 def read_word_dump(spark, path: str) -> DataFrame:
-    """Words of JSONL dumps with doc_id = file name; blank lines are left out, and malformed ones have `bad` true."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("doc_id"), "value").where(F.trim("value") != "")
-    read = raw.withColumn("w", F.from_json("value", WORD, {"mode": "PERMISSIVE"}))
-    return read.select("doc_id", "w.*", (F.col("w").isNull() | F.col("w.page").isNull() | F.col("w.text").isNull()).alias("bad"))
+    """Words of JSONL dumps: doc_id (the file), idx (the line's number, from 1), the word's columns and `bad`, true of
+    malformed lines; blank lines are left out but counted."""
+    read = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("w", F.from_json("value", WORD, {"mode": "PERMISSIVE"}))
+    return read.select("doc_id", F.col("line").alias("idx"), "w.*", (F.col("w").isNull() | F.col("w.page").isNull() | F.col("w.text").isNull()).alias("bad"))
 
 
 def read_audit_dump(spark, path: str) -> DataFrame:
-    """Every line of JSONL dumps: doc_id (file name), idx (its number, from 1), the word's columns, and error, null for a sound line.
+    """Every line of JSONL dumps: doc_id (the file), idx (its number, from 1), the word's columns, and error, null for a sound line.
 
-    A line must be a JSON object; blank lines count, but for the last. A file is one row first, for its lines' numbers:
-    it is the evidence of one document.
+    A line must be a JSON object; blank lines count, but for what follows the last line end.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.split("value", "\n").alias("ls"))
-    lines = whole.select("doc_id", F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "value")).where("value <> '' or pos < n - 1").withColumn("value", F.trim(F.regexp_replace("value", "\r$", "")))
-    read = lines.withColumn("w", F.from_json("value", WORD, {"mode": "PERMISSIVE"}))
-    number = F.concat(F.lit("line "), (F.col("pos") + 1).cast("string"))
+    read = numbered_lines(spark, path).withColumn("value", F.trim(F.regexp_replace("value", "\r$", ""))).withColumn("w", F.from_json("value", WORD, {"mode": "PERMISSIVE"}))
+    number = F.concat(F.lit("line "), F.col("line").cast("string"))
     sound = F.startswith("value", F.lit("{")) & F.try_parse_json("value").isNotNull()
     stated = F.coalesce((F.col("w.page") > 0) & F.col("w.text").rlike(r"\S"), F.lit(False))
     error = F.when(~sound, F.concat(number, F.lit(" is not valid JSON"))).when(~stated, F.concat(number, F.lit(" must contain a positive integer page and non-empty text")))
-    return read.select("doc_id", (F.col("pos") + 1).cast("long").alias("idx"), "w.*", error.alias("error"))
+    return read.select("doc_id", F.col("line").alias("idx"), "w.*", error.alias("error"))
 
 
 def laid_out(docs: DataFrame) -> DataFrame:

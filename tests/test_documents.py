@@ -272,3 +272,46 @@ def test_sets_of_pages(spark):
     for wrong in (frozenset(), frozenset({0})):
         with pytest.raises(LeafmarkError):
             Options(pages=wrong)
+
+
+def test_lines_of_several_splits_have_the_file_s_numbers(spark, tmp_path):
+    from leafmark.sources.layout import read_audit_dump, read_word_dump
+    from leafmark.sources.numbering import numbered_lines
+
+    made = {"a.jsonl": 5000, "b.jsonl": 1, "c.jsonl": 700}
+    for name, n in made.items():
+        (tmp_path / name).write_text("".join("\n" if i % 97 == 5 else '{"page": \n' if i % 97 == 6 else json.dumps({"page": 1, "text": f"{name}{i}", "x": 0.1, "y": 0.1, "w": 0.1, "h": 0.1}) + "\n" for i in range(n)))
+    (tmp_path / "d.jsonl").write_text("")
+    known = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert numbered_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        got = numbered_lines(spark, str(tmp_path)).collect()
+        words = read_word_dump(spark, str(tmp_path)).collect()
+        strict = read_audit_dump(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", known)
+    for name, n in made.items():
+        lines = (tmp_path / name).read_text().split("\n")[:-1]
+        assert sorted((r.line, r.value) for r in got if r.doc_id.endswith(name)) == list(enumerate(lines, 1))
+        sound = [(i, f"{name}{i - 1}") for i in range(1, n + 1) if (i - 1) % 97 not in (5, 6)]
+        assert sorted((r.idx, r.text) for r in words if r.doc_id.endswith(name) and not r.bad) == sound
+        assert sorted((r.idx, r.text) for r in strict if r.doc_id.endswith(name) and r.error is None) == sound
+    assert sum(r.bad for r in words) == sum(len([i for i in range(n) if i % 97 == 6]) for n in made.values())
+    assert [r.error for r in strict if r.error][:1] and all(" is not valid JSON" in r.error for r in strict if r.error)
+
+
+def test_repairs_of_many_pages_at_once(spark):
+    """Each page is settled by itself: what one repairs doesn't serve another, and pages where nothing can be repaired stay out."""
+    words, bodies, want = [], [], {}
+    for d in range(300):
+        cases = [(["creat-", "ive"], "creative", []), (["creat-", "ive", "creat-", "ive"], "creative", ["creat", "ive"]), (["alone"], "other", ["alone"]), (["whole"], "who-\nle whole", []), (["split"], "sp-\nlit", [])]
+        said, body, lost = cases[d % len(cases)]
+        words += [(d, 1, i, t, 0.1 + 0.2 * i, 0.5, 0.1, 0.02, None) for i, t in enumerate(said)]
+        bodies.append((d, 1, body))
+        want[d] = lost
+    bodies.append((999, 1, "words of no source"))
+    got = {d: [] for d in want}
+    for r in audit.missing_words(spark.createDataFrame(words, DUMP), spark.createDataFrame(bodies, "doc_id int, page int, body string")).orderBy("doc_id", "at").collect():
+        got[r.doc_id].append(r.token)
+    assert got == want
