@@ -157,7 +157,7 @@ def leftovers(words: DataFrame, bodies: DataFrame) -> DataFrame:
     """
     source = source_pages(words.select(*PAGE, "idx", "text")).select(*PAGE, _nfc("said").alias("said"))
     output = bodies.select(*PAGE, _nfc(markdown_text(F.col("body"))).alias("shown"))
-    both = source.join(output, list(PAGE), "full")
+    both = source.join(output, list(PAGE), "left")  # a left join keeps the pages where they are; bodies of no words aren't asked for
     kind = F.when(F.col("t.gap").rlike(INLINE_GAP), "inline").when(F.col("t.gap").rlike(LINE_GAP), "line").otherwise("")
     token = lambda side, gap: lambda t, i: F.struct(F.lit(side).alias("side"), i.cast("long").alias("at"), t["token"].alias("token"), gap(t).alias("gap"))
     of = lambda c, side, gap: F.coalesce(F.transform(tokens_with_gaps(F.col(c)), token(side, gap)), F.array())
