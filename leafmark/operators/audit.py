@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -24,7 +25,8 @@ HYPHEN_END = r"[\p{Pd}−]\s*\z"
 HYPHEN_ONLY = r"^[\p{Pd}−]\s*\z"
 INLINE_GAP = r"^[\p{Pd}−][ \t]*\z"
 LINE_GAP = r"^[\p{Pd}−][ \t]*\r?\n[ \t]*\z"
-TOKEN_AND_GAP = r"([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)([^\p{L}\p{N}]*)"
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+TOKEN_AND_GAP = rf"({TOKEN})([^\p{{L}}\p{{N}}]*)"
 SAMPLE = 12
 
 # What isn't text in Markdown, and what stands for it; in this order.
@@ -148,27 +150,49 @@ def absent_pages(words: DataFrame, bodies: DataFrame) -> DataFrame:
     return words.select(*PAGE).distinct().join(bodies.select(*PAGE), list(PAGE), "left_anti")
 
 
+LEFT = "doc_id long, page int, side string, at long, token string, gap string"
+
+
+def _literal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What of a page's tokens (said) and its body's (shown, with gaps) has no counterpart: the k-th of a token takes the k-th."""
+    composed = lambda ts: [t if t.isascii() else unicodedata.normalize("NFC", t) for t in ts]
+    for batch in batches:
+        page, side, at, token, gap = [], [], [], [], []
+        for i in range(batch.num_rows):
+            said, shown = (composed(batch[c][i].as_py()) for c in ("said", "shown"))
+            sides = ((said, "s", Counter(shown)), (shown, "o", Counter(said)))
+            gaps = batch["gaps"][i]
+            for tokens, name, other in sides:
+                for k, t in enumerate(tokens):
+                    if other[t] > 0:
+                        other[t] -= 1
+                        continue
+                    page.append(i)
+                    side.append(name)
+                    at.append(k)
+                    token.append(t)
+                    gap.append(gaps[k].as_py() if name == "o" else "")
+        rows = pa.array(page, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), batch["page"].take(rows), pa.array(side, pa.string()), pa.array(at, pa.int64()), pa.array(token, pa.string()), pa.array(gap, pa.string())], names=[c.split()[0] for c in LEFT.split(", ")])
+
+
 def leftovers(words: DataFrame, bodies: DataFrame) -> DataFrame:
     """doc_id, page, side (s source, o output), at, token, gap: what is left of both sides once the k-th literal occurrence
     of a token in the words has taken the k-th in the page's body.
 
-    Pages are tokenised whole and both sides joined by page, a row each; then a token is left over by its number against
-    the other side's count, which needs no further shuffle.
+    Pages are tokenised whole and both sides joined by page, a row each. A page whose tokens are those of its body, in
+    whatever order, is settled there and then; of the others, tokens are counted off page by page, which takes no
+    further shuffle and no sorting, and a task holds a batch of pages.
     """
-    source = source_pages(words.select(*PAGE, "idx", "text")).select(*PAGE, _nfc("said").alias("said"))
-    output = bodies.select(*PAGE, _nfc(markdown_text(F.col("body"))).alias("shown"))
-    both = source.join(output, list(PAGE), "left")  # a left join keeps the pages where they are; bodies of no words aren't asked for
-    kind = F.when(F.col("t.gap").rlike(INLINE_GAP), "inline").when(F.col("t.gap").rlike(LINE_GAP), "line").otherwise("")
-    token = lambda side, gap: lambda t, i: F.struct(F.lit(side).alias("side"), i.cast("long").alias("at"), t["token"].alias("token"), gap(t).alias("gap"))
-    of = lambda c, side, gap: F.coalesce(F.transform(tokens_with_gaps(F.col(c)), token(side, gap)), F.array())
-    each = both.select(*PAGE, F.explode(F.concat(of("shown", "o", lambda t: t["gap"]), of("said", "s", lambda t: F.lit("")))).alias("t"))
-    each = each.select(*PAGE, "t.side", "t.at", "t.token", kind.alias("gap"))
-    alike = Window.partitionBy(*PAGE, "token").orderBy("side", "at")
-    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # of a token's rows, those of the output come first
-    counted = each.withColumn("r", F.row_number().over(alike)).withColumn("n_out", F.count_if(F.col("side") == "o").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
-    over = F.when(F.col("side") == "o", F.col("r") > F.col("n") - F.col("n_out")).otherwise(F.col("r") > F.col("n_out") * 2)
-    return counted.where(over).select(*PAGE, "side", "at", "token", "gap")
+    source = source_pages(words.select(*PAGE, "idx", "text")).withColumn("said", F.regexp_extract_all(F.lower(fold_typographic(F.col("said"))), F.lit(TOKEN), F.lit(0)))
+    output = bodies.select(*PAGE, tokens_with_gaps(markdown_text(F.col("body"))).alias("o"))
+    none = F.array().cast("array<string>")
+    # a left join keeps the pages where they are; bodies of pages without words aren't asked for
+    both = source.join(output, list(PAGE), "left").select("doc_id", F.col("page").cast("int").alias("page"), "said", F.coalesce("o.token", none).alias("shown"), F.coalesce("o.gap", none).alias("gaps"))
+    differ = both.where(F.array_sort("said") != F.array_sort("shown"))
+    rows = differ.mapInArrow(_literal, LEFT.replace("doc_id long", f"doc_id {both.schema['doc_id'].dataType.simpleString()}"))
+    gap = F.when(F.col("gap").rlike(INLINE_GAP), "inline").when(F.col("gap").rlike(LINE_GAP), "line").otherwise("")
+    return rows.withColumn("gap", gap)
 
 
 def open_repairs(words: DataFrame, left: DataFrame) -> DataFrame:

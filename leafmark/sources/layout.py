@@ -41,9 +41,9 @@ def laid_out(docs: DataFrame) -> DataFrame:
 
     One column of 12 words a line; two columns of six where doc_id is a multiple of 3; 30 lines a column. The first
     row of every fifth document is tall. Documents are dealt out as they are, one row each, so the words of a page are
-    made where they are needed together.
+    made where they are needed together. Rows without a doc_id are left out.
     """
-    words = docs.repartition("doc_id").select("doc_id", F.posexplode(word_list(F.col("text"))).alias("p", "text"))
+    words = docs.where("doc_id is not null").repartition("doc_id").select("doc_id", F.posexplode(word_list(F.col("text"))).alias("p", "text"))
     two = F.col("doc_id") % 3 == 0
     per = F.when(two, 6).otherwise(12)
     line = F.floor(F.col("p") / per).cast("int")
