@@ -150,7 +150,9 @@ def _leaf_links(least: float):
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingle set of each named set's text; a batch's repeated rows count once."""
     for f in batches:
+        f = f.drop_duplicates(["rep", "text"])
         sets = [shingle_set(normalise(t)).tobytes() for t in f["text"]]
         same = [xxhash.xxh3_128_digest(s) == p for s, p in zip(sets, f["fp"], strict=True)]
         yield f.assign(shingles=sets)[same][["comp", "rep", "first", "copies", "members", "shingles"]]
@@ -165,6 +167,7 @@ def _exact(threshold: float):
                 yield _unit(f.iloc[i:j])
 
     def _unit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates("rep")  # rows of one document that came in several batches
         rep, copies, blk = g["rep"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), g["blk"].to_numpy()
         cross = int(g["bi"].iloc[0]) != int(g["bj"].iloc[0])
         flat = np.frombuffer(b"".join(g["shingles"]), dtype=np.uint64)

@@ -138,7 +138,6 @@ def train(labelled: DataFrame, per_language: int = 1500, characters: int = 20000
     in; the counting is a distributed aggregation, and the driver gets `top` rows for each language and size.
     Rows without text, lang or letters teach nothing; a table without any gives filters that know no language.
     """
-    spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null")
     share = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))
     langs = [r["lang"] for r in share.orderBy("lang").collect()]
@@ -165,13 +164,12 @@ def train(labelled: DataFrame, per_language: int = 1500, characters: int = 20000
 
     tally = picked.mapInPandas(count, "lang string, n int, gram long, docs long").groupBy("lang", "n", "gram").agg(F.sum("docs").alias("docs"))
     best = Window.partitionBy("lang", "n").orderBy(F.desc("docs"), "gram")
-    kept = tally.where("docs > 1").withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("lang", "gram")
+    kept = tally.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("lang", "gram")
     at = {x: i for i, x in enumerate(langs)}
     table = kept.toPandas()
     for lang, part in table.groupby("lang"):
         filters.add(at[lang], part["gram"].to_numpy(np.int64).view(np.uint64))
     filters.seal()
-    del spark
     return filters
 
 

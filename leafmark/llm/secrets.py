@@ -13,7 +13,7 @@ of p over all tokens of the corpus, of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import cut, join_salted
@@ -35,7 +35,7 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/_-]+$", _UPPER + _LOWER + _DIGIT + "+/", 0.066),
 )
 BINS = 200
-#: Matches of a text that are placed together.
+#: Matches of a text that are placed together, at least.
 AT_ONCE = 64
 MATCH = "array<struct<start:int,k:int,stop:int,token:string>>"
 
@@ -54,15 +54,17 @@ def _places(text: Column, pattern: str, k: int, least: int = 0, group: int = 0)
         fits = x["m"].isNotNull() & (F.char_length(x["g"]) >= least)
         return F.struct(stop.alias("at"), F.when(fits, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    # in blocks, since an array that grows by one is copied each time: first where each block begins, then its matches
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / AT_ONCE).cast("int")), lambda b: F.slice(matches, b * AT_ONCE + 1, F.lit(AT_ONCE)))
+    # in blocks of about the root of their number, since an array that grows by one, or is sliced, is copied each time: first where each block begins, then its matches
+    def blocks(ms: Column) -> Column:
+        size = F.greatest(F.lit(AT_ONCE), F.ceil(F.sqrt(F.size(ms)))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(ms) - 1) / size).cast("int")), lambda b: F.slice(ms, b * size + 1, size))
 
     def within(bs: Column) -> Column:
         lengths = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + length(x)))
         begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
         return F.flatten(F.zip_with(bs, F.slice(begins, F.lit(1), F.size(bs)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
 
-    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(blocks), within), 1)).otherwise(none)
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(matches), lambda ms: within(blocks(ms))), 1)).otherwise(none)
 
 
 def _phi(z: Column) -> Column:
@@ -119,7 +121,7 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     base are the matches of assign, access and hex; added are tokens that pass the battery and overlap no base match.
     Null and empty texts have none; whole texts are scanned; null ids and repeated rows stay rows of their own (equal
     tokens count once when p's are ranked); an empty table gives no rows; extra columns are ignored.
-    Texts aren't shuffled. The histogram holds BINS counts for each encoding and length band.
+    Texts aren't shuffled. Of a text with many matches the work grows as their number does. The histogram holds BINS counts for each encoding and length band.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(
@@ -157,17 +159,31 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
 
 def _with_added(found: DataFrame, secret: DataFrame) -> DataFrame:
-    """Tokens that are in `secret` become added matches of their rows; rows are told apart by a 128-bit name of their id and matches."""
-    bare = F.transform("base", lambda x: F.struct(x["start"], x["k"], x["stop"]))
+    """Tokens that are in `secret` become added matches of their rows, if they overlap no base match; rows are told apart
+    by a 128-bit name of their id and matches.
+
+    Spans are compared in the order of their starts, by windows over a row's spans: of the base matches that start no
+    later the one that ends last, and of those that start later the first. So the work grows as a text's matches do.
+    """
+    span = lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["stop"].alias("stop"))
+    bare = F.transform("base", span)
     key = F.struct(F.xxhash64("doc_id", bare, "token").alias("a"), F.xxhash64(F.lit(1), "doc_id", bare, "token").alias("b"))
     keyed = found.withColumn("key", key)
-    each = keyed.where(F.size("token") > 0).select("key", F.explode("token").alias("t")).select("key", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.token").alias("token")).distinct()
+    some = keyed.where(F.size("token") > 0)
+    each = some.select("key", F.explode("token").alias("t")).select("key", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.token").alias("token")).distinct()
     few = secret.limit(200_001).count() <= 200_000
     met = each.join(F.broadcast(secret), "token") if few else join_salted(each, cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(secret, "token")), ["token"])
-    hit = met.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(3).alias("k"), "stop"))).alias("added"))
+    met = cut(met.select("key", "start", "stop"))
+    base = some.join(met.select("key").distinct(), "key", "left_semi").select("key", F.explode("base").alias("x")).select("key", "x.start", "x.stop").distinct()
+    spans = met.withColumn("new", F.lit(True)).unionByName(base.withColumn("new", F.lit(False)))
+    of_row, old = Window.partitionBy("key"), ~F.col("new")
+    upto = F.max(F.when(old, F.col("stop"))).over(of_row.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(old, F.col("start"))).over(of_row.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("upto", upto).withColumn("after", after)
+    free = marked.where("new").where(F.coalesce(F.col("upto") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("stop"), F.lit(True)))
+    hit = free.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(3).alias("k"), "stop"))).alias("added"))
     joined = keyed.join(hit, "key", "left")
-    free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,k:int,stop:int>>")), lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    return joined.select("doc_id", "base", free.alias("added"))
+    return joined.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,k:int,stop:int>>")).alias("added"))
 
 
 def span_text(matches: Column) -> Column:

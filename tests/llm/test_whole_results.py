@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -192,3 +193,73 @@ def test_mix_targets_of_odd_sources(spark):
     plan = {x.source: x for x in mix.source_targets(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()}
     assert [plan[s]["rank"] for s in ("Z", "a", "b", None)] == [0, 1, 2, 3] and plan["b"].target == 0.0
     assert abs(sum(x.target for x in plan.values()) - 1.5 * 225) < 1e-6 and all(x.target <= 2 * x.source_size for x in plan.values())
+
+
+def test_members_of_any_size(monkeypatch):
+    """A member of 100,000 records in linear time; members beyond what is held, sound and damaged; records beyond the limit."""
+    one = [warc.make_record(i, "http://x", b"%d" % i * 20, warc.digest32(b"%d" % i * 20), None) for i in range(100_000)]
+    began = time.monotonic()
+    out = list(warc.salvage(io.BytesIO(member(b"".join(one)) + one[7])))
+    assert len(out) == 100_001 and {x[0] for x in out} == {"record"} and time.monotonic() - began < 60
+    raw = [warc.make_record(i, "http://x", random.Random(i).randbytes(3000), warc.digest32(random.Random(i).randbytes(3000)), None) for i in range(40)]
+    whole, ids = member(b"".join(raw)), lambda out: [int(x[3]["warc-record-id"].split(":")[-1][:-1]) for x in out if x[0] == "record"]
+    torn = bytearray(whole + member(raw[39]))
+    torn[len(whole) // 2] ^= 255
+    held = [list(warc.salvage(io.BytesIO(bytes(x)))) for x in (whole, torn)]
+    monkeypatch.setattr(warc, "HELD", 10_000)
+    for limit in (1 << 30, 1000):
+        got = [list(warc.salvage(io.BytesIO(bytes(x)), limit)) for x in (whole, torn)]
+        for g, h in zip(got, held, strict=True):
+            assert [(x[0], x[1], x[2]) for x in g] == [(x[0], x[1], x[2]) for x in h] and ids(g) == ids(h)
+            assert [x[5:] for x in g if x[0] == "record"] == [x[5:] for x in h if x[0] == "record"] and {x[4] is None for x in g if x[0] == "record"} == {limit == 1000}
+    assert ids(held[0]) == list(range(40)) and 20 <= len(ids(held[1])) <= 41 and ids(held[1])[-1] == 39
+    plain = list(warc.salvage(io.BytesIO(b"".join(raw)), 1000))
+    assert ids(plain) == list(range(40)) and all(x[6] == 3000 for x in plain)
+
+
+def test_archives_of_odd_pages(spark):
+    """Repeated ids and payloads, extra columns and a long payload: a record for every row, one response for each payload."""
+    rows = [(1, "http://a", "x" * 3_000_000, "e"), (1, "http://a", "x" * 3_000_000, "e"), (2, None, "y", "e"), (2, None, "y", "e"), (3, "u", "y", None), (4, "u", "", None), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    got = warc.read_archives(warc.write_archives(pages.select("page_id", "url", "html")), payload=False).collect()
+    assert {r.kind for r in got} == {"record"} and len(got) == len(rows)
+    texts = {warc.digest32((r[2] or "").encode()) for r in rows}
+    assert sorted(r.payload_digest for r in got if r.record_type == "response") == sorted(texts)
+
+
+def test_repeated_rows_within_a_class(spark):
+    """Rows of one document count once, whatever their number and partitions; so says the query's SQL."""
+    words = [f"w{i}ord" for i in range(60)]
+    near, other = list(words), list(words)
+    near[30], other[10] = "changed", "another"
+    rows = [(1, " ".join(words))] * 40 + [(2, " ".join(near)), (4, " ".join(other)), (4, " ".join(other)), (5, "alone " * 9), (5, "alone " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in dict(rows).items()}
+    links = {i: sum(i != j and len(sets[i] & s) / len(sets[i] | s) >= 0.8 for j, s in sets.items()) for i in sets}
+    got = jaccard_join.jaccard_classes(docs).distinct().collect()
+    assert {r.doc_id: r.n_links for r in got} == links and sum(links.values()) >= 4 and all(r.n_copies == 1 for r in got)
+
+
+def test_one_text_of_many_secrets(spark):
+    """64,000 hashes in one text take seconds, and added tokens that touch a base match stay out."""
+    r = random.Random(4)
+    text = " ".join("%032x" % r.getrandbits(128) for _ in range(64_000))
+    began = time.monotonic()
+    got = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_hex == 64_000 and time.monotonic() - began < 60
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(letters) for _ in range(40)) for _ in range(3000)]
+    lines = [f"password = {k}" if i % 3 == 0 else k for i, k in enumerate(keys)]
+    found = secrets.scan_secrets(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines))], "doc_id long, text string")).collect()
+    for row in found:
+        assert len(row.base) >= 1000 and len(row.added) > 1500
+        assert not any(a.start < b.stop and b.start < a.stop for a, b in zip(sorted(row.added), sorted(row.base), strict=False))
+        taken = {p for b in row.base for p in range(b.start, b.stop)}
+        assert not any(p in taken for a in row.added for p in range(a.start, a.stop))
+
+
+def test_one_labelled_document_of_each_language_teaches(spark):
+    """N-grams of a single document count: with one for each language, texts are told apart."""
+    rows = [(0, "the quick brown fox jumps over the lazy dog and the cat that was there", "en"), (1, "der schnelle braune fuchs springt über den faulen hund und die katze", "de"), (3, None, "en"), (None, "ohne nummer", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [model.decide(t)[0] for t in ("the dog and the fox", "der hund und der fuchs", "123", None)] == ["en", "de", "und", "und"]
