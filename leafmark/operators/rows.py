@@ -63,15 +63,18 @@ def row_numbers(part: np.ndarray, y: np.ndarray, h: np.ndarray, band: np.ndarray
 
     A word joins the first open row of its part and band whose middle is within the tolerance and whose height isn't too
     different; it widens that row's box, so the outcome depends on the order. Middles only fall within a part, so a row
-    that the tallest word left could not reach any more is closed.
+    that the tallest word left could not reach any more is closed. Of words with one level and height in a row, the
+    second leaves the box as it is, so those after it go where it went.
     """
     found, opened, n, now = np.zeros(len(y), dtype=np.int64), [], -1, None
-    tallest = np.zeros(len(y))  # of the part
+    if not len(y):
+        return found
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    if len(y):
-        tallest = np.repeat(np.maximum.reduceat(h, starts), np.diff([*starts.tolist(), len(y)]))
+    tallest = np.repeat(np.maximum.reduceat(h, starts), np.diff([*starts.tolist(), len(y)]))  # of the part
     near, ratio = tuning.line_y_tol, tuning.line_height_ratio
-    for i, (p, a, t, s, most_h) in enumerate(zip(part.tolist(), y.tolist(), h.tolist(), band.tolist(), tallest.tolist(), strict=True)):
+    same = np.concatenate([[False], (part[1:] == part[:-1]) & (band[1:] == band[:-1]) & (y[1:] == y[:-1]) & (h[1:] == h[:-1])])
+    asked = np.flatnonzero(~same | ~np.concatenate([[False], same[:-1]]))
+    for i, p, a, t, s, most_h in zip(asked.tolist(), *(v[asked].tolist() for v in (part, y, h, band, tallest)), strict=True):
         mid = a + t / 2
         if p != now:
             now, opened = p, []
@@ -94,7 +97,7 @@ def row_numbers(part: np.ndarray, y: np.ndarray, h: np.ndarray, band: np.ndarray
                 opened = [r for r in opened if (r[0] + r[1]) / 2 - mid <= max(near, max(r[1] - r[0], most_h) * LINE_HEIGHT_SHARE)]
             opened.append([a, a + t, s, n])
             found[i] = n
-    return found
+    return found[asked[np.searchsorted(asked, np.arange(len(y)), side="right") - 1]]
 
 
 def _upper_medians(of: np.ndarray, values: np.ndarray, n: int, default: float) -> np.ndarray:

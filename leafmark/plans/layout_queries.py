@@ -455,3 +455,54 @@ def audit_hyphen_repairs(spark, sf_dir):
     shown = F.when(F.col("how") == 2, F.concat(hyphened, F.lit("\n"), "b")).otherwise(F.col("text")).alias("text")
     body = words.where("idx % 17 <> 16").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("idx", shown))).alias("ws")).select("doc_id", "page", F.array_join("ws.text", " ").alias("body"))
     return audit.missing_words(runs, body).groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
+
+
+# Words off the grid: of six rows the first is whole, the second and third are short and shifted, two are left out, and the last is short and shifted, of some documents in display size.
+_OFF = _WORDS.replace("words AS (SELECT doc_id", "grid AS (SELECT doc_id") + """, places AS (SELECT *, row % 6 AS r6, CASE WHEN doc_id % 3 = 0 THEN idx % 6 ELSE idx % 12 END AS k FROM grid),
+  words AS (SELECT doc_id, page, idx, row, CASE WHEN r6 = 5 AND doc_id % 3 <> 0 AND doc_id % 4 = 1 THEN idx::VARCHAR ELSE text END AS text,
+    (50 + 500 * col + 62 * k + CASE WHEN r6 = 0 THEN 0 ELSE 300 END)::DOUBLE / 1000::DOUBLE AS x, (9000 - 250 * row + (idx * 7 + doc_id) % 5)::DOUBLE / 10000::DOUBLE AS y,
+    CASE WHEN r6 = 5 AND doc_id % 3 <> 0 AND doc_id % 4 IN (1, 2) THEN 0.09::DOUBLE ELSE 0.052::DOUBLE END AS w, CASE WHEN r6 = 5 AND doc_id % 3 <> 0 AND doc_id % 4 IN (1, 2) THEN 0.05::DOUBLE ELSE 0.017::DOUBLE END AS h
+    FROM places WHERE r6 = 0 OR (r6 IN (1, 2, 5) AND k < 2))"""
+_FLOATS = f"""{_OFF}{_TWO}, tg AS (SELECT words.*, median_h, two_column, h >= 2.0::DOUBLE * median_h AS tall, CASE WHEN two_column AND h < 2.0::DOUBLE * median_h AND x + w / 2 >= 0.5::DOUBLE THEN 1 ELSE 0 END AS band FROM words JOIN med USING (doc_id, page) JOIN two USING (doc_id, page)),
+  rl AS (SELECT doc_id, page, tall, band, row, any_value(median_h) AS median_h, any_value(two_column) AS two, string_agg(text, ' ' ORDER BY x, idx) AS text, min(x) AS x, max(x + w) AS r, min(y) AS y, max(y + h) AS t, max(h) AS h, count(*) AS n FROM tg GROUP BY doc_id, page, tall, band, row),
+  rg AS (SELECT doc_id, page, band, min(x) AS x FROM rl WHERE r - x >= 0.2::DOUBLE AND t - y <= median_h * 1.6::DOUBLE AND (NOT two OR r - x <= 0.55::DOUBLE) GROUP BY doc_id, page, band HAVING count(*) > 1),
+  ng AS (SELECT doc_id, page, count(*) AS n_ranges, list(x ORDER BY band) AS starts FROM rg GROUP BY doc_id, page),
+  cl AS (SELECT rl.*, r - x AS width, coalesce(n_ranges, 0) AS n_ranges, starts, CASE WHEN n_ranges = 2 THEN band ELSE 0 END AS col, (y + t) / 2.0::DOUBLE AS mid FROM rl LEFT JOIN ng USING (doc_id, page)),
+  ol AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY col, mid DESC, tall DESC, band) AS i FROM cl),
+  gl AS (SELECT *, lag(col) OVER o AS pcol, lag(mid) OVER o - mid AS gap FROM ol WINDOW o AS (PARTITION BY doc_id, page ORDER BY i)),
+  pl AS (SELECT doc_id, page, list(gap) FILTER (pcol = col AND gap > 0.0005::DOUBLE) AS gs, list({{'i': i, 'c': col, 'm': mid, 'h': h}}) FILTER (h >= 2.0::DOUBLE * median_h) AS tall_lines FROM gl GROUP BY ALL),
+  al AS (SELECT gl.*, coalesce(list_sort(gs)[len(gs) // 2 + 1], 0.012::DOUBLE) * 1.6::DOUBLE AS reach, coalesce(col < n_ranges AND n <= 3 AND abs(x - starts[col + 1]) > 0.008::DOUBLE AND (width < 0.15::DOUBLE OR (h >= 2.0::DOUBLE * median_h AND NOT regexp_matches(text, '[A-Za-z]{{3}}')
+    AND len(list_filter(tall_lines, lambda q: q.i <> gl.i AND q.c = col AND abs(q.m - mid) < greatest(q.h, h) * 2.2::DOUBLE)) = 0)), false) AS odd FROM gl JOIN pl USING (doc_id, page)),
+  rec AS (SELECT doc_id, page, 0::BIGINT AS i, []::STRUCT(c INT, m DOUBLE, a DOUBLE, z DOUBLE)[] AS kept, false AS is_float FROM pl
+    UNION ALL SELECT doc_id, page, i, CASE WHEN f THEN kept ELSE list_append(kept, {{'c': col::INT, 'm': mid, 'a': x, 'z': x + width}}) END, f FROM (
+      SELECT c.doc_id, c.page, a.i, kept, col, mid, x, width, odd AND len(list_filter(kept, lambda k: k.c = col AND k.m - mid > 0 AND k.m - mid <= reach AND least(k.z, x + width) - greatest(k.a, x) >= width * 0.5::DOUBLE)) = 0 AS f
+      FROM rec c JOIN al a ON a.doc_id = c.doc_id AND a.page = c.page AND a.i = c.i + 1)),
+  fl AS (SELECT al.*, is_float FROM al JOIN rec USING (doc_id, page, i)),
+  kl AS (SELECT doc_id, page, lag(col) OVER o AS pcol, col, lag(mid) OVER o - mid AS gap FROM fl WHERE NOT is_float WINDOW o AS (PARTITION BY doc_id, page ORDER BY i)),
+  kp AS (SELECT doc_id, page, list(gap) FILTER (pcol = col AND gap > 0.0005::DOUBLE) AS gs FROM kl GROUP BY ALL)"""
+
+
+def _off_grid(spark, sf_dir):
+    """The words of every page off the grid, with lines that float, lines that hang under a kept one, and display junk."""
+    r6, k = F.col("row") % 6, F.when(F.col("doc_id") % 3 == 0, F.col("idx") % 6).otherwise(F.col("idx") % 12)
+    big = (r6 == 5) & (F.col("doc_id") % 3 != 0) & (F.col("doc_id") % 4).isin(1, 2)
+    held = _words(spark, sf_dir).where((r6 == 0) | (r6.isin(1, 2, 5) & (k < 2)))
+    return held.select(
+        "doc_id", "page", "idx", F.when(big & (F.col("doc_id") % 4 == 1), F.col("idx").cast("string")).otherwise(F.col("text")).alias("text"),
+        ((50 + 500 * F.col("col") + 62 * k + F.when(r6 == 0, 0).otherwise(300)).cast("double") / F.lit(1000.0)).alias("x"), ((9000 - 250 * F.col("row") + (F.col("idx") * 7 + F.col("doc_id")) % 5).cast("double") / F.lit(10000.0)).alias("y"),
+        F.when(big, 0.09).otherwise(0.052).alias("w"), F.when(big, 0.05).otherwise(0.017).alias("h"),
+    )
+
+
+@query(f"WITH RECURSIVE {_FLOATS} SELECT doc_id, page, (i - 1)::INT AS ix, col::INT AS col, text, x, width, mid AS mid_y, is_float, coalesce(list_sort(gs)[len(gs) // 2 + 1], 0.012::DOUBLE) AS pitch FROM fl LEFT JOIN kp USING (doc_id, page)")
+def float_lines(spark, sf_dir):
+    """Lines off the grid, settled in order: a short line under a kept one stays, and may keep the next."""
+    return rw.ocr_lines(_off_grid(spark, sf_dir)).select("doc_id", "page", "ix", "col", "text", "x", "width", "mid_y", "is_float", "pitch")
+
+
+@query(f"""WITH RECURSIVE {_FLOATS}, bd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS j FROM fl WHERE is_float)
+  SELECT doc_id, page, '> [floats] ' || string_agg(text, ' · ' ORDER BY i) AS text, sum(n)::BIGINT AS n_words FROM bd GROUP BY doc_id, page""")
+def float_asides(spark, sf_dir):
+    """The aside of every page with floats, by the API, with the words that it refers to."""
+    pages = api.analyze_words(_off_grid(spark, sf_dir)).select("doc_id", "page", F.explode("blocks").alias("b")).where("b.type = 'float'")
+    return pages.select("doc_id", "page", "b.text", F.size("b.wordIndexes").cast("long").alias("n_words"))
