@@ -1,4 +1,6 @@
-"""python -m leafmark extract WORDS.jsonl|FILE.pdf [OUT] | render FILE.pdf N[-M] | audit WORDS.jsonl OUT.md.
+"""python -m leafmark extract WORDS.jsonl|FILE.pdf|FOLDER [OUT] | render FILE.pdf N[-M] | audit WORDS.jsonl OUT.md.
+
+A folder of dumps, or with --plugin of PDFs, has a file for each of its documents, in the folder OUT or in itself.
 
 Every failure ends with code 19. PDFs need --plugin: a module with parse(bytes), rasterise(path, page, dpi) for render,
 and, where pages are to be recognised, engine(path, page, sparse, dpi); see sources.pdf for what they give.
@@ -9,6 +11,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import os
 import re
 import sys
 from dataclasses import fields
@@ -25,6 +28,7 @@ from leafmark.operators import analysis
 from leafmark.operators.rows import Tuning
 from leafmark.sources import pdf
 from leafmark.sources.layout import read_audit_dump, read_word_dump
+from leafmark.sources.sinks import stem, write_documents
 
 FAILED = 19
 SUFFIX = {"md": "md", "txt": "txt", "raw": "json"}
@@ -121,7 +125,7 @@ def analyzed_file(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, Data
     known = spark.read.text(args.dictionary).select(F.col("value").alias("word")) if args.dictionary else None
     tuning = Tuning(**{knob.name: getattr(args, knob.name) for knob in fields(Tuning)})
     o = api.Options(args.pages, args.page_markers, known, args.ocr, tuning)
-    if not args.words.lower().endswith(".pdf"):
+    if not (args.words.lower().endswith(".pdf") or (os.path.isdir(args.words) and args.plugin)):
         words, skipped = words_of(spark, args.words)
         if skipped:
             print(f"skipped {skipped} lines that aren't words", file=sys.stderr)
@@ -148,10 +152,26 @@ def render(spark: SparkSession, args) -> int:
     return 0
 
 
+def summary(name: str, r: dict) -> str:
+    """A line on one document: those of recognised pages alone have one form, the others another."""
+    rate = f"~{r['chars_per_page']} chars/page"
+    if r["path"] == "ocr":
+        return f"{name:32} OCR path heads={r['headings']}(junk {r['junk_headings']}) paras={r['paragraphs']} callouts={r['callouts']} floats={r['floats']} dangling={r['dangling_long']} (long) {rate}"
+    sparse = "  implausibly sparse: pages may be images; try --ocr" if r["sparse"] else ""
+    return f"{name:32} body={r['body_height']}pt heads={r['headings']}(junk {r['junk_headings']}) lists={r['list_items']} paras={r['paragraphs']} callouts={r['callouts']} pairs={r['joined_pairs']} {rate}{sparse}"
+
+
+def contents(pages: DataFrame, report: DataFrame, args) -> DataFrame:
+    """doc_id, content of every document in the format asked for."""
+    made = analysis.to_json(pages, report) if args.format == "raw" else analysis.render_markdown(pages, args.page_markers) if args.format == "md" else analysis.render_text(pages)
+    return made.toDF("doc_id", "content")
+
+
 def extract(spark: SparkSession, args) -> int:
     pages, words, notes, besides = analyzed_file(spark, args)
-    for w in notes.orderBy("page").toLocalIterator():
-        print(w.warning, file=sys.stderr)
+    many = os.path.isdir(args.words)
+    for w in notes.orderBy("doc_id", "page").toLocalIterator():
+        print(f"{os.path.basename(w.doc_id)}: {w.warning}" if many else w.warning, file=sys.stderr)
     if args.debug_words:
         with open(args.debug_words, "w", encoding="utf-8") as out:
             for w in analysis.word_dump(pages).toLocalIterator():
@@ -159,30 +179,37 @@ def extract(spark: SparkSession, args) -> int:
     report = api.report(pages, words, args.page_markers)
     if besides is not None:
         report = report.join(besides, "doc_id", "left")
+    report = report.persist()
     if not report.limit(1).collect():
         raise LeafmarkError("WORDS_INPUT", "no words")
-    if args.format == "raw":
-        content = json.dumps(json.loads(analysis.to_json(pages, report).first().json), indent=1, ensure_ascii=False)
-    else:
-        content = (analysis.render_markdown(pages, args.page_markers) if args.format == "md" else analysis.render_text(pages)).first()[1]
-    dest = args.out or f"{re.sub(r'[.](pdf|jsonl)$', '', args.words, flags=re.I)}.{SUFFIX[args.format]}"
-    if args.stdout:
-        sys.stdout.write(content)
-    else:
-        Path(dest).write_text(content, encoding="utf-8")
-    r = report.drop("doc_id").first().asDict()
-    if args.json:
-        print(json.dumps({"source": args.words, "out": dest, **r}, indent=1))
+    made, suffix = contents(pages, report, args), SUFFIX[args.format]
+    if many and not args.stdout:
+        written = write_documents(made, args.out or args.words, suffix, args.format == "raw").select("doc_id", F.col("path").alias("out"))
+        report = report.join(written, "doc_id")
+    elif args.stdout:
+        for row in made.orderBy("doc_id").toLocalIterator():
+            sys.stdout.write(json.dumps(json.loads(row.content), indent=1, ensure_ascii=False) if args.format == "raw" else row.content)
+        report = report.withColumn("out", F.concat(stem(F.col("doc_id")), F.lit(f".{suffix}")))
     else:
-        print(f"{Path(dest).name} {r['path']} pages={r['pages']} heads={r['headings']}(junk {r['junk_headings']}) paras={r['paragraphs']} floats={r['floats']} dangling={r['dangling_long']} (long) ~{r['chars_per_page']} chars/page", file=sys.stderr)
+        content, dest = made.first().content, args.out or f"{re.sub(r'[.](pdf|jsonl)$', '', args.words, flags=re.I)}.{suffix}"
+        Path(dest).write_text(json.dumps(json.loads(content), indent=1, ensure_ascii=False) if args.format == "raw" else content, encoding="utf-8")
+        report = report.withColumn("out", F.lit(dest))
+    for row in report.orderBy("doc_id").toLocalIterator():
+        r = row.asDict()
+        source = r.pop("doc_id") if many else args.words
+        if args.json:
+            print(json.dumps({"source": source, "out": r.pop("out"), **r}, indent=1))
+        else:
+            print(summary(Path(r["out"]).name, r), file=sys.stderr)
     return 0
 
 
 def audit(spark: SparkSession, args) -> int:
     words = read_audit_dump(spark, args.words)
-    wrong = words.where("error is not null").orderBy("idx").select("error").limit(100).collect()
+    wrong = words.where("error is not null").orderBy("idx").select("error").limit(101).collect()
     if wrong:
-        raise LeafmarkError("AUDIT_INPUT", "audit evidence is invalid: " + "; ".join(r.error for r in wrong))
+        more = "; and more" if len(wrong) > 100 else ""
+        raise LeafmarkError("AUDIT_INPUT", "audit evidence is invalid: " + "; ".join(r.error for r in wrong[:100]) + more)
     words = words.drop("error").withColumn("doc_id", F.lit(1))
     marked = spark.createDataFrame([(1, Path(args.markdown).read_text(encoding="utf-8"))], "doc_id int, md string")
     lines, totals = api.audit(words, marked)

@@ -16,7 +16,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     along a split, so a second pass over other splits can't go unseen: it is an error. Lines end with a line feed; the
     last line end of a file begins no further line.
     """
-    block, file = F.col("_metadata.file_block_start"), F.col("_metadata.file_path")
+    block, file = F.col("_metadata.file_block_start"), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = spark.read.option("lineSep", "\n").text(path).select(file.alias("doc_id"), block.alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     counts = lines.groupBy("doc_id", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("block")) - F.col("n")

@@ -315,3 +315,52 @@ def test_repairs_of_many_pages_at_once(spark):
     for r in audit.missing_words(spark.createDataFrame(words, DUMP), spark.createDataFrame(bodies, "doc_id int, page int, body string")).orderBy("doc_id", "at").collect():
         got[r.doc_id].append(r.token)
     assert got == want
+
+
+def _jsonl(rows):
+    names = ("page", "text", "x", "y", "w", "h", "confidence")
+    return [json.dumps(dict(zip(names, w, strict=True))) for w in rows]
+
+
+def test_extract_over_a_folder_writes_all_documents(spark, tmp_path, capsys):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for name, pages in (("one", 1), ("two words", 2), ("three", 3)):
+        (folder / f"{name}.jsonl").write_text("\n".join(_jsonl(_dump(pages))) + "\n")
+    for kind, suffix in (("md", "md"), ("txt", "txt"), ("raw", "json")):
+        assert cli.main(["extract", str(folder), str(out), "--format", kind]) == 0
+        seen = capsys.readouterr().err
+        assert [line.split()[0] for line in seen.splitlines() if "OCR path" in line] == [f"one.{suffix}", f"three.{suffix}", "two"]
+    assert sorted(p.name for p in out.iterdir()) == sorted(f"{n}.{s}" for n in ("one", "two words", "three") for s in ("md", "txt", "json"))
+    for name, pages in (("one", 1), ("two words", 2), ("three", 3)):
+        assert (out / f"{name}.md").read_text().count("### p") == pages and len(json.loads((out / f"{name}.json").read_text())["pages"]) == pages
+        assert cli.main(["extract", str(folder / f"{name}.jsonl"), str(tmp_path / "single.md")]) == 0
+        assert (out / f"{name}.md").read_text() == (tmp_path / "single.md").read_text()
+    capsys.readouterr()
+    assert cli.main(["extract", str(folder), "--json"]) == 0
+    assert capsys.readouterr().out.count('"source"') == 3 and (folder / "three.md").exists()
+
+
+def test_two_documents_of_one_name_are_refused(spark, tmp_path):
+    from leafmark.sources.sinks import write_documents
+
+    docs = spark.createDataFrame([("/a/x.pdf", "1"), ("/b/x.jsonl", "2")], "doc_id string, content string")
+    with pytest.raises(LeafmarkError, match="called x"):
+        write_documents(docs, str(tmp_path / "out"), "md")
+    assert not (tmp_path / "out").exists()
+    assert write_documents(docs.limit(0), str(tmp_path / "out"), "md").count() == 0
+
+
+def test_stream_keeps_what_is_no_word(spark, tmp_path):
+    from leafmark.streaming import dumps
+
+    (tmp_path / "in").mkdir()
+    sound = _jsonl(_dump(1))
+    (tmp_path / "in/a.jsonl").write_text("\n".join([*sound, "{", "", '{"page": 1, "text": "no box"}', *sound]))
+    (tmp_path / "in/b.jsonl").write_text("nothing\n")
+    dumps.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), quarantine=str(tmp_path / "bad")).awaitTermination(120)
+    counts = {r.doc_id.rsplit("/", 1)[1]: (r.words, r.bad) for r in spark.read.parquet(str(tmp_path / "bad/counts")).collect()}
+    assert counts == {"a.jsonl": (2 * len(sound), 2), "b.jsonl": (0, 1)}
+    bad = spark.read.parquet(str(tmp_path / "bad/lines")).orderBy("doc_id", "idx").collect()
+    assert [(r.idx, r.lacks) for r in bad] == [(len(sound), ["page", "text", "x", "y", "w", "h"]), (len(sound) + 2, ["x", "y", "w", "h"]), (0, ["page", "text", "x", "y", "w", "h"])]
+    assert [r.doc_id.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.jsonl"]
