@@ -3,7 +3,8 @@
 A folder of dumps, or with --plugin of PDFs, has a file for each of its documents, in the folder OUT or in itself.
 
 Every failure ends with code 19. PDFs need --plugin: a module with parse(bytes), rasterise(path, page, dpi) for render,
-and, where pages are to be recognised, engine(path, page, sparse, dpi); see sources.pdf for what they give.
+and, where pages are to be recognised, engine(path, page, sparse, dpi) or open_engine(dpi), a context manager that gives
+engine(path, page, sparse) for a range of pages; see sources.pdf for what they give.
 """
 
 from __future__ import annotations
@@ -134,7 +135,8 @@ def analyzed_file(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, Data
     module = plugin(args)
     parsed = parsed_pdf(spark, args.words, module)
     engine = partial(module.engine, dpi=args.dpi) if hasattr(module, "engine") else no_engine
-    pages, words = api.analyze_parsed(parsed, engine, o)
+    opened = partial(module.open_engine, dpi=args.dpi) if hasattr(module, "open_engine") else None
+    pages, words = api.analyze_parsed(parsed, engine, o, opened)
     pages = pages.persist()  # read by the notices, the report and the rendering
     info = pdf.image_signals(parsed)
     return pages, words, api.warnings(pages, info, args.ocr is True), api.builder_report(pages, pdf.runs_of(parsed), info, o)

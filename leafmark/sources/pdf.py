@@ -7,10 +7,13 @@ height, runs (text, a..f of the transform to the viewport with y down, width), a
 from __future__ import annotations
 
 import os
+import re
+import time
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import AbstractContextManager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.errors import LeafmarkError
@@ -96,34 +99,62 @@ def normalised_words(recognised: DataFrame) -> DataFrame:
     )
 
 
+def _page_words(engine: Callable[[str, int, bool], list[dict]], doc: str, page: int) -> pd.DataFrame:
+    """A page's words by the engine, as rows of WORDS; see recognise()."""
+    began, note = time.monotonic(), None
+    words = engine(doc, int(page), False)
+    share = sum(bool(re.search(WORDLIKE, w["text"])) for w in words) / len(words) if words else 1.0
+    if share < PROSE_SHARE:
+        again = engine(doc, int(page), True)
+        if len(again) > len(words):
+            note = f"p{page}: chart-like page (prose fraction {share:.2f}), recognised again as sparse text, {len(words)} -> {len(again)} words"
+            words = again
+    ms = (time.monotonic() - began) * 1000
+    rows = [{**w, "idx": i} for i, w in enumerate(words)] or [{"idx": None, "text": None}]
+    return pd.DataFrame(rows).assign(doc_id=doc, page=page, ms=ms, note=note).reindex(columns=[c.split()[0] for c in WORDS.split(", ")])
+
+
 def recognise(pages: DataFrame, engine: Callable[[str, int, bool], list[dict]]) -> DataFrame:
     """Words of pages (doc_id, page) from engine(doc_id, page, sparse), which gives text, x, y, w, h and confidence.
 
     A page with words of which less than 0.6 have three letters in a row is recognised again with sparse set; the second
     result is taken only if it has more words. A page without words has one row with null text. Pages are independent.
     """
-    import re
-    import time
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in WORDS.split(", ")]
         for batch in batches:
             for doc, page in zip(batch["doc_id"], batch["page"], strict=True):
-                began, note = time.monotonic(), None
-                words = engine(doc, int(page), False)
-                share = sum(bool(re.search(WORDLIKE, w["text"])) for w in words) / len(words) if words else 1.0
-                if share < PROSE_SHARE:
-                    again = engine(doc, int(page), True)
-                    if len(again) > len(words):
-                        note = f"p{page}: chart-like page (prose fraction {share:.2f}), recognised again as sparse text, {len(words)} -> {len(again)} words"
-                        words = again
-                ms = (time.monotonic() - began) * 1000
-                rows = [{**w, "idx": i} for i, w in enumerate(words)] or [{"idx": None, "text": None}]
-                yield pd.DataFrame(rows).assign(doc_id=doc, page=page, ms=ms, note=note).reindex(columns=names)
+                yield _page_words(engine, doc, page)
 
     return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page").mapInPandas(run, WORDS)
 
 
+def page_ranges(pages: DataFrame, most: int = 32) -> DataFrame:
+    """doc_id, first, last: following pages (doc_id, page, distinct) as ranges of at most `most` pages."""
+    order = Window.partitionBy("doc_id").orderBy("page")
+    numbered = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page").distinct().withColumn("n", F.row_number().over(order))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("page")) - 1
+    dealt = numbered.withColumn("island", F.col("page") - F.col("n")).withColumn("part", F.floor(nth / most))
+    return dealt.groupBy("doc_id", "island", "part").agg(F.min("page").alias("first"), F.max("page").alias("last")).select("doc_id", "first", "last")
+
+
+def recognise_ranges(pages: DataFrame, open_engine: Callable[[], AbstractContextManager[Callable[[str, int, bool], list[dict]]]], most: int = 32) -> DataFrame:
+    """The words of recognise(), range by range: an engine is opened once for each range of page_ranges(), and closed when
+    the range is done or has failed.
+
+    Ranges are dealt to tasks, so a long document is recognised by many; a task that is run again opens its engines anew.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, first, last in zip(batch["doc_id"], batch["first"], batch["last"], strict=True):
+                with open_engine() as engine:
+                    for page in range(int(first), int(last) + 1):
+                        yield _page_words(engine, doc, page)
+
+    return page_ranges(pages, most).repartition("doc_id", "first").mapInPandas(run, WORDS)
+
+
 def check_pages(pages: DataFrame) -> None:
     """Raises PAGE_RANGE if a page (doc_id, page, n_pages) isn't in its document."""
     outside = pages.where("page < 1 or page > n_pages").select(*PAGE, "n_pages").limit(1).collect()

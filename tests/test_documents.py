@@ -364,3 +364,71 @@ def test_stream_keeps_what_is_no_word(spark, tmp_path):
     bad = spark.read.parquet(str(tmp_path / "bad/lines")).orderBy("doc_id", "idx").collect()
     assert [(r.idx, r.lacks) for r in bad] == [(len(sound), ["page", "text", "x", "y", "w", "h"]), (len(sound) + 2, ["x", "y", "w", "h"]), (0, ["page", "text", "x", "y", "w", "h"])]
     assert [r.doc_id.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.jsonl"]
+
+
+def test_pdf_data_source_parses_what_is_asked_for(spark, tmp_path):
+    from leafmark.sources import pdf_source
+
+    folder, log = tmp_path / "in", tmp_path / "log"
+    folder.mkdir()
+    log.mkdir()
+    for name, n in (("a", 200), ("b", 3), ("c", 1)):
+        (folder / f"{name}.pdf").write_bytes(b"%d" % n)
+    (folder / "broken.pdf").write_bytes(b"no PDF")
+    (folder / "note.txt").write_bytes(b"5")
+    where = str(log)
+
+    def parse(content, first, last):
+        import uuid
+
+        for p in range(first, min(int(content), last or int(content)) + 1):
+            open(f"{where}/{p}-{uuid.uuid4().hex}", "w").close()
+            run = {"text": f"page {p}", "a": 12.0, "b": 0.0, "c": 0.0, "d": -12.0, "e": 72.0, "f": 92.0, "width": 20.0}
+            yield {"page": p, "width": 612.0, "height": 792.0, "runs": [run], "ops": [{"name": "paintImageXObject"}]}
+
+    pdf_source.register(spark, parse)
+    read = spark.read.format(pdf_source.NAME).option("pages_per_task", 8).load(str(folder))
+
+    def parsed():
+        seen = sorted(int(p.name.split("-")[0]) for p in log.iterdir())
+        for p in log.iterdir():
+            p.unlink()
+        return seen
+
+    rows = read.select("doc_id", "page", "error").collect()
+    assert len(rows) == 205 and len(parsed()) == 204 and [r.doc_id.rsplit("/", 1)[1] for r in rows if r.error] == ["broken.pdf"]
+    asked = read.where("page between 2 and 20")
+    assert asked.rdd.getNumPartitions() == 12 and sorted(r.page for r in asked.collect()) == sorted([*range(2, 21), 2, 3]) and parsed() == sorted([*range(2, 21), 2, 3])
+    assert [r.page for r in read.where("page in (3, 150) and doc_id like '%/a.pdf'").orderBy("page").collect()] == [3, 150]
+    assert max(parsed()) <= 150 + 8
+    only = read.where(f"doc_id = '{folder}/c.pdf'")
+    assert [(r.page, r.runs[0].text, r.ops[0].w) for r in only.collect()] == [(1, "page 1", None)] and parsed() == [1]
+    assert read.where("page = 999").count() == 0 and read.where("page = 1 and page = 2").count() == 0
+    parsed()
+    assert pdf.runs_of(read.where("page = 2")).count() == 2 and pdf.image_signals(read.where("page = 1")).count() == 3
+
+
+def test_an_engine_is_opened_for_each_range(spark, tmp_path):
+    where = str(tmp_path)
+
+    class Opened:
+        def __enter__(self):
+            import uuid
+
+            self.name = uuid.uuid4().hex
+            open(f"{where}/open-{self.name}", "w").close()
+            return lambda doc, page, sparse: (_ for _ in ()).throw(ValueError("page 13")) if page == 13 else [{"text": f"{doc} {page}", "x": 0.1, "y": 0.1, "w": 0.1, "h": 0.1, "confidence": 50.0}]
+
+        def __exit__(self, *_):
+            open(f"{where}/closed-{self.name}", "w").close()
+
+    count = lambda what: len([p for p in tmp_path.iterdir() if p.name.startswith(what)])
+    asked = [("d", p) for p in (1, 2, 3, 5, 6, 9, 9)] + [("e", p) for p in range(20, 120)]
+    pages = spark.createDataFrame(asked, "doc_id string, page int")
+    ranges = sorted((r.doc_id, r.first, r.last) for r in pdf.page_ranges(pages, 32).collect())
+    assert ranges == [("d", 1, 3), ("d", 5, 6), ("d", 9, 9), ("e", 20, 51), ("e", 52, 83), ("e", 84, 115), ("e", 116, 119)]
+    got = pdf.recognise_ranges(pages, Opened).collect()
+    assert sorted((r.doc_id, r.page) for r in got) == sorted(set(asked)) and count("open") == count("closed") == len(ranges)
+    with pytest.raises(Exception, match="page 13"):
+        pdf.recognise_ranges(spark.createDataFrame([("f", p) for p in (12, 13, 14)], "doc_id string, page int"), Opened).collect()
+    assert count("open") == count("closed") == len(ranges) + 1
