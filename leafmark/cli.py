@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark import __version__, api
-from leafmark.errors import LeafmarkError
+from leafmark.errors import LeafmarkError, coded
 from leafmark.operators import analysis
 from leafmark.operators.rows import Tuning
 from leafmark.sources import pdf
@@ -70,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
     ex.add_argument("out", nargs="?")
     ex.add_argument("--format", choices=tuple(SUFFIX), default="md")
     ex.add_argument("--pages", type=page_range)
-    ex.add_argument("--dictionary", help="a word a line")
+    ex.add_argument("--dictionary", help="a word a line; else $LEAFMARK_DICTIONARY")
     for knob in fields(Tuning):
         kind = count if knob.type == "int" else positive if knob.default > 0.1 else float
         ex.add_argument("--" + knob.name.replace("_", "-"), type=kind, default=knob.default)
@@ -123,7 +123,10 @@ def no_engine(doc: str, page: int, sparse: bool) -> list[dict]:
 
 def analyzed_file(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Pages, words read, warnings and what the report has besides, of a dump or a PDF."""
-    known = spark.read.text(args.dictionary).select(F.col("value").alias("word")) if args.dictionary else None
+    dictionary = args.dictionary or os.environ.get("LEAFMARK_DICTIONARY")
+    if not dictionary:
+        print("no dictionary: words broken at a line's end keep their hyphen", file=sys.stderr)
+    known = spark.read.text(dictionary).select(F.lower(F.trim("value")).alias("word")).where("word <> ''") if dictionary else None
     tuning = Tuning(**{knob.name: getattr(args, knob.name) for knob in fields(Tuning)})
     o = api.Options(args.pages, args.page_markers, known, args.ocr, tuning)
     if not (args.words.lower().endswith(".pdf") or (os.path.isdir(args.words) and args.plugin)):
@@ -226,7 +229,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("leafmark").getOrCreate()
     try:
-        return {"extract": extract, "render": render, "audit": audit}[args.command](spark, args)
+        with coded("WORDS_INPUT", "ANALYSIS_INPUT"):
+            return {"extract": extract, "render": render, "audit": audit}[args.command](spark, args)
     except LeafmarkError as e:
         print(f"{e.code}: {e}", file=sys.stderr)
     except Exception as e:  # a missing file, an unreadable dictionary, an empty dump: one exit code for all

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmark.functions.text import half_up, tokens
 
 # Fixed value: how a line of prose may end.
-TERMINAL = r"[.!?:;\"'”’)\]…0-9]$"
+TERMINAL = r"[.!?:;\"”'’)\]…0-9]$"
 
 
 def page_stats(pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from leafmark.operators.pages import PAGE
 
 # Bullets, a bare value, a label, the end of a sentence.
 BULLETS = r"^(?:[•◦▪▫●○·‣⁃]\s*)+"
-VALUE = r"^[0-9][0-9.,]*%?$"
+VALUE = r"^[0-9][\d.,]*%?$"
 LABEL = "[:：]$"
 SENTENCE_END = "[.!?:]$"
 HEADING_SCALE, HEADING_SIZES, PARAGRAPH_JUMP, INDENT, CALLOUT_CHARS = 1.35, 6, 2.2, 18.0, 150

@@ -123,8 +123,7 @@ def body_height(spark, sf_dir):
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS k FROM s JOIN b USING (doc_id) WHERE size > 1.35::DOUBLE * body) SELECT doc_id, size, least(6, k + 3)::INT AS level FROM r WHERE k <= 6""")
 def heading_levels_text(spark, sf_dir):
     """Levels below page markers of made-up heights, the body height found from their characters."""
-    size = (10 + (F.col("idx") * F.col("idx")) % 23).cast("double").alias("size")
-    sizes = _words(spark, sf_dir).groupBy("doc_id", size).agg(F.sum(F.char_length("text")).alias("chars"), F.min(F.struct("page", F.col("idx").alias("ix"))).alias("at"))
+    sizes = api.height_histogram(_words(spark, sf_dir).withColumn("h", (10 + (F.col("idx") * F.col("idx")) % 23).cast("double")))
     return markdown.heading_levels(sizes, True, sizes)
 
 
@@ -506,3 +505,12 @@ def float_asides(spark, sf_dir):
     """The aside of every page with floats, by the API, with the words that it refers to."""
     pages = api.analyze_words(_off_grid(spark, sf_dir)).select("doc_id", "page", F.explode("blocks").alias("b")).where("b.type = 'float'")
     return pages.select("doc_id", "page", "b.text", F.size("b.wordIndexes").cast("long").alias("n_words"))
+
+
+@query(f"""WITH {_WORDS}, s AS (SELECT *, (10 + (idx * idx) % 7)::DOUBLE AS size FROM words), c AS (SELECT doc_id, page, col, row, size, sum(length(text))::BIGINT AS chars, min(x) AS first_x FROM s GROUP BY ALL),
+  m AS (SELECT doc_id, page, col, row, arg_max(size, chars * 1000000 - (first_x * 1000)::BIGINT) AS h FROM c GROUP BY ALL) SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY col, row) - 1)::INT AS ix, h FROM m""")
+def text_line_heights(spark, sf_dir):
+    """The height of most characters of each text-layer line whose runs differ in height; of several the first from the left."""
+    words = _words(spark, sf_dir)
+    points = [(F.col("x") * 612 + F.col("col") * 400).alias("x"), (F.col("row") * 30.0 + F.col("col") * 1000.0).alias("y"), (F.col("w") * 612).alias("w"), (10 + (F.col("idx") * F.col("idx")) % 7).cast("double").alias("h"), F.lit(5000.0).alias("page_width")]
+    return rw.text_lines(words.select("doc_id", "page", "idx", "text", *points)).select("doc_id", "page", "ix", "h")

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from leafmark import api, cli
-from leafmark.errors import LeafmarkError
+from leafmark.errors import LeafmarkError, coded
 from leafmark.operators import analysis, audit, markdown
 from leafmark.operators.hyphens import joined, with_joins
 from leafmark.sources import pdf
@@ -103,8 +103,13 @@ def test_analysis_round_trip(spark):
     assert analysis.render_markdown(back).first().markdown == md
     bad = json.loads(text)
     bad["pages"][0]["blocks"][0]["level"] = 9
-    with pytest.raises(LeafmarkError, match="level"):
-        analysis.validated(analysis.from_json(spark.createDataFrame([(7, json.dumps(bad))], "doc_id int, json string")))
+    malformed = spark.createDataFrame([(7, text), (8, json.dumps(bad))], "doc_id int, json string")
+    for rendered in (analysis.to_markdown(malformed), analysis.to_text(malformed)):
+        with pytest.raises(LeafmarkError, match="analysis of 8: bad block level") as e, coded("ANALYSIS_INPUT"):
+            rendered.collect()
+        assert e.value.code == "ANALYSIS_INPUT" and rendered._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert [r.doc_id for r in analysis.invalid(analysis.from_json(malformed)).collect()] == [8]
+    assert analysis.to_markdown(malformed.where("doc_id = 7")).first().markdown == md
 
 
 def test_options_and_words_are_checked(spark):
@@ -112,6 +117,12 @@ def test_options_and_words_are_checked(spark):
         api.Options((2, 1))
     with pytest.raises(LeafmarkError, match="lack"):
         api.check_words(spark.createDataFrame([(1,)], "doc_id int"))
+    sound = (1, 1, 0, "word", 0.1, 0.1, 0.1, 0.1, None)
+    for bad in ((1, None, 0, "word", 0.1, 0.1, 0.1, 0.1, 90.0), (1, 1, 0, "word", 0.1, 0.1, 0.1, 0.1, float("inf")), (1, 1, 0, "word", 0.1, 0.1, None, 0.1, 90.0)):
+        with pytest.raises(LeafmarkError, match="malformed word entry: .*word") as e:
+            api.analyze_words(spark.createDataFrame([sound, bad], DUMP))
+        assert e.value.code == "WORDS_INPUT"
+    assert api.analyze_words(spark.createDataFrame([sound], DUMP)).count() == 1
 
 
 def test_pdf_sources(spark, tmp_path):
