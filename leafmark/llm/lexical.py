@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,29 +29,36 @@ from leafmark.llm.wordhash import normalise
 ALL = ""
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each term of a text, and one for ALL, a few texts at a time, since one text may have many terms."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for row, doc, text in zip(batch["row"], batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-            words = normalise(text).split() if isinstance(text, str) else []
-            if words:
-                rows.append((row, doc, ALL, len(words), len(words)))
-                rows += [(row, doc, w.decode(), tf, len(words)) for w, tf in Counter(words).items()]
-            if len(rows) > 100_000:
-                yield _frame(rows)
-                rows = []
-        if rows:
-            yield _frame(rows)
+#: Postings that a task hands on at once.
+AT_ONCE = 50_000
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["row", "doc_id", "term", "tf", "n"]).astype({"doc_id": "Int64"})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a text, and one for ALL; texts are taken one at a time out of the batch."""
+    for batch in batches:
+        at: list[int] = []
+        term: list[str] = []
+        tf: list[int] = []
+        n: list[int] = []
+        for i in range(batch.num_rows):
+            words = normalise(batch["text"][i].as_py() or "").split()
+            if words:
+                counts = Counter(words)
+                at += [i] * (len(counts) + 1)
+                term.append(ALL)
+                term += [w.decode() for w in counts]
+                tf.append(len(words))
+                tf += counts.values()
+                n += [len(words)] * (len(counts) + 1)
+            if len(at) > AT_ONCE or (i == batch.num_rows - 1 and at):
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch["row"].take(rows), batch["doc_id"].take(rows), pa.array(term), pa.array(tf, pa.int64()), pa.array(n, pa.int64())], names=["row", "doc_id", "term", "tf", "n"])
+                at, term, tf, n = [], [], [], []
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """row, doc_id, term, tf and n (the text's terms) of texts (row, doc_id, text), whole; see ALL."""
-    return texts.mapInPandas(_counted, "row long, doc_id long, term string, tf long, n long")
+    return texts.mapInArrow(_counted, "row long, doc_id long, term string, tf long, n long")
 
 
 def _best(rows: DataFrame, by: list, of: str, k: int) -> DataFrame:
