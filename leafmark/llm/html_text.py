@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A tag (its slash, name and attributes), a comment, or another declaration. A comment without an end takes the rest.
+# A tag (its slash, name and attributes), a comment, or another declaration. 
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*>)""", re.S)
+_OPENED = re.compile("<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -79,9 +80,12 @@ def _parse(html: str) -> _Tree:
         if text:
             tree.chunks.append((stack[-1], text, opened.get("a", 0) > 0, block))
 
+    last = html.rfind(">")  # nothing opened beyond it has an end
     while at < end:
-        found = _TAG.search(html, at)
+        found = _TAG.search(html, at) if at <= last else None
         begin = found.start() if found else end
+        if not found:  # a tag or comment without an end is no text
+            begin = m.start() if (m := _OPENED.search(html, at)) else end
         if begin > at:
             say(html[at:begin])
         if not found:
@@ -165,13 +169,12 @@ def _aside(tag: str, attributes: str, in_article: bool) -> int:
 def _main_nodes(tree: _Tree) -> list[bool]:
     """Which nodes are out: those that are no article's text whatever the points."""
     n = len(tree.tag)
-    holds = [t in _MAIN for t in tree.tag]
     within = [False] * n
     for i in range(1, n):
         within[i] = within[tree.parent[i]] or tree.tag[i] in _MAIN
     kind = [_aside(t, a, within[p]) if p >= 0 else 0 for t, a, p in zip(tree.tag, tree.attributes, tree.parent, strict=True)]
+    holds = [t in _MAIN and not k for t, k in zip(tree.tag, kind, strict=True)]
     for i in range(n - 1, 0, -1):
-        holds[i] = holds[i] and not kind[i]
         holds[tree.parent[i]] = holds[tree.parent[i]] or holds[i]
     out = [False] * n
     for i in range(1, n):
