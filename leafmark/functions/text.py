@@ -19,11 +19,6 @@ def fold_typographic(c: Column) -> Column:
     return F.translate(c, FOLD_FROM, FOLD_TO)
 
 
-def collapse(c: Column) -> Column:
-    """White space of any kind as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-
-
 def half_up(c: Column) -> Column:
     """Round with halves towards plus infinity."""
     return F.floor(c + F.lit(0.5))

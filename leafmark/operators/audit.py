@@ -184,11 +184,11 @@ def leftovers(words: DataFrame, bodies: DataFrame) -> DataFrame:
     whatever order, is settled there and then; of the others, tokens are counted off page by page, which takes no
     further shuffle and no sorting, and a task holds a batch of pages.
     """
-    source = source_pages(words.select(*PAGE, "idx", "text")).withColumn("said", F.regexp_extract_all(F.lower(fold_typographic(F.col("said"))), F.lit(TOKEN), F.lit(0)))
-    output = bodies.select(*PAGE, tokens_with_gaps(markdown_text(F.col("body"))).alias("o"))
-    none = F.array().cast("array<string>")
-    # a left join keeps the pages where they are; bodies of pages without words aren't asked for
-    both = source.join(output, list(PAGE), "left").select("doc_id", F.col("page").cast("int").alias("page"), "said", F.coalesce("o.token", none).alias("shown"), F.coalesce("o.gap", none).alias("gaps"))
+    # a left join keeps the pages where they are; bodies of pages without words aren't asked for. Texts are shuffled, tokens aren't
+    pages = source_pages(words.select(*PAGE, "idx", "text")).join(bodies.select(*PAGE, markdown_text(F.col("body")).alias("body")), list(PAGE), "left")
+    said = F.regexp_extract_all(F.lower(fold_typographic(F.col("said"))), F.lit(TOKEN), F.lit(0))
+    both = pages.select("doc_id", F.col("page").cast("int").alias("page"), said.alias("said"), tokens_with_gaps(F.coalesce("body", F.lit(""))).alias("o"))
+    both = both.select(*PAGE, "said", F.col("o.token").alias("shown"), F.col("o.gap").alias("gaps"))
     differ = both.where(F.array_sort("said") != F.array_sort("shown"))
     rows = differ.mapInArrow(_literal, LEFT.replace("doc_id long", f"doc_id {both.schema['doc_id'].dataType.simpleString()}"))
     gap = F.when(F.col("gap").rlike(INLINE_GAP), "inline").when(F.col("gap").rlike(LINE_GAP), "line").otherwise("")

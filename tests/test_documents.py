@@ -443,3 +443,15 @@ def test_an_engine_is_opened_for_each_range(spark, tmp_path):
     with pytest.raises(Exception, match="page 13"):
         pdf.recognise_ranges(spark.createDataFrame([("f", p) for p in (12, 13, 14)], "doc_id string, page int"), Opened).collect()
     assert count("open") == count("closed") == len(ranges) + 1
+
+
+def test_engine_output_and_text_boxes_are_fractions_of_the_page(spark):
+    kind = "doc_id string, page int, width int, height int, blocks array<struct<paragraphs:array<struct<lines:array<struct<words:array<struct<text:string,confidence:int,bbox:struct<x0:int,y0:int,x1:int,y1:int>>>>>>>>>"
+    word = lambda t, *box: (t, 90, box)
+    blocks = [([([([word("It’s", 10, 20, 30, 40), word("b", 40, 20, 50, 40)],)],), ([([word("c", 0, 0, 100, 200)],)],)],), ([],)]
+    got = pdf.normalised_words(spark.createDataFrame([("d", 1, 100, 200, blocks)], kind)).orderBy("idx").collect()
+    assert [(r.idx, r.text, r.x, r.y, r.w, r.h, r.confidence) for r in got] == [(0, "It's", 0.1, 0.8, 0.2, 0.1, 90.0), (1, "b", 0.4, 0.8, 0.1, 0.1, 90.0), (2, "c", 0.0, 0.0, 1.0, 1.0, 90.0)]
+    run = {"text": "Hi", "a": 12.0, "b": 0.0, "c": 0.0, "d": -10.0, "e": 50.0, "f": 100.0, "width": 25.0}
+    parsed = spark.createDataFrame([("d", 1, 100.0, 200.0, [run], [], None), ("d", 2, 0.0, 0.0, [run], [], None)], pdf.PARSED)
+    pages = api.analyze_runs(pdf.runs_of(parsed)).orderBy("page").collect()
+    assert [tuple(p.words[0].box) for p in pages] == [(0.5, 0.5, 0.25, 0.05), (0.0, 0.0, 0.0, 0.0)]
