@@ -395,19 +395,19 @@ def audit_repairs(spark, sf_dir):
     return audit.missing_words(*_cut(spark, sf_dir)).groupBy("doc_id", "page", "token").agg(F.count(F.lit(1)).alias("missing"))
 
 
-@query(f"""WITH {_WORDS} SELECT doc_id, page, min(idx + (idx + 22) // 29)::BIGINT AS first_line, max(idx + (idx + 22) // 29)::BIGINT AS last_line, count(*)::BIGINT AS n_words, sha256(string_agg(text, ' ' ORDER BY idx)) AS digest FROM words GROUP BY ALL""")
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS ls FROM documents), u AS (SELECT doc_id, unnest(range(len(ls))) AS idx, unnest(ls) AS line FROM t)
+  SELECT doc_id, min(idx + (idx + 2) // 5)::BIGINT AS first_line, max(idx + (idx + 2) // 5)::BIGINT AS last_line, count(*)::BIGINT AS n_lines, sha256(string_agg(line, chr(10) ORDER BY idx)) AS digest FROM u GROUP BY doc_id""")
 def numbered_dump(spark, sf_dir):
-    """Words written as dumps of many documents, a broken line before every 29th word, and read back with their lines' numbers."""
-    page = (F.col("doc_id") * 1000 + F.col("page")).cast("int")
-    record = F.to_json(F.struct(page.alias("page"), "text", "x", "y", "w", "h", "confidence"))
-    lines = _words(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "idx").select(F.explode(F.when(F.col("idx") % 29 == 7, F.array(F.lit("{"), record)).otherwise(F.array(record))).alias("value"))
+    """Lines of documents written as dumps, many documents to a file and a broken line before every fifth, and read back with their numbers."""
+    docs = _t(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")).alias("ls"))
+    record = lambda x, i: F.to_json(F.struct((F.col("doc_id") + 1).cast("int").alias("page"), x.alias("text")))
+    lines = F.flatten(F.transform("ls", lambda x, i: F.when(i % 5 == 3, F.array(F.lit("{"), record(x, i))).otherwise(F.array(record(x, i)))))
     path = tables.shared_path(spark, "dump")
-    lines.write.text(path)
-    read = layout.read_audit_dump(spark, path).where("error is null")
-    own = read.select(F.floor(F.col("page") / 1000).alias("doc"), (F.col("page") % 1000).alias("p"), "doc_id", "idx", "text")
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.explode(lines).alias("value")).write.text(path)
+    read = layout.read_audit_dump(spark, path).where("error is null").select((F.col("page") - 1).cast("long").alias("doc"), "doc_id", "idx", "text")
     line = F.col("idx") - F.min("idx").over(Window.partitionBy("doc_id", "doc"))
-    per = own.withColumn("line", line).groupBy("doc", "p").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_words"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ws"))
-    return per.select(F.col("doc").alias("doc_id"), F.col("p").alias("page"), "first_line", "last_line", "n_words", F.sha2(F.array_join("ws.text", " ").cast("binary"), 256).alias("digest"))
+    per = read.withColumn("line", line).groupBy("doc").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ws"))
+    return per.select(F.col("doc").alias("doc_id"), "first_line", "last_line", "n_lines", F.sha2(F.array_join("ws.text", "\n").cast("binary"), 256).alias("digest"))
 
 
 # Long words in the source: cut at a hyphen in two runs, hyphened in one, whole, in two runs that touch, or whole; in the body: whole, or (third case) broken over two lines.
