@@ -136,7 +136,7 @@ def train(labelled: DataFrame, per_language: int = 1500, characters: int = 20000
     The sample is bounded: of each language about `per_language` documents, those whose hash is least, and of a longer
     text the first `characters`. Of each language the `top` n-grams of each size by documents that have them are put
     in; the counting is a distributed aggregation, and the driver gets `top` rows for each language and size.
-    Rows without text, lang or letters teach nothing; a table without any gives filters that know no language.
+    N-grams of a single document count too. Rows without text, lang or letters teach nothing; a table without any gives filters that know no language.
     """
     rows = labelled.where("text is not null and lang is not null")
     share = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """Every row's doc_id with lang_pred, score and cover, over its whole text.
 
     `und` with score 0 is for null texts and texts without letters, or if no language was learned. Ties go to the
-    language that sorts first. Repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
+    language that sorts first; so does a text with letters of which no n-gram is known, with score 0. Repeated rows and null ids stay; an empty table gives no rows; other columns are left out.
     """
     return _guess(docs.select("doc_id", "text"), filters, "guess").select("doc_id", "guess.lang_pred", "guess.score", "guess.cover")
 

@@ -263,3 +263,4 @@ def test_one_labelled_document_of_each_language_teaches(spark):
     rows = [(0, "the quick brown fox jumps over the lazy dog and the cat that was there", "en"), (1, "der schnelle braune fuchs springt über den faulen hund und die katze", "de"), (3, None, "en"), (None, "ohne nummer", None)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert [model.decide(t)[0] for t in ("the dog and the fox", "der hund und der fuchs", "123", None)] == ["en", "de", "und", "und"]
+    assert model.decide("żółć ŁŚĆŃ")[:2] == ("de", 0.0)
