@@ -56,6 +56,15 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
     return both.where("a > 0 and b > 0").groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("shared"))
 
 
+def overlap_shares(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, shared, overlap and only_next: of a document's tokens the share that the one with the next
+    id has too, and of the next one's tokens the share that isn't among them; documents without a common token have no row."""
+    n = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
+    after = n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("n_next"))
+    both = shared_tokens(docs).join(n, "doc_id").join(after, "doc_id")
+    return both.select("doc_id", "shared", (F.col("shared") / F.col("n")).alias("overlap"), ((F.col("n_next") - F.col("shared")) / F.col("n_next")).alias("only_next"))
+
+
 def ocr_heading_levels(sizes: DataFrame, scale: float = 2.0, step: float = 0.8) -> DataFrame:
     """(doc_id, size, body_height), sizes distinct -> doc_id, size, level of sizes over `scale` body heights.
 

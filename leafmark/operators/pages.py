@@ -10,6 +10,7 @@ from leafmark.functions.text import LOW_CONFIDENCE, WORDLIKE, word_list
 PAGE = ("doc_id", "page")
 SPLIT, GUTTER_INK, MIN_WORDS, MIN_SHARE, GUTTER = 0.5, 0.03, 10, 0.2, 0.02
 PITCH, PARA_GAP, TALL = 0.012, 1.6, 2.0
+PROSE_SHARE = 0.6
 
 
 def low_confidence(words: DataFrame, cap: int = 12) -> DataFrame:
@@ -25,7 +26,7 @@ def prose_share(docs: DataFrame) -> DataFrame:
     """doc_id, n, prose (words with three letters in a row) and retry: some words, but less than 0.6 of them prose."""
     words = word_list(F.col("text"))
     n = docs.select("doc_id", F.size(words).cast("long").alias("n"), F.size(F.filter(words, lambda w: w.rlike(WORDLIKE))).cast("long").alias("prose"))
-    return n.withColumn("retry", F.when(F.col("n") > 0, F.col("prose") / F.col("n") < 0.6).otherwise(False))
+    return n.withColumn("retry", F.when(F.col("n") > 0, F.col("prose") / F.col("n") < PROSE_SHARE).otherwise(False))
 
 
 def with_page_marks(words: DataFrame, split: float = SPLIT) -> DataFrame:

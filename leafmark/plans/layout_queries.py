@@ -258,6 +258,13 @@ def word_overlap(spark, sf_dir):
     return dc.shared_tokens(_t(spark, sf_dir, "documents"))
 
 
+@query(f"""WITH s AS (SELECT doc_id, unnest({_AUDIT}) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  o AS (SELECT a.doc_id, sum(least(a.n, b.n))::BIGINT AS shared FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 AND a.token = b.token GROUP BY ALL)
+  SELECT o.doc_id, shared, shared::DOUBLE / c.n::DOUBLE AS overlap, (d.n - shared)::DOUBLE / d.n::DOUBLE AS only_next FROM o JOIN c ON c.doc_id = o.doc_id JOIN c d ON d.doc_id = o.doc_id + 1""")
+def overlap_shares(spark, sf_dir):
+    return dc.overlap_shares(_t(spark, sf_dir, "documents"))
+
+
 _BLOCK_ROWS = "b AS (SELECT conv_id AS doc_id, turn AS ix, role, turn % 4 = 3 AS tight, CASE WHEN role = 'user' THEN repeat('#', (4 + turn % 3)::INT) || ' ' || trim(text) ELSE '> ' || trim(text) END AS md, trim(text) AS bare FROM conversations)"
 
 

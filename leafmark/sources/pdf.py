@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leafmark.errors import LeafmarkError
 from leafmark.functions.text import WORDLIKE, fold_typographic, half_up
-from leafmark.operators.pages import PAGE
+from leafmark.operators.pages import PAGE, PROSE_SHARE
 
 RUN = "struct<text:string,a:double,b:double,c:double,d:double,e:double,f:double,width:double>"
 OP = "struct<name:string,w:int,h:int>"
@@ -29,7 +29,7 @@ IMAGE_OPS = (
     "paintImageMaskXObject", "paintImageMaskXObjectGroup", "paintImageMaskXObjectRepeat", "paintImageXObject", "paintImageXObjectRepeat", "paintInlineImageXObject",
     "paintInlineImageXObjectGroup", "paintSolidColorImageMask",
 )
-LARGE_PIXELS, LARGE_MIN_CHARS, PROSE_SHARE = 200, 80, 0.6
+LARGE_PIXELS, LARGE_MIN_CHARS = 200, 80
 
 
 def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[dict]]) -> DataFrame:
