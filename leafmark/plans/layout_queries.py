@@ -413,7 +413,7 @@ def numbered_dump(spark, sf_dir):
     docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.explode(lines).alias("value")).write.text(path)
     read = layout.read_audit_dump(spark, path).where("error is null").select((F.col("page") - 1).cast("long").alias("doc"), "doc_id", "idx", "text")
     line = F.col("idx") - F.min("idx").over(Window.partitionBy("doc_id", "doc"))
-    per = read.withColumn("line", line).groupBy("doc").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ws"))
+    per = read.withColumn("line", line).groupBy("doc_id", "doc").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("ws"))
     return per.select(F.col("doc").alias("doc_id"), "first_line", "last_line", "n_lines", F.sha2(F.array_join("ws.text", "\n").cast("binary"), 256).alias("digest"))
 
 
