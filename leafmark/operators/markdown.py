@@ -45,8 +45,9 @@ def heading_levels(lines: DataFrame, markers: bool | DataFrame = False, histogra
     return ranked.select("doc_id", "size", F.least(F.lit(6), F.col("rank") + F.coalesce("below", F.lit(0))).cast("int").alias("level"))
 
 
-def classified(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """Adds level, bare (text without bullets), broken (a column or a jump after the line before) and letter."""
+def classified(lines: DataFrame, levels: DataFrame, values: bool = True) -> DataFrame:
+    """Adds level, bare (text without bullets), broken (a column or a jump after the line before) and letter; without
+    values, a bare value is a line like any other."""
     known = lines.join(levels.withColumnRenamed("size", "h"), ["doc_id", "h"], "left")
     order = Window.partitionBy(*PAGE).orderBy("ix")
     lag = lambda c: F.lag(c).over(order)
@@ -56,7 +57,7 @@ def classified(lines: DataFrame, levels: DataFrame) -> DataFrame:
     head = F.col("level").isNotNull() & ~bulleted
     goes_on = head & (lag("h") == F.col("h")) & near & ~lag("text").rlike(BULLETS)
     bare = F.trim(F.regexp_replace("text", BULLETS, ""))
-    label, value = bare.rlike(LABEL), F.col("text").rlike(VALUE)
+    label, value = bare.rlike(LABEL), F.col("text").rlike(VALUE) if values else F.lit(False)
     pick = lambda a, b, c: F.when(label, a).when(value, b).otherwise(c)
     letter = F.when(bulleted & (bare == ""), "g").when(bulleted, F.when(label, "B").otherwise("b")).when(goes_on, pick("I", "W", "i")).when(head, pick("H", "V", "h")).otherwise(pick("L", "v", "t"))
     broken = (lag("col") != F.col("col")) | (jump > F.col("h") * PARAGRAPH_JUMP)
@@ -82,15 +83,15 @@ def units(marked: DataFrame) -> DataFrame:
     return each.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(order).cast("int") - 1).withColumn("body", body)
 
 
-def text_blocks(lines: DataFrame, levels: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def text_blocks(lines: DataFrame, levels: DataFrame, dictionary: DataFrame | None = None, values: bool = True) -> DataFrame:
     """Blocks of text-layer lines (doc_id, page, ix, col, text, x, y, h, words): doc_id, page, block, type, level, text,
     tight, words, n_lines, and the counters list_items, joined_pairs, reflowed, callouts, closed_hyphens.
 
     Headings and paragraphs join their lines, with hyphens closed where the dictionary (word) has the word; a heading of
     more than 150 characters is a callout. Items are tight and indented by their distance from the page's least x. A
-    label takes the bare value of the next line. A page without lines has no blocks.
+    label takes the bare value of the next line, unless values is false. A page without lines has no blocks.
     """
-    each = units(classified(lines, levels))
+    each = units(classified(lines, levels, values))
     order = Window.partitionBy(*PAGE).orderBy("ix")
     first = F.max(F.when(F.col("opens"), F.col("ix"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     keys = [*PAGE, "block"]

@@ -30,3 +30,19 @@ def test_entry_imports(spark):
 
     assert set(Q.QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def _of_documents(spark, tmp_path, name, texts):
+    """Whether a query and its SQL agree on documents of these texts."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want, got = con.execute(Q.ORACLE[name]).fetchdf(), Q.QUERIES[name](spark, str(tmp_path)).toPandas()
+    return _rows(want) == _rows(got)
+
+
+def test_bare_value_after_a_label(spark, tmp_path):
+    """A line that ends in a colon, and a last line of a version number only; in one column and in two."""
+    texts = [" ".join([*(f"word{i}" for i in range(12 * 6)), "4.0."]), " ".join([*(f"word{i}" for i in range(6 * 6)), "2.0."])]
+    assert _of_documents(spark, tmp_path, "text_blocks", [texts[1], texts[0], texts[0], texts[1]])
