@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
+from leafmark.operators import audit, tables
 from leafmark.plans import layout_queries as Q
+from leafmark.sources import layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,12 @@ def test_bare_value_after_a_label(spark, tmp_path):
     """A line that ends in a colon, and a last line of a version number only; in one column and in two."""
     texts = [" ".join([*(f"word{i}" for i in range(12 * 6)), "4.0."]), " ".join([*(f"word{i}" for i in range(6 * 6)), "2.0."])]
     assert _of_documents(spark, tmp_path, "text_blocks", [texts[1], texts[0], texts[0], texts[1]])
+
+
+def test_words_are_dealt_by_their_text(spark, monkeypatch):
+    """Partitions grow with the text, and neither windows nor joins by page shuffle its words."""
+    monkeypatch.setattr(tables, "TASK_BYTES", 4000, raising=False)
+    words = layout.laid_out(spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 800) AS text"))
+    assert words.rdd.getNumPartitions() == 40
+    body = words.groupBy("doc_id", "page").agg({"text": "max"}).withColumnRenamed("max(text)", "body")
+    assert "ENSURE_REQUIREMENTS" not in audit.leftovers(words, body)._jdf.queryExecution().executedPlan().toString()
