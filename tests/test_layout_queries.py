@@ -1,6 +1,8 @@
 """Every layout query with SQL gives the same rows as that SQL."""
 
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -56,4 +58,15 @@ def test_words_are_dealt_by_their_text(spark, monkeypatch):
     words = layout.laid_out(spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 800) AS text"))
     assert words.rdd.getNumPartitions() == 40
     body = words.groupBy("doc_id", "page").agg({"text": "max"}).withColumnRenamed("max(text)", "body")
-    assert "ENSURE_REQUIREMENTS" not in audit.leftovers(words, body)._jdf.queryExecution().executedPlan().toString()
+    for made in (audit.leftovers(words, body), audit.source_pairs(audit.runs_with_tokens(words))):
+        assert "ENSURE_REQUIREMENTS" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_composing_parts_no_tokens():
+    """The composed form of any text has its tokens at the same places."""
+    kind = lambda c: "t" if unicodedata.category(c)[0] in "LN" else "m" if unicodedata.category(c)[0] == "M" else "o"
+    shape = lambda s: re.sub("t[tm]*|o+m*|m+", lambda m: m[0][0], "".join(map(kind, s)))
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c:
+            assert shape(c) == shape(parts) == shape(unicodedata.normalize("NFC", parts)), hex(ord(c))
