@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import half_up, tokens
+from leafmark.operators.tables import by_text
 
 # Fixed value: how a line of prose may end.
 TERMINAL = r"[.!?:;\"”'’)\]…0-9]$"
@@ -47,22 +48,28 @@ def ocr_ranges(routed: DataFrame) -> DataFrame:
     return runs.groupBy("source", "island").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, shared, n and n_next: tokens in common with the document of the next id, and those of either.
+
+    A document's tokens go, as one row, to itself and to the document before; there they are counted, without a further shuffle.
+    """
+    sides = F.explode(F.array(F.struct(F.col("doc_id"), F.lit(1).alias("own")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(0).alias("own")))).alias("s")
+    said = F.array_join(tokens(F.col("text")), " ").alias("said")  # no token has a blank
+    sided = docs.where("doc_id is not null").select("doc_id", said).where("said <> ''").select("said", sides).select("s.doc_id", "s.own", "said")
+    each = by_text(sided, docs, "doc_id").select("doc_id", "own", F.explode(F.split("said", " ")).alias("token"))
+    counts = each.groupBy("doc_id", "token").agg(F.sum("own").alias("a"), F.count(F.lit(1)).alias("n")).withColumn("b", F.col("n") - F.col("a"))
+    return counts.groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("shared"), F.sum("a").alias("n"), F.sum("b").alias("n_next"))
+
+
 def shared_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, shared: how many tokens a document and the one with the next id have in common, by occurrence; none, no row."""
-    token = F.explode(tokens(F.col("text"))).alias("token")
-    sides = F.explode(F.array(F.struct(F.col("doc_id"), F.lit(1).alias("own"), F.lit(0).alias("next")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(0).alias("own"), F.lit(1).alias("next")))).alias("s")
-    counts = docs.select("doc_id", token).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", sides)
-    both = counts.groupBy("s.doc_id", "token").agg(F.sum(F.col("n") * F.col("s.own")).alias("a"), F.sum(F.col("n") * F.col("s.next")).alias("b"))
-    return both.where("a > 0 and b > 0").groupBy("doc_id").agg(F.sum(F.least("a", "b")).alias("shared"))
+    return _beside(docs).where("shared > 0").select("doc_id", "shared")
 
 
 def overlap_shares(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, shared, overlap and only_next: of a document's tokens the share that the one with the next
     id has too, and of the next one's tokens the share that isn't among them; documents without a common token have no row."""
-    n = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
-    after = n.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("n_next"))
-    both = shared_tokens(docs).join(n, "doc_id").join(after, "doc_id")
-    return both.select("doc_id", "shared", (F.col("shared") / F.col("n")).alias("overlap"), ((F.col("n_next") - F.col("shared")) / F.col("n_next")).alias("only_next"))
+    return _beside(docs).where("shared > 0").select("doc_id", "shared", (F.col("shared") / F.col("n")).alias("overlap"), ((F.col("n_next") - F.col("shared")) / F.col("n_next")).alias("only_next"))
 
 
 def ocr_heading_levels(sizes: DataFrame, scale: float = 2.0, step: float = 0.8) -> DataFrame:

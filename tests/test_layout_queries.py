@@ -70,3 +70,9 @@ def test_composing_parts_no_tokens():
         parts = unicodedata.normalize("NFD", c)
         if parts != c:
             assert shape(c) == shape(parts) == shape(unicodedata.normalize("NFC", parts)), hex(ord(c))
+
+
+def test_shared_tokens_of_odd_documents(spark, tmp_path):
+    """Repeated, missing and empty neighbours, null texts, and ids with a gap."""
+    assert _of_documents(spark, tmp_path, "word_overlap", ["a b b É", "b b b c é", "", None, "a", "a a", "-", "a a"])
+    assert _of_documents(spark, tmp_path, "overlap_shares", ["a b b É", "b b b c é", "", None, "a", "a a", "-", "a a"])
