@@ -7,7 +7,7 @@ import unicodedata
 import duckdb
 import pytest
 
-from leafmark.operators import audit, tables
+from leafmark.operators import audit, emit, rows, tables
 from leafmark.plans import layout_queries as Q
 from leafmark.sources import layout
 
@@ -76,3 +76,11 @@ def test_shared_tokens_of_odd_documents(spark, tmp_path):
     """Repeated, missing and empty neighbours, null texts, and ids with a gap."""
     assert _of_documents(spark, tmp_path, "word_overlap", ["a b b É", "b b b c é", "", None, "a", "a a", "-", "a a"])
     assert _of_documents(spark, tmp_path, "overlap_shares", ["a b b É", "b b b c é", "", None, "a", "a a", "-", "a a"])
+
+
+def test_lines_are_dealt_once_for_blocks(spark, tmp_path):
+    """Heading levels come to the lines by document, so that a page's lines are shuffled once however many levels there are."""
+    lines = tables.written(rows.ocr_lines(layout.laid_out(spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 800) AS text"))), "lines")
+    blocks = emit.recognised_blocks(lines, emit.recognised_levels(lines).hint("merge")).where("type <> 'float'")
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in x and "hashpartitioning" in x and "page#" in x.split("hashpartitioning")[1].split(",")[1] for x in plan.splitlines())
