@@ -84,3 +84,19 @@ def test_lines_are_dealt_once_for_blocks(spark, tmp_path):
     blocks = emit.recognised_blocks(lines, emit.recognised_levels(lines).hint("merge")).where("type <> 'float'")
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert not any("Exchange" in x and "hashpartitioning" in x and "page#" in x.split("hashpartitioning")[1].split(",")[1] for x in plan.splitlines())
+
+
+def test_audited_pages_are_tokenised_once(spark):
+    """The words' tokens, the body's and its gaps are looked for once each, and not again to tell pages that differ."""
+    words = layout.laid_out(spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 800) AS text"))
+    body = words.groupBy("doc_id", "page").agg({"text": "max"}).withColumnRenamed("max(text)", "body")
+    plan = audit.leftovers(words, body)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3
+
+
+def test_literal_matches_of_odd_pages(spark):
+    """Composed and decomposed letters are one token, and the later of repeated tokens are left, on either side."""
+    words = spark.createDataFrame([(1, 1, 0, "e\u0301 a a"), (1, 1, 1, "b a é"), (1, 2, 0, "-"), (2, 1, 0, "a b"), (None, 1, 0, "x")], "doc_id long, page int, idx int, text string")
+    bodies = spark.createDataFrame([(1, 1, "É <b> a a-\nz z"), (1, 2, "q"), (2, 2, "a"), (None, 1, "x")], "doc_id long, page int, body string")
+    got = sorted(tuple(r) for r in audit.leftovers(words, bodies).where("doc_id is not null").collect())
+    assert got == [(1, 1, "o", 4, "z", ""), (1, 1, "o", 5, "z", ""), (1, 1, "s", 4, "a", ""), (1, 1, "s", 5, "é", ""), (1, 2, "o", 0, "q", ""), (2, 1, "s", 0, "a", ""), (2, 1, "s", 1, "b", "")]
