@@ -100,3 +100,12 @@ def test_literal_matches_of_odd_pages(spark):
     bodies = spark.createDataFrame([(1, 1, "É <b> a a-\nz z"), (1, 2, "q"), (2, 2, "a"), (None, 1, "x")], "doc_id long, page int, body string")
     got = sorted(tuple(r) for r in audit.leftovers(words, bodies).where("doc_id is not null").collect())
     assert got == [(1, 1, "o", 4, "z", ""), (1, 1, "o", 5, "z", ""), (1, 1, "s", 4, "a", ""), (1, 1, "s", 5, "é", ""), (1, 2, "o", 0, "q", ""), (2, 1, "s", 0, "a", ""), (2, 1, "s", 1, "b", "")]
+
+
+def test_repairs_shuffle_pages_not_tokens(spark):
+    """What is left of a page, and its pairs, are a row each where they are shuffled or joined; words stay where they are."""
+    words = layout.laid_out(spark.range(40).selectExpr("id AS doc_id", "repeat('ab- cd word ', 800) AS text")).where("text <> 'word' or idx % 5 = 0")
+    body = words.groupBy("doc_id", "page").agg({"text": "max"}).selectExpr("doc_id", "page", "'abcd abcd more' AS body")
+    plan = audit.missing_words(words, body)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert len(joins) == 2 and not any("token" in x or "first" in x or "second" in x for x in joins)
