@@ -14,7 +14,7 @@ from itertools import chain
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import cut, join_checked, shared_path
@@ -57,8 +57,9 @@ def write_archives(pages: DataFrame, to: str | None = None, min_bytes: int = 0,
     """Write a record for each (page_id, url, html) row, gzip member by member; return the manifest (path, records, bytes).
 
     The payload is html in UTF-8 (null: empty). Of records with equal payloads of at least `min_bytes` bytes, that with
-    the largest page_id is a response and the others revisit it; rows that repeat that page_id are responses too, and
-    if all their ids are null, all are. Null urls leave out the target. An empty table gives an empty manifest. Extra
+    the largest page_id is a response and the others revisit it; of rows that repeat that page_id, which are brought
+    together, that with the largest url (of equal ones an arbitrary one) is the response. If all their ids are null, all
+    are responses. Null urls leave out the target. An empty table gives an empty manifest. Extra
     columns are ignored.
 
     Every task writes a file of its own into `to` (default: the shared folder), under a name of that attempt; only
@@ -70,15 +71,19 @@ def write_archives(pages: DataFrame, to: str | None = None, min_bytes: int = 0,
     need = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"),
     ).withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
+    per_id = need.where(F.octet_length("html") >= min_bytes).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
     again = cut(
-        need.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("best"))
-        .where("n > 1 and best is not null").select("digest", "best")
+        per_id.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", F.col("n").alias("rows"))).alias("best"))
+        .where("n > 1 and best.page_id is not null").select("digest", F.col("best.page_id").alias("best"), F.col("best.rows").alias("rows"))
     )
-    marked = join_checked(need, again, ["digest"], "left").select(
-        "page_id", "url", "digest",
-        F.when(F.col("best").isNull() | F.coalesce(F.col("best") == F.col("page_id"), F.lit(False)) | (F.octet_length("html") < min_bytes), F.lit(None)).otherwise(F.col("best")).alias("refers"),
-        "html",
-    ).withColumn("html", F.when(F.col("refers").isNull(), F.col("html")))
+    joined = join_checked(need, again, ["digest"], "left")
+    own = F.coalesce(F.col("best") == F.col("page_id"), F.lit(False))
+    marked = joined.withColumn("refers", F.when(F.col("best").isNull() | own | (F.octet_length("html") < min_bytes), F.lit(None)).otherwise(F.col("best")))
+    if not again.where("rows > 1").isEmpty():
+        repeated = own & F.coalesce(F.col("rows") > 1, F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("url")))
+        marked = marked.where(~repeated).unionByName(marked.where(repeated).withColumn("refers", F.when(nth > 1, F.col("best"))))
+    marked = marked.select("page_id", "url", "digest", "refers", F.when(F.col("refers").isNull(), F.col("html")).alias("html"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = pafs.FileSystem.from_uri(to)
