@@ -7,7 +7,7 @@ import unicodedata
 import duckdb
 import pytest
 
-from leafmark.operators import audit, emit, rows, tables
+from leafmark.operators import analysis, audit, emit, rows, tables
 from leafmark.plans import layout_queries as Q
 from leafmark.sources import layout
 
@@ -109,3 +109,12 @@ def test_repairs_shuffle_pages_not_tokens(spark):
     plan = audit.missing_words(words, body)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert len(joins) == 2 and not any("token" in x or "first" in x or "second" in x for x in joins)
+
+
+def test_listed_words_are_not_copied(spark):
+    """Words get their types one by one as they are read; no array of a page's words is cast."""
+    words = layout.laid_out(spark.range(4).selectExpr("id AS doc_id", "repeat('word ', 800) AS text"))
+    blocks = emit.recognised_blocks(tables.written(rows.ocr_lines(words), "lines"), spark.createDataFrame([], "doc_id long, size double, level int"))
+    pages = analysis.page_rows(words, blocks, words.select("doc_id", "page").distinct().selectExpr("*", "'ocr' AS path"))
+    assert "as array<struct" not in pages._jdf.queryExecution().optimizedPlan().toString()
+    assert pages.schema.simpleString() == f"struct<doc_id:bigint,page:int,path:string,words:array<{analysis.WORD}>,blocks:array<{analysis.BLOCK}>>"
