@@ -224,6 +224,24 @@ def test_automatic_pages(spark):
     assert {p[1] for p in got(Options(ocr=False))} == {"text"} and got(Options(ocr=True))[0] == (1, "ocr", ["unused"])
 
 
+def test_automatic_pages_are_routed_once(spark, tmp_path):
+    """The table of pages is read for the routing only, and words aren't sorted to find those of routed pages, however many these are."""
+    from leafmark import analyze_auto
+    from leafmark.operators import tables
+
+    info_path = str(tmp_path / "signals_of_pages")
+    spark.createDataFrame([(1, 1, 500, True), (1, 1, 500, True), (1, 2, 3, True)], "doc_id long, page int, text_chars int, has_image boolean").write.parquet(info_path)
+    runs = spark.createDataFrame([(1, p, 0, f"text of page {p}", 72.0, 100.0, 90.0, 12.0, 612.0) for p in (1, 2)], "doc_id long, page int, idx int, text string, x double, y double, w double, h double, page_width double")
+    words = spark.createDataFrame([(1, p, 0, "seen", 0.1, 0.9, 0.05, 0.02, 90.0) for p in (1, 2)], DUMP)
+    pages = analyze_auto(spark.read.parquet(info_path), runs, words)
+    assert "signals_of_pages" not in pages._jdf.queryExecution().toString()
+    assert sorted((p.page, p.path, [b.text for b in p.blocks]) for p in pages.collect()) == [(1, "text", ["text of page 1"]), (2, "ocr", ["seen"])]
+    many = spark.range(tables.BROADCAST_ROWS + 1).select("id", "id").toDF("doc_id", "page")
+    for keys in (many, many.limit(2)):
+        found = tables.of_pages(words, keys)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+
+
 PLUGIN = """
 def parse(content):
     if content != b"a PDF":
