@@ -119,3 +119,21 @@ def test_no_words_and_no_boxes(spark):
     assert rows.ocr_lines(empty).count() == 0 and pages.page_statistics(empty).count() == 0
     some = _words(spark, _body(1)).selectExpr("doc_id", "page", "idx", "if(idx = 0, null, text) as text", "if(idx = 1, null, x) as x", "y", "w", "h")
     assert rows.ocr_lines(some).first().n_words == 6
+
+
+def test_marks_of_a_page_are_those_of_its_statistics(spark):
+    """Words of a batch get the medians, tall words and columns that Spark's statistics give; lines are made with one window and no more."""
+    import random
+
+    import numpy as np
+
+    from leafmark.operators import pages, rows
+
+    r = random.Random(4)
+    boxes = [(p, r.choice((r.uniform(0.05, 0.43), r.uniform(0.55, 0.9))) if p % 3 else r.uniform(0, 0.9), 0.05, r.choice((0.017, 0.017, 0.02, 0.034, 0.05, float("nan")))) for p in range(12) for _ in range(1 if p == 5 else 60)]
+    words = spark.createDataFrame([(1, p, i, "w", x, 0.5, w, h) for i, (p, x, w, h) in enumerate(boxes)], "doc_id long, page int, idx int, text string, x double, y double, w double, h double")
+    want = [(m.median_h, m.tall, m.two_column) for m in pages.with_page_marks(words).orderBy("idx").collect()]
+    p, x, w, h = (np.array(c) for c in zip(*boxes, strict=True))
+    got = list(zip(*(c.tolist() for c in rows.page_marks(p, x, w, h, 12, 0.5)), strict=True))
+    assert repr(got) == repr(want) and {t for _, _, t in want} == {True, False}
+    assert rows.ocr_lines(words)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
