@@ -264,3 +264,17 @@ def test_one_labelled_document_of_each_language_teaches(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert [model.decide(t)[0] for t in ("the dog and the fox", "der hund und der fuchs", "123", None)] == ["en", "de", "und", "und"]
     assert model.decide("żółć ŁŚĆŃ")[:2] == ("de", 0.0)
+
+
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Lines are signed and compared by SQL functions alone; sets are of code points, also beyond 16 bits: a pair just above the threshold goes, one just below stays."""
+    r = random.Random(21)
+    x = "".join(r.sample([chr(c) for c in (*range(0xE0, 0x17F), *range(0x4E00, 0x4F00), *range(0x1F300, 0x1F400))], 95))
+    # of 91 shingles those that hold a changed character go: with 10 at an end 81 of 101 are common, with 11 80 of 102
+    texts = [x, "abcdefghij" + x[10:], "abc", "abcd", "abc ", "née", "nee"]
+    docs = spark.createDataFrame(list(enumerate([*texts, "\n".join((x[::-1], "abcdefghijk" + x[::-1][11:]))])), "doc_id long, text string")
+    assert jaccard(x, texts[1]) >= 0.8 > jaccard(x[::-1], "abcdefghijk" + x[::-1][11:])
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, None)
+    got = dict(linededup.line_report(docs).select("doc_id", "dropped").collect())
+    assert got == {0: [], 1: [0], 2: [], 3: [], 4: [0], 5: [], 6: [], 7: []}
