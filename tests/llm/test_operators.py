@@ -130,6 +130,41 @@ def kept_lines(spark, lines):
     return {r.doc_id for r in linededup.line_report(docs).collect() if not r.n_dropped}
 
 
+def test_line_dedup_leaves_no_shuffles_of_texts(spark):
+    """Its tables are written, and the shuffles that made them are freed at once; texts that share bands aren't shuffled again for each use."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    docs = spark.createDataFrame([(i, "\n".join(prose(100 * (i // 2) + k, 40 + i % 2) for k in range(20))) for i in range(400)], "doc_id long, text string")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled()
+    gone = linededup.dropped_lines(docs)
+    assert shuffled() - before < 0.5 * size
+    assert {r.doc_id for r in gone.collect()} == set(range(1, 400, 2))
+    assert spark.conf.get(linededup.FREED) == "false"
+
+
+def test_sketches_rule_out_long_lines_that_are_nearly_similar(spark):
+    """At 0.73 to 0.78, some 470 characters: bits of a sketch differ in more than a ninth of the shingles of both, as sets do."""
+    base, rows = prose(77, 110).split(), []
+    for i in range(60):
+        gone = random.Random(i).sample(range(110), 6)
+        rows.append((i, " ".join(f"x{i}y{k}" if k in gone else w for k, w in enumerate(base))))
+    lines = [t for _, t in rows]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
+    got = linededup.sketches(spark.createDataFrame(rows, "uid long, line string")).orderBy("uid").collect()
+    words = [[v & (2**64 - 1) for k, v in r.asDict().items() if k.startswith("x")] for r in got]
+    assert [r["size"] for r in got] == list(map(len, sets))
+    apart = {(i, j): sum((a ^ b).bit_count() for a, b in zip(words[i], words[j], strict=True)) for i in range(60) for j in range(i)}
+    assert all(n <= len(sets[i] ^ sets[j]) for (i, j), n in apart.items())
+    asked = [p for p in apart if 0.73 <= len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) <= 0.78]
+    passed = sum(apart[i, j] <= (len(sets[i]) + len(sets[j])) / 9 for i, j in asked)
+    assert len(asked) > 100 and passed < 0.5 * len(asked), (len(asked), passed)
+
+
 def test_line_dedup_compares_all_pairs_of_a_band(spark):
     r = random.Random(9)
     opening = "the quarterly statement of the regional committee for public transport and local roads notes the following figure and"
